@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, packing, quality, simhash, suffix_tree, token_lengths
+from . import decontaminate, forest, html_text, licenses, packing, quality, simhash, suffix_tree, token_lengths, url_rules
 from .common import table
 
 
@@ -35,6 +35,14 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"))
+
+
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = token_lengths.encoded_lengths(table(spark, sf_dir, "documents"), tokenizer())
     return token_lengths.length_histogram(lengths)
@@ -49,10 +57,19 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of their source's and language's folder."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("_")), F.coalesce("lang", F.lit("_")), F.coalesce(F.col("doc_id").cast("string"), F.lit("_")))
+    files = docs.select(F.col("doc_id").alias("file_id"), path.alias("path"), "text")
+    return licenses.scan(files).withColumnRenamed("file_id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_html_extraction, op2_quality_classifier, op3_suffix_tree_scores, op4_benchmark_decontamination,
-        op7_token_counts, op8_simhash_near_dedup, op9_best_fit_packing,
+        op5_url_filters, op6_nearest_neighbours, op7_token_counts, op8_simhash_near_dedup, op9_best_fit_packing,
+        op10_license_scans,
     )}
 
 

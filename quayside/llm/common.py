@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def slices(batches: Iterator[pa.RecordBatch], size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of rows of about ``size`` bytes (one row at least), so that what
+    a task derives from a run does not depend on how many rows Spark puts into a batch."""
+    for batch in batches:
+        rows = max(1, min(batch.num_rows, batch.num_rows * size // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def words(text: str | None) -> list[bytes]:
     """Words of ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z, as UTF-8 bytes (null: none).
 

@@ -21,12 +21,12 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, words
+from .common import checkpoint, slices, words
 
 #: The closing token of every document; no word is empty.
 END = b""
 #: Counter entries, or n-gram positions, that a task holds before it hands them on.
-BUFFER_WORDS, BUFFER_POSITIONS = 200_000, 4_000_000
+BUFFER_WORDS, BUFFER_POSITIONS = 200_000, 2_000_000
 
 
 @dataclass
@@ -86,7 +86,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             seen.clear()
             return out
 
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 seen.update(words(text))
                 seen[END] += 1
@@ -136,7 +136,7 @@ def _grams(docs: DataFrame, shared: Broadcast) -> DataFrame:
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64())], ["key", "n"])
 
-        for batch in batches:
+        for batch in slices(batches):
             s, first, _, _ = _symbols(model, index, batch.column(0))
             c = _contexts(model, s, first)[-1]
             held.append((c * model.a + s)[c >= 0])
@@ -262,7 +262,7 @@ def score(docs: DataFrame, model: Model, wc: DataFrame, kept: list[str] | None =
         index, known, task, row = _Index(model), len(model.words), TaskContext.get().partitionId() << 40, 0
         lc, inner = np.log10(np.append(model.counts + 1.0, np.ones(len(model.classes)))), np.log10(np.maximum(model.inner, 1))
         unit = np.log10(model.n + model.v + 1)
-        for batch in batches:
+        for batch in slices(batches):
             s, first, at, told = _symbols(model, index, batch.column(0))
             logp = _at(model.levels, model.root, len(model.levels), None, s, model.a, _contexts(model, s, first))
             # inside a class: (c + 1) / (tokens + words + 1), with c + 1 of unlisted words joined later

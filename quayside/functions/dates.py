@@ -74,3 +74,11 @@ def in_window(anchor: Column, precision: Column, first_observed: Column, since:
 def window_start(plan: Column, now: Column, months: int = 12) -> Column:
     """Free and anonymous plans see twelve months; others have no limit (null)."""
     return F.when(plan.isin("anonymous", "free"), F.add_months(now, -months))
+
+
+def retry_after_seconds(header: Column, now: Column) -> Column:
+    """Seconds to wait by a Retry-After header: a count, or an HTTP date against ``now`` (epoch
+    seconds); never negative; null if it is neither."""
+    date = F.unix_seconds(F.try_to_timestamp(F.regexp_replace(F.trim(header), "^[A-Za-z]{3}, ", ""), F.lit("dd MMM yyyy HH:mm:ss 'GMT'")))
+    seconds = F.coalesce(F.trim(header).try_cast("bigint"), date - now)
+    return F.when(seconds.isNotNull(), F.greatest(seconds, F.lit(0).cast("bigint")))

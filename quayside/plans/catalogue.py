@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import conflicts, latest
-from . import windows
+from . import scalars, windows
 from .bindings import Model
 from .registry import ORACLES, QUERIES, query
 
-__all__ = ["flagship", "oracle_sql", "queries", "windows"]
+__all__ = ["flagship", "oracle_sql", "queries", "scalars", "windows"]
 
 
 @query(

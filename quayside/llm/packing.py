@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, slices
 from .token_lengths import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, nth long"
@@ -27,10 +27,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, seen, task = encoder(tokenizer_path), {}, TaskContext.get().partitionId()
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = enc.encode(text) + end
+            for doc, ids in zip(batch.column(0).to_pylist(), enc.encode_all(batch.column(1).to_pylist()), strict=True):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     n = len(part) // 4

@@ -11,44 +11,94 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: Chunks kept by an encoder, and the longest chunk that is kept.
-CACHE_CHUNKS, CACHE_CHARS = 400_000, 40
+CACHE_CHUNKS, CACHE_CHARS = 800_000, 40
 #: Unicode white space; str.split also splits at the four separators, which the tokenizers do not.
 SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
-class ChunkEncoder(dict):
-    """ids of a text, as little-endian unsigned 32-bit bytes, one white-space chunk at a time.
+class ChunkEncoder:
+    """ids of texts, as little-endian unsigned 32-bit bytes, one white-space chunk at a time.
 
-    The tokenizers used here never let a token span white space (they drop it), so a text's
-    ids are its chunks' ids in order, and most chunks repeat. The store of chunks is emptied
-    when it is full, so memory stays bounded whatever the vocabulary.
+    For tokenizers like word_bpe_49k: no token spans white space, which is dropped; a run of
+    letters is a piece of its own; case does not matter. A text's ids are then its chunks' ids
+    in order, and most chunks repeat. New chunks of a run of texts are encoded in one call,
+    with the tokenizer's own end mark between them. The store of chunks is emptied when it is
+    full, so memory stays bounded whatever the vocabulary.
     """
 
-    def __init__(self, path: str):
-        super().__init__()
+    def __init__(self, path: str, mark: str = "<|endoftext|>"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.mark, self.seen = Tokenizer.from_file(path), mark, {}
+        self.mark_id = self.tokenizer.token_to_id(mark)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(chunk) <= CACHE_CHARS:
-            if len(self) >= CACHE_CHUNKS:
-                self.clear()
-            self[chunk] = ids
-        return ids
+    def _direct(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(self, text: str | None) -> bytes:
+    def _chunks(self, text: str | None) -> list[str]:
         if not text:
-            return b""
+            return []
+        try:  # Latin-1 has no marks to compose, and one lower case for each character
+            text.encode("latin-1")
+            text = text.lower()
+        except UnicodeEncodeError:
+            pass
         if any(c in text for c in SEPARATORS):
-            chunks = [x for x in SPACE.split(text) if x]
-        else:
-            chunks = text.split()
-        return b"".join(map(self.__getitem__, chunks))
+            return [x for x in SPACE.split(text) if x]
+        return text.split()
+
+    def _new(self, missing: set[str]) -> dict[str, bytes]:
+        """ids of chunks that are not in store; a letter and one closing stop part there."""
+        out, stops, plain = {}, {}, []
+        for w in missing:
+            if "<|" in w:
+                out[w] = self._direct(w)
+            elif w[-1] in ".,;:!?" and w[-2:-1].isalpha() and w[-2] < "\u0100":
+                stops[w] = w[:-1]
+            else:
+                plain.append(w)
+        known = self.seen
+        plain = list({*plain, *(w for w in stops.values() if w not in known), *(w[-1] for w in stops if w[-1] not in known)})
+        words = [w for w in plain if w.isalpha() and max(w) < "\u0100"]  # one piece each, so one closing id
+        if words:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+            self._cut(words, ids, np.flatnonzero(self.last[ids]) + 1, 0, out)
+        others = [w for w in plain if w not in out]
+        if others:
+            ids = np.array(self.tokenizer.encode(f" {self.mark} ".join(others), add_special_tokens=False).ids, "<u4")
+            self._cut(others, ids, np.append(np.flatnonzero(ids == self.mark_id), len(ids)), 1, out)
+        for w, stem in stops.items():
+            out[w] = (out.get(stem) or known[stem]) + (out.get(w[-1]) or known[w[-1]])
+        return out
+
+    @staticmethod
+    def _cut(chunks: list[str], ids: np.ndarray, ends: np.ndarray, gap: int, out: dict[str, bytes]) -> None:
+        raw, at = ids.tobytes(), 0
+        for w, end in zip(chunks, ends.tolist(), strict=True):
+            out[w] = raw[4 * at : 4 * end]
+            at = end + gap
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        told = [self._chunks(t) for t in texts]
+        got = [list(map(self.seen.get, chunks)) for chunks in told]
+        missing = {w for chunks, ids in zip(told, got, strict=True) if None in ids for w, x in zip(chunks, ids, strict=True) if x is None}
+        if missing:
+            new = self._new(missing)
+            for k, ids in enumerate(got):
+                if None in ids:
+                    got[k] = [new[w] if x is None else x for w, x in zip(told[k], ids, strict=True)]
+            if len(self.seen) + len(new) > CACHE_CHUNKS:
+                self.seen.clear()
+            self.seen.update((w, x) for w, x in new.items() if len(w) <= CACHE_CHARS)
+        return [b"".join(ids) for ids in got]
 
 
 _encoders: dict[str, ChunkEncoder] = {}
@@ -66,10 +116,9 @@ def encoded_lengths(docs: DataFrame, tokenizer_path: str, text: str = "text", eo
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([len(enc.encode(t)) // 4 + eos for t in batch.column(0).to_pylist()], pa.int64())], ["length"]
-            )
+        for batch in slices(batches):
+            ids = enc.encode_all(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([len(x) // 4 + eos for x in ids], pa.int64())], ["length"])
 
     return docs.select(text).mapInArrow(lengths, "length long")
 

@@ -38,6 +38,13 @@ def slices(batches: Iterator[pa.RecordBatch], size: int = 4_000_000) -> Iterator
             yield batch.slice(at, rows)
 
 
+def texts_of(column: pa.Array, size: int = 4_000_000) -> Iterator[str | None]:
+    """The texts of a column, of which only about ``size`` bytes are Python strings at a time."""
+    rows = max(1, min(len(column), len(column) * size // max(1, column.nbytes)))
+    for at in range(0, len(column), rows):
+        yield from column.slice(at, rows).to_pylist()
+
+
 def words(text: str | None) -> list[bytes]:
     """Words of ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z, as UTF-8 bytes (null: none).
 

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from .common import texts_of
+
 FIELDS = {"item_id": pa.int64()} | dict.fromkeys(("distance", "error_budget", "item_length", "match_end"), pa.int32())
 LEAKS = "array<struct<item_id:bigint,distance:int,error_budget:int,item_length:int,match_end:int>>"
 
@@ -152,7 +154,7 @@ def _finder(shared: Broadcast, rate: float):
         if not ready:
             ready.append(Matcher(shared.value, rate))
         for texts in batches:
-            yield pa.array([[dict(zip(FIELDS, x, strict=True)) for x in ready[0].matches(t)] for t in texts.to_pylist()], pa.list_(pa.struct(FIELDS.items())))
+            yield pa.array([[dict(zip(FIELDS, x, strict=True)) for x in ready[0].matches(t)] for t in texts_of(texts)], pa.list_(pa.struct(FIELDS.items())))
 
     return arrow_udf(look, LEAKS)
 

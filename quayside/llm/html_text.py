@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from .common import texts_of
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark math q rp rt ruby s samp "
@@ -173,7 +175,7 @@ def text_of(html: Column | str, sigma: float = 1.0, share: float = 0.85) -> Colu
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for pages in batches:
-            yield pa.array([main_text(x, sigma, share) for x in pages.to_pylist()], pa.string())
+            yield pa.array([main_text(x, sigma, share) for x in texts_of(pages)], pa.string())
 
     return arrow_udf(run, "string")(html)
 

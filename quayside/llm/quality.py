@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from .common import texts_of
 from .suffix_tree import held_out
 
 KINDS = ("letters", "upper", "digits", "space", "high")
@@ -133,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 20_000, mod: int = 5,
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x = [features(t) for t in b.column(1).to_pylist()]
+                x = [features(t) for t in texts_of(b.column(1))]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x, pa.list_(pa.float64()))], ["label_id", "good", "x"])
 
     got = sorted(found.mapInArrow(measure, "label_id long, good int, x array<double>").collect(), key=lambda r: (r.label_id, r.x))
@@ -145,7 +146,7 @@ def score(text: Column | str, ranker: Ranker) -> Column:
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            x = np.array([features(t) for t in texts.to_pylist()])
+            x = np.array([features(t) for t in texts_of(texts)])
             yield pa.array(ranker.score(x) if len(x) else [], pa.float64())
 
     return arrow_udf(run, "double")(text)

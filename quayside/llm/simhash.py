@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, connected_components, words
+from .common import checkpoint, connected_components, texts_of, words
 
 #: In runs up to this long all pairs are compared by shifting; longer ones use pivots.
 SHORT_RUN = 48
@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], "u8").view("i8")
+            fps = np.fromiter((fingerprint(t, shingle) for t in texts_of(b.column(1))), "u8", b.num_rows).view("i8")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(each, "doc_id long, fp long")

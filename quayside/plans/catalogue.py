@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import conflicts, latest
-from . import joins, scalars, windows
+from . import joins, rollups, scalars, windows
 from .bindings import Model
 from .registry import ORACLES, QUERIES, query
 
-__all__ = ["flagship", "joins", "oracle_sql", "queries", "scalars", "windows"]
+__all__ = ["flagship", "joins", "oracle_sql", "queries", "rollups", "scalars", "windows"]
 
 
 @query(

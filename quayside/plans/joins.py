@@ -198,9 +198,9 @@ def review_queue(m):
     return rows.select("id", "priority", "sla", F.col("age_days").cast("long").alias("age_days"), F.concat(F.lit("source="), F.col("payload")["source_id"]).alias("payload"))
 
 
-@query("review_queue_join", f"WITH {REVIEWS} SELECT r.id, r.priority, v.slug AS vendor, p.name AS product FROM reviews r LEFT JOIN vendors v ON v.id = r.source_id LEFT JOIN products p ON p.id = r.product_id WHERE r.sla = 'high'")
+@query("review_queue_join", f"WITH {REVIEWS} SELECT r.id, r.priority, v.slug AS vendor, p.name AS product FROM reviews r LEFT JOIN vendors v ON v.id = r.source_id LEFT JOIN products p ON p.id = r.product_id WHERE r.sla = 'standard'")
 def review_queue_join(m):
-    rows = review.scored(m.candidates, m.sources, m.products).where("sla = 'high'")
+    rows = review.scored(m.candidates, m.sources, m.products).where("sla = 'standard'")
     v = m.vendors.select(F.col("id").alias("source_id"), F.col("slug").alias("vendor"))
     p = m.products.select(F.col("id").alias("product_id"), F.col("name").alias("product"))
     return rows.select("id", "priority", "source_id", "product_id").join(v, "source_id", "left").join(p, "product_id", "left").select("id", "priority", "vendor", "product")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import checkpoint, slices
 
 #: Chunks kept by an encoder, and the longest chunk that is kept.
 CACHE_CHUNKS, CACHE_CHARS = 800_000, 40
@@ -137,13 +137,9 @@ def length_histogram(lengths: DataFrame, block: int = 1024) -> DataFrame:
     """
     from pyspark.sql import Window
 
-    h = (
-        lengths.where("length is not null")
-        .groupBy("length")
-        .agg(F.count("*").alias("n_docs"))
-        .withColumn("n_tokens", F.col("length") * F.col("n_docs"))
-        .withColumn("block", F.floor(F.col("length") / block))
-    )
+    # texts are encoded once: the histogram, a row per length, is read twice below
+    h = checkpoint(lengths.where("length is not null").groupBy("length").agg(F.count("*").alias("n_docs")))
+    h = h.withColumn("n_tokens", F.col("length") * F.col("n_docs")).withColumn("block", F.floor(F.col("length") / block))
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum("n_tokens").alias("bt"))
     before, everything = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
     blocks = blocks.select(  # a row for every 1,024 lengths: at most max(length) / block of them

@@ -153,14 +153,14 @@ def neighbours(vectors: DataFrame, k: int = 20, every: int = 20, trees: int = 16
     if bits:
         lost = short.join(vecs.withColumnRenamed("node", "query"), "query")
         all_blocks = int(-(-n // bucket))
-        asks = lost.select("query", "embedding", F.explode(F.sequence(F.lit(0), F.lit(all_blocks - 1))).alias("block"))
-        pts = vecs.select("node", "embedding", F.pmod(F.xxhash64("node", F.lit(2)), F.lit(all_blocks)).cast("int").alias("block"))
+        asks = lost.select("query", F.col("embedding").alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(all_blocks - 1))).alias("block"))
+        pts = vecs.select("node", F.col("embedding").alias("point"), F.pmod(F.xxhash64("node", F.lit(2)), F.lit(all_blocks)).cast("int").alias("block"))
 
         def rest(_, q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
             out = []
             if len(q) and len(p):
-                x, ids = np.stack(p["embedding"]).astype("f8"), p["node"].to_numpy()
-                for query, v in zip(q["query"], q["embedding"], strict=True):
+                x, ids = np.stack(p["point"]).astype("f8"), p["node"].to_numpy()
+                for query, v in zip(q["query"], q["asked"], strict=True):
                     s = x @ v.astype("f8")
                     out += [(query, int(ids[j]), float(s[j])) for j in np.lexsort((ids, -s))[: k + 1]]
             return pd.DataFrame(out, columns=["query", "node", "score"])

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import conflicts, latest
-from . import joins, pipeline, rollups, scalars, texts, windows
+from . import joins, pipeline, rollups, scalars, streams, texts, windows
 from .bindings import Model
 from .registry import ORACLES, QUERIES, query
 
-__all__ = ["flagship", "joins", "oracle_sql", "pipeline", "queries", "rollups", "scalars", "texts", "windows"]
+__all__ = ["flagship", "joins", "oracle_sql", "pipeline", "queries", "rollups", "scalars", "streams", "texts", "windows"]
 
 
 @query(

@@ -73,5 +73,39 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     )}
 
 
+def _op1_sql() -> str:
+    """The pages' article without its tags, for pages that mark it as this table's do."""
+    body = "regexp_extract(html, '(?s)<article>(.*?)</article>', 1)"
+    text = f"regexp_replace(regexp_replace({body}, '</?(p|h1|br)>', ' ', 'g'), '<[^>]+>', '', 'g')"
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&#39;", "''"), ("&amp;", "&")):
+        text = f"replace({text}, '{name}', '{char}')"
+    text = f"trim(regexp_replace({text}, '[\\s\\p{{Z}}]+', ' ', 'g'))"
+    return f"SELECT page_id, url, text, length(text) AS n_chars FROM (SELECT page_id, url, coalesce({text}, '') AS text FROM pages)"
+
+
+def _op10_sql() -> str:
+    rows = ", ".join(f"('{k}', '{v.lower()}')" for k, v in licenses.TEMPLATES.items())
+    return f"""
+WITH tpl(name, said) AS (VALUES {rows}), n AS (SELECT count(*) AS n FROM tpl),
+tw AS (SELECT name, unnest(regexp_extract_all(said, '[a-z0-9]+')) AS word FROM tpl),
+ttf AS (SELECT name, word, count(*) AS tf FROM tw GROUP BY 1, 2),
+idf AS (SELECT word, ln((1 + n) / (1 + count(DISTINCT name))) + 1 AS idf FROM ttf, n GROUP BY word, n),
+wt AS (SELECT name, word, idf, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY name)) AS w FROM ttf JOIN idf USING (word)),
+lines AS (SELECT doc_id, source || '/' || lang AS folder, string_split(lower(coalesce(text, '')), chr(10)) AS l FROM documents),
+ln AS (SELECT doc_id, folder, i, l[i] AS said FROM lines, range(1, 100000) t(i) WHERE i <= len(l) AND length(trim(l[i])) > 0),
+total AS (SELECT doc_id, count(*) AS n_lines FROM ln GROUP BY 1),
+tok AS (SELECT doc_id, i, unnest(regexp_extract_all(said, '[a-z0-9]+')) AS word FROM ln WHERE said LIKE '%licen%' OR said LIKE '%public%' OR said LIKE '%released%' OR said LIKE '%domain%'),
+tf AS (SELECT doc_id, i, word, count(*) AS tf FROM tok GROUP BY 1, 2, 3),
+x AS (SELECT doc_id, i, word, tf * coalesce(idf, (SELECT ln(1 + n) + 1 FROM n)) AS x FROM tf LEFT JOIN idf USING (word)),
+norm AS (SELECT doc_id, i, sqrt(sum(x * x)) AS norm FROM x GROUP BY 1, 2),
+cos AS (SELECT x.doc_id, x.i, wt.name, round(sum(x * w) / any_value(norm), 6) AS score FROM x JOIN wt USING (word) JOIN norm ON norm.doc_id = x.doc_id AND norm.i = x.i GROUP BY 1, 2, 3),
+best AS (SELECT doc_id, i, max(score) AS score, min_by(name, (-score, name)) AS name FROM cos WHERE score >= 0.8 GROUP BY 1, 2),
+own AS (SELECT doc_id, max(score) AS own_score, min_by(name, (-score, name)) AS own_license, count(*) AS matched FROM best GROUP BY 1),
+f AS (SELECT d.doc_id, source || '/' || lang AS folder, source || '/' || lang || '/' || d.doc_id AS path, own_license, own_score, coalesce(matched * 2 >= greatest(n_lines, 1), false) AS licence_file FROM documents d LEFT JOIN own ON own.doc_id = d.doc_id LEFT JOIN total ON total.doc_id = d.doc_id),
+holds AS (SELECT folder, min_by(own_license, (-own_score, own_license)) AS folder_license FROM f WHERE licence_file GROUP BY 1)
+SELECT doc_id, path, own_license, own_score, licence_file, coalesce(own_license, folder_license) AS license, CASE WHEN own_license IS NULL AND folder_license IS NOT NULL THEN f.folder END AS licensed_by
+FROM f LEFT JOIN holds ON holds.folder = f.folder"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_html_extraction": _op1_sql(), "op10_license_scans": _op10_sql()}

@@ -1,0 +1,50 @@
+"""Every catalogue query against its SQL in DuckDB on the same tables."""
+
+import decimal
+import math
+
+import duckdb
+import pytest
+
+from quayside.plans import catalogue
+from quayside.plans.bindings import BASE
+
+QUERIES, ORACLES = catalogue.queries(), catalogue.oracle_sql()
+
+
+def plain(v):
+    if isinstance(v, bool) or v is None:
+        return v
+    if isinstance(v, (float, decimal.Decimal)):
+        return None if math.isnan(v) else round(float(v), 6)
+    if hasattr(v, "isoformat"):
+        return v.isoformat().replace("+00:00", "")
+    return tuple(plain(x) for x in v) if isinstance(v, (list, tuple)) else v
+
+
+def ordered(rows):
+    return sorted((tuple(plain(x) for x in r) for r in rows), key=lambda r: [(x is None, str(x)) for x in r])
+
+
+@pytest.fixture(scope="module")
+def duck(sf_dir):
+    con = duckdb.connect()
+    for t in BASE:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    return con
+
+
+def test_every_oracle_has_a_query():
+    assert set(ORACLES) <= set(QUERIES)
+    assert len(QUERIES) > 180
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_sql(spark, sf_dir, duck, name):
+    frame = QUERIES[name](spark, sf_dir)
+    columns = sorted(frame.columns)
+    told = duck.execute(ORACLES[name])
+    names = [d[0] for d in told.description]
+    assert sorted(names) == columns
+    at = [names.index(c) for c in columns]
+    assert ordered(frame.select(columns).collect()) == ordered([[r[i] for i in at] for r in told.fetchall()])

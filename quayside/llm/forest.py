@@ -19,15 +19,14 @@ def planes(trees: int, dim: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((trees, BITS, dim))
 
 
-def hashes(x: np.ndarray, longest: float, trees: int, seed: int) -> np.ndarray:
+def hashes(x: np.ndarray, lift: np.ndarray, trees: int, seed: int) -> np.ndarray:
     """Hash strings of rows of ``x`` for every tree, as 32-bit numbers whose high bits come first.
 
-    One more coordinate lifts all rows to length ``longest``, so that long vectors, which can
-    have large inner products, are not hashed as if they were short ones.
+    ``lift`` is one more coordinate. Points are lifted to the length of the longest, queries
+    not at all; the angle between the two then orders points by their inner product.
     """
     h = planes(trees, x.shape[1] + 1, seed)
-    lifted = np.concatenate([x, np.sqrt(np.maximum(0, longest**2 - (x**2).sum(1)))[:, None]], axis=1)
-    bits = np.einsum("nd,tbd->ntb", lifted, h, optimize=True) > 0
+    bits = np.einsum("nd,tbd->ntb", np.concatenate([x, lift[:, None]], axis=1), h, optimize=True) > 0
     return bits @ (1 << np.arange(BITS - 1, -1, -1, dtype="i8"))
 
 
@@ -119,26 +118,29 @@ def neighbours(vectors: DataFrame, k: int = 20, every: int = 20, trees: int = 16
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not n:
         return empty
-    wanted = int(np.ceil(ascent * n))
+    # some tree alone then holds k + 1 points, or all trees hold all there are
+    wanted = min(trees * n, max(int(np.ceil(ascent * n)), trees * (k + 1)))
     # buckets are never longer prefixes than the ascent is likely to come back to
     bits = int(np.clip(np.ceil(np.log2(n / bucket)), 0, max(0, np.floor(np.log2(trees / ascent)) - 2)))
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                h = hashes(np.stack(b["embedding"]).astype("f8"), longest * (1 + 1e-12), trees, seed)
-                yield pd.DataFrame({"node": np.repeat(b["node"], trees), "asks": np.repeat(b["asks"], trees), "tree": np.tile(np.arange(trees, dtype="i4"), len(b)), "hash": h.ravel()})
+                x, asks = np.stack(b["embedding"]).astype("f8"), b["asks"].to_numpy() == 1
+                lift = np.sqrt(np.maximum(0, longest**2 - (x**2).sum(1)))
+                for rows, code, flag in ((np.arange(len(b)), hashes(x, lift, trees, seed), 0), (np.flatnonzero(asks), hashes(x[asks], np.zeros(asks.sum()), trees, seed), 1)):
+                    node = np.repeat(b["node"].to_numpy("i8")[rows], trees)
+                    yield pd.DataFrame({"node": node, "asks": flag, "tree": np.tile(np.arange(trees, dtype="i4"), len(rows)), "hash": code.ravel()})
 
     coded = nodes.select("node", "asks", "embedding").mapInPandas(index, "node long, asks int, tree int, hash long")
-    coded = coded.withColumn("bucket", F.shiftright("hash", BITS - bits)) if bits else coded.withColumn("bucket", F.lit(0).cast("long"))
-    coded = checkpoint(coded)
+    coded = checkpoint(coded.withColumn("bucket", F.shiftright("hash", BITS - bits) if bits else F.lit(0).cast("long")))
     sizes = coded.groupBy("tree", "bucket").agg(
-        F.ceil(F.count("*") / (2 * bucket)).cast("int").alias("blocks"), F.ceil(F.sum("asks") / bucket).cast("int").alias("parts")
+        F.greatest(F.lit(1), F.ceil(F.sum(1 - F.col("asks")) / (2 * bucket))).cast("int").alias("blocks"), F.ceil(F.sum("asks") / bucket).cast("int").alias("parts")
     )
     dealt = coded.join(sizes, ["tree", "bucket"])
     block, part = F.pmod(F.xxhash64("node"), F.col("blocks")), F.pmod(F.xxhash64("node", F.lit(1)), F.greatest("parts", F.lit(1)))
     grid = lambda many: F.explode(F.sequence(F.lit(0), many - 1))
-    points = dealt.where("parts > 0").select("tree", "bucket", "hash", "node", F.lit(False).alias("asks"), block.cast("int").alias("block"), grid(F.col("parts")).alias("part"))
+    points = dealt.where("asks = 0 and parts > 0").select("tree", "bucket", "hash", "node", F.lit(False).alias("asks"), block.cast("int").alias("block"), grid(F.col("parts")).alias("part"))
     asking = dealt.where("asks = 1").select("tree", "bucket", "hash", "node", F.lit(True).alias("asks"), grid(F.col("blocks")).alias("block"), part.cast("int").alias("part"))
     group = ["tree", "bucket", "block", "part"]
     counted = points.union(asking).groupBy(*group).applyInPandas(_descend(bits), "query long, counts array<long>")

@@ -96,7 +96,7 @@ def fit(x: np.ndarray, good: np.ndarray, at: float, pairs: int = 60_000, penalty
     at which the fewest labelled rows fall on the wrong side, counting each class alike.
     With one class only, every strength is 0 and every score ``at`` or above.
     """
-    mean, scale = x.mean(0) if len(x) else np.zeros(1), x.std(0) + 1e-6 if len(x) else np.ones(1)
+    mean, scale = (x.mean(0), x.std(0) + 1e-6) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
     up, down = np.flatnonzero(good), np.flatnonzero(~good)
     if not len(up) or not len(down):
         return Ranker(mean, scale, np.zeros_like(mean), 0.0, 1.0, at)

@@ -169,7 +169,7 @@ def _level(model: Model, keys: np.ndarray, parent: np.ndarray, entries: np.ndarr
     free = (total - listed + mu) / (total + mu)  # mass spread over symbols as the suffix has it
     up = _at(below, model.root, len(below), parent[ctx], sym, a)
     logp = np.log10(n / (total[ctx] + mu) + free[ctx] * 10.0**up)
-    kl = np.bincount(ctx, 10.0**logp * (logp - up), len(keys))
+    kl = np.bincount(ctx, 10.0**logp * (logp - up), len(keys)).astype(float)
     rest = 1 - np.bincount(ctx, 10.0**logp, len(keys))
     kl += np.clip(rest, 0, 1) * np.log10(free)
     return Level(keys, kl * np.log(10) >= divergence, np.log10(free), entries, logp, parent)

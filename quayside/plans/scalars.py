@@ -241,3 +241,37 @@ def sorted_set(m):
 def merge_participants(m):
     others = F.array(F.lit("source-50"), F.lit("source-1"), F.lit(" "))
     return m.sources.select("id", F.array_join(text.merge_participants(F.col("slug"), others), ",").alias("participants"))
+
+
+@query("assess_transition", "SELECT id, line_no, CASE WHEN regexp_replace(regexp_replace(a, '[0-9]+', '#', 'g'), '[^#a-z]', '', 'g') <> regexp_replace(regexp_replace(b, '[0-9]+', '#', 'g'), '[^#a-z]', '', 'g') THEN 'uncomparable' WHEN a = b THEN 'identical' WHEN CAST(regexp_extract(b, '[0-9]+') AS INT) < CAST(regexp_extract(a, '[0-9]+') AS INT) OR CAST(regexp_extract(b, '[0-9]+') AS INT) > CAST(regexp_extract(a, '[0-9]+') AS INT) + 5 THEN 'suspicious' ELSE 'plausible' END AS verdict FROM (SELECT id, line_no, (id % 9) || '.' || line_no AS a, (line_no * 2) || '.' || (id % 3) || CASE WHEN id % 11 = 0 THEN 'rc' ELSE '' END AS b FROM candidates)")
+def assess_transition(m):
+    rows = m.candidates.select("id", "line_no", F.concat_ws(".", F.col("id") % 9, "line_no").alias("a"), F.concat(F.col("line_no") * 2, F.lit("."), F.col("id") % 3, F.when(F.col("id") % 11 == 0, "rc").otherwise("")).alias("b"))
+    return rows.select("id", "line_no", versions.assess_transition(F.col("a"), F.col("b")).alias("verdict"))
+
+
+@query("valid_slug", "SELECT id, regexp_matches(lower(model_identifier), '^[a-z0-9]+(-[a-z0-9]+)*$') AS model_ok, regexp_matches(slug, '^[a-z0-9]+(-[a-z0-9]+)*$') AS slug_ok FROM products")
+def valid_slug(m):
+    return m.products.select("id", versions.valid_slug(F.lower("model_identifier")).alias("model_ok"), versions.valid_slug(F.col("slug")).alias("slug_ok"))
+
+
+@query("is_hardware_model", "SELECT id, id % 5 <> 0 AS is_hardware_model FROM products")
+def is_hardware_model(m):
+    model = F.when(F.col("id") % 5 == 0, F.lit("  ")).otherwise(F.col("model_identifier"))
+    return m.products.select("id", (F.trim(model) != "").alias("is_hardware_model"))
+
+
+@query("utc_day", "SELECT id, strftime(started_at, '%Y-%m-%d') AS utc_day FROM checks")
+def utc_day(m):
+    return m.checks.select("id", F.date_format("started_at", "yyyy-MM-dd").alias("utc_day"))
+
+
+@query("content_type_ok", "SELECT id, id % 2 = 0 AS ok FROM artifacts")
+def content_type_ok(m):
+    header = F.when(F.col("id") % 2 == 0, "TEXT/html; charset=utf-8").otherwise("text/plain")
+    return m.artifacts.select("id", (text.media_type(header) == text.media_type(F.lit("text/html"))).alias("ok"))
+
+
+@query("secondary_model_line", "SELECT id, CASE WHEN id % 4 <> 0 THEN model_identifier END AS line FROM products")
+def secondary_model_line(m):
+    name = F.when(F.col("id") % 4 == 0, F.col("model_identifier")).otherwise(F.col("name"))
+    return m.products.select("id", F.when((F.trim("model_identifier") != "") & (F.col("model_identifier") != name), F.col("model_identifier")).alias("line"))

@@ -34,6 +34,13 @@ def current_observation(observations: DataFrame) -> DataFrame:
     return observations.select("*", first, F.row_number().over(order).alias("place")).where("place = 1").drop("place")
 
 
+def eligible_claims(observations: DataFrame, sources: DataFrame) -> DataFrame:
+    """Current claims of eligible sources. Eligibility is the source's, and the source is part
+    of a claim's key, so the rest is dropped before the window shuffles anything."""
+    able = with_source(observations, sources).where("eligible")
+    return current_observation(able).where("trim(version) <> ''")
+
+
 def detect_conflicts(observations: DataFrame, sources: DataFrame) -> DataFrame:
     """One row per current claim of an eligible source: none, outranked or unresolved.
 
@@ -41,7 +48,7 @@ def detect_conflicts(observations: DataFrame, sources: DataFrame) -> DataFrame:
     is outranked. Claims of a subject are first folded to one row per version and rank, so the
     pairs that are compared do not grow with the number of sources that agree.
     """
-    claims = with_source(current_observation(observations), sources).where("eligible and trim(version) <> ''")
+    claims = eligible_claims(observations, sources)
     sides = claims.groupBy(*SUBJECT, F.col("version").alias("other_version"), F.col("rank").alias("other_rank")).agg(F.collect_set(F.col("source_id").cast("string")).alias("others"))
     pairs = claims.join(sides, SUBJECT, "left").withColumn("differs", F.col("other_version") != F.col("version"))
     worse, equal = F.col("differs") & (F.col("other_rank") < F.col("rank")), F.col("differs") & (F.col("other_rank") >= F.col("rank"))

@@ -44,7 +44,7 @@ def gate_context(candidates: DataFrame, sources: DataFrame, products: DataFrame,
     prev = latest.latest_release(releases, mappings).select(F.col("product_id").alias("lookup_id"), "channel", F.col("version").alias("previous"))
     rows = rows.join(dup, ["lookup_id", "version", "channel"], "left").join(prev, ["lookup_id", "channel"], "left")
     # claims folded per subject, version and rank before they meet the candidates
-    claims = conflicts.with_source(conflicts.current_observation(observations), sources).where("eligible and trim(version) <> ''")
+    claims = conflicts.eligible_claims(observations, sources)
     sides = claims.groupBy(F.col("product_id").alias("subject_id"), "channel").agg(F.collect_set(F.struct("version", "rank", "source_id")).alias("claims"))
     rows = rows.join(sides, ["subject_id", "channel"], "left")
     others = F.filter(F.coalesce("claims", F.array().cast("array<struct<version:string,rank:int,source_id:bigint>>")), lambda c: (c["source_id"] != F.col("source_id")) & (c["version"] != F.col("version")))

@@ -38,22 +38,27 @@ NAMES = frozenset(
     "breadcrumb breadcrumbs comment comments disqus respond reply replies discussion share sharing social related "
     "recommended newsletter subscribe subscription signup login pagination pager toolbar widget skip print".split()
 )
-#: Of these, the words that also hold for an <article> element, which readers' comments can be.
-COMMENT = frozenset("comment comments reply replies respond".split())
+#: Of these, the words of readers' comments, which can be <article> elements too.
+COMMENT = frozenset("comment comments reply replies respond disqus".split())
 NAME = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 #: Elements that a following start tag closes.
 CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 
 
-def _furniture(tag: str, attrs: dict[str, str | None]) -> bool:
+def _furniture(tag: str, attrs: dict[str, str | None]) -> int:
+    """2: furniture by its tag, role or as readers' comments, with all that is in it; 1: by a
+    name, which an <article> or <main> inside it overrules; 0: none."""
     if tag in FURNITURE or "hidden" in attrs or (attrs.get("aria-hidden") or "") == "true":
-        return True
+        return 2
     if tag in ("html", "body", "main"):
-        return False
-    names = {x.lower() for x in NAME.findall(f"{attrs.get('class') or ''} {attrs.get('id') or ''}")}
+        return 0
+    words = [x.lower() for x in NAME.findall(f"{attrs.get('class') or ''} {attrs.get('id') or ''}")]
+    names = {x for before, x in zip(["", *words], words, strict=False) if before not in ("has", "with", "no", "without")}
+    if not names.isdisjoint(COMMENT):
+        return 2
     if tag == "article":
-        return not names.isdisjoint(COMMENT)
-    return (attrs.get("role") or "").lower() in ROLES or not names.isdisjoint(NAMES)
+        return 0
+    return 2 if (attrs.get("role") or "").lower() in ROLES else int(not names.isdisjoint(NAMES))
 
 
 class _Lines(HTMLParser):
@@ -61,7 +66,7 @@ class _Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # tag, whether it or one around it is furniture, element id
+        self.open: list[tuple[str, int, int]] = []  # tag, furniture by it or one around it, element id
         self.kinds: list[str] = []  # of each element id
         self.text: list[str] = []
         self.tags = 0
@@ -70,7 +75,7 @@ class _Lines(HTMLParser):
     def line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text or self.tags:
-            out = bool(self.open) and self.open[-1][1]
+            out = bool(self.open and self.open[-1][1])
             self.lines.append((text, self.tags, out, tuple(i for t, _, i in self.open if t not in INLINE)))
         self.text, self.tags = [], 0
 
@@ -82,7 +87,10 @@ class _Lines(HTMLParser):
             self.close_implied(tag)
         self.tags += 1
         if tag not in VOID:
-            self.open.append((tag, furniture or bool(self.open and self.open[-1][1]), len(self.kinds)))
+            around = self.open[-1][1] if self.open else 0
+            if around == 1 and tag in ("article", "main"):
+                around = 0
+            self.open.append((tag, max(furniture, around), len(self.kinds)))
             self.kinds.append("main" if dict(attrs).get("role") == "main" else tag)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:

@@ -26,6 +26,7 @@ def words(t):
     ("<div id=c><p>Some long text that is the page's own, many words.</p><p>More of that text follows here, as long.</p></div><div class='side sidebar'><p>zz</p></div><div class='cookie-notice'>cookies</div><section id=comments><p>I do not agree with any of this at all, it is wrong.</p></section>", "Some long text that is the page's own, many words. More of that text follows here, as long."),
     ("<main><article><p>The story, told at length and in full here.</p></article><article class='comment'><p>A reader's long reply to that story, even longer than it.</p></article></main>", "The story, told at length and in full here."),
     ("<article><p>kept</p><script>if (a</b) {'</p>'}</script><style>p{}</style><form>name <input></form></article><![bad", "kept"),
+    ("<div class='page with-sidebar'><div class='widget'><article><p>Inside a widget, yet the page's article.</p></article></div><section class='comments'><article><p>An opinion on it, much longer than the article is itself.</p></article></section></div>", "Inside a widget, yet the page's article."),
     ("<p>one<p>two<table><tr><td>a<td>b</table>", "one two a b"),
 ])
 def test_main_text(html, text):

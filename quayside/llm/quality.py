@@ -84,7 +84,7 @@ def _logistic(x: np.ndarray, penalty: float, rounds: int = 25) -> np.ndarray:
         p = 1 / (1 + np.exp(np.clip(x @ w, -40, 40)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x / len(x) + penalty * np.eye(len(w)), x.T @ p / len(x) - penalty * w)
         w += step
-        if np.abs(step).max() < 1e-7:
+        if np.abs(step).max() < 1e-4:
             break
     return w
 

@@ -97,8 +97,9 @@ def neighbours(vectors: DataFrame, k: int = 20, every: int = 20, trees: int = 16
     per tree under a hash string. A query descends each tree to its longest match; then all
     trees ascend together, one bit at a time, until their prefixes hold ``ascent`` times as many
     points as there are (a point counts once for each tree), and exact inner products rank
-    them. Recall needs that share where vectors have no low-dimensional order, as here. Buckets are prefixes that hold about
-    ``bucket`` points; one that holds more is dealt in blocks, its queries going to each block.
+    them. Recall needs that share where vectors have no low-dimensional order. Buckets are
+    prefixes that hold about ``bucket`` points; one that holds over four times as many is dealt
+    in blocks, and its queries go to each block.
     A query whose buckets together hold too few ascends to the root and meets every block of
     points, so each has its ``k`` if there are as many.
 
@@ -135,7 +136,7 @@ def neighbours(vectors: DataFrame, k: int = 20, every: int = 20, trees: int = 16
     coded = nodes.select("node", "asks", "embedding").mapInPandas(index, "node long, asks int, tree int, hash long")
     coded = checkpoint(coded.withColumn("bucket", F.shiftright("hash", BITS - bits) if bits else F.lit(0).cast("long")))
     sizes = coded.groupBy("tree", "bucket").agg(
-        F.greatest(F.lit(1), F.ceil(F.sum(1 - F.col("asks")) / (2 * bucket))).cast("int").alias("blocks"), F.ceil(F.sum("asks") / bucket).cast("int").alias("parts")
+        F.greatest(F.lit(1), F.ceil(F.sum(1 - F.col("asks")) / (4 * bucket))).cast("int").alias("blocks"), F.ceil(F.sum("asks") / bucket).cast("int").alias("parts")
     )
     dealt = coded.join(sizes, ["tree", "bucket"])
     block, part = F.pmod(F.xxhash64("node"), F.col("blocks")), F.pmod(F.xxhash64("node", F.lit(1)), F.greatest("parts", F.lit(1)))
@@ -172,7 +173,7 @@ def neighbours(vectors: DataFrame, k: int = 20, every: int = 20, trees: int = 16
     order = Window.partitionBy("query").orderBy(F.desc("score"), "node")
     top = near.groupBy("query", "node").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
     # ids of equal vectors: the few smallest of each node, which the window sheds before it shuffles
-    ids = good.join(by_value, "embedding").select("vec_id", "node").distinct()
+    ids = good.join(nodes.drop("asks"), "embedding").select("vec_id", "node").distinct()
     same = Window.partitionBy("node").orderBy("vec_id")
     few = ids.withColumn("r", F.row_number().over(same)).where(F.col("r") <= k + 1).drop("r")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")

@@ -6,6 +6,10 @@ counts over the full vocabulary. The tree's contexts are strings of symbols: a c
 kept if it is frequent and its next-symbol distribution diverges from that of its longest
 proper suffix. Every share below bounds a table on the driver by its inverse, whatever the
 size of the corpus; the vocabulary itself has no bound and stays distributed.
+
+That is the top of the tree. Below it, ``grow`` learns contexts of whole words, of any length,
+from absolute counts: they and their entries are distributed tables that grow with the corpus,
+and documents are joined to them.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, slices, words
+from .tail import Bits, Tail, binary_keys, hashes_of, key_of, pairs_of, past
 
 #: The closing token of every document; no word is empty.
 END = b""
@@ -246,25 +251,137 @@ def fit(train: DataFrame, count_share: float = 1e-6, share: float = 1e-4, depth:
     return model, wc
 
 
-def score(docs: DataFrame, model: Model, wc: DataFrame, kept: list[str] | None = None) -> DataFrame:
+def _depth(model: Model, contexts: list[np.ndarray], n: int) -> np.ndarray:
+    """Length of the longest context that the model keeps at each position."""
+    out = np.zeros(n, "i8")
+    for d, (level, c) in enumerate(zip(model.levels, contexts, strict=True), 1):
+        out[(c >= 0) & level.kept[c] if len(level.kept) else np.zeros(n, bool)] = d
+    return out
+
+
+def _word_grams(train: DataFrame, shared: Broadcast, d: int, wanted: Broadcast, kept: Broadcast) -> DataFrame:
+    """Counts of ``ctx`` (hash of the d words before) and ``word`` (hash) where ``wanted`` may hold
+    the context and the context less its first word, or the model, is kept.
+
+    ``used`` leaves out positions where the model keeps a longer context. ``base`` is the
+    model's log10 probability of the word, without the count of a word it does not list (flag
+    1). ``flag`` + 2: the model keeps a context one word shorter; + 4: one as long. ``suf`` is the
+    shorter context. The words seen once after a context are one row, with a null word.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Model = shared.value
+        index, hashes, held, size = _Index(model), hashes_of(), [], 0
+        inner, known = np.log10(np.maximum(model.inner, 1)), len(model.words)
+        lc = np.log10(np.append(model.counts + 1.0, np.ones(len(model.classes))))
+        names = ["ctx", "word", "suf", "used", "base", "flag"]
+
+        def flush() -> pa.RecordBatch:
+            cols = [np.concatenate([x[k] for x in held]) for k in range(len(names))]
+            held.clear()
+            _, at, n = np.unique(pairs_of(cols[0], cols[1]) + cols[3].astype("u8"), return_index=True, return_counts=True)
+            cols = [x[at] for x in cols]
+            cols[3] = cols[3] * n
+            return pa.RecordBatch.from_arrays([pa.array(x.view("i8") if x.dtype == "u8" else x) for x in (*cols, n.astype("i8"))], [*names, "n"])
+
+        for batch in slices(batches):
+            s, first, at, told = _symbols(model, index, batch.column(0))
+            if not len(s):
+                continue
+            contexts = _contexts(model, s, first)
+            m = _depth(model, contexts, len(s))
+            h = hashes(told)
+            ctx, suf, ok = past(h, first, d)
+            ok &= wanted.value.holds(key_of(ctx, d))
+            if d > 1:
+                ok &= (m >= d - 1) | kept.value.holds(key_of(suf, d - 1))
+            use = np.flatnonzero(ok)
+            base = _at(model.levels, model.root, len(model.levels), None, s, model.a, contexts)
+            base += np.where(model.inner[s] > 0, lc[at] - inner[s], 0.0)
+            used = (m <= d).astype("i8")
+            base[used == 0] = -np.inf
+            flag = (at >= known) + 2 * (m == d - 1) + 4 * (m >= d)
+            flag[used == 0] = 0
+            held.append([ctx[use], h[use], suf[use], used[use], base[use].astype("f4"), flag[use].astype("i4")])
+            size += len(use)
+            if size >= BUFFER_POSITIONS // 2:
+                yield flush()
+                size = 0
+        if held:
+            yield flush()
+
+    grams = train.select("text").mapInArrow(count, "ctx long, word long, suf long, used long, base float, flag int, n long")
+    last = [F.sum("n").alias("n"), F.sum("used").alias("used"), F.max("base").alias("base"), F.max("flag").alias("flag"), F.max("suf").alias("suf")]
+    whole = grams.groupBy("ctx", "word").agg(*last)
+    return whole.withColumn("word", F.when(F.col("n") > 1, F.col("word"))).groupBy("ctx", "word").agg(*last)
+
+
+def grow(train: DataFrame, model: Model, wc: DataFrame, least: int = 200, mu: float = 10.0, divergence: float = 0.02) -> Tail:
+    """Contexts of 1, 2, 3 ... whole words that occur ``least`` times, as tables.
+
+    A context is kept if what it says of its own tokens, each predicted from the others, gains
+    ``divergence`` nats a token on the next shorter one; longer contexts are looked for as long
+    as some are kept. Of n tokens with k distinct words a word seen c times has (c - 1 + (k + mu)
+    P) / (n + mu), where P is its probability in the shorter context.
+    """
+    spark = train.sparkSession
+    shared = spark.sparkContext.broadcast(model)
+    counts = Tail.hashed(wc).select("word", F.log10(F.col("n") + 1).alias("lc"))
+    starts = Tail.hashed(wc.where(F.col("n") >= least)).select(F.col("word").alias("ctx"))
+    tail, before, d = Tail(), None, 1
+    while True:
+        wanted = Bits.of(Tail.keyed(starts, d))
+        if not wanted.n:
+            return tail
+        kept = spark.sparkContext.broadcast(tail.bits)
+        grams = checkpoint(_word_grams(train, shared, d, spark.sparkContext.broadcast(wanted), kept))
+        once = F.when(F.col("word").isNull() | (F.col("used") < 2), F.col("used")).otherwise(0)
+        listed = F.col("word").isNotNull() & (F.col("used") > 1)
+        stats = grams.groupBy("ctx").agg(F.sum("used").alias("total"), F.sum(once).alias("once"), (F.sum(once) + F.count_if(listed)).alias("kinds")).where(F.col("total") >= least)
+        found = grams.where(listed).drop("n").join(stats, "ctx").join(counts, "word", "left")
+        top = F.col("base") + F.when(F.col("flag") % 2 == 1, F.coalesce("lc", F.lit(0.0))).otherwise(0.0)
+        if before is not None:
+            found = found.join(before, ["suf", "word"], "left")
+            # without a kept suffix, the model must have kept it
+            found = found.where("shorter is not null or flag >= 2")
+            top = F.when(F.col("shorter").isNotNull() & (F.col("flag") < 4), F.col("shorter")).otherwise(top)
+        free = (F.col("kinds") + mu) / (F.col("total") + mu)
+        found = found.withColumns({"prior": top, "free": free})
+        found = found.withColumn("logp", F.log10((F.col("used") - 1) / (F.col("total") + mu) + F.col("free") * F.pow(F.lit(10.0), "prior")))
+        found = checkpoint(found.select("ctx", "word", "used", "total", "once", "free", "logp", "prior"))
+        gain = (F.sum(F.col("used") * (F.col("logp") - F.col("prior"))) + F.first("once") * F.log10(F.first("free"))) * F.lit(float(np.log(10))) / F.first("total")
+        passed = checkpoint(found.groupBy("ctx").agg(F.round(gain, 9).alias("gain"), F.log10(F.first("free")).alias("lfree")).where(F.col("gain") >= divergence).select("ctx", "lfree"))
+        entries = found.join(passed, "ctx").select("ctx", "word", "logp", (F.col("logp") - F.col("prior") - F.col("lfree")).alias("delta"))
+        n = tail.add(d, passed, entries)
+        if not n and d > len(model.levels):
+            return tail
+        before = entries.select(F.col("ctx").alias("suf"), "word", F.col("logp").alias("shorter"))
+        starts = Tail.longer(grams.where((F.col("n") >= least) & F.col("word").isNotNull()).select("ctx", "word"))
+        d += 1
+
+
+def score(docs: DataFrame, model: Model, wc: DataFrame, kept: list[str] | None = None, tail: Tail | None = None) -> DataFrame:
     """One row per document: ``kept`` columns, n_tokens, n_known, base_score and score.
 
     Frequent words are looked up in the broadcast model. The others leave one row for each
     document and word, joined to the distributed counts; a document's own row travels with
-    them under a key that no word has, so the texts are read once.
+    them under a key that no word has, so the texts are read once. So do the contexts of
+    ``tail`` that may be kept and their next words, under keys of another length.
     """
-    kept = kept or ["doc_id"]
+    kept, tail = kept or ["doc_id"], tail or Tail()
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    bits, deepest = docs.sparkSession.sparkContext.broadcast(tail.bits), tail.deepest
     schema = docs.select(*kept).schema.simpleString()[len("struct<") : -1]
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         index, known, task, row = _Index(model), len(model.words), TaskContext.get().partitionId() << 40, 0
         lc, inner = np.log10(np.append(model.counts + 1.0, np.ones(len(model.classes)))), np.log10(np.maximum(model.inner, 1))
-        unit = np.log10(model.n + model.v + 1)
+        unit, hashes = np.log10(model.n + model.v + 1), hashes_of()
         for batch in slices(batches):
             s, first, at, told = _symbols(model, index, batch.column(0))
-            logp = _at(model.levels, model.root, len(model.levels), None, s, model.a, _contexts(model, s, first))
+            contexts = _contexts(model, s, first)
+            logp = _at(model.levels, model.root, len(model.levels), None, s, model.a, contexts)
             # inside a class: (c + 1) / (tokens + words + 1), with c + 1 of unlisted words joined later
             logp += np.where(model.inner[s] > 0, lc[at] - inner[s], 0.0)
             size = np.diff(np.append(first, len(s)))
@@ -281,12 +398,14 @@ def score(docs: DataFrame, model: Model, wc: DataFrame, kept: list[str] | None =
                 word.extend(c)
                 many.extend(c.values())
                 ids.append(np.full(len(c), rows[d]))
-            n_own, n_word = len(told), len(word)
+            asked, asked_of, times = Tail.asked(hashes(told) if deepest else None, first, _depth(model, contexts, len(s)), deepest, bits.value)
+            ids.append(rows[asked_of])
+            n_own, n_word = len(told), len(word) + len(asked)
             none = lambda k, t: pa.concat_arrays([k, pa.nulls(n_word, t)])
             cols = [
                 pa.array(np.concatenate([rows, *ids]), pa.int64()),
-                pa.array([b"\x20" + int(r).to_bytes(8, "big") for r in rows] + word, pa.binary()),
-                pa.array(np.concatenate([np.zeros(n_own, "i8"), np.array(many, "i8")]), pa.int64()),
+                pa.concat_arrays([pa.array([b"\x20" + int(r).to_bytes(8, "big") for r in rows] + word, pa.binary()), binary_keys(asked)]),
+                pa.array(np.concatenate([np.zeros(n_own, "i8"), np.array(many, "i8"), times]), pa.int64()),
                 none(pa.array(size, pa.int64()), pa.int64()),
                 none(pa.array(sums[2].astype("i8"), pa.int64()), pa.int64()),
                 none(pa.array(sums[1], pa.float64()), pa.float64()),
@@ -296,25 +415,30 @@ def score(docs: DataFrame, model: Model, wc: DataFrame, kept: list[str] | None =
             yield pa.RecordBatch.from_arrays([*cols, *own], ["row", "word", "many", "n_tokens", "known", "base", "model", *kept])
 
     rows = docs.select("text", *kept).mapInArrow(parts, f"row long, word binary, many long, n_tokens long, known long, base double, model double, {schema}")
-    joined = rows.join(wc.withColumnRenamed("n", "c"), "word", "left")
+    told = wc.select("word", F.col("n").alias("c"), F.lit(0.0).alias("gain"))
+    if deepest:
+        told = told.union(tail.told())
+    joined = rows.join(told, "word", "left")
     more = F.col("many") * F.log10(F.coalesce("c", F.lit(0)) + 1)
     per_doc = joined.groupBy("row").agg(
         *[F.max(k).alias(k) for k in (*kept, "n_tokens")],
         F.sum(F.coalesce("known", F.lit(0)) + F.when(F.col("c") > 0, F.col("many")).otherwise(0)).alias("n_known"),
         F.max("base").alias("base"), F.max("model").alias("model"), F.sum(more).alias("more"),
+        F.sum(F.col("many") * F.coalesce("gain", F.lit(0.0))).alias("gain"),
     )
     return per_doc.select(
         *kept, "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("more")).alias("base_score"), (F.col("model") + F.col("more")).alias("score"),
+        (F.col("base") + F.col("more")).alias("base_score"), (F.col("model") + F.col("more") + F.col("gain")).alias("score"),
     )
 
 
-def train_and_score(docs: DataFrame, mod: int = 7, remainder: int = 2, **options) -> DataFrame:
+def train_and_score(docs: DataFrame, mod: int = 7, remainder: int = 2, least: int = 200, **options) -> DataFrame:
     """Learn from the rows that are not held out and score every row of ``docs``.
 
     Null text is an empty document (only its END). An empty table gives no rows; repeated
     rows each get one row; a null doc_id is never held out.
     """
     data = docs.select(F.col("doc_id").cast("long"), "text", held_out(F.col("doc_id"), mod, remainder).alias("held_out"))
-    model, wc = fit(data.where(~F.col("held_out")), **options)
-    return score(data, model, wc, ["doc_id", "held_out"])
+    train = data.where(~F.col("held_out"))
+    model, wc = fit(train, **options)
+    return score(data, model, wc, ["doc_id", "held_out"], grow(train, model, wc, least))

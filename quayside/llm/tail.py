@@ -1,0 +1,205 @@
+"""The distributed part of the suffix tree: word contexts of any length by their hashes."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import checkpoint
+
+#: A context's hash is the sum of word hashes times powers of BASE, the last word first.
+BASE, STEP, OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(0x2545F4914F6CDD1D)
+CHUNK = 1 << 16
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def hashes_of(most: int = 500_000) -> Callable[[list[list[bytes]]], np.ndarray]:
+    """A function from documents' words to their 64-bit hashes; it holds ``most`` words' at most."""
+    from xxhash import xxh64_intdigest
+
+    class Seen(dict):
+        def __missing__(self, word: bytes) -> int:
+            self[word] = out = xxh64_intdigest(word, 42)
+            return out
+
+    seen = Seen()
+
+    def run(told: list[list[bytes]]) -> np.ndarray:
+        if len(seen) > most:
+            seen.clear()
+        return np.fromiter((x for w in told for x in map(seen.__getitem__, w)), "u8", sum(map(len, told)))
+
+    return run
+
+
+def key_of(ctx: np.ndarray, d: int) -> np.ndarray:
+    """A key of the context as one of ``d`` words."""
+    return mix(ctx + np.uint64(int(STEP) * d % 2**64))
+
+
+def pairs_of(ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(ctx ^ mix(word + OTHER))
+
+
+def past(h: np.ndarray, first: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each position the hash of the ``d`` words before it, of the last d - 1 of these, and
+    whether its document has so many; what stands before a document's first word is its END."""
+    from xxhash import xxh64_intdigest
+
+    end = np.uint64(xxh64_intdigest(b"", 42))
+    size = np.diff(np.append(first, len(h)))
+    p = np.arange(len(h)) - np.repeat(first, size)
+    out, shorter, power = np.zeros(len(h), "u8"), np.zeros(len(h), "u8"), 1
+    for j in range(1, d + 1):
+        g = np.concatenate([np.full(min(j, len(h)), end), h[:-j]])
+        shorter, out = out, out + np.where(p == j - 1, end, g) * np.uint64(power)
+        power = power * int(BASE) % 2**64
+    return out, shorter, p >= d - 1
+
+
+@dataclass
+class Bits:
+    """A set of keys that may say yes wrongly: two bits a key, 32 MB at most whatever the input.
+    What it lets through is joined to the table it stands for."""
+
+    n: int = 0
+    bits: np.ndarray | None = None
+
+    @staticmethod
+    def of(keys: DataFrame) -> Bits:
+        keys = checkpoint(keys.distinct())
+        n = keys.count()
+        size = CHUNK << min(12, max(0, int(np.ceil(np.log2(max(1, 16 * n) / CHUNK)))))
+        if not n:
+            return Bits()
+
+        def at(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                k = b.column(0).to_numpy(zero_copy_only=False).view("u8")
+                where = np.concatenate(Bits.places(k, size))
+                yield pa.RecordBatch.from_arrays([pa.array(where // CHUNK), pa.array(where % CHUNK)], ["chunk", "at"])
+
+        def fill(table: pa.Table) -> pa.Table:
+            one = np.zeros(CHUNK, bool)
+            one[table["at"].to_numpy()] = True
+            return pa.table({"chunk": table["chunk"][:1], "bits": pa.array([np.packbits(one).tobytes()], pa.binary())})
+
+        bits = np.zeros(size // 8, "u1")
+        for r in keys.mapInArrow(at, "chunk long, at long").groupBy("chunk").applyInArrow(fill, "chunk long, bits binary").toLocalIterator():
+            bits[r.chunk * CHUNK // 8 : (r.chunk + 1) * CHUNK // 8] = np.frombuffer(r.bits, "u1")
+        return Bits(n, bits)
+
+    @staticmethod
+    def places(keys: np.ndarray, size: int) -> list[np.ndarray]:
+        return [((keys >> np.uint64(s)) & np.uint64(size - 1)).astype("i8") for s in (0, 32)]
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        out = np.full(len(keys), bool(self.n))
+        for x in Bits.places(keys, 8 * len(self.bits)) if self.n else []:
+            out &= (self.bits[x >> 3] >> (7 - (x & 7)).astype("u1")) & 1 > 0
+        return out
+
+
+def binary_keys(keys: np.ndarray) -> pa.Array:
+    """Keys as ten bytes that begin with a space, as no word does."""
+    raw = np.empty((len(keys), 10), "u1")
+    raw[:, 0], raw[:, 1] = 32, 116
+    raw[:, 2:] = keys.astype("<u8").view("u1").reshape(-1, 8)
+    ends = np.arange(len(keys) + 1, dtype="i4") * 10
+    return pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+
+
+def _mapped(df: DataFrame, f: Callable[..., list[pa.Array]], schema: str) -> DataFrame:
+    names = [x.split()[0] for x in schema.split(",")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays(f(b), names)
+
+    return df.mapInArrow(run, schema)
+
+
+def _long(b: pa.RecordBatch, k: int) -> np.ndarray:
+    return b.column(k).to_numpy(zero_copy_only=False).view("u8")
+
+
+@dataclass
+class Tail:
+    """Kept contexts of each length: (ctx, lfree), and their entries (ctx, word, logp, delta).
+
+    The log10 probability of a word is the model's, plus lfree of each kept context before it,
+    plus delta of each of these contexts that lists the word.
+    """
+
+    levels: list[tuple[int, DataFrame, DataFrame]] = field(default_factory=list)
+    bits: Bits = field(default_factory=Bits)
+
+    @property
+    def deepest(self) -> int:
+        return max((d for d, _, _ in self.levels), default=0)
+
+    @staticmethod
+    def hashed(wc: DataFrame) -> DataFrame:
+        """``word`` (hash) and ``n`` of a table of word counts."""
+
+        def run(b: pa.RecordBatch) -> list[pa.Array]:
+            h = hashes_of()([b.column(0).to_pylist()])
+            return [pa.array(h.view("i8")), b.column(1)]
+
+        return _mapped(wc.select("word", "n"), run, "word long,n long")
+
+    @staticmethod
+    def longer(grams: DataFrame) -> DataFrame:
+        """``ctx`` of each (ctx, word): the context that ends with the word."""
+        return _mapped(grams.select("ctx", "word"), lambda b: [pa.array((_long(b, 1) + BASE * _long(b, 0)).view("i8"))], "ctx long")
+
+    @staticmethod
+    def keyed(contexts: DataFrame, d: int) -> DataFrame:
+        return _mapped(contexts.select("ctx"), lambda b: [pa.array(key_of(_long(b, 0), d).view("i8"))], "key long")
+
+    def add(self, d: int, contexts: DataFrame, entries: DataFrame) -> int:
+        """Take in the kept contexts of ``d`` words; their number."""
+        if n := contexts.count():
+            self.levels.append((d, contexts, checkpoint(entries)))
+            keys = [Tail.keyed(c, k) for k, c, _ in self.levels]
+            whole = keys[0]
+            for k in keys[1:]:
+                whole = whole.union(k)
+            self.bits = Bits.of(whole)
+        return n
+
+    def told(self) -> DataFrame:
+        """``word`` (key), ``c`` (null) and ``gain`` of every kept context and entry."""
+        out = None
+        for d, contexts, entries in self.levels:
+            by_context = _mapped(contexts.select("ctx", "lfree"), lambda b, d=d: [binary_keys(key_of(_long(b, 0), d)), b.column(1)], "word binary,gain double")
+            by_entry = _mapped(entries.select("ctx", "word", "delta"), lambda b, d=d: [binary_keys(pairs_of(key_of(_long(b, 0), d), _long(b, 1))), b.column(2)], "word binary,gain double")
+            both = by_context.union(by_entry)
+            out = both if out is None else out.union(both)
+        return out.select("word", F.lit(None).cast("long").alias("c"), "gain")
+
+    @staticmethod
+    def asked(h: np.ndarray | None, first: np.ndarray, m: np.ndarray, deepest: int, bits: Bits) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys to look up for a run of documents, the document of each, and how often it asks.
+        A context counts only where the model keeps no longer one than it (of length ``m``)."""
+        keys, docs = [np.empty(0, "u8")], [np.empty(0, "i8")]
+        doc = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(m))))
+        for d in range(1, deepest + 1):
+            ctx, _, ok = past(h, first, d)
+            key = key_of(ctx, d)
+            use = np.flatnonzero(ok & bits.holds(key) & (m <= d))
+            keys += [key[use], pairs_of(key[use], h[use])]
+            docs += [doc[use]] * 2
+        key, doc = np.concatenate(keys), np.concatenate(docs)
+        _, at, n = np.unique(pairs_of(key, doc.astype("u8")), return_index=True, return_counts=True)
+        return key[at], doc[at], n.astype("i8")

@@ -109,6 +109,53 @@ def test_suffix_tree_distributions_sum_to_one(spark):
             assert p.sum() == pytest.approx(1, abs=1e-6)
 
 
+def test_suffix_tree_grows_below_the_shares(spark):
+    """A rare phrase, far below every share, is learnt whole and in proportion to its evidence."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{rng.randint(0, 300)}" for _ in range(50))) for i in range(600)]
+    turns = ["red one up", "red two down", "blue one down", "blue two up"]
+    rows += [(1000 + i, f"w{i % 300} {turns[i % 4]} w{(7 * i) % 300}") for i in range(400)]
+    train = spark.createDataFrame(rows, "doc_id long, text string")
+    big = {"count_share": 1e-3, "share": 0.02, "context_share": 0.5, "entry_share": 0.02}
+    model, wc = suffix_tree.fit(train, **big)
+    tail = suffix_tree.grow(train, model, wc, least=60)
+    assert [d for d, _, _ in tail.levels][:2] == [1, 2]
+    said = [(5000 + i, t) for i, t in enumerate(turns)] + [(6000 + i, " ".join([*t.split()[:2], "down" if t.endswith("up") else "up"])) for i, t in enumerate(turns)]
+    docs = spark.createDataFrame(said, "doc_id long, text string")
+    plain, grown = ({r.doc_id: r.score for r in suffix_tree.score(docs, model, wc, ["doc_id"], t).collect()} for t in (None, tail))
+    for i in range(4):
+        # one word back is not enough to tell up from down, two are
+        assert grown[5000 + i] > grown[6000 + i] + 1.0 and grown[5000 + i] > plain[5000 + i] + 0.3
+        assert abs(plain[5000 + i] - plain[6000 + i]) < 0.05
+    assert not suffix_tree.grow(train.limit(0), model, wc, least=1000).levels
+
+
+def test_suffix_tree_tail_equals_brute_force(spark):
+    """Kept contexts of one word and their entries, counted and smoothed by hand."""
+    rng = random.Random(4)
+    told = [[*(x for _ in range(12) for x in (("p", "q") if rng.random() < 0.5 else (f"v{rng.randint(0, 40)}",)))] for _ in range(60)]
+    train = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(told)], "doc_id long, text string")
+    model, wc = suffix_tree.fit(train, share=0.9, context_share=0.9, divergence=1e9)
+    assert not any(level.kept.any() for level in model.levels)
+    tail = suffix_tree.grow(train, model, wc, least=50)
+    c = collections.Counter(x for w in told for x in [*w, ""])
+    pairs = collections.Counter((a, b) for w in told for a, b in zip(["", *w], [*w, ""], strict=True))
+    docs = spark.createDataFrame([(i, f"{a} {b}") for i, (a, b) in enumerate([("p", "q"), ("p", "v1"), ("q", "p")])], "doc_id long, text string")
+    got, plain = ({r.doc_id: r.score for r in suffix_tree.score(docs, model, wc, ["doc_id"], t).collect()} for t in (tail, None))
+    first = [x for x in tail.levels if x[0] == 1][0]
+    assert c["p"] >= 50
+    after = {b: n for (a, b), n in pairs.items() if a == "p"}
+    total, kinds = sum(after.values()), len(after)
+    # P(q) of the top of the tree is the same wherever it stands, as no context is kept there
+    single = spark.createDataFrame([(0, "q"), (1, "")], "doc_id long, text string")
+    base = {r.doc_id: r.score for r in suffix_tree.score(single, model, wc, ["doc_id"], None).collect()}
+    q = 10 ** (base[0] - base[1])
+    want = (after["q"] - 1 + (kinds + 10) * q) / (total + 10)
+    row = max(r.logp for r in first[2].collect())
+    assert row == pytest.approx(math.log10(want), abs=1e-5)
+    assert got[0] > plain[0] and got[0] > got[1]
+
+
 def test_suffix_tree_empty_and_all_held_out(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_tree.train_and_score(none).count() == 0

@@ -125,13 +125,19 @@ class _Lines(HTMLParser):
         self.text.append(data)
 
 
+    def parse_html_declaration(self, i: int) -> int:
+        """A declaration that the standard parser gives up on is a bogus comment, up to its ``>`` or the page's end."""
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:
+            end = self.parse_bogus_comment(i)
+            return end if end >= 0 else len(self.rawdata)
+
+
 def lines_of(html: str) -> _Lines:
     parser = _Lines()
-    try:
-        parser.feed(html)
-        parser.close()
-    except AssertionError:  # a malformed declaration; what stands before it counts
-        pass
+    parser.feed(html)
+    parser.close()
     parser.line()
     return parser
 

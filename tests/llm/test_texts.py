@@ -28,6 +28,8 @@ def words(t):
     ("<article><p>kept</p><script>if (a</b) {'</p>'}</script><style>p{}</style><form>name <input></form></article><![bad", "kept"),
     ("<div class='page with-sidebar'><div class='widget'><article><p>Inside a widget, yet the page's article.</p></article></div><section class='comments'><article><p>An opinion on it, much longer than the article is itself.</p></article></section></div>", "Inside a widget, yet the page's article."),
     ("<p>one<p>two<table><tr><td>a<td>b</table>", "one two a b"),
+    ("<p>a</p><![foo[x]]><p>rest", "a rest"), ("<p>a</p><![bad thing><p>rest</p>", "a rest"), ("<p>a</p><![<p>b</p><p>rest</p>", "a b rest"),
+    ("<![if !x]><article><p>first</p><![endif]--><![foo[y]]><p>last</p></article>", "first last"),
 ])
 def test_main_text(html, text):
     assert html_text.main_text(html) == text

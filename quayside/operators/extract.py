@@ -123,15 +123,39 @@ def limited(candidates: DataFrame, key: str, order: list[str], most: int) -> Dat
 ENTRY = "struct<title:string,link:string,description:string,guid:string,pubDate:string>"
 
 
+ATOM = "struct<title:string,link:array<struct<_href:string,_rel:string,_VALUE:string>>,id:string,published:string,updated:string>"
+ROOT = r"(?s)^\x{FEFF}?(?:\s|<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>\[]*(?:\[.*?\])?[^>]*>)*<([A-Za-z_][\w.:-]*)"
+
+
 def feed_entries(feeds: DataFrame) -> DataFrame:
-    """Entries of RSS documents (id, xml) of up to 4 MiB; guid falls back to link. ``error``
-    rows have no entries: the document is not RSS or not XML."""
-    parsed = F.from_xml("xml", f"channel struct<item:array<{ENTRY}>>", {"rowTag": "rss"})
-    rows = feeds.where(F.octet_length("xml") <= MAX_FEED_BYTES).withColumn("items", F.slice(parsed["channel"]["item"], 1, MAX_ENTRIES))
-    rows = rows.withColumn("error", F.when(F.col("items").isNull(), "not an RSS document"))
-    return rows.select("id", "error", F.posexplode_outer("items").alias("entry", "e")).select(
-        "id", "error", "entry", F.trim("e.title").alias("title"), F.coalesce(F.nullif(F.trim("e.guid"), F.lit("")), F.trim("e.link")).alias("guid"), F.to_date(F.try_to_timestamp("e.pubDate", F.lit("dd MMM yyyy HH:mm:ss Z"))).alias("published")
+    """Entries of RSS and Atom documents (id, xml); guid falls back to link, and Atom's published
+    to updated. ``error`` rows have no entries: no document, one of more than 4 MiB, neither
+    dialect, or nothing that could be read. ``warning`` says that later entries are ignored."""
+    size, root = F.octet_length("xml"), F.regexp_extract("xml", ROOT, 1)
+    rows = feeds.withColumn("root", F.when(size <= MAX_FEED_BYTES, root))
+    document = lambda name: F.when(F.col("root") == name, F.col("xml"))
+    rss = F.from_xml(document("rss"), f"channel struct<item:array<{ENTRY}>>", {"rowTag": "rss"})["channel"]["item"]
+    atom = F.from_xml(document("feed"), f"entry array<{ATOM}>", {"rowTag": "feed"})["entry"]
+    full = lambda c: F.nullif(F.trim(c), F.lit(""))
+    page = lambda e: F.filter(e["link"], lambda x: F.coalesce(x["_rel"], F.lit("")).isin("", "alternate") & F.coalesce(full(x["_href"]), full(x["_VALUE"])).isNotNull())
+    of_rss = lambda e: F.struct(
+        F.trim(e["title"]).alias("title"), F.coalesce(full(e["guid"]), F.trim(e["link"])).alias("guid"),
+        F.to_date(F.try_to_timestamp(e["pubDate"], F.lit("dd MMM yyyy HH:mm:ss Z"))).alias("published"),
+    )
+    of_atom = lambda e: F.struct(
+        F.trim(e["title"]).alias("title"),
+        F.coalesce(full(e["id"]), F.get(F.transform(page(e), lambda x: F.coalesce(full(x["_href"]), full(x["_VALUE"]))), F.lit(0))).alias("guid"),
+        F.to_date(F.try_to_timestamp(F.coalesce(full(e["published"]), full(e["updated"])))).alias("published"),
+    )
+    rows = rows.withColumn("all", F.coalesce(F.transform(rss, of_rss), F.transform(atom, of_atom)))
+    n = F.coalesce(F.size("all"), F.lit(0))
+    error = (
+        F.when(F.col("xml").isNull(), "no document").when(size > MAX_FEED_BYTES, f"more than {MAX_FEED_BYTES} bytes")
+        .when(~F.col("root").isin("rss", "feed"), "neither an RSS nor an Atom document").when(n < 1, "no entries could be read")
     )
+    warning = F.when(n > MAX_ENTRIES, F.concat(n.cast("string"), F.lit(f" entries, more than {MAX_ENTRIES}; later ones ignored")))
+    rows = rows.select("id", error.alias("error"), warning.alias("warning"), F.posexplode_outer(F.slice("all", 1, MAX_ENTRIES)).alias("entry", "e"))
+    return rows.select("id", "error", "warning", "entry", "e.title", "e.guid", "e.published")
 
 
 def robots_audit(urls: DataFrame, robots: DataFrame, agent: str) -> DataFrame:

@@ -185,6 +185,25 @@ def test_feeds_that_are_not_feeds(spark):
     assert got == {(1, "a", "l", True), (2, None, None, False), (3, None, None, False)}
 
 
+def test_feeds_of_both_dialects_and_beyond_the_limits(spark):
+    atom = (
+        '<?xml version="1.0"?><!-- x --><feed xmlns="http://www.w3.org/2005/Atom"><title>f</title>'
+        '<entry><title type="text"> v1 </title><link rel="self" href="s"/><link rel="alternate" href="p1"/><id></id><updated>2024-01-02T10:00:00Z</updated></entry>'
+        '<entry><title>v2</title><link href="p2"/><id>tag:2</id><published>2024-02-03T00:00:00Z</published><updated>2025-01-01T00:00:00Z</updated></entry></feed>'
+    )
+    item = "<item><title>t</title></item>"
+    many = f"<rss><channel>{item * (extract.MAX_ENTRIES + 3)}</channel></rss>"
+    large = f"<rss><channel>{item}<!--{'x' * extract.MAX_FEED_BYTES}--></channel></rss>"
+    one = '<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>only</title><id>i</id></entry></feed>'
+    rows = spark.createDataFrame([(1, atom), (2, None), (3, large), (4, many), (5, one), (6, "<html/>")], "id long, xml string")
+    got = extract.feed_entries(rows).collect()
+    assert [(r.entry, r.title, r.guid, r.published) for r in got if r.id == 1] == [(0, "v1", "p1", D(2024, 1, 2)), (1, "v2", "tag:2", D(2024, 2, 3))]
+    assert {r.id: r.error for r in got if r.id in (2, 3, 6)} == {2: "no document", 3: "more than 4194304 bytes", 6: "neither an RSS nor an Atom document"}
+    of_many = [r for r in got if r.id == 4]
+    assert len(of_many) == extract.MAX_ENTRIES and {r.warning for r in of_many} == {"5003 entries, more than 5000; later ones ignored"}
+    assert [(r.title, r.guid, r.error, r.warning) for r in got if r.id == 5] == [("only", "i", None, None)]
+
+
 @pytest.mark.parametrize(("path", "allowed"), [("/", True), ("/a/x", False), ("/a/ok", True), ("/z.pdf", False), ("/z.pdfx", True)])
 def test_robots(spark, path, allowed):
     robots = spark.createDataFrame([("h", "*", False, "/"), ("h", "bot", False, "/a/"), ("h", "bot", True, "/a/ok"), ("h", "bot", False, "/*.pdf$")], "host string, agent string, allow boolean, pattern string")

@@ -53,12 +53,13 @@ def change_detection(log: DataFrame, key: str = "source_id") -> DataFrame:
 
 
 def containers(artifacts: DataFrame, pattern: str, section: str | None = None, limit: int = MAX_CONTAINERS) -> DataFrame:
-    """One row per match of ``pattern`` (its first group) in the visible markup, numbered."""
-    html = visible(F.col("body"))
+    """One row per match of ``pattern`` (its first group) in the visible markup, numbered in page
+    order; of all elements of the page that ``section`` names, if it does."""
+    found = matches = lambda markup: F.regexp_extract_all(markup, F.lit(pattern), 1)
     if section:
-        html = F.regexp_extract(html, rf"(?is)<{section}\b[^>]*>(.*?)</{section}\s*>", 1)
-    found = F.slice(F.regexp_extract_all(html, F.lit(pattern), 1), 1, limit)
-    return artifacts.select("id", F.posexplode(found).alias("container", "markup"))
+        sections = lambda html: F.regexp_extract_all(html, F.lit(rf"(?is)<{section}\b[^>]*>(.*?)</{section}\s*>"), 1)
+        found = lambda html: F.flatten(F.transform(sections(html), matches))
+    return artifacts.select("id", F.posexplode(F.slice(found(visible(F.col("body"))), 1, limit)).alias("container", "markup"))
 
 
 def field(column: Column, steps: list[tuple]) -> Column:

@@ -179,6 +179,13 @@ def test_extraction_keeps_missing_dates_unknown(spark):
     assert told == {1: None, 2: "section not found", 3: "section not found"}
 
 
+def test_containers_of_every_section(spark):
+    pages = spark.createDataFrame([(1, "<article><p>a</p></article><p>out</p><ARTICLE class='x'><p>b</p><p>c</p></ARTICLE>"), (2, "<p>none</p>"), (3, None)], "id long, body string")
+    rows = extract.containers(pages, "<p>(.*?)</p>", "article")
+    assert sorted(map(tuple, rows.collect())) == [(1, 0, "a"), (1, 1, "b"), (1, 2, "c")]
+    assert extract.containers(pages, "<p>(.*?)</p>", "article", 2).count() == 2 and extract.containers(pages, "<p>(.*?)</p>").count() == 5
+
+
 def test_feeds_that_are_not_feeds(spark):
     rows = spark.createDataFrame([(1, "<rss><channel><item><title> a </title><link>l</link></item></channel></rss>"), (2, "<feed/>"), (3, "not xml")], "id long, xml string")
     got = {(r.id, r.title, r.guid, r.error is None) for r in extract.feed_entries(rows).collect()}

@@ -1,15 +1,16 @@
 """Probabilistic suffix tree language model (operator 3).
 
-Words are the tokens. Words of at least ``share`` of all tokens are symbols of their own; a
-rarer word is the symbol of its last two bytes, then the word inside that class by add-one
-counts over the full vocabulary. The tree's contexts are strings of symbols: a context is
-kept if it is frequent and its next-symbol distribution diverges from that of its longest
-proper suffix. Every share below bounds a table on the driver by its inverse, whatever the
-size of the corpus; the vocabulary itself has no bound and stays distributed.
-
-That is the top of the tree. Below it, ``grow`` learns contexts of whole words, of any length,
-from absolute counts: they and their entries are distributed tables that grow with the corpus,
-and documents are joined to them.
+Its alphabet is the words that occur ``least`` times; a rarer word, known or not, is the symbol
+of its last two bytes, and inside that class it has its share by add-one counts. The root
+predicts by add-one counts. A node of the tree is a context, the d symbols before a position;
+it exists if it occurs ``least`` times. It is kept if what it says of its next symbols diverges
+from what the longest kept suffix says, and it lists those next symbols whose evidence is
+worth it. A symbol's probability is that of the longest kept context before it, smoothed
+towards the shorter ones by absolute discounting.
+
+All floors are absolute counts, so contexts, entries and vocabulary grow with the corpus.
+They are distributed tables of 64-bit hashes; only their most frequent rows, a stated number,
+are broadcast, and documents are joined to the others.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,68 +28,59 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, slices, words
-from .tail import Bits, Tail, binary_keys, hashes_of, key_of, pairs_of, past
+from .hashing import BASE, Bits, hashes_of, key_of, longs, mapped, mix, pairs_of, past
 
 #: The closing token of every document; no word is empty.
 END = b""
-#: Counter entries, or n-gram positions, that a task holds before it hands them on.
-BUFFER_WORDS, BUFFER_POSITIONS = 200_000, 2_000_000
+#: Different words, or n-gram positions, that a task counts before it hands them on.
+BUFFER_WORDS, BUFFER_POSITIONS = 400_000, 2_000_000
+CLASS = np.uint64(0xA0761D6478BD642F)  # sets the symbols of classes apart
+#: A context with one in so many of all tokens is dealt to ``SALTS`` groups by its next word.
+HOT, SALTS = 2_000, 64
 
 
 @dataclass
-class Level:
-    """Contexts of one length. ids are positions in ``keys``, sorted (shorter id * A + symbol)."""
-
-    keys: np.ndarray
-    kept: np.ndarray  # divergence test passed
-    backoff: np.ndarray  # log10 weight of the suffix's distribution
-    entries: np.ndarray  # sorted id * A + symbol
-    logp: np.ndarray  # log10 probability of each entry
-    parent: np.ndarray  # id of the longest proper suffix, one level up
+class Tree:
+    """A trained tree. ``n`` tokens, ``v`` words; ``counts`` (key, n) of every word; ``own`` words that
+    are symbols; ``nodes`` (key, n, gain) of every kept context and listed entry.
 
+    The log10 probability of a word is the root's, plus the gain of each kept context before
+    it, plus the gain of each of their entries for the word's symbol.
+    """
 
-@dataclass
-class Model:
-    words: list[bytes]  # those of at least count_share, most frequent first
-    counts: np.ndarray
-    classes: dict[bytes, int]  # symbol of each suffix class
-    symbols: np.ndarray  # of each of words, then of each class in order
-    inner: np.ndarray  # tokens + words + 1 of each class by symbol; 0: the symbol is one word
-    root: np.ndarray  # log10 probability of each symbol
     n: int
     v: int
-    levels: list[Level] = field(default_factory=list)
+    counts: DataFrame
+    own: Bits
+    nodes: DataFrame
+    depth: int = 0
+    bits: Bits = field(default_factory=Bits)  # of the keys of nodes
+    levels: list[tuple[DataFrame, DataFrame]] = field(default_factory=list)  # contexts, entries by length
 
-    @property
-    def a(self) -> int:
-        return len(self.root)
 
+def held_out(doc_id: Column, mod: int, remainder: int) -> Column:
+    """crc32(doc_id as text) mod ``mod`` is ``remainder``; false for a null id."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % mod == remainder, F.lit(False))
 
-class _Index(dict):
-    """Word -> its position in Model.words, or for other words that many plus its class."""
-
-    def __init__(self, model: Model):
-        super().__init__(zip(model.words, range(len(model.words)), strict=True))
-        self.known, self.base = len(model.words), min(model.classes.values())
-        self.classes = {k: len(model.words) + s - self.base for k, s in model.classes.items()}
 
-    def __missing__(self, word: bytes) -> int:
-        return self.classes.get(word[-2:]) or self.classes[b""]
+def _class(word: bytes) -> int:
+    return int.from_bytes(word[-2:], "big")
 
 
-def held_out(doc_id: Column, mod: int, remainder: int) -> Column:
-    """crc32(doc_id as text) mod ``mod`` is ``remainder``; false for a null id."""
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % mod == remainder, F.lit(False))
+def _class_symbols(codes: np.ndarray) -> np.ndarray:
+    return mix(codes.astype("u8") + CLASS)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """``word`` (binary), ``n`` over whole texts; each document adds one ``END``."""
+    """``key`` (a word's hash), ``kind`` (its class), ``n`` over whole texts; each document adds one ``END``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+            h = hashes_of(0)([list(seen)])
+            kinds = np.fromiter(map(_class, seen), "i4", len(seen))
+            out = pa.RecordBatch.from_arrays([pa.array(h.view("i8")), pa.array(kinds), pa.array(list(seen.values()), pa.int64())], ["key", "kind", "n"])
             seen.clear()
             return out
 
@@ -100,345 +93,254 @@ def word_counts(docs: DataFrame) -> DataFrame:
         if seen:
             yield flush()
 
-    return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(count, "key long, kind int, n long").groupBy("key").agg(F.max("kind").alias("kind"), F.sum("n").alias("n"))
 
 
-def _contexts(model: Model, s: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-    """For every position of ``s`` the id of its context of each length, or -1.
-
-    ``first`` marks the positions that open a document; what stands before is END.
-    """
-    end, out, shorter = np.int64(model.symbols[0]), [], np.zeros(len(s), "i8")
-    before = np.concatenate([[end], s[:-1]])
-    before[first] = end
-    for level in model.levels:
-        moved = np.concatenate([[0], shorter[:-1]])
-        moved[first] = -1 if out else 0  # no longer context reaches back over a document's start
-        key = np.where(moved < 0, -1, moved * model.a + before)
-        shorter = _find(level.keys, key)
-        out.append(shorter)
-    return out
-
-
-def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Positions in sorted ``keys``, -1 where absent."""
-    if not len(keys):
-        return np.full(len(wanted), -1, "i8")
-    at = np.searchsorted(keys, wanted)
-    at[at == len(keys)] = 0
-    return np.where(keys[at] == wanted, at, -1)
-
-
-def _grams(docs: DataFrame, shared: Broadcast) -> DataFrame:
-    """``key`` (context id of the deepest level * A + next symbol), ``n``."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
-        index, held, size = _Index(model), [], 0
-
-        def flush() -> pa.RecordBatch:
-            key, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64())], ["key", "n"])
-
-        for batch in slices(batches):
-            s, first, _, _ = _symbols(model, index, batch.column(0))
-            c = _contexts(model, s, first)[-1]
-            held.append((c * model.a + s)[c >= 0])
-            size += len(held[-1])
-            if size >= BUFFER_POSITIONS:
-                yield flush()
-                size = 0
-        if held:
-            yield flush()
-
-    return docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def _symbols(model: Model, index: _Index, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Symbols of a batch, where its documents start, index values, and the words themselves."""
+def _told(texts: pa.Array) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
+    """Words of a run of documents with their ENDs, where each document starts, and their sizes."""
     told = [words(t) for t in texts.to_pylist()]
     for w in told:
         w.append(END)
     size = np.fromiter(map(len, told), "i8", len(told))
-    at = np.fromiter((i for w in told for i in map(index.__getitem__, w)), "i8", int(size.sum()))
-    return model.symbols[at], np.cumsum(size) - size, at, told
-
-
-def _level(model: Model, keys: np.ndarray, parent: np.ndarray, entries: np.ndarray, n: np.ndarray, totals: dict[int, int], mu: float, divergence: float) -> Level:
-    """Smooth each context towards its longest suffix, and test how far it departs from it."""
-    a, below = model.a, model.levels
-    total = np.array([totals.get(i, 0) for i in range(len(keys))], float)
-    ctx, sym = entries // a, entries % a
-    listed = np.bincount(ctx, n, len(keys))
-    free = (total - listed + mu) / (total + mu)  # mass spread over symbols as the suffix has it
-    up = _at(below, model.root, len(below), parent[ctx], sym, a)
-    logp = np.log10(n / (total[ctx] + mu) + free[ctx] * 10.0**up)
-    kl = np.bincount(ctx, 10.0**logp * (logp - up), len(keys)).astype(float)
-    rest = 1 - np.bincount(ctx, 10.0**logp, len(keys))
-    kl += np.clip(rest, 0, 1) * np.log10(free)
-    return Level(keys, kl * np.log(10) >= divergence, np.log10(free), entries, logp, parent)
-
-
-def _at(levels: list[Level], root: np.ndarray, depth: int, ctx: np.ndarray, sym: np.ndarray, a: int, more: list[np.ndarray] | None = None) -> np.ndarray:
-    """log10 P(sym | context of length ``depth``); ``more`` has the ids at every length, for text."""
-    if depth == 0:
-        return root[sym]
-    if more is None:
-        more = [None] * depth
-        more[depth - 1] = ctx
-        for d in range(depth - 1, 0, -1):
-            more[d - 1] = levels[d].parent[more[d]]
-    out = root[sym]
-    for level, c in zip(levels[:depth], more, strict=True):
-        use = np.flatnonzero((c >= 0) & level.kept[c])
-        at = _find(level.entries, c[use] * a + sym[use])
-        out[use] = np.where(at >= 0, level.logp[at], level.backoff[c[use]] + out[use])
+    return told, np.cumsum(size) - size, size
+
+
+def _symbols(told: list[list[bytes]], h: np.ndarray, own: Bits) -> np.ndarray:
+    """Symbols of words with the hashes ``h``. A rare word that ``own`` holds wrongly is its own
+    symbol, in counting as in scoring."""
+    out, flat = h.copy(), list(chain.from_iterable(told))
+    rare = np.flatnonzero(~own.holds(h))
+    out[rare] = _class_symbols(np.fromiter((_class(flat[i]) for i in rare.tolist()), "i8", len(rare)))
     return out
 
 
-def fit(train: DataFrame, count_share: float = 1e-6, share: float = 1e-4, depth: int = 2, context_share: float = 2e-4, entry_share: float = 1e-6, mu: float = 10.0, divergence: float = 0.02) -> tuple[Model, DataFrame]:
-    """The model and the distributed table of word counts behind it.
+def end_symbol(own: Bits) -> np.uint64:
+    return _symbols([[END]], hashes_of()([[END]]), own)[0]
 
-    At most 1 / count_share words with their counts, 2 / share symbols, and for each length
-    1 / context_share contexts and 1 / entry_share entries come to the driver.
-    """
-    spark = train.sparkSession
-    wc = checkpoint(word_counts(train))
-    n, v = (int(x or 0) for x in wc.agg(F.sum("n"), F.count("*")).first())
-    top = wc.where(F.col("n") >= max(2, count_share * n)).orderBy(F.desc("n"), "word").collect()
-    ends = wc.where(F.length("word") == 0).agg(F.sum("n")).first()[0] or 0
-    top = [(END, ends)] + [(bytes(r.word), r.n) for r in top if len(r.word)]
-    least = max(2, share * n)
-    own = [c >= least or w == END for w, c in top]
-    rare = wc.where((F.col("n") < least) & (F.length("word") > 0)).select(F.expr("substring(word, -2, 2)").alias("k"), "n")
-    by_class = rare.groupBy("k").agg(F.sum("n").alias("t"), F.count("*").alias("w"))
-    rest = by_class.agg(F.sum("t"), F.sum("w")).first()
-    big = by_class.where(F.col("t") >= least).orderBy("k").collect()
-    a0 = sum(own)
-    classes = {b"": a0} | {bytes(r.k): a0 + 1 + i for i, r in enumerate(big)}
-    tokens = np.array([(rest[0] or 0) - sum(r.t for r in big), *[r.t for r in big]], float)
-    kinds = np.array([(rest[1] or 0) - sum(r.w for r in big), *[r.w for r in big]], float)
-    symbol, syms = 0, []
-    for (w, _), mine in zip(top, own, strict=True):
-        syms.append(symbol if mine else classes.get(w[-2:], a0))
-        symbol += mine
-    counts = np.array([c for _, c in top], "i8")
-    weight = np.concatenate([counts[np.array(own)], tokens]) + 1
-    model = Model(
-        [w for w, _ in top], counts, classes, np.array([*syms, *classes.values()], "i8"),
-        np.concatenate([np.zeros(a0), tokens + kinds + 1]), np.log10(weight / weight.sum()), n, v,
-    )
-    names: list[tuple[int, ...]] = [(s,) for s in range(model.a)]
-    keys, ids = np.arange(model.a, dtype="i8"), [{(): 0}]
-    for d in range(1, depth + 1):
-        # counted with the new contexts as the deepest level, whose probabilities are still unknown
-        parent = np.array([ids[-1][x[1:]] for x in names], "i8")
-        none = np.empty(0)
-        probe = Level(keys, np.zeros(len(keys), bool), np.zeros(len(keys)), none.astype("i8"), none, parent)
-        shared = spark.sparkContext.broadcast(Model(**(model.__dict__ | {"levels": [*model.levels, probe]})))
-        grams = checkpoint(_grams(train, shared))
-        totals = {r[0]: r[1] for r in grams.groupBy(F.expr(f"key div {model.a}").alias("c")).agg(F.sum("n")).collect()}
-        found = sorted((r.key, r.n) for r in grams.where(F.col("n") >= max(2, entry_share * n)).collect())
-        entries, en = np.array([k for k, _ in found], "i8"), np.array([c for _, c in found], float)
-        level = _level(model, keys, parent, entries, en, totals, mu, divergence)
-        ids.append({x: i for i, x in enumerate(names)})
-        model.levels.append(level)
-        next_keys = [k for k, c in found if c >= context_share * n and names[k // model.a][1:] + (k % model.a,) in ids[-1]]
-        names, keys = [(*names[k // model.a], k % model.a) for k in next_keys], np.array(next_keys, "i8")
-        if not next_keys:
-            break
-    return model, wc
 
+def symbol_counts(counts: DataFrame, own: Broadcast) -> DataFrame:
+    """``sym``, ``n`` tokens and ``w``, those with one more for every word, of ``counts``."""
 
-def _depth(model: Model, contexts: list[np.ndarray], n: int) -> np.ndarray:
-    """Length of the longest context that the model keeps at each position."""
-    out = np.zeros(n, "i8")
-    for d, (level, c) in enumerate(zip(model.levels, contexts, strict=True), 1):
-        out[(c >= 0) & level.kept[c] if len(level.kept) else np.zeros(n, bool)] = d
-    return out
+    def run(b: pa.RecordBatch) -> list[pa.Array]:
+        h = longs(b, 0)
+        sym = np.where(own.value.holds(h), h, _class_symbols(b.column(1).to_numpy()))
+        return [pa.array(sym.view("i8")), b.column(2)]
+
+    return mapped(counts.select("key", "kind", "n"), run, "sym long,n long").groupBy("sym").agg(F.sum("n").alias("n"), F.sum(F.col("n") + 1).alias("w"))
 
 
-def _word_grams(train: DataFrame, shared: Broadcast, d: int, wanted: Broadcast, kept: Broadcast) -> DataFrame:
-    """Counts of ``ctx`` (hash of the d words before) and ``word`` (hash) where ``wanted`` may hold
-    the context and the context less its first word, or the model, is kept.
+def _grams(train: DataFrame, d: int, own: Broadcast, wanted: Broadcast, hot: Broadcast) -> DataFrame:
+    """``ctx`` (hash of the d symbols before), ``suf`` (of the last d - 1), ``word`` (symbol), ``n``,
+    where ``wanted`` may hold the context.
 
-    ``used`` leaves out positions where the model keeps a longer context. ``base`` is the
-    model's log10 probability of the word, without the count of a word it does not list (flag
-    1). ``flag`` + 2: the model keeps a context one word shorter; + 4: one as long. ``suf`` is the
-    shorter context. The words seen once after a context are one row, with a null word.
+    A task hands on one row for each context, with its next symbols in an array. A hot context's
+    are dealt to several rows, so that no context's symbols meet in one place.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
-        index, hashes, held, size = _Index(model), hashes_of(), [], 0
-        inner, known = np.log10(np.maximum(model.inner, 1)), len(model.words)
-        lc = np.log10(np.append(model.counts + 1.0, np.ones(len(model.classes))))
-        names = ["ctx", "word", "suf", "used", "base", "flag"]
+        hashes, held, size, end = hashes_of(), [], 0, end_symbol(own.value)
 
         def flush() -> pa.RecordBatch:
-            cols = [np.concatenate([x[k] for x in held]) for k in range(len(names))]
+            ctx, word, suf = (np.concatenate([x[k] for x in held]) for k in range(3))
             held.clear()
-            _, at, n = np.unique(pairs_of(cols[0], cols[1]) + cols[3].astype("u8"), return_index=True, return_counts=True)
-            cols = [x[at] for x in cols]
-            cols[3] = cols[3] * n
-            return pa.RecordBatch.from_arrays([pa.array(x.view("i8") if x.dtype == "u8" else x) for x in (*cols, n.astype("i8"))], [*names, "n"])
+            _, at, n = np.unique(pairs_of(ctx, word), return_index=True, return_counts=True)
+            ctx, word, suf = ctx[at], word[at], suf[at]
+            salt = np.where(np.isin(ctx, hot.value), word >> np.uint64(58), np.uint64(0)).astype("i4")
+            order = np.lexsort((salt, ctx))
+            ctx, word, suf, salt, n = ctx[order], word[order], suf[order], salt[order], n[order].astype("i4")
+            new = np.flatnonzero(np.concatenate([[True], (ctx[1:] != ctx[:-1]) | (salt[1:] != salt[:-1])])) if len(ctx) else np.empty(0, "i8")
+            ends = pa.array(np.append(new, len(ctx)), pa.int32())
+            return pa.RecordBatch.from_arrays(
+                [pa.array(ctx[new].view("i8")), pa.array(suf[new].view("i8")), pa.array(salt[new]), pa.ListArray.from_arrays(ends, pa.array(word.view("i8"))), pa.ListArray.from_arrays(ends, pa.array(n))],
+                ["ctx", "suf", "salt", "word", "n"],
+            )
 
         for batch in slices(batches):
-            s, first, at, told = _symbols(model, index, batch.column(0))
-            if not len(s):
-                continue
-            contexts = _contexts(model, s, first)
-            m = _depth(model, contexts, len(s))
-            h = hashes(told)
-            ctx, suf, ok = past(h, first, d)
-            ok &= wanted.value.holds(key_of(ctx, d))
-            if d > 1:
-                ok &= (m >= d - 1) | kept.value.holds(key_of(suf, d - 1))
-            use = np.flatnonzero(ok)
-            base = _at(model.levels, model.root, len(model.levels), None, s, model.a, contexts)
-            base += np.where(model.inner[s] > 0, lc[at] - inner[s], 0.0)
-            used = (m <= d).astype("i8")
-            base[used == 0] = -np.inf
-            flag = (at >= known) + 2 * (m == d - 1) + 4 * (m >= d)
-            flag[used == 0] = 0
-            held.append([ctx[use], h[use], suf[use], used[use], base[use].astype("f4"), flag[use].astype("i4")])
+            told, first, _ = _told(batch.column(0))
+            h = _symbols(told, hashes(told), own.value)
+            ctx, suf, ok = past(h, first, d, end)
+            use = np.flatnonzero(ok & wanted.value.holds(key_of(ctx, d)))
+            held.append((ctx[use], h[use], suf[use]))
             size += len(use)
-            if size >= BUFFER_POSITIONS // 2:
+            if size >= BUFFER_POSITIONS:
                 yield flush()
                 size = 0
         if held:
             yield flush()
 
-    grams = train.select("text").mapInArrow(count, "ctx long, word long, suf long, used long, base float, flag int, n long")
-    last = [F.sum("n").alias("n"), F.sum("used").alias("used"), F.max("base").alias("base"), F.max("flag").alias("flag"), F.max("suf").alias("suf")]
-    whole = grams.groupBy("ctx", "word").agg(*last)
-    return whole.withColumn("word", F.when(F.col("n") > 1, F.col("word"))).groupBy("ctx", "word").agg(*last)
+    rows = train.select("text").mapInArrow(count, "ctx long, suf long, salt int, word array<long>, n array<int>")
+    each = rows.repartition("ctx", "salt").select("ctx", "suf", "salt", F.inline(F.arrays_zip("word", "n")))
+    return each.groupBy("ctx", "suf", "salt", "word").agg(F.sum("n").alias("n")).select("ctx", "suf", "word", "n")
 
 
-def grow(train: DataFrame, model: Model, wc: DataFrame, least: int = 200, mu: float = 10.0, divergence: float = 0.02) -> Tail:
-    """Contexts of 1, 2, 3 ... whole words that occur ``least`` times, as tables.
+def fit(train: DataFrame, depth: int = 4, least: int = 100, listed: int = 3, worth: float = 3.0, divergence: float = 0.02, mu: float = 10.0) -> Tree:
+    """Learn the tree from the texts of ``train``, length after length of context.
 
-    A context is kept if what it says of its own tokens, each predicted from the others, gains
-    ``divergence`` nats a token on the next shorter one; longer contexts are looked for as long
-    as some are kept. Of n tokens with k distinct words a word seen c times has (c - 1 + (k + mu)
-    P) / (n + mu), where P is its probability in the shorter context.
+    With T occurrences of a context, n of a word after it, and P the word's probability in the
+    longest kept suffix, a listed word has (n - 1) / (T + mu) + F P and any other F P, where F
+    takes what is left. A word is listed if it occurs ``listed`` times after the context and this
+    gains ``worth`` nats on all its occurrences. The context is kept if it then gains
+    ``divergence`` nats a token, with each occurrence's own count left out by the n - 1.
     """
     spark = train.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    counts = Tail.hashed(wc).select("word", F.log10(F.col("n") + 1).alias("lc"))
-    starts = Tail.hashed(wc.where(F.col("n") >= least)).select(F.col("word").alias("ctx"))
-    tail, before, d = Tail(), None, 1
-    while True:
-        wanted = Bits.of(Tail.keyed(starts, d))
+    counts = checkpoint(word_counts(train))
+    n, v = (int(x or 0) for x in counts.agg(F.sum("n"), F.count("*")).first())
+    tree = Tree(n, v, counts, Bits.of(counts.where(F.col("n") >= least).select("key")), spark.createDataFrame([], "key long, n long, gain double"))
+    own = spark.sparkContext.broadcast(tree.own)
+    symbols = checkpoint(symbol_counts(counts, own))
+    starts = symbols.where(F.col("n") >= least).select(F.col("sym").alias("ctx"), "n")
+    before = None
+    for d in range(1, depth + 1):
+        wanted = Bits.of(mapped(starts.select("ctx"), lambda b, d=d: [pa.array(key_of(longs(b, 0), d).view("i8"))], "key long"))
         if not wanted.n:
-            return tail
-        kept = spark.sparkContext.broadcast(tail.bits)
-        grams = checkpoint(_word_grams(train, shared, d, spark.sparkContext.broadcast(wanted), kept))
-        once = F.when(F.col("word").isNull() | (F.col("used") < 2), F.col("used")).otherwise(0)
-        listed = F.col("word").isNotNull() & (F.col("used") > 1)
-        stats = grams.groupBy("ctx").agg(F.sum("used").alias("total"), F.sum(once).alias("once"), (F.sum(once) + F.count_if(listed)).alias("kinds")).where(F.col("total") >= least)
-        found = grams.where(listed).drop("n").join(stats, "ctx").join(counts, "word", "left")
-        top = F.col("base") + F.when(F.col("flag") % 2 == 1, F.coalesce("lc", F.lit(0.0))).otherwise(0.0)
-        if before is not None:
-            found = found.join(before, ["suf", "word"], "left")
-            # without a kept suffix, the model must have kept it
-            found = found.where("shorter is not null or flag >= 2")
-            top = F.when(F.col("shorter").isNotNull() & (F.col("flag") < 4), F.col("shorter")).otherwise(top)
-        free = (F.col("kinds") + mu) / (F.col("total") + mu)
-        found = found.withColumns({"prior": top, "free": free})
-        found = found.withColumn("logp", F.log10((F.col("used") - 1) / (F.col("total") + mu) + F.col("free") * F.pow(F.lit(10.0), "prior")))
-        found = checkpoint(found.select("ctx", "word", "used", "total", "once", "free", "logp", "prior"))
-        gain = (F.sum(F.col("used") * (F.col("logp") - F.col("prior"))) + F.first("once") * F.log10(F.first("free"))) * F.lit(float(np.log(10))) / F.first("total")
-        passed = checkpoint(found.groupBy("ctx").agg(F.round(gain, 9).alias("gain"), F.log10(F.first("free")).alias("lfree")).where(F.col("gain") >= divergence).select("ctx", "lfree"))
-        entries = found.join(passed, "ctx").select("ctx", "word", "logp", (F.col("logp") - F.col("prior") - F.col("lfree")).alias("delta"))
-        n = tail.add(d, passed, entries)
-        if not n and d > len(model.levels):
-            return tail
-        before = entries.select(F.col("ctx").alias("suf"), "word", F.col("logp").alias("shorter"))
-        starts = Tail.longer(grams.where((F.col("n") >= least) & F.col("word").isNotNull()).select("ctx", "word"))
-        d += 1
-
-
-def score(docs: DataFrame, model: Model, wc: DataFrame, kept: list[str] | None = None, tail: Tail | None = None) -> DataFrame:
-    """One row per document: ``kept`` columns, n_tokens, n_known, base_score and score.
-
-    Frequent words are looked up in the broadcast model. The others leave one row for each
-    document and word, joined to the distributed counts; a document's own row travels with
-    them under a key that no word has, so the texts are read once. So do the contexts of
-    ``tail`` that may be kept and their next words, under keys of another length.
+            break
+        hot = np.array([r.ctx for r in starts.where(F.col("n") >= max(least, n // HOT)).select("ctx").collect()], "i8").view("u8")
+        few = F.when(F.col("n") >= listed, F.col("word"))
+        grams = _grams(train, d, own, spark.sparkContext.broadcast(wanted), spark.sparkContext.broadcast(hot))
+        grams = checkpoint(grams.groupBy("ctx", "suf", few.alias("word")).agg(F.sum("n").alias("n")))
+        discounted = F.sum(F.when(F.col("word").isNotNull(), F.col("n") - 1).otherwise(0))
+        total = grams.groupBy("ctx").agg(F.sum("n").alias("total"), discounted.alias("less")).where(F.col("total") >= least)
+        found = grams.where("word is not null").join(total, "ctx")
+        if before is None:
+            seen = symbols.select(F.col("sym").alias("word"), F.log10(F.col("w") / (n + v + 1)).alias("prior"))
+            found = found.join(seen, "word")
+        else:
+            found = found.join(before, ["suf", "word"])
+        first = (F.col("n") - 1) / ((F.col("total") - F.col("less") + mu) * F.pow(F.lit(10.0), "prior"))
+        found = checkpoint(found.withColumn("pick", F.col("n") * F.log1p(first) >= worth).select("ctx", "word", "n", "total", "prior", "pick"))
+        picked = found.where("pick").groupBy("ctx").agg(F.sum(F.col("n") - 1).alias("less"), F.sum("n").alias("own"))
+        free = (F.col("total") - F.col("less") + mu) / (F.col("total") + mu)
+        found = found.join(picked, "ctx", "left").withColumn("free", F.log10(F.when(F.col("less").isNotNull(), free).otherwise(1.0)))
+        told = F.log10((F.col("n") - 1) / (F.col("total") + mu) + F.pow(F.lit(10.0), F.col("free") + F.col("prior")))
+        found = checkpoint(found.withColumn("logp", F.when(F.col("pick"), told)))
+        gain = F.sum(F.col("n") * (F.col("logp") - F.col("prior"))) + F.first((F.col("total") - F.col("own")) * F.col("free"))
+        kept = found.where("pick").groupBy("ctx").agg(F.round(gain * float(np.log(10)) / F.first("total"), 9).alias("gain"), F.first("free").alias("free"), F.first("total").alias("n"))
+        kept = checkpoint(kept.where(F.col("gain") >= divergence).select("ctx", "n", F.col("free").alias("gain")))
+        found = checkpoint(found.drop("free").join(kept.select("ctx", F.col("gain").alias("free")), "ctx", "left"))
+        entries = found.where("pick and free is not null").select("ctx", "word", "n", (F.col("logp") - F.col("prior") - F.col("free")).alias("gain"))
+        tree.levels.append((kept, entries))
+        eff = F.when(F.col("free").isNull(), F.col("prior")).when(F.col("pick"), F.col("logp")).otherwise(F.col("free") + F.col("prior"))
+        before = found.select(F.col("ctx").alias("suf"), "word", eff.alias("prior"))
+        starts = mapped(found.where(F.col("n") >= least).select("ctx", "word", "n"), lambda b: [pa.array((longs(b, 1) + BASE * longs(b, 0)).view("i8")), b.column(2)], "ctx long,n long")
+    for d, (kept, entries) in enumerate(tree.levels, 1):
+        by_ctx = mapped(kept, lambda b, d=d: [pa.array(key_of(longs(b, 0), d).view("i8")), b.column(1), b.column(2)], "key long,n long,gain double")
+        by_word = mapped(entries, lambda b, d=d: [pa.array(pairs_of(key_of(longs(b, 0), d), longs(b, 1)).view("i8")), b.column(2), b.column(3)], "key long,n long,gain double")
+        tree.nodes = tree.nodes.union(by_ctx).union(by_word)
+        tree.depth = d
+    tree.nodes = checkpoint(tree.nodes)
+    tree.bits = Bits.of(tree.nodes.select("key"))
+    return tree
+
+
+@dataclass
+class Top:
+    """The most frequent rows of a table by key: those that occur ``floor`` times."""
+
+    floor: int
+    keys: np.ndarray
+    values: np.ndarray
+
+    @staticmethod
+    def of(table: DataFrame, value: str, most: int) -> Top:
+        """``most`` rows at most, by the least floor (of 4 to an octave) that leaves no more."""
+        step = F.floor(F.log2("n") * 4).cast("int")
+        floor, held = 1, 0
+        for r in table.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+            held += r["count"]
+            if held > most:
+                floor = int(np.floor(2 ** ((r.step + 1) / 4))) + 1
+                break
+        got = table.where(F.col("n") >= floor).select("key", F.col(value).cast("double").alias("value")).toArrow()
+        keys = got["key"].to_numpy().view("u8")
+        order = np.argsort(keys)
+        return Top(floor, keys[order], got["value"].to_numpy()[order])
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each key is here, and its value (0 if not)."""
+        if not len(self.keys):
+            return np.zeros(len(wanted), bool), np.zeros(len(wanted))
+        at = np.searchsorted(self.keys, wanted)
+        at[at == len(self.keys)] = 0
+        here = self.keys[at] == wanted
+        return here, np.where(here, self.values[at], 0.0)
+
+
+def score(docs: DataFrame, tree: Tree, kept: list[str] | None = None, top_words: int = 400_000, top_nodes: int = 1_500_000) -> DataFrame:
+    """One row per document: ``kept`` columns, n_tokens, n_known, train_tokens, base_score, score.
+
+    At most ``top_words`` words and ``top_nodes`` nodes, the most frequent, are broadcast. What a
+    document asks of the others leaves one row for each document and key, joined to the
+    tables; a document's own row travels with them, so the texts are read once.
     """
-    kept, tail = kept or ["doc_id"], tail or Tail()
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    bits, deepest = docs.sparkSession.sparkContext.broadcast(tail.bits), tail.deepest
+    kept, spark = kept or ["doc_id"], docs.sparkSession
+    common, frequent = Top.of(tree.counts, "n", top_words), Top.of(tree.nodes, "gain", top_nodes)
+    shared = spark.sparkContext.broadcast((common, frequent, tree.bits, tree.own))
+    unit, depth = float(np.log10(tree.n + tree.v + 1)), tree.depth
     schema = docs.select(*kept).schema.simpleString()[len("struct<") : -1]
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
-        index, known, task, row = _Index(model), len(model.words), TaskContext.get().partitionId() << 40, 0
-        lc, inner = np.log10(np.append(model.counts + 1.0, np.ones(len(model.classes)))), np.log10(np.maximum(model.inner, 1))
-        unit, hashes = np.log10(model.n + model.v + 1), hashes_of()
+        common, frequent, bits, own = shared.value
+        end, hashes, task, row = end_symbol(own), hashes_of(), TaskContext.get().partitionId() << 40, 0
         for batch in slices(batches):
-            s, first, at, told = _symbols(model, index, batch.column(0))
-            contexts = _contexts(model, s, first)
-            logp = _at(model.levels, model.root, len(model.levels), None, s, model.a, contexts)
-            # inside a class: (c + 1) / (tokens + words + 1), with c + 1 of unlisted words joined later
-            logp += np.where(model.inner[s] > 0, lc[at] - inner[s], 0.0)
-            size = np.diff(np.append(first, len(s)))
-            sums = [np.add.reduceat(x, first) if len(s) else np.empty(0) for x in (logp, lc[at] - unit, (at < known) & (model.counts[np.minimum(at, known - 1)] > 0))]
+            told, first, size = _told(batch.column(0))
+            if not len(told):
+                continue
+            h, doc = hashes(told), np.repeat(np.arange(len(told)), size)
+            s = _symbols(told, h, own)
+            here, c = common.find(h)
+            base, gain = np.log10(c + 1) - unit, np.zeros(len(h))
+            asked, of = [h[~here]], [doc[~here]]
+            for d in range(1, depth + 1):
+                ctx, _, ok = past(s, first, d, end)
+                keys = key_of(ctx, d)
+                use = np.flatnonzero(ok & bits.holds(keys))
+                keys, at = keys[use], use
+                for look in range(2):
+                    if look:
+                        keys = pairs_of(keys, s[use])
+                        maybe = np.flatnonzero(bits.holds(keys))
+                        keys, at = keys[maybe], use[maybe]
+                    found, value = frequent.find(keys)
+                    gain[at] += value
+                    asked.append(keys[~found])
+                    of.append(doc[at[~found]])
+            key, of = np.concatenate(asked), np.concatenate(of)
+            _, at, times = np.unique(pairs_of(key, of.astype("u8")), return_index=True, return_counts=True)
             rows = task + row + np.arange(len(told))
             row += len(told)
-            ids, word, many = [], [], []
-            where = np.flatnonzero(at >= known)
-            doc = np.searchsorted(first, where, "right") - 1
-            cuts = np.flatnonzero(np.diff(doc)) + 1
-            for d, k in zip(doc[np.concatenate([[0], cuts])].tolist() if len(doc) else [], np.split(where, cuts), strict=False):
-                w, off = told[d], int(first[d])
-                c = Counter([w[i - off] for i in k.tolist()])
-                word.extend(c)
-                many.extend(c.values())
-                ids.append(np.full(len(c), rows[d]))
-            asked, asked_of, times = Tail.asked(hashes(told) if deepest else None, first, _depth(model, contexts, len(s)), deepest, bits.value)
-            ids.append(rows[asked_of])
-            n_own, n_word = len(told), len(word) + len(asked)
-            none = lambda k, t: pa.concat_arrays([k, pa.nulls(n_word, t)])
+            n = len(at)
+            own_key = mix(rows.astype("u8") + np.uint64(1))  # any key: what an own row meets counts no times
             cols = [
-                pa.array(np.concatenate([rows, *ids]), pa.int64()),
-                pa.concat_arrays([pa.array([b"\x20" + int(r).to_bytes(8, "big") for r in rows] + word, pa.binary()), binary_keys(asked)]),
-                pa.array(np.concatenate([np.zeros(n_own, "i8"), np.array(many, "i8"), times]), pa.int64()),
-                none(pa.array(size, pa.int64()), pa.int64()),
-                none(pa.array(sums[2].astype("i8"), pa.int64()), pa.int64()),
-                none(pa.array(sums[1], pa.float64()), pa.float64()),
-                none(pa.array(sums[0], pa.float64()), pa.float64()),
+                pa.array(np.concatenate([rows, rows[of[at]]])),
+                pa.array(np.concatenate([own_key, key[at]]).view("i8")),
+                pa.array(np.concatenate([np.zeros(len(told), "i4"), times.astype("i4")])),
             ]
-            own = [none(batch.column(k + 1), batch.schema.field(k + 1).type) for k in range(len(kept))]
-            yield pa.RecordBatch.from_arrays([*cols, *own], ["row", "word", "many", "n_tokens", "known", "base", "model", *kept])
-
-    rows = docs.select("text", *kept).mapInArrow(parts, f"row long, word binary, many long, n_tokens long, known long, base double, model double, {schema}")
-    told = wc.select("word", F.col("n").alias("c"), F.lit(0.0).alias("gain"))
-    if deepest:
-        told = told.union(tail.told())
-    joined = rows.join(told, "word", "left")
-    more = F.col("many") * F.log10(F.coalesce("c", F.lit(0)) + 1)
-    per_doc = joined.groupBy("row").agg(
+            for x, kind in ((size, pa.int64()), (np.add.reduceat((here & (c > 0)).astype("i8"), first), pa.int64()), (np.add.reduceat(base, first), pa.float64()), (np.add.reduceat(gain, first), pa.float64())):
+                cols.append(pa.concat_arrays([pa.array(x, kind), pa.nulls(n, kind)]))
+            held = [pa.concat_arrays([batch.column(k + 1), pa.nulls(n, batch.schema.field(k + 1).type)]) for k in range(len(kept))]
+            yield pa.RecordBatch.from_arrays([*cols, *held], ["row", "key", "times", "n_tokens", "known", "base", "gain", *kept])
+
+    rows = docs.select("text", *kept).mapInArrow(parts, f"row long, key long, times int, n_tokens long, known long, base double, gain double, {schema}")
+    rare = tree.counts.where(F.col("n") < common.floor).select("key", F.col("n").alias("c"), F.lit(0.0).alias("more"))
+    if tree.depth:
+        rare = rare.union(tree.nodes.where(F.col("n") < frequent.floor).select("key", F.lit(None).cast("long"), "gain"))
+    met = rows.join(rare, "key", "left")
+    per_doc = met.groupBy("row").agg(
         *[F.max(k).alias(k) for k in (*kept, "n_tokens")],
-        F.sum(F.coalesce("known", F.lit(0)) + F.when(F.col("c") > 0, F.col("many")).otherwise(0)).alias("n_known"),
-        F.max("base").alias("base"), F.max("model").alias("model"), F.sum(more).alias("more"),
-        F.sum(F.col("many") * F.coalesce("gain", F.lit(0.0))).alias("gain"),
-    )
-    return per_doc.select(
-        *kept, "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("more")).alias("base_score"), (F.col("model") + F.col("more") + F.col("gain")).alias("score"),
+        F.sum(F.coalesce("known", F.lit(0)) + F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("n_known"),
+        F.max("base").alias("base"), F.max("gain").alias("gain"),
+        F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("words"),
+        F.sum(F.col("times") * F.coalesce("more", F.lit(0.0))).alias("more"),
     )
+    base = F.col("base") + F.col("words")
+    return per_doc.select(*kept, "n_tokens", "n_known", F.lit(tree.n).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain") + F.col("more")).alias("score"))
 
 
-def train_and_score(docs: DataFrame, mod: int = 7, remainder: int = 2, least: int = 200, **options) -> DataFrame:
+def train_and_score(docs: DataFrame, mod: int = 7, remainder: int = 2, **options) -> DataFrame:
     """Learn from the rows that are not held out and score every row of ``docs``.
 
     Null text is an empty document (only its END). An empty table gives no rows; repeated
     rows each get one row; a null doc_id is never held out.
     """
     data = docs.select(F.col("doc_id").cast("long"), "text", held_out(F.col("doc_id"), mod, remainder).alias("held_out"))
-    train = data.where(~F.col("held_out"))
-    model, wc = fit(train, **options)
-    return score(data, model, wc, ["doc_id", "held_out"], grow(train, model, wc, least))
+    return score(data, fit(data.where(~F.col("held_out")), **options), ["doc_id", "held_out"])

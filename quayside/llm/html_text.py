@@ -2,8 +2,10 @@
 
 A page is read as a stream of the standard library's parser events and cut into lines at
 block tags. Each line has a text-to-tag ratio; the ratios are smoothed with a Gaussian and
-lines over the threshold are seeds. The element that holds the seeds is the content region,
-and all its lines are the text, short ones too, save what markup names as furniture.
+lines over the threshold are seeds. The elements that hold the seeds are the content region,
+and all their lines are the text, short ones too, save furniture. Tags such as ``nav`` are
+furniture always; class and id names only say so of an element that does not hold the
+page's, or its article's, text itself.
 """
 
 from __future__ import annotations
@@ -25,105 +27,113 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark math q rp rt ruby s samp "
     "small span strike strong sub sup time tt u var wbr".split()
 )
-#: Elements that never hold the article's text.
-FURNITURE = frozenset(
-    "head title script style noscript template svg iframe object canvas audio video nav header footer aside menu form "
-    "button select textarea datalist dialog".split()
-)
+#: Elements whose content is never shown as text, those that never hold the article's, and headings.
+UNSEEN = frozenset("head title script style noscript template svg iframe object canvas audio video select textarea datalist".split())
+FURNITURE = frozenset("nav header footer aside menu button dialog".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Words of a class or id that name furniture.
 NAMES = frozenset(
     "nav navbar navigation menu submenu header masthead footer sidebar aside ad ads adv advert adverts advertisement "
     "adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay "
-    "breadcrumb breadcrumbs comment comments disqus respond reply replies discussion share sharing social related "
-    "recommended newsletter subscribe subscription signup login pagination pager toolbar widget skip print".split()
+    "breadcrumb breadcrumbs disqus discussion share sharing social related recommended newsletter subscribe "
+    "subscription signup login pagination pager toolbar widget skip print".split()
 )
-#: Of these, the words of readers' comments, which can be <article> elements too.
+#: The words of readers' comments, which can be <article> elements too.
 COMMENT = frozenset("comment comments reply replies respond disqus".split())
 NAME = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
+UNSHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: Elements that a following start tag closes.
-CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
-
-
-def _furniture(tag: str, attrs: dict[str, str | None]) -> int:
-    """2: furniture by its tag, role or as readers' comments, with all that is in it; 1: by a
-    name, which an <article> or <main> inside it overrules; 0: none."""
-    if tag in FURNITURE or "hidden" in attrs or (attrs.get("aria-hidden") or "") == "true":
-        return 2
+CLOSES = {k: frozenset(v.split()) | {"p"} for k, v in {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}.items()}
+PARAGRAPH = frozenset(["p"])
+#: Blocks that hold one piece of a text, never all of it.
+LEAVES = HEADINGS | frozenset("p li dt dd td th pre blockquote".split())
+#: What an element is, by itself.
+PLAIN, NAMED, COMMENTS, HARD, HIDDEN = range(5)
+#: A named element, or one of comments, that holds this share of the text around it is not furniture.
+MOST, NEARLY_ALL = 0.8, 0.95
+
+
+def _kind(tag: str, attrs: dict[str, str | None]) -> int:
+    if tag in UNSEEN or "hidden" in attrs or attrs.get("aria-hidden") == "true" or UNSHOWN.search(attrs.get("style") or ""):
+        return HIDDEN
+    if tag in FURNITURE:
+        return HARD
     if tag in ("html", "body", "main"):
-        return 0
+        return PLAIN
     words = [x.lower() for x in NAME.findall(f"{attrs.get('class') or ''} {attrs.get('id') or ''}")]
     names = {x for before, x in zip(["", *words], words, strict=False) if before not in ("has", "with", "no", "without")}
     if not names.isdisjoint(COMMENT):
-        return 2
+        return COMMENTS
     if tag == "article":
-        return 0
-    return 2 if (attrs.get("role") or "").lower() in ROLES else int(not names.isdisjoint(NAMES))
+        return PLAIN
+    return NAMED if tag == "form" or (attrs.get("role") or "").lower() in ROLES or not names.isdisjoint(NAMES) else PLAIN
 
 
-class _Lines(HTMLParser):
-    """Collects (text, tags, furniture, ids of the open blocks) line by line."""
+class _Page(HTMLParser):
+    """Elements (tag, kind, parent, which comes before them) and lines (text, tags, characters in
+    links, innermost element). Every step takes constant time, but for what it closes."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, int]] = []  # tag, furniture by it or one around it, element id
-        self.kinds: list[str] = []  # of each element id
+        self.tags, self.kinds, self.parents = [""], [PLAIN], [-1]
+        self.open = [0]  # element ids
+        self.at: dict[str, list[int]] = {}  # where in ``open`` each tag stands
+        self.blocks: list[int] = []  # where in it blocks stand
         self.text: list[str] = []
-        self.tags = 0
-        self.lines: list[tuple[str, int, bool, tuple[int, ...]]] = []
+        self.count, self.linked = 0, 0
+        self.lines: list[tuple[str, int, int, int]] = []
 
     def line(self) -> None:
         text = " ".join("".join(self.text).split())
-        if text or self.tags:
-            out = bool(self.open and self.open[-1][1])
-            self.lines.append((text, self.tags, out, tuple(i for t, _, i in self.open if t not in INLINE)))
-        self.text, self.tags = [], 0
+        if text:
+            self.lines.append((text, self.count, self.linked, self.open[-1]))
+            self.count = 0
+        self.text, self.linked = [], 0
+
+    def pop_to(self, k: int) -> None:
+        while len(self.open) > k:
+            self.at[self.tags[self.open.pop()]].pop()
+            if self.blocks and self.blocks[-1] == len(self.open):
+                self.blocks.pop()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        furniture = _furniture(tag, dict(attrs))
-        if tag not in INLINE or furniture:
+        said = dict(attrs)
+        kind, block = _kind(tag, said), tag not in INLINE
+        if block or kind:
             self.line()
-        if tag not in INLINE and tag not in VOID:
-            self.close_implied(tag)
-        self.tags += 1
-        if tag not in VOID:
-            around = self.open[-1][1] if self.open else 0
-            if around == 1 and tag in ("article", "main"):
-                around = 0
-            self.open.append((tag, max(furniture, around), len(self.kinds)))
-            self.kinds.append("main" if dict(attrs).get("role") == "main" else tag)
+        self.count += 1
+        if tag in VOID:
+            return
+        if block and self.blocks and self.tags[self.open[self.blocks[-1]]] in CLOSES.get(tag, PARAGRAPH):
+            self.pop_to(self.blocks[-1])
+        self.parents.append(self.open[-1])
+        self.tags.append(tag)
+        self.kinds.append(HIDDEN if self.kinds[self.open[-1]] == HIDDEN else kind)
+        self.at.setdefault(tag, []).append(len(self.open))
+        if block:
+            self.blocks.append(len(self.open))
+        self.open.append(len(self.tags) - 1)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        if tag in VOID:
-            self.handle_starttag(tag, attrs)
-        else:  # the slash means nothing on other HTML elements, save inside svg and math
-            self.handle_starttag(tag, attrs)
-            if self.open and self.open[-1][1]:
-                self.handle_endtag(tag)
-
-    def close_implied(self, tag: str) -> None:
-        ends = set(CLOSES.get(tag, "").split()) | {"p"}
-        for k in range(len(self.open) - 1, -1, -1):
-            t = self.open[k][0]
-            if t in ends:
-                del self.open[k:]
-                return
-            if t not in INLINE:
-                return
+        self.handle_starttag(tag, attrs)
+        # the slash means nothing on HTML elements, save inside svg and math
+        if tag not in VOID and self.kinds[self.open[-1]] == HIDDEN:
+            self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                # a line ends at a block's end, and at an inline element's if it was furniture by itself
-                if tag not in INLINE or self.open[k][1] and not (k and self.open[k - 1][1]):
-                    self.line()
-                del self.open[k:]
-                break
-        self.tags += 1
+        where = self.at.get(tag)
+        # an inline element's end does not reach out of the block it is in
+        if where and not (tag in INLINE and self.blocks and where[-1] < self.blocks[-1]):
+            if tag not in INLINE or self.kinds[self.open[where[-1]]]:
+                self.line()
+            self.pop_to(where[-1])
+        self.count += 1
 
     def handle_data(self, data: str) -> None:
         self.text.append(data)
-
+        if self.at.get("a"):
+            self.linked += len(data.strip())
 
     def parse_html_declaration(self, i: int) -> int:
         """A declaration that the standard parser gives up on is a bogus comment, up to its ``>`` or the page's end."""
@@ -134,12 +144,63 @@ class _Lines(HTMLParser):
             return end if end >= 0 else len(self.rawdata)
 
 
-def lines_of(html: str) -> _Lines:
-    parser = _Lines()
-    parser.feed(html)
-    parser.close()
-    parser.line()
-    return parser
+def read(html: str) -> _Page:
+    page = _Page()
+    page.feed(html)
+    page.close()
+    page.line()
+    return page
+
+
+def _under(parents: list[int], own: list[float]) -> list[float]:
+    """Sums over each element and all in it; parents come before their children."""
+    out = list(own)
+    for i in range(len(out) - 1, 0, -1):
+        out[parents[i]] += out[i]
+    return out
+
+
+def furniture(page: _Page) -> list[bool]:
+    """Whether each element is furniture or in some.
+
+    A named element is none if it holds most of the text of the article it is in. Outside
+    articles it is none if it holds all the page's articles, or most of the text of a page that
+    has none. Of a header in an article the headings stay.
+    """
+    n, tags, kinds, parents = len(page.tags), page.tags, page.kinds, page.parents
+    hard, comments, scope = [False] * n, [False] * n, [0] * n
+    core = [0.0] * n
+    for i in range(1, n):
+        p = parents[i]
+        scope[i] = p if tags[p] in ("article", "main") and not comments[p] else scope[p]
+        comments[i] = comments[p] or kinds[i] == COMMENTS
+        hard[i] = hard[p] or kinds[i] >= HARD
+    own = [0.0] * n
+    for text, _, _, at in page.lines:
+        if not hard[at]:
+            own[at] += len(text)
+    size = _under(parents, own)
+    for i in range(1, n):
+        core[i] = float(tags[i] in ("article", "main") and size[i] > 0 and not hard[i] and not comments[i])
+    cores = _under(parents, core)
+    out, header = [False] * n, [False] * n
+    for i in range(1, n):
+        p, kind = parents[i], kinds[i]
+        if out[p]:
+            out[i] = not (header[p] and tags[i] in HEADINGS)
+            header[i] = header[p]
+            continue
+        if kind >= HARD:
+            out[i] = True
+            header[i] = tags[i] == "header" and kind == HARD and scope[i] > 0
+        elif kind:
+            around = size[scope[i]]
+            share = size[i] / around if around else 1.0
+            if scope[i] or kind == COMMENTS:
+                out[i] = share < (MOST if kind == NAMED else NEARLY_ALL)
+            else:
+                out[i] = cores[0] > cores[i] or not cores[i] and share < MOST
+    return out
 
 
 def smooth(values: np.ndarray, sigma: float) -> np.ndarray:
@@ -150,38 +211,49 @@ def smooth(values: np.ndarray, sigma: float) -> np.ndarray:
 
 
 def main_text(html: str | None, sigma: float = 1.0, share: float = 0.85) -> str:
-    """The article's text: blocks in page order, one space between words. Null, empty: ''."""
+    """The article's text: blocks in page order, one space between words.
+
+    Null, empty or without any text outside menus and the like: ''. Of several <article>
+    elements all that hold a seed are taken; if they, or else <main>, hold too little of what
+    the ratios point to, the region is the smallest element with ``share`` of it, and runs of
+    three or more lines that are only links are left out there.
+    """
     if not html:
         return ""
-    page = lines_of(html)
-    lines = [x for x in page.lines if x[0]]
-    if not lines:
+    page = read(html)
+    out, parents, tags = furniture(page), page.parents, page.tags
+    if not page.lines:
         return ""
-    size = np.array([len(t) for t, *_ in lines], float)
-    ratio = size / np.maximum(1, [n for _, n, _, _ in lines])
-    kept = np.array([not out for _, _, out, _ in lines])
-    smoothed = smooth(ratio, sigma)
-    seeds = kept & (smoothed >= min(smoothed.std(), smoothed.mean()))
+    size = np.array([len(t) for t, *_ in page.lines], float)
+    kept = np.array([not out[at] for *_, at in page.lines])
+    smoothed = smooth(size / np.maximum(1, [n for _, n, _, _ in page.lines]), sigma)
+    low = min(smoothed.std(), smoothed.mean())
+    seeds = kept & (smoothed >= low)
     if not seeds.any():
         seeds = kept
-    weight: dict[int, float] = {}
-    for (_, _, _, path), n, seed in zip(lines, size, seeds, strict=True):
-        if seed:
-            for i in path:
-                weight[i] = weight.get(i, 0) + n
-    region = None
+    own = [0.0] * len(tags)
+    for (*_, at), n, seed in zip(page.lines, size, seeds, strict=True):
+        own[at] += n * seed
+    weight = _under(parents, own)
+    inside = [False] * len(tags)
     for kind in ("article", "main"):
-        found = [i for i in weight if page.kinds[i] == kind]
-        if found and region is None:
-            region = max(found, key=lambda i: (weight[i], -i))
-    if region is None:
-        whole = size[seeds].sum()
-        deep = [i for i, n in weight.items() if n >= share * whole]
-        region = max(deep, default=None)
-        if region is not None and page.kinds[region] in ("p", "h1", "h2", "h3", "li", "td", "pre", "blockquote"):
-            above = [i for i in deep if page.kinds[i] not in ("p", "h1", "h2", "h3", "li", "td", "pre", "blockquote")]
-            region = max(above, default=None)
-    return " ".join(t for (t, _, _, path), k in zip(lines, kept, strict=True) if k and (region is None or region in path))
+        tops, held = [False] * len(tags), 0.0
+        for i in range(1, len(tags)):
+            tops[i] = tops[parents[i]] or tags[i] == kind and weight[i] > 0 and not out[i]
+            held += weight[i] if tops[i] and not tops[parents[i]] else 0.0
+        if held >= 0.3 * weight[0] and held:
+            inside = tops
+            break
+    if not any(inside):
+        region = max((i for i in range(len(tags)) if weight[i] >= share * weight[0] and tags[i] not in INLINE and tags[i] not in LEAVES), default=0)
+        inside[region] = True
+        for i in range(region + 1, len(tags)):
+            inside[i] = inside[parents[i]]
+        links = np.array([linked >= 0.9 * len(t.replace(" ", "")) and s < low for (t, _, linked, _), s in zip(page.lines, smoothed, strict=True)])
+        for run in np.split(np.arange(len(links)), np.flatnonzero(np.diff(links)) + 1):
+            if links[run[0]] and len(run) > 2:
+                kept[run] = False
+    return " ".join(t for (t, _, _, at), k in zip(page.lines, kept, strict=True) if k and inside[at])
 
 
 def text_of(html: Column | str, sigma: float = 1.0, share: float = 0.85) -> Column:

@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -35,6 +36,33 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+BODY = "<p>Some long text that is the page's own, many words of it.</p><p>More of that text follows here, just as long as before.</p>"
+SAID = "Some long text that is the page's own, many words of it. More of that text follows here, just as long as before."
+
+
+@pytest.mark.parametrize(("html", "text"), [
+    (f'<div class="layout sidebar-right">{BODY}</div>', SAID), (f'<div id="content" class="print widget">{BODY}</div>', SAID),
+    (f'<div class="page-header-fixed">{BODY}</div>', SAID), (f"<form action=x>{BODY}<input></form>", SAID),
+    (f'<div id=page class="comments-open"><article>{BODY}</article></div>', SAID), (f'<article><div class="print widget">{BODY}</div></article>', SAID),
+    (f"<main><article>{BODY}</article><article><h2>B</h2>{BODY}</article></main>", f"{SAID} B {SAID}"),
+    (f"<article><header><h1>Title</h1><p>by A.</p></header>{BODY}</article>", f"Title {SAID}"), (f"<header><h1>Site</h1></header><article>{BODY}</article>", SAID),
+    (f'<article>{BODY}<p style="display: none">no</p><div class="share">tweet</div></article>', SAID),
+    (f"<div class=related><article><p>An other story, teaser.</p></article></div><article>{BODY}</article>", SAID),
+    (f"<ul><li><a href=x>Home</a><li><a>News</a><li><a>About</a></ul><div><h1>T</h1>{BODY}</div>", f"T {SAID}"),
+    (f"<div><article><p>A teaser.</p></article></div><div class=c>{BODY * 5}</div>", " ".join([SAID] * 5)),
+    ("<nav>a b c</nav><footer>x</footer>", ""), ("<body><div class='share'>only this</div></body>", "only this"),
+])
+def test_names_do_not_drop_the_text(html, text):
+    assert html_text.main_text(html) == text
+
+
+@pytest.mark.parametrize("markup", ["<div>", "<div>x</span>", "<b>", "<i><div>x</div></b>", "<p><a>", "</div>", "<ul><li>x"])
+def test_deep_and_stray_markup_takes_linear_time(markup):
+    began = time.perf_counter()
+    assert SAID in html_text.main_text(markup * 20_000 + BODY)
+    assert time.perf_counter() - began < 5
+
+
 def test_extract_every_row(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a</p>", "clash"), (1, "u", "<p>a</p>", "clash"), (None, None, None, None)], "page_id long, url string, html string, text string")
     got = html_text.extract(pages)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -15,8 +13,10 @@ BITS = 32
 
 
 def planes(trees: int, dim: int, seed: int) -> np.ndarray:
-    """Random hyperplanes, made anew wherever they are needed: trees x BITS x dim."""
-    return np.random.default_rng(seed).standard_normal((trees, BITS, dim))
+    """Random hyperplanes, made anew wherever they are needed: trees x BITS x dim. Those of a tree
+    are orthogonal as far as the dimension allows, which spreads its strings more evenly."""
+    rng = np.random.default_rng(seed)
+    return np.stack([np.concatenate([np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(-(-BITS // dim))])[:BITS] for _ in range(trees)])
 
 
 def hashes(x: np.ndarray, lift: np.ndarray, trees: int, seed: int) -> np.ndarray:
@@ -25,9 +25,8 @@ def hashes(x: np.ndarray, lift: np.ndarray, trees: int, seed: int) -> np.ndarray
     ``lift`` is one more coordinate. Points are lifted to the length of the longest, queries
     not at all; the angle between the two then orders points by their inner product.
     """
-    h = planes(trees, x.shape[1] + 1, seed)
-    bits = np.einsum("nd,tbd->ntb", np.concatenate([x, lift[:, None]], axis=1), h, optimize=True) > 0
-    return bits @ (1 << np.arange(BITS - 1, -1, -1, dtype="i8"))
+    lifted, worth = np.concatenate([x, lift[:, None]], axis=1), 1 << np.arange(BITS - 1, -1, -1, dtype="i8")
+    return np.stack([(lifted @ h.T > 0) @ worth for h in planes(trees, x.shape[1] + 1, seed)], axis=1)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -41,135 +40,100 @@ def usable(vectors: DataFrame) -> DataFrame:
     return ok.where(F.size("embedding") == (dim[0] if dim else 0))
 
 
-def _ranges(keys: np.ndarray, code: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where in sorted ``keys`` the strings lie that share the first ``levels`` bits with ``code``."""
-    low = (code >> (BITS - levels)) << (BITS - levels)
-    return np.searchsorted(keys, low), np.searchsorted(keys, low + (1 << (BITS - levels)))
-
+def descend(keys: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Length of the longest prefix that each of ``code`` shares with any of the sorted ``keys``."""
+    at = np.searchsorted(keys, code)
+    beside = np.stack([keys[np.maximum(at - 1, 0)], keys[np.minimum(at, len(keys) - 1)]])
+    differ = (beside ^ code).min(axis=0)
+    return BITS - np.ceil(np.log2(differ + 1)).astype("i8")
 
-def _descend(bucket_bits: int):
-    """One bucket: for every query, the points that share its longest prefix, one bit less, ..."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        code, asks = group["hash"].to_numpy("i8"), group["asks"].to_numpy()
-        keys, levels = np.sort(code[~asks]), np.arange(BITS, bucket_bits - 1, -1)
-        counts = []
-        for at in code[asks]:
-            lo, hi = _ranges(keys, at, levels)
-            counts.append((hi - lo).tolist())
-        return pd.DataFrame({"query": group["node"][asks], "counts": counts})
-
-    return run
+def _ranges(keys: np.ndarray, code: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where in sorted ``keys`` the strings lie that share the first ``level`` bits with ``code``."""
+    low = (code >> (BITS - level)) << (BITS - level)
+    return np.searchsorted(keys, low), np.searchsorted(keys, low + (1 << (BITS - level)))
 
 
-def _ascend(k: int):
-    """One bucket: the ``k`` best points of every query under the prefix where the forest stopped."""
+def _search(k: int, trees: int, ascent: float, longest: float, seed: int):
+    """One shard's forest: the ``k`` best of the points that each query of the group comes to."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["hash", "node"])
-        asks, code, node = group["asks"].to_numpy(), group["hash"].to_numpy("i8"), group["node"].to_numpy("i8")
-        none = pd.DataFrame({"query": [], "node": [], "score": []})
-        if asks.all() or not asks.any():
-            return none
-        points, keys, of_point = np.stack(group["embedding"][~asks]).astype("f8"), code[~asks], node[~asks]
-        asked, level = np.stack(group["embedding"][asks]).astype("f8"), group["level"][asks].to_numpy("i8")
-        lo, hi = _ranges(keys, code[asks], level)
-        parts = [none]
-        for at in range(0, len(asked), 256):
-            block = asked[at : at + 256] @ points.T
-            for i, row in enumerate(block):
-                a, b = int(lo[at + i]), int(hi[at + i])
-                score, ids = row[a:b], of_point[a:b]
-                if b - a > k:  # all that tie with the last stay until ids decide
-                    some = np.flatnonzero(score >= np.partition(score, b - a - k)[b - a - k])
-                    score, ids = score[some], ids[some]
-                best = np.lexsort((ids, -score))[:k]
-                parts.append(pd.DataFrame({"query": node[asks][at + i], "node": ids[best], "score": score[best]}))
-        return pd.concat(parts)
+        group = group.sort_values("node")
+        asks, node, x = group["asks"].to_numpy(), group["node"].to_numpy("i8"), np.stack(group["embedding"]).astype("f8")
+        points, ids, asked = x[~asks], node[~asks], x[asks]
+        m, n = len(points), len(asked)
+        if not m or not n:
+            return pd.DataFrame({"query": [], "node": [], "score": [], "met": []})
+        lift = np.sqrt(np.maximum(0, longest**2 - (points**2).sum(1)))
+        of_points, code = hashes(points, lift, trees, seed), hashes(asked, np.zeros(n), trees, seed)
+        order = np.argsort(of_points, axis=0, kind="stable").T
+        keys = np.take_along_axis(of_points.T, order, axis=1)
+        # with so many in all trees together some tree alone holds k points, or all hold all there are
+        wanted = min(trees * m, max(int(np.ceil(ascent * m)), trees * k))
+        deepest = np.stack([descend(keys[t], code[:, t]) for t in range(trees)], axis=1)
+        level = deepest.max(axis=1)
+        lo, hi = np.zeros((n, trees), "i8"), np.zeros((n, trees), "i8")
+        rising = np.arange(n)
+        while len(rising):
+            for t in range(trees):
+                lo[rising, t], hi[rising, t] = _ranges(keys[t], code[rising, t], level[rising])
+            rising = rising[(hi[rising] - lo[rising]).sum(axis=1) < wanted]
+            level[rising] -= 1
+        out = []
+        for i in range(n):
+            mark = np.zeros(m, bool)
+            for t in np.flatnonzero(hi[i] > lo[i]).tolist():
+                mark[order[t, lo[i, t] : hi[i, t]]] = True
+            met = np.flatnonzero(mark)
+            score = points[met] @ asked[i]
+            if len(met) > k:  # all that tie with the last stay until ids decide
+                some = np.flatnonzero(score >= np.partition(score, len(met) - k)[len(met) - k])
+                score, at = score[some], met[some]
+            else:
+                at = met
+            best = np.lexsort((ids[at], -score))[:k]
+            out.append((np.full(len(best), node[asks][i]), ids[at[best]], score[best], np.full(len(best), len(met))))
+        return pd.DataFrame({name: np.concatenate([o[c] for o in out]) for c, name in enumerate(("query", "node", "score", "met"))})
 
     return run
 
 
-def neighbours(vectors: DataFrame, k: int = 20, every: int = 20, trees: int = 16, ascent: float = 1.2, bucket: int = 8192, seed: int = 11) -> DataFrame:
+def candidates(nodes: DataFrame, k: int, trees: int, ascent: float, shard: int, asks: int, seed: int) -> DataFrame:
+    """``query``, ``node``, ``score`` of the ``k`` best of every shard for the rows of ``nodes`` (node, asks,
+    embedding) that ask, and ``met``, the points of the shard that were scored."""
+    n, n_asks, longest = nodes.agg(
+        F.count("*"), F.sum("asks"), F.sqrt(F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x)))
+    ).first()
+    shards, parts = max(1, -(-n // shard)), max(1, -(-(n_asks or 0) // asks))
+    part = lambda many, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(many)).cast("int")
+    each = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
+    points = nodes.select("node", F.lit(False).alias("asks"), "embedding", part(shards, 2).alias("shard"), each(parts).alias("part"))
+    asking = nodes.where("asks = 1").select("node", F.lit(True).alias("asks"), "embedding", each(shards).alias("shard"), part(parts, 1).alias("part"))
+    search = _search(k, trees, ascent, float(longest or 0), seed)
+    return points.union(asking.select(*points.columns)).groupBy("shard", "part").applyInPandas(search, "query long, node long, score double, met long")
+
+
+def neighbours(vectors: DataFrame, k: int = 20, every: int = 20, trees: int = 128, ascent: float = 0.5, shard: int = 16_384, asks: int = 16_384, seed: int = 11) -> DataFrame:
     """query_id, rank, vec_id and score: the ``k`` nearest found of each query.
 
-    Queries are the rows whose vec_id is divisible by ``every``. Every vector is indexed once
-    per tree under a hash string. A query descends each tree to its longest match; then all
-    trees ascend together, one bit at a time, until their prefixes hold ``ascent`` times as many
-    points as there are (a point counts once for each tree), and exact inner products rank
-    them. Recall needs that share where vectors have no low-dimensional order. Buckets are
-    prefixes that hold about ``bucket`` points; one that holds over four times as many is dealt
-    in blocks, and its queries go to each block.
-    A query whose buckets together hold too few ascends to the root and meets every block of
-    points, so each has its ``k`` if there are as many.
+    Queries are the rows whose vec_id is divisible by ``every``. Vectors are dealt to shards of
+    about ``shard`` points, and every shard has a forest of its own: a sorted array of hash
+    strings for each tree. A query descends all trees of every shard to its longest matches;
+    then the shard's trees ascend together, one bit at a time, until their prefixes hold
+    ``ascent`` times as many points as the shard has (a point counts once for each tree), and
+    exact inner products rank the points met. The stated queries meet the shards in blocks of
+    ``asks``, so a vector travels once for each block of queries, whatever the number of trees.
 
     Equal vectors form one node, and only its ``k + 1`` smallest ids travel on. Rows that are
     null, zero, not finite or of an odd dimension take no part; repeated vec_ids count once
     for each distinct vector. An empty table gives no rows.
     """
-    spark = vectors.sparkSession
     good = usable(vectors)
     by_value = good.groupBy("embedding").agg(
         F.min("vec_id").alias("node"), F.max((F.col("vec_id") % every == 0).cast("int")).alias("asks")
     )
     nodes = checkpoint(by_value.select("node", "asks", "embedding"))
-    n, longest, dim = nodes.agg(
-        F.count("*"), F.sqrt(F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x))), F.max(F.size("embedding"))
-    ).first()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not n:
-        return empty
-    # some tree alone then holds k + 1 points, or all trees hold all there are
-    wanted = min(trees * n, max(int(np.ceil(ascent * n)), trees * (k + 1)))
-    # buckets are never longer prefixes than the ascent is likely to come back to
-    bits = int(np.clip(np.ceil(np.log2(n / bucket)), 0, max(0, np.floor(np.log2(trees / ascent)) - 2)))
-
-    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                x, asks = np.stack(b["embedding"]).astype("f8"), b["asks"].to_numpy() == 1
-                lift = np.sqrt(np.maximum(0, longest**2 - (x**2).sum(1)))
-                for rows, code, flag in ((np.arange(len(b)), hashes(x, lift, trees, seed), 0), (np.flatnonzero(asks), hashes(x[asks], np.zeros(asks.sum()), trees, seed), 1)):
-                    node = np.repeat(b["node"].to_numpy("i8")[rows], trees)
-                    yield pd.DataFrame({"node": node, "asks": flag, "tree": np.tile(np.arange(trees, dtype="i4"), len(rows)), "hash": code.ravel()})
-
-    coded = nodes.select("node", "asks", "embedding").mapInPandas(index, "node long, asks int, tree int, hash long")
-    coded = checkpoint(coded.withColumn("bucket", F.shiftright("hash", BITS - bits) if bits else F.lit(0).cast("long")))
-    sizes = coded.groupBy("tree", "bucket").agg(
-        F.greatest(F.lit(1), F.ceil(F.sum(1 - F.col("asks")) / (4 * bucket))).cast("int").alias("blocks"), F.ceil(F.sum("asks") / bucket).cast("int").alias("parts")
-    )
-    dealt = coded.join(sizes, ["tree", "bucket"])
-    block, part = F.pmod(F.xxhash64("node"), F.col("blocks")), F.pmod(F.xxhash64("node", F.lit(1)), F.greatest("parts", F.lit(1)))
-    grid = lambda many: F.explode(F.sequence(F.lit(0), many - 1))
-    points = dealt.where("asks = 0 and parts > 0").select("tree", "bucket", "hash", "node", F.lit(False).alias("asks"), block.cast("int").alias("block"), grid(F.col("parts")).alias("part"))
-    asking = dealt.where("asks = 1").select("tree", "bucket", "hash", "node", F.lit(True).alias("asks"), grid(F.col("blocks")).alias("block"), part.cast("int").alias("part"))
-    group = ["tree", "bucket", "block", "part"]
-    counted = points.union(asking).groupBy(*group).applyInPandas(_descend(bits), "query long, counts array<long>")
-    counts = counted.select("query", F.posexplode("counts").alias("step", "n")).groupBy("query", "step").agg(F.sum("n").alias("n"))
-    # step 0 is the whole string; where all buckets together hold too few, the root is searched
-    stop = checkpoint(counts.groupBy("query").agg((F.lit(BITS) - F.min(F.when(F.col("n") >= wanted, F.col("step")))).alias("level")))
-    short = stop.where("level is null").select("query")
-    vecs = nodes.select("node", "embedding")
-    asking = asking.join(stop.where("level is not null").withColumnRenamed("query", "node"), "node")
-    rows = points.withColumn("level", F.lit(None).cast("int")).unionByName(asking).join(vecs, "node")
-    near = rows.groupBy(*group).applyInPandas(_ascend(k + 1), "query long, node long, score double")
-    if bits:
-        lost = short.join(vecs.withColumnRenamed("node", "query"), "query")
-        all_blocks = int(-(-n // bucket))
-        asks = lost.select("query", F.col("embedding").alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(all_blocks - 1))).alias("block"))
-        pts = vecs.select("node", F.col("embedding").alias("point"), F.pmod(F.xxhash64("node", F.lit(2)), F.lit(all_blocks)).cast("int").alias("block"))
-
-        def rest(_, q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-            out = []
-            if len(q) and len(p):
-                x, ids = np.stack(p["point"]).astype("f8"), p["node"].to_numpy()
-                for query, v in zip(q["query"], q["asked"], strict=True):
-                    s = x @ v.astype("f8")
-                    out += [(query, int(ids[j]), float(s[j])) for j in np.lexsort((ids, -s))[: k + 1]]
-            return pd.DataFrame(out, columns=["query", "node", "score"])
-
-        more = asks.groupBy("block").cogroup(pts.groupBy("block")).applyInPandas(rest, "query long, node long, score double")
-        near = near.union(more)
+    near = candidates(nodes, k + 1, trees, ascent, shard, asks, seed)
     order = Window.partitionBy("query").orderBy(F.desc("score"), "node")
     top = near.groupBy("query", "node").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
     # ids of equal vectors: the few smallest of each node, which the window sheds before it shuffles

@@ -36,7 +36,8 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_rules.judge(table(spark, sf_dir, "pages"))
+    """A page's url ends with the number of the document it shows; its label counts for the page."""
+    return url_rules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,24 +85,31 @@ def _op1_sql() -> str:
 
 
 def _op10_sql() -> str:
-    rows = ", ".join(f"('{k}', '{v.lower()}')" for k, v in licenses.TEMPLATES.items())
+    quoted = lambda x: x.lower().replace("'", "''")
+    rows = ", ".join(f"({t}, '{k}', '{quoted(v)}')" for t, (k, v) in enumerate(licenses.templates()))
+    filled = "len(list_filter(string_split({0}, chr(10)), lambda v: length(trim(v)) > 0))"
     return f"""
-WITH tpl(name, said) AS (VALUES {rows}), n AS (SELECT count(*) AS n FROM tpl),
-tw AS (SELECT name, unnest(regexp_extract_all(said, '[a-z0-9]+')) AS word FROM tpl),
-ttf AS (SELECT name, word, count(*) AS tf FROM tw GROUP BY 1, 2),
-idf AS (SELECT word, ln((1 + n) / (1 + count(DISTINCT name))) + 1 AS idf FROM ttf, n GROUP BY word, n),
-wt AS (SELECT name, word, idf, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY name)) AS w FROM ttf JOIN idf USING (word)),
-lines AS (SELECT doc_id, source || '/' || lang AS folder, string_split(lower(coalesce(text, '')), chr(10)) AS l FROM documents),
-ln AS (SELECT doc_id, folder, i, l[i] AS said FROM lines, range(1, 100000) t(i) WHERE i <= len(l) AND length(trim(l[i])) > 0),
-total AS (SELECT doc_id, count(*) AS n_lines FROM ln GROUP BY 1),
-tok AS (SELECT doc_id, i, unnest(regexp_extract_all(said, '[a-z0-9]+')) AS word FROM ln WHERE said LIKE '%licen%' OR said LIKE '%public%' OR said LIKE '%released%' OR said LIKE '%domain%'),
-tf AS (SELECT doc_id, i, word, count(*) AS tf FROM tok GROUP BY 1, 2, 3),
-x AS (SELECT doc_id, i, word, tf * coalesce(idf, (SELECT ln(1 + n) + 1 FROM n)) AS x FROM tf LEFT JOIN idf USING (word)),
-norm AS (SELECT doc_id, i, sqrt(sum(x * x)) AS norm FROM x GROUP BY 1, 2),
-cos AS (SELECT x.doc_id, x.i, wt.name, round(sum(x * w) / any_value(norm), 6) AS score FROM x JOIN wt USING (word) JOIN norm ON norm.doc_id = x.doc_id AND norm.i = x.i GROUP BY 1, 2, 3),
-best AS (SELECT doc_id, i, max(score) AS score, min_by(name, (-score, name)) AS name FROM cos WHERE score >= 0.8 GROUP BY 1, 2),
-own AS (SELECT doc_id, max(score) AS own_score, min_by(name, (-score, name)) AS own_license, count(*) AS matched FROM best GROUP BY 1),
-f AS (SELECT d.doc_id, source || '/' || lang AS folder, source || '/' || lang || '/' || d.doc_id AS path, own_license, own_score, coalesce(matched * 2 >= greatest(n_lines, 1), false) AS licence_file FROM documents d LEFT JOIN own ON own.doc_id = d.doc_id LEFT JOIN total ON total.doc_id = d.doc_id),
+WITH tpl(t, name, said) AS (VALUES {rows}), n AS (SELECT count(*) AS n FROM tpl),
+tw AS (SELECT t, name, unnest(regexp_extract_all(said, '[a-z0-9]+')) AS word FROM tpl),
+ttf AS (SELECT t, name, word, count(*) AS tf FROM tw GROUP BY ALL),
+idf AS (SELECT word, ln((1 + n) / (1 + count(DISTINCT t))) + 1 AS idf FROM ttf, n GROUP BY word, n),
+wt AS (SELECT t, name, word, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY t)) AS w FROM ttf JOIN idf USING (word)),
+doc AS (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents),
+split AS (SELECT doc_id, low, string_split_regex(low, '\n(?:[^a-z0-9\n]*\n)+') AS ps FROM doc),
+para AS (SELECT doc_id, unnest(ps) AS said, generate_subscripts(ps, 1) AS p FROM split),
+ln AS (SELECT doc_id, p, unnest(string_split(said, chr(10))) AS said, generate_subscripts(string_split(said, chr(10)), 1) AS l FROM para),
+unit AS (SELECT doc_id, -1 AS p, -1 AS l, low AS said, {filled.format("low")} AS held FROM doc UNION ALL SELECT doc_id, p, -1, said, {filled.format("said")} FROM para UNION ALL SELECT doc_id, p, l, said, 1 FROM ln),
+tok AS (SELECT doc_id, p, l, held, unnest(regexp_extract_all(said, '[a-z0-9]+')) AS word FROM unit),
+tf AS (SELECT doc_id, p, l, held, word, count(*) AS tf FROM tok GROUP BY ALL),
+x AS (SELECT doc_id, p, l, held, word, tf * coalesce(idf, (SELECT ln(1 + n) + 1 FROM n)) AS x FROM tf LEFT JOIN idf USING (word)),
+norm AS (SELECT doc_id, p, l, held, sqrt(sum(x * x)) AS norm FROM x GROUP BY ALL),
+dots AS (SELECT doc_id, p, l, t, name, sum(x * w) AS dot FROM x JOIN wt USING (word) GROUP BY ALL),
+cos AS (SELECT doc_id, p, l, held, name, round(dot / norm, 6) AS score FROM dots JOIN norm USING (doc_id, p, l)),
+best AS (SELECT doc_id, p, l, held, max(score) AS score, min_by(name, (-score, name)) AS name FROM cos WHERE score >= 0.8 GROUP BY ALL),
+part AS (SELECT doc_id, p, greatest(coalesce(max(CASE WHEN l < 0 THEN held END), 0), count(CASE WHEN l >= 0 THEN 1 END)) AS lines FROM best GROUP BY ALL),
+told AS (SELECT doc_id, greatest(sum(CASE WHEN p >= 0 THEN lines ELSE 0 END), max(CASE WHEN p < 0 THEN lines ELSE 0 END)) AS lines FROM part GROUP BY 1),
+own AS (SELECT doc_id, max(score) AS own_score, min_by(name, (-score, name)) AS own_license FROM best GROUP BY 1),
+f AS (SELECT d.doc_id, source || '/' || lang AS folder, source || '/' || lang || '/' || d.doc_id AS path, own_license, own_score, coalesce(lines * 2 >= {filled.format("coalesce(text, '')")}, false) AS licence_file FROM documents d LEFT JOIN own ON own.doc_id = d.doc_id LEFT JOIN told ON told.doc_id = d.doc_id),
 holds AS (SELECT folder, min_by(own_license, (-own_score, own_license)) AS folder_license FROM f WHERE licence_file GROUP BY 1)
 SELECT doc_id, path, own_license, own_score, licence_file, coalesce(own_license, folder_license) AS license, CASE WHEN own_license IS NULL AND folder_license IS NOT NULL THEN f.folder END AS licensed_by
 FROM f LEFT JOIN holds ON holds.folder = f.folder"""

@@ -45,17 +45,22 @@ def tokens() -> Column:
     return F.array_distinct(F.filter(F.concat(labels, words), lambda x: F.length(x) > 2))
 
 
-def mine(labelled: DataFrame, support: float = 0.005, confidence: float = 0.9) -> DataFrame:
-    """Rules antecedent (array) -> verdict by FP-growth over ``tokens`` and ``label`` (null: unlabelled).
+def document() -> Column:
+    """Number of the document that a page shows: the last part of ``path``, less any suffix."""
+    return F.expr(r"try_cast(regexp_extract(path, '/([0-9]{1,18})(?:/|[.][a-z]+)?$', 1) AS BIGINT)")
 
-    Unlabelled pages take part as neither verdict, so a combination that is common outside the
-    labels has little confidence. A rule whose antecedent has a proper part with at least its
-    confidence for the same verdict adds nothing, and is pruned.
+
+def mine(labelled: DataFrame, support: float = 0.005, confidence: float = 0.9, lift: float = 1.02) -> DataFrame:
+    """Rules antecedent (array) -> verdict by FP-growth over ``tokens`` and ``label`` of labelled pages.
+
+    Rows without a label take no part. ``support``, ``confidence`` and ``lift`` are the least of a
+    rule. A rule whose antecedent has a proper part with at least its confidence for the same
+    verdict adds nothing, and is pruned. No labelled rows give no rules.
     """
-    goods = labelled.select(F.when(F.col("label").isNull(), F.col("tokens")).otherwise(F.concat("tokens", F.array("label"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(goods.where(F.size("items") > 0))
+    goods = labelled.where("label is not null").select(F.concat("tokens", F.array("label")).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(goods)
     found = model.associationRules.where(F.col("consequent")[0].isin(BLOCK, ALLOW)).select(
-        F.array_sort("antecedent").alias("antecedent"), F.col("consequent")[0].alias("label"), "confidence", "support"
+        F.array_sort("antecedent").alias("antecedent"), F.col("consequent")[0].alias("label"), "confidence", "support", "lift"
     )
     found = found.where(~F.array_contains("antecedent", BLOCK) & ~F.array_contains("antecedent", ALLOW))
     # a part of a rule is met by dropping each token in turn; the parts of frequent rules are frequent
@@ -66,23 +71,32 @@ def mine(labelled: DataFrame, support: float = 0.005, confidence: float = 0.9) -
     better = parts_of.join(
         found.select(F.col("antecedent").alias("part"), "label", F.col("confidence").alias("part_confidence")), ["part", "label"]
     ).where(F.col("part_confidence") >= F.col("confidence"))
-    return found.join(better.select("antecedent", "label").distinct(), ["antecedent", "label"], "left_anti")
+    return found.where(F.col("lift") >= lift).join(better.select("antecedent", "label").distinct(), ["antecedent", "label"], "left_anti")
 
 
-def judge(pages: DataFrame, rules: dict[str, str] | None = None, support: float = 0.005, confidence: float = 0.9) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame | None = None, rules: dict[str, str] | None = None, support: float = 0.005, confidence: float = 0.9, lift: float = 1.02) -> DataFrame:
     """page_id, host, path, rule and verdict of every row, then the mined rule's tokens and confidence.
 
-    The stated rules' verdicts are the labels that association rules are mined from. Where no
-    stated rule fits, an inverted index from tokens to mined rules finds those whose tokens a
-    page all has; the most confident one decides (ties: larger support, then block, then the
-    first tokens), and where none fits the page is allowed. Null urls and urls without ``://``
-    have empty host and path. An empty table gives no rows.
+    Association rules are mined from the labelled pages. A page's label is the verdict of the
+    stated rule that fits it; or else that of the document it shows, if ``labels`` (doc_id,
+    toxic) has one: block if toxic. Of a document with several labels any toxic one counts;
+    nulls are no labels.
+
+    Where no stated rule fits, an inverted index from tokens to mined rules finds those whose
+    tokens a page all has; the most confident one decides (ties: larger support, then block,
+    then the first tokens), and where none fits the page is allowed. Null urls and urls without
+    ``://`` have empty host and path. An empty table gives no rows.
     """
     rules = rules or RULES
     told = F.create_map(*[F.lit(x) for kv in rules.items() for x in kv])
     base = parts(pages).withColumn("rule", stated(rules)).withColumn("tokens", tokens())
     label = F.when(F.col("rule").isNotNull(), F.concat(F.lit("verdict="), told[F.col("rule")]))
-    mined = mine(base.select("tokens", label.alias("label")), support, confidence)
+    labelled = base.where("rule is not null").select("tokens", label.alias("label"))
+    if labels is not None:
+        said = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc")).agg(F.max("toxic").alias("toxic"))
+        shown = base.where("rule is null").select("tokens", document().alias("doc")).join(said, "doc")
+        labelled = labelled.union(shown.select("tokens", F.when(F.col("toxic") > 0, BLOCK).otherwise(ALLOW)))
+    mined = mine(labelled, support, confidence, lift)
     # the rules are few by support, but that is checked: their number decides how they travel
     ranked = mined.select(F.xxhash64("antecedent", "label").alias("rule_id"), "*")
     index = ranked.select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,23 +23,46 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def hashes_of(most: int = 500_000) -> Callable[[list[list[bytes]]], np.ndarray]:
-    """A function from documents' words to their 64-bit hashes; it holds ``most`` words' at most."""
-    from xxhash import xxh64_intdigest
+class Vocabulary(dict):
+    """Numbers words as they come, and knows what ``of`` says of each new run of them (columns).
+
+    It starts afresh when it holds over ``most`` words, so a task's share of it is bounded.
+    """
+
+    def __init__(self, of: Callable[[list[bytes]], list[np.ndarray]], most: int = 200_000):
+        super().__init__()
+        self.of, self.most, self.new, self.columns = of, most, [], None
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = out = len(self)
+        self.new.append(word)
+        return out
+
+    def __call__(self, told: list[list[bytes]]) -> list[np.ndarray]:
+        """The columns of every word of ``told``, in order."""
+        if len(self) > self.most:
+            self.clear()
+            self.columns = None
+        at = np.fromiter(map(self.__getitem__, chain.from_iterable(told)), "i4", sum(map(len, told)))
+        if self.new:
+            more = self.of(self.new)
+            self.columns = more if self.columns is None else [np.concatenate(x) for x in zip(self.columns, more, strict=True)]
+            self.new = []
+        return [x[at] for x in self.columns] if len(at) else self.of([])
 
-    class Seen(dict):
-        def __missing__(self, word: bytes) -> int:
-            self[word] = out = xxh64_intdigest(word, 42)
-            return out
 
-    seen = Seen()
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    from xxhash import xxh64_intdigest
+
+    return np.fromiter((xxh64_intdigest(w, 42) for w in words), "u8", len(words))
 
-    def run(told: list[list[bytes]]) -> np.ndarray:
-        if len(seen) > most:
-            seen.clear()
-        return np.fromiter((x for w in told for x in map(seen.__getitem__, w)), "u8", sum(map(len, told)))
 
-    return run
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that sorts ``keys``, where in it each different key begins, and how often it occurs."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, "i8")
+    return order, new, np.diff(np.append(new, len(keys)))
 
 
 def key_of(ctx: np.ndarray, d: int) -> np.ndarray:

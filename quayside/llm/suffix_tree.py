@@ -18,7 +18,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, slices, words
-from .hashing import BASE, Bits, hashes_of, key_of, longs, mapped, mix, pairs_of, past
+from .hashing import BASE, Bits, Vocabulary, distinct, hashes_of, key_of, longs, mapped, mix, pairs_of, past
 
 #: The closing token of every document; no word is empty.
 END = b""
-#: Different words, or n-gram positions, that a task counts before it hands them on.
-BUFFER_WORDS, BUFFER_POSITIONS = 400_000, 2_000_000
+#: Different words, or n-grams, that a task counts before it hands them on; bytes of a run of texts.
+BUFFER_WORDS, BUFFER_GRAMS, RUN = 250_000, 1_000_000, 2_000_000
 CLASS = np.uint64(0xA0761D6478BD642F)  # sets the symbols of classes apart
 #: A context with one in so many of all tokens is dealt to ``SALTS`` groups by its next word.
 HOT, SALTS = 2_000, 64
@@ -78,13 +77,13 @@ def word_counts(docs: DataFrame) -> DataFrame:
         seen: Counter[bytes] = Counter()
 
         def flush() -> pa.RecordBatch:
-            h = hashes_of(0)([list(seen)])
+            h = hashes_of(list(seen))
             kinds = np.fromiter(map(_class, seen), "i4", len(seen))
             out = pa.RecordBatch.from_arrays([pa.array(h.view("i8")), pa.array(kinds), pa.array(list(seen.values()), pa.int64())], ["key", "kind", "n"])
             seen.clear()
             return out
 
-        for batch in slices(batches):
+        for batch in slices(batches, RUN):
             for text in batch.column(0).to_pylist():
                 seen.update(words(text))
                 seen[END] += 1
@@ -105,17 +104,13 @@ def _told(texts: pa.Array) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
     return told, np.cumsum(size) - size, size
 
 
-def _symbols(told: list[list[bytes]], h: np.ndarray, own: Bits) -> np.ndarray:
-    """Symbols of words with the hashes ``h``. A rare word that ``own`` holds wrongly is its own
-    symbol, in counting as in scoring."""
-    out, flat = h.copy(), list(chain.from_iterable(told))
-    rare = np.flatnonzero(~own.holds(h))
-    out[rare] = _class_symbols(np.fromiter((_class(flat[i]) for i in rare.tolist()), "i8", len(rare)))
-    return out
-
-
-def end_symbol(own: Bits) -> np.uint64:
-    return _symbols([[END]], hashes_of()([[END]]), own)[0]
+def _symbols(words: list[bytes], own: Bits) -> list[np.ndarray]:
+    """Hashes and symbols of words. A rare word that ``own`` holds wrongly is its own symbol, in
+    counting as in scoring."""
+    h = hashes_of(words)
+    out, rare = h.copy(), np.flatnonzero(~own.holds(h))
+    out[rare] = _class_symbols(np.fromiter((_class(words[i]) for i in rare.tolist()), "i8", len(rare)))
+    return [h, out]
 
 
 def symbol_counts(counts: DataFrame, own: Broadcast) -> DataFrame:
@@ -138,31 +133,33 @@ def _grams(train: DataFrame, d: int, own: Broadcast, wanted: Broadcast, hot: Bro
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size, end = hashes_of(), [], 0, end_symbol(own.value)
+        symbols, held, size = Vocabulary(lambda words: _symbols(words, own.value)[1:]), [], 0
+        end = _symbols([END], own.value)[1][0]
 
         def flush() -> pa.RecordBatch:
-            ctx, word, suf = (np.concatenate([x[k] for x in held]) for k in range(3))
+            ctx, word, suf, n = (np.concatenate([x[k] for x in held]) for k in range(4))
             held.clear()
-            _, at, n = np.unique(pairs_of(ctx, word), return_index=True, return_counts=True)
+            order, new, _ = distinct(pairs_of(ctx, word))
+            n, at = np.add.reduceat(n[order], new) if len(new) else n, order[new]
             ctx, word, suf = ctx[at], word[at], suf[at]
-            salt = np.where(np.isin(ctx, hot.value), word >> np.uint64(58), np.uint64(0)).astype("i4")
-            order = np.lexsort((salt, ctx))
-            ctx, word, suf, salt, n = ctx[order], word[order], suf[order], salt[order], n[order].astype("i4")
-            new = np.flatnonzero(np.concatenate([[True], (ctx[1:] != ctx[:-1]) | (salt[1:] != salt[:-1])])) if len(ctx) else np.empty(0, "i8")
-            ends = pa.array(np.append(new, len(ctx)), pa.int32())
-            return pa.RecordBatch.from_arrays(
-                [pa.array(ctx[new].view("i8")), pa.array(suf[new].view("i8")), pa.array(salt[new]), pa.ListArray.from_arrays(ends, pa.array(word.view("i8"))), pa.ListArray.from_arrays(ends, pa.array(n))],
-                ["ctx", "suf", "salt", "word", "n"],
-            )
-
-        for batch in slices(batches):
+            salt = np.where(np.isin(ctx, hot.value), word >> np.uint64(58), np.uint64(0))
+            order, new, _ = distinct(ctx + salt)
+            at, ends = order[new], pa.array(np.append(new, len(ctx)), pa.int32())
+            words = pa.ListArray.from_arrays(ends, pa.array(word[order].view("i8")))
+            times = pa.ListArray.from_arrays(ends, pa.array(n[order].astype("i4")))
+            cols = [pa.array(ctx[at].view("i8")), pa.array(suf[at].view("i8")), pa.array(salt[at].astype("i4")), words, times]
+            return pa.RecordBatch.from_arrays(cols, ["ctx", "suf", "salt", "word", "n"])
+
+        for batch in slices(batches, RUN):
             told, first, _ = _told(batch.column(0))
-            h = _symbols(told, hashes(told), own.value)
-            ctx, suf, ok = past(h, first, d, end)
+            (s,) = symbols(told)
+            ctx, suf, ok = past(s, first, d, end)
             use = np.flatnonzero(ok & wanted.value.holds(key_of(ctx, d)))
-            held.append((ctx[use], h[use], suf[use]))
-            size += len(use)
-            if size >= BUFFER_POSITIONS:
+            order, new, n = distinct(pairs_of(ctx[use], s[use]))
+            at = use[order[new]]
+            held.append((ctx[at], s[at], suf[at], n))
+            size += len(at)
+            if size >= BUFFER_GRAMS:
                 yield flush()
                 size = 0
         if held:
@@ -173,7 +170,7 @@ def _grams(train: DataFrame, d: int, own: Broadcast, wanted: Broadcast, hot: Bro
     return each.groupBy("ctx", "suf", "salt", "word").agg(F.sum("n").alias("n")).select("ctx", "suf", "word", "n")
 
 
-def fit(train: DataFrame, depth: int = 4, least: int = 100, listed: int = 3, worth: float = 3.0, divergence: float = 0.02, mu: float = 10.0) -> Tree:
+def fit(train: DataFrame, depth: int = 3, least: int = 100, listed: int = 3, worth: float = 3.0, divergence: float = 0.02, mu: float = 10.0) -> Tree:
     """Learn the tree from the texts of ``train``, length after length of context.
 
     With T occurrences of a context, n of a word after it, and P the word's probability in the
@@ -280,14 +277,19 @@ def score(docs: DataFrame, tree: Tree, kept: list[str] | None = None, top_words:
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, frequent, bits, own = shared.value
-        end, hashes, task, row = end_symbol(own), hashes_of(), TaskContext.get().partitionId() << 40, 0
-        for batch in slices(batches):
+        end, task, row = _symbols([END], own)[1][0], TaskContext.get().partitionId() << 40, 0
+
+        def known(words: list[bytes]) -> list[np.ndarray]:
+            h, s = _symbols(words, own)
+            return [h, s, *common.find(h)]
+
+        vocabulary = Vocabulary(known)
+        for batch in slices(batches, RUN):
             told, first, size = _told(batch.column(0))
             if not len(told):
                 continue
-            h, doc = hashes(told), np.repeat(np.arange(len(told)), size)
-            s = _symbols(told, h, own)
-            here, c = common.find(h)
+            h, s, here, c = vocabulary(told)
+            doc = np.repeat(np.arange(len(told)), size)
             base, gain = np.log10(c + 1) - unit, np.zeros(len(h))
             asked, of = [h[~here]], [doc[~here]]
             for d in range(1, depth + 1):
@@ -305,7 +307,8 @@ def score(docs: DataFrame, tree: Tree, kept: list[str] | None = None, top_words:
                     asked.append(keys[~found])
                     of.append(doc[at[~found]])
             key, of = np.concatenate(asked), np.concatenate(of)
-            _, at, times = np.unique(pairs_of(key, of.astype("u8")), return_index=True, return_counts=True)
+            order, new, times = distinct(pairs_of(key, of.astype("u8")))
+            at = order[new]
             rows = task + row + np.arange(len(told))
             row += len(told)
             n = len(at)

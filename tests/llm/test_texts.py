@@ -114,7 +114,7 @@ def corpus(spark, n=150):
 def test_suffix_tree_counts_are_exact(spark):
     rows = corpus(spark)
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, score string")
-    got = {r.doc_id: r for r in suffix_tree.train_and_score(docs, share=0.01, context_share=0.005).collect()}
+    got = {r.doc_id: r for r in suffix_tree.train_and_score(docs, least=20).collect()}
     told = {i: [*words(t), None] for i, t in rows}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in told}
     c = collections.Counter(w for i in told if not held[i] for w in told[i])
@@ -128,62 +128,100 @@ def test_suffix_tree_counts_are_exact(spark):
     assert sum(got[i].score for i in out) > sum(got[i].base_score for i in out)
 
 
-def test_suffix_tree_distributions_sum_to_one(spark):
-    docs = spark.createDataFrame(corpus(spark), "doc_id long, text string")
-    model, _ = suffix_tree.fit(docs, share=0.01, context_share=0.005)
-    assert len(model.levels) == 2 and all(level.kept.any() for level in model.levels)
-    symbols = np.arange(model.a)
-    for d, level in enumerate(model.levels, 1):
-        for c in np.flatnonzero(level.kept)[:20]:
-            p = 10.0 ** suffix_tree._at(model.levels, model.root, d, np.full(model.a, c), symbols, model.a)
-            assert p.sum() == pytest.approx(1, abs=1e-6)
-
-
-def test_suffix_tree_grows_below_the_shares(spark):
-    """A rare phrase, far below every share, is learnt whole and in proportion to its evidence."""
+def brute_tree(train, depth, least, listed, worth, divergence, mu):
+    """The tree by dictionaries, as ``fit`` defines it; a function from words to their log10 probability."""
+    told = [[*(w.encode() for w in words(t)), b""] for t in train]
+    c = collections.Counter(w for t in told for w in t)
+    unit = sum(c.values()) + len(c) + 1
+    sym = lambda w: w if c[w] >= least else int.from_bytes(w[-2:], "big")
+    root = collections.Counter()
+    for w, n in c.items():
+        root[sym(w)] += (n + 1) / unit
+    before = lambda s, p, d: tuple(([sym(b""), *s[:p]] if p < d else s[p - d : p])[-d:]) if p >= d - 1 else None
+    kept, rows = {}, [[sym(w) for w in t] for t in told]
+    for d in range(1, depth + 1):
+        after = collections.defaultdict(collections.Counter)
+        for s in rows:
+            for p, x in enumerate(s):
+                after[before(s, p, d)][x] += 1
+        after.pop(None, None)
+        shorter = dict(kept)
+
+        def prior(ctx, x, shorter=shorter):
+            out = math.log10(root[x])
+            for k in range(1, len(ctx) + 1):
+                if ctx[-k:] in shorter:
+                    free, logp = shorter[ctx[-k:]]
+                    out = logp.get(x, free + out)
+            return out
+
+        for ctx, n in after.items():
+            t = sum(n.values())
+            if t < least:
+                continue
+            often = {x: k for x, k in n.items() if k >= listed}
+            less = sum(k - 1 for k in often.values())
+            pick = {x: k for x, k in often.items() if k * math.log1p((k - 1) / ((t - less + mu) * 10 ** prior(ctx[1:], x))) >= worth}
+            free = math.log10((t - sum(k - 1 for k in pick.values()) + mu) / (t + mu))
+            logp = {x: math.log10((k - 1) / (t + mu) + 10 ** (free + prior(ctx[1:], x))) for x, k in pick.items()}
+            gain = sum(k * (logp[x] - prior(ctx[1:], x)) for x, k in pick.items()) + (t - sum(pick.values())) * free
+            if pick and gain * math.log(10) / t >= divergence:
+                kept[ctx] = (free, logp)
+                assert sum(10 ** logp.get(x, free + prior(ctx[1:], x)) for x in root) == pytest.approx(1, abs=1e-3)
+
+    def score(text):
+        w = [*(x.encode() for x in words(text)), b""]
+        s, out = [sym(x) for x in w], 0.0
+        for p, x in enumerate(w):
+            own = logp = math.log10(root.get(s[p], 1 / unit))
+            for d in range(1, depth + 1):
+                if (ctx := before(s, p, d)) in kept:
+                    free, said = kept[ctx]
+                    logp = said.get(s[p], free + logp)
+            out += math.log10((c[x] + 1) / unit) + logp - own
+        return out
+
+    return kept, score
+
+
+@pytest.mark.parametrize(("depth", "least", "listed", "worth", "divergence", "mu"), [(3, 30, 2, 1.0, 0.01, 10.0), (2, 15, 3, 3.0, 0.02, 3.0), (4, 60, 2, 0.5, 0.3, 10.0)])
+def test_suffix_tree_equals_brute_force(spark, depth, least, listed, worth, divergence, mu):
+    rng = random.Random(4)
+    turns = ["red one up", "red two down", "blue one down", "blue two up"]
+    say = lambda: rng.choice([*turns, *(f"v{rng.randint(0, 60)}" for _ in range(4)), rng.choice(["the of", "und der", f"R{rng.randint(0, 9999)}en"])])
+    texts = [" ".join(say() for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    options = {"depth": depth, "least": least, "listed": listed, "worth": worth, "divergence": divergence, "mu": mu}
+    tree = suffix_tree.fit(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5), **options)
+    kept, score = brute_tree(texts, **options)
+    assert [k.count() for k, _ in tree.levels] == [sum(len(c) == d for c in kept) for d in range(1, len(tree.levels) + 1)]
+    assert sum(e.count() for _, e in tree.levels) == sum(len(logp) for _, logp in kept.values()) and {len(c) for c in kept} >= {1, 2}
+    docs = [*enumerate([*texts[:40], *turns, *[f"{t} v1 v2 R99999en" for t in turns], "never seen wörds at all", "", "red"])]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    for most in ({}, {"top_words": 0, "top_nodes": 0}, {"top_words": 40, "top_nodes": 30}):
+        got = {r.doc_id: r.score for r in suffix_tree.score(frame, tree, **most).collect()}
+        assert all(got[i] == pytest.approx(score(t), abs=1e-6) for i, t in docs)
+
+
+def test_suffix_tree_learns_more_from_more(spark):
+    """What is learnt of rare phrases grows with the evidence, not with its share of the corpus."""
     rng = random.Random(8)
-    rows = [(i, " ".join(f"w{rng.randint(0, 300)}" for _ in range(50))) for i in range(600)]
+    rows = [" ".join(f"w{rng.randint(0, 300)}" for _ in range(50)) for _ in range(600)]
     turns = ["red one up", "red two down", "blue one down", "blue two up"]
-    rows += [(1000 + i, f"w{i % 300} {turns[i % 4]} w{(7 * i) % 300}") for i in range(400)]
-    train = spark.createDataFrame(rows, "doc_id long, text string")
-    big = {"count_share": 1e-3, "share": 0.02, "context_share": 0.5, "entry_share": 0.02}
-    model, wc = suffix_tree.fit(train, **big)
-    tail = suffix_tree.grow(train, model, wc, least=60)
-    assert [d for d, _, _ in tail.levels][:2] == [1, 2]
-    said = [(5000 + i, t) for i, t in enumerate(turns)] + [(6000 + i, " ".join([*t.split()[:2], "down" if t.endswith("up") else "up"])) for i, t in enumerate(turns)]
-    docs = spark.createDataFrame(said, "doc_id long, text string")
-    plain, grown = ({r.doc_id: r.score for r in suffix_tree.score(docs, model, wc, ["doc_id"], t).collect()} for t in (None, tail))
-    for i in range(4):
-        # one word back is not enough to tell up from down, two are
-        assert grown[5000 + i] > grown[6000 + i] + 1.0 and grown[5000 + i] > plain[5000 + i] + 0.3
-        assert abs(plain[5000 + i] - plain[6000 + i]) < 0.05
-    assert not suffix_tree.grow(train.limit(0), model, wc, least=1000).levels
-
-
-def test_suffix_tree_tail_equals_brute_force(spark):
-    """Kept contexts of one word and their entries, counted and smoothed by hand."""
-    rng = random.Random(4)
-    told = [[*(x for _ in range(12) for x in (("p", "q") if rng.random() < 0.5 else (f"v{rng.randint(0, 40)}",)))] for _ in range(60)]
-    train = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(told)], "doc_id long, text string")
-    model, wc = suffix_tree.fit(train, share=0.9, context_share=0.9, divergence=1e9)
-    assert not any(level.kept.any() for level in model.levels)
-    tail = suffix_tree.grow(train, model, wc, least=50)
-    c = collections.Counter(x for w in told for x in [*w, ""])
-    pairs = collections.Counter((a, b) for w in told for a, b in zip(["", *w], [*w, ""], strict=True))
-    docs = spark.createDataFrame([(i, f"{a} {b}") for i, (a, b) in enumerate([("p", "q"), ("p", "v1"), ("q", "p")])], "doc_id long, text string")
-    got, plain = ({r.doc_id: r.score for r in suffix_tree.score(docs, model, wc, ["doc_id"], t).collect()} for t in (tail, None))
-    first = [x for x in tail.levels if x[0] == 1][0]
-    assert c["p"] >= 50
-    after = {b: n for (a, b), n in pairs.items() if a == "p"}
-    total, kinds = sum(after.values()), len(after)
-    # P(q) of the top of the tree is the same wherever it stands, as no context is kept there
-    single = spark.createDataFrame([(0, "q"), (1, "")], "doc_id long, text string")
-    base = {r.doc_id: r.score for r in suffix_tree.score(single, model, wc, ["doc_id"], None).collect()}
-    q = 10 ** (base[0] - base[1])
-    want = (after["q"] - 1 + (kinds + 10) * q) / (total + 10)
-    row = max(r.logp for r in first[2].collect())
-    assert row == pytest.approx(math.log10(want), abs=1e-5)
-    assert got[0] > plain[0] and got[0] > got[1]
+    rows += [f"w{i % 300} {turns[i % 4]} w{(7 * i) % 300}" for i in range(400)]
+    tree = suffix_tree.fit(spark.createDataFrame([*enumerate(rows)], "doc_id long, text string"), least=60)
+    wrong = [" ".join([*t.split()[:2], "down" if t.endswith("up") else "up"]) for t in turns]
+    got = {r.doc_id: r.score for r in suffix_tree.score(spark.createDataFrame([*enumerate([*turns, *wrong])], "doc_id long, text string"), tree).collect()}
+    # one word back is not enough to tell up from down, two are
+    assert all(got[i] > got[i + 4] + 1.0 for i in range(4))
+
+
+def test_frequent_rows_are_bounded(spark):
+    table = spark.createDataFrame([(i, 1 + i // 3, float(i)) for i in range(300)], "key long, n long, gain double")
+    for most in (0, 1, 10, 100, 299, 300, 1000):
+        top = suffix_tree.Top.of(table, "gain", most)
+        assert len(top.keys) <= most and len(top.keys) == sum(1 + i // 3 >= top.floor for i in range(300))
+        here, value = top.find(np.arange(300, dtype="u8"))
+        assert [(bool(a), b) for a, b in zip(here, value, strict=True)] == [(1 + i // 3 >= top.floor, float(i) if 1 + i // 3 >= top.floor else 0.0) for i in range(300)]
 
 
 def test_suffix_tree_empty_and_all_held_out(spark):

@@ -87,6 +87,8 @@ def templates() -> list[tuple[str, str]]:
 
 
 WORD = r"[a-z0-9]+"
+#: Words of any English text.
+COMMON = frozenset("a all an and any are as at be by can do for from has have if in is it no not of on only or other that the this to was with you your".split())
 #: Between paragraphs: lines without a letter a-z or a digit.
 GAP = r"\n(?:[^a-z0-9\n]*\n)+"
 #: Names of files that are there to state a licence.
@@ -110,8 +112,9 @@ class Model:
             for x, v in weight.items():
                 self.weights.setdefault(x, []).append((k, v / norm))
             left = 1.0
-            # a text without any of these words cannot reach the threshold: the rest is too light
-            for x in sorted(weight, key=lambda x: (df[x], -len(x), x)):
+            # a text without any of these words cannot reach the threshold: the rest is too light; long
+            # words come first and common ones last, as few texts have those
+            for x in sorted(weight, key=lambda x: (x in COMMON, -len(x), x)):
                 if left < threshold**2:
                     break
                 needed.add(x)
@@ -149,23 +152,31 @@ def headers(files: DataFrame, threshold: float = 0.8, texts: list[tuple[str, str
     tf = F.transform("first", lambda i, k: F.struct(F.get("sorted", i).alias("word"), (F.coalesce(F.get("first", k + 1), F.size("sorted")) - i).alias("tf")))
     rows = rows.select(*file, "p", "l", "held", tf.alias("tf"))
     known = list(m.idf)
-    squares = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x["tf"] * x["tf"])
-    rows = rows.select(*file, "p", "l", "held", F.filter("tf", lambda x: x["word"].isin(known)).alias("tf"), squares(F.filter("tf", lambda x: ~x["word"].isin(known))).alias("other"))
-    # no known word weighs more than an unknown one: with too few of them the threshold is out of reach
-    may = F.col("other") * threshold**2 <= squares("tf") * (1 - threshold**2) + 1e-9
-    rows = rows.select(*file, "p", "l", "held", "other", F.explode_outer(F.when(may, F.col("tf"))).alias("tf")).select(*file, "p", "l", "held", "other", "tf.*")
+    squares = lambda c, idf: F.aggregate(c, F.lit(0.0), lambda a, x: a + F.pow(x["tf"] * idf(x["word"]), F.lit(2)))
+
+    def idf(word):  # the words of one weight are one set
+        out = F.lit(m.unseen)
+        for value in sorted(set(m.idf.values()), reverse=True):
+            out = F.when(word.isin([x for x in known if m.idf[x] == value]), value).otherwise(out)
+        return out
+
+    other = squares(F.filter("tf", lambda x: ~x["word"].isin(known)), lambda _: F.lit(m.unseen))
+    rows = rows.select(*file, "p", "l", "held", F.filter("tf", lambda x: x["word"].isin(known)).alias("tf"), other.alias("other"))
+    rows = rows.select(*file, "p", "l", "held", "tf", "other", squares("tf", idf).alias("own"))
+    # the cosine is at most the share of known words in the norm
+    may = F.col("own") * (1 + 1e-9) >= threshold**2 * (F.col("own") + F.col("other"))
+    unit = [*file, "p", "l", "held", "norm"]
+    rows = rows.select(*file, "p", "l", "held", F.sqrt(F.col("own") + F.col("other")).alias("norm"), F.explode_outer(F.when(may, F.col("tf"))).alias("tf")).select(*unit, "tf.*")
     weights = files.sparkSession.createDataFrame([(x, m.idf[x], m.weights[x]) for x in known], "word string, idf double, w array<struct<t:int,w:double>>")
-    met = rows.join(F.broadcast(weights), "word", "left").withColumn("x", F.col("tf") * F.col("idf"))
-    # a template -1 whose weights are the unit's own gives the norm
-    met = met.select(*file, "p", "l", "held", "other", "x", F.explode_outer(F.concat("w", F.array(F.struct(F.lit(-1).alias("t"), F.col("x").alias("w"))))).alias("w"))
-    dots = met.repartition("row").groupBy(*file, "p", "l", "held", "other", F.col("w.t").alias("t")).agg(F.sum(F.col("x") * F.col("w.w")).alias("dot"))
+    met = rows.join(F.broadcast(weights), "word", "left")
+    met = met.select(*unit, (F.col("tf") * F.col("idf")).alias("x"), F.explode_outer("w").alias("w"))
+    dots = met.groupBy(*unit, F.col("w.t").alias("t")).agg(F.sum(F.col("x") * F.col("w.w")).alias("dot")).repartition("row")
     order = {k: -i for i, k in enumerate(sorted(set(m.names)))}
     names = files.sparkSession.createDataFrame([(t, order[k], k) for t, k in enumerate(m.names)], "t int, rank int, name string")
     named = dots.join(F.broadcast(names), "t", "left")
-    best = F.max(F.when(F.col("t") >= 0, F.struct("dot", "rank", "name")))
-    each = named.groupBy(*file, "p", "l", "held", "other").agg(best.alias("best"), F.max(F.when(F.col("t") < 0, F.col("dot"))).alias("own"))
-    score = F.round(F.col("best.dot") / F.sqrt(F.col("own") + F.col("other") * m.unseen**2), 6)
-    good = each.select(*file, "p", "l", "held", F.when(score >= threshold, F.struct(score.alias("score"), "best.rank", "best.name")).alias("own"))
+    score = F.round(F.col("dot") / F.col("norm"), 6)
+    best = F.max(F.when(score >= threshold, F.struct(score.alias("score"), "rank", "name")))
+    good = named.groupBy(*file, "p", "l", "held").agg(best.alias("own"))
     said = F.col("own").isNotNull()
     # lines that a paragraph, or the whole text, accounts for
     whole, single = F.max(F.when(said & (F.col("l") < 0), F.col("held"))), F.count_if(said & (F.col("l") >= 0))

@@ -36,18 +36,23 @@ def leading_number(normalized: Column) -> Column:
 
 
 def assess_transition(previous: Column, current: Column) -> Column:
-    """plausible, identical, suspicious (leading number fell, or rose by over five) or
-    uncomparable (no tokens, or another shape). Null or empty ``previous``: plausible."""
+    """Struct of verdict and reason. The verdict is plausible, identical, suspicious (leading number
+    fell, or rose by over five) or uncomparable (no tokens, or another shape). Null or empty
+    ``previous``: plausible."""
     a, b = leading_number(previous), leading_number(current)
     none = F.size(version_tokens(previous)) * F.size(version_tokens(current)) == 0
+    shape, then = version_skeleton(previous), version_skeleton(current)
+    told = lambda verdict, *reason: F.struct(F.lit(verdict).alias("verdict"), F.concat(*[F.lit(r) if isinstance(r, str) else r.cast("string") for r in reason]).alias("reason"))
+    # Verdicts and what a reviewer reads with them.
     return (
-        F.when(previous.isNull() | (previous == ""), "plausible")
-        .when(previous == current, "identical")
-        .when(none, "uncomparable")
-        .when(version_skeleton(previous) != version_skeleton(current), "uncomparable")
-        .when(a.isNull() | b.isNull(), "plausible")
-        .when((b < a) | (b > a + LARGEST_STEP), "suspicious")
-        .otherwise("plausible")
+        F.when(previous.isNull() | (previous == ""), told("plausible", "no previously observed version for this product and channel"))
+        .when(previous == current, told("identical", "identical to the previously observed version"))
+        .when(none, told("uncomparable", "one of the versions contains no recognisable tokens"))
+        .when(shape != then, told("uncomparable", "version shape changed from ", shape, " to ", then))
+        .when(a.isNull() | b.isNull(), told("plausible", "no numeric component to compare"))
+        .when(b < a, told("suspicious", "leading numeric component decreased from ", a, " to ", b))
+        .when(b > a + LARGEST_STEP, told("suspicious", "leading numeric component jumped from ", a, " to ", b))
+        .otherwise(told("plausible", "consistent with the previously observed version"))
     )
 
 

@@ -43,11 +43,13 @@ def gate_context(candidates: DataFrame, sources: DataFrame, products: DataFrame,
     dup = live.groupBy(F.col("product_id").alias("lookup_id"), "version", "channel").agg(F.min_by("id", F.struct("first_observed_on", "id")).alias("duplicate_id"))
     prev = latest.latest_release(releases, mappings).select(F.col("product_id").alias("lookup_id"), "channel", F.col("version").alias("previous"))
     rows = rows.join(dup, ["lookup_id", "version", "channel"], "left").join(prev, ["lookup_id", "channel"], "left")
-    # claims folded per subject, version and rank before they meet the candidates
+    # claims folded per subject, version and rank before they meet the candidates; a source has one
+    # claim on a subject, so a side with a second source has one that is not the candidate's
     claims = conflicts.eligible_claims(observations, sources)
-    sides = claims.groupBy(F.col("product_id").alias("subject_id"), "channel").agg(F.collect_set(F.struct("version", "rank", "source_id")).alias("claims"))
+    sides = claims.groupBy(F.col("product_id").alias("subject_id"), "channel", "version", "rank").agg(F.count("*").alias("n"), F.min("source_id").alias("one"))
+    sides = sides.groupBy("subject_id", "channel").agg(F.collect_list(F.struct("version", "rank", "n", "one")).alias("claims"))
     rows = rows.join(sides, ["subject_id", "channel"], "left")
-    others = F.filter(F.coalesce("claims", F.array().cast("array<struct<version:string,rank:int,source_id:bigint>>")), lambda c: (c["source_id"] != F.col("source_id")) & (c["version"] != F.col("version")))
+    others = F.filter(F.coalesce("claims", F.array().cast("array<struct<version:string,rank:int,n:bigint,one:bigint>>")), lambda c: ((c["n"] > 1) | (c["one"] != F.col("source_id"))) & (c["version"] != F.col("version")))
     pick = lambda keep: F.array_sort(F.array_distinct(F.transform(F.filter(others, keep), lambda c: c["version"])))
     return rows.withColumns({
         "conflicting": pick(lambda c: c["rank"] >= F.col("rank")), "outranked": pick(lambda c: c["rank"] < F.col("rank")),
@@ -61,7 +63,7 @@ def validate_candidates(context: DataFrame, today: Column, threshold: str = "0.8
     rejected, or else the last that needs review.
     """
     known = dates.known(F.col("release_date"), F.col("release_date_precision"))
-    step = assess_transition(F.col("previous"), F.col("version"))
+    step = assess_transition(F.col("previous"), F.col("version"))["verdict"]
     told = {
         "product_identity": F.when(F.col("match") == "ambiguous", "review_required").when(F.col("match") != "unique", "rejected"),
         "version_present": F.when(F.col("version").isNull(), "rejected"),

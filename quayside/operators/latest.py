@@ -53,7 +53,7 @@ def previous_version(releases: DataFrame, mappings: DataFrame) -> DataFrame:
     rows = mapped(releases.where(~F.col("withdrawn")), mappings)
     w = Window.partitionBy("product_id", "channel").orderBy(F.col("release_date").asc_nulls_first(), "first_observed_on", "id")
     rows = rows.withColumn("previous", F.lag("version").over(w))
-    return rows.withColumn("transition", assess_transition(F.col("previous"), F.col("version")))
+    return rows.withColumn("transition", assess_transition(F.col("previous"), F.col("version"))["verdict"])
 
 
 def latest_as_of(releases: DataFrame, mappings: DataFrame, days: DataFrame) -> DataFrame:

@@ -129,3 +129,28 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
         F.coalesce(F.min(F.when(search, F.col("occurred_at"))) < F.max(F.when(view, F.col("occurred_at"))), F.lit(False)).alias("converted"),
     )
     return rows.withColumn("abandoned", F.col("found") & ~F.col("viewed"))
+
+
+def ranked(totals: DataFrame, key: str, value: str, tiles: int, buckets: int = 1024) -> DataFrame:
+    """``totals`` (one row a whole-number ``key``) with place, the rank by ``value`` downwards, and
+    decile, the tile of ``tiles`` by value and then key.
+
+    No window takes all rows. Rows are counted by value and by range of keys; prefix sums over
+    these counts say how many rows come before each range, and a row's place in its range is
+    its own window.
+    """
+    low, high, n = totals.agg(F.min(key), F.max(key), F.count("*")).first()
+    width = max(1, -(-((high or 0) - (low or 0) + 1) // buckets))
+    rows = totals.withColumn("bucket", F.floor((F.col(key) - F.lit(low)) / width))
+    counts = rows.groupBy(value, "bucket").agg(F.count("*").alias("here"))
+    above = counts.groupBy(value).agg(F.sum("here").alias("same"))
+    # one row a different value
+    above = above.withColumn("above", F.sum("same").over(Window.orderBy(F.desc(value))) - F.col("same"))
+    before = F.sum("here").over(Window.partitionBy(value).orderBy("bucket")) - F.col("here")
+    starts = counts.select(value, "bucket", before.alias("before")).join(above.select(value, "above"), value)
+    nth = F.row_number().over(Window.partitionBy(value, "bucket").orderBy(key))
+    placed = rows.join(starts, [value, "bucket"]).withColumn("nth", F.col("above") + F.col("before") + nth)
+    size, longer = n // tiles, n % tiles  # the first tiles have one more
+    in_longer = F.ceil(F.col("nth") / (size + 1))
+    tile = F.when(F.col("nth") <= longer * (size + 1), in_longer).otherwise(longer + F.ceil((F.col("nth") - longer * (size + 1)) / max(1, size)))
+    return placed.withColumns({"place": (F.col("above") + 1).cast("int"), "decile": tile.cast("int")}).drop("bucket", "before", "above", "nth")

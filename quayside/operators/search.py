@@ -79,9 +79,16 @@ def model_lookup(pasted: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def typo_clusters(volumes: DataFrame, known: DataFrame, most: int = 2, low: int = 50) -> DataFrame:
     """Rare queries (q, n) within ``most`` edits of a known word that share a trigram with it,
-    with their joint volume."""
-    rare = volumes.where(F.col("n") <= low).select("q", "n", F.explode(text.trigrams(F.col("q"))).alias("t"))
+    with their joint volume.
+
+    An edit destroys three trigrams at most, so of a query's rarest trigrams, three for each edit
+    and one more, some stands in every word so near; only those are joined.
+    """
     post = known.select("word").distinct().select("word", F.explode(text.trigrams(F.col("word"))).alias("t"))
+    counts = post.groupBy("t").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("q").orderBy(F.coalesce("df", F.lit(0)), "t")
+    rare = volumes.where(F.col("n") <= low).select("q", "n", F.explode(text.trigrams(F.col("q"))).alias("t")).join(counts, "t", "left")
+    rare = rare.withColumn("r", F.row_number().over(order)).where((F.col("r") <= 3 * most + 1) & F.col("df").isNotNull())
     pairs = rare.join(post, "t").select("q", "n", "word").distinct().where((F.col("q") != F.col("word")) & (F.abs(F.length("q") - F.length("word")) <= most))
     close = pairs.where(F.levenshtein("q", "word", most) >= 0)
     return close.groupBy("word").agg(F.count("*").alias("spellings"), F.sum("n").alias("volume"))

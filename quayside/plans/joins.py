@@ -73,9 +73,9 @@ def missing_categories(m):
     return audit.unknown(m.product_categories, "category_id", m.categories).select("product_id", "category_id")
 
 
-@query("shared_releases", "SELECT a.product_id AS p1, b.product_id AS p2, count(*) AS shared FROM mappings a JOIN mappings b ON a.release_id = b.release_id AND a.product_id < b.product_id WHERE a.product_id < 200 GROUP BY 1, 2")
+@query("shared_releases", "SELECT a.product_id AS p1, b.product_id AS p2, count(*) AS shared FROM mappings a JOIN mappings b ON a.release_id = b.release_id AND a.product_id < b.product_id GROUP BY 1, 2")
 def shared_releases(m):
-    return pages.shared(m.mappings).where("p1 < 200")
+    return pages.shared(m.mappings)
 
 
 @query("device_os_edges", "SELECT from_product_id, string_agg(p.slug || ':' || relation_kind, ',' ORDER BY p.slug) AS runs FROM relationships r JOIN products p ON p.id = r.to_product_id GROUP BY 1")
@@ -146,9 +146,9 @@ def exact_replace(m):
     return reg.exact_replace(m.aliases.select("product_id", "alias"), new, "product_id")
 
 
-@query("unseen_products", "SELECT id FROM products WHERE id NOT IN (SELECT product_id FROM observations WHERE channel = 'A' AND source_id % 10 = 0)")
+@query("unseen_products", "SELECT id FROM products WHERE id NOT IN (SELECT product_id FROM observations)")
 def unseen_products(m):
-    seen = m.observations.where("channel = 'A' and source_id % 10 = 0").select(F.col("product_id").alias("id"))
+    seen = m.observations.select(F.col("product_id").alias("id"))
     return m.products.select("id").join(seen, "id", "left_anti")
 
 

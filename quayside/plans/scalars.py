@@ -83,9 +83,9 @@ def utc_minute(m):
     return m.usage_records.select("id", F.date_format("occurred_at", "yyyy-MM-dd HH:mm 'UTC'").alias("utc_minute"), F.date_format("occurred_at", "yyyy-MM-dd").alias("utc_day"))
 
 
-@query("truncate_excerpt", "SELECT id, CASE WHEN strlen(t) <= 4000 THEN t ELSE t[1:n] || '…' END AS excerpt FROM (SELECT id, t, CASE WHEN strlen(t) > 4000 THEN list_max(list_filter(range(3000, 3998), lambda x: strlen(t[1:x]) <= 3997)) END AS n FROM (SELECT id, trim(excerpt) AS t FROM evidence)) WHERE strlen(t) < 5000")
+@query("truncate_excerpt", "SELECT id, CASE WHEN strlen(t) <= 4000 THEN t ELSE t[1:n] || '…' END AS excerpt FROM (SELECT id, t, CASE WHEN strlen(t) > 4000 THEN list_max(list_filter(range(999, 3998), lambda x: strlen(t[1:x]) <= 3997)) END AS n FROM (SELECT id, trim(excerpt) AS t FROM evidence))")
 def truncate_excerpt(m):
-    return m.evidence.where("octet_length(trim(excerpt)) < 5000").select("id", text.truncate_excerpt(F.col("excerpt")).alias("excerpt"))
+    return m.evidence.select("id", text.truncate_excerpt(F.col("excerpt")).alias("excerpt"))
 
 
 @query("truncate_query", "SELECT id, CASE WHEN length(t) >= 2 THEN t[1:CASE WHEN strlen(t) > 200 THEN list_max(list_filter(range(40, 201), lambda x: strlen(t[1:x]) <= 200)) ELSE 200 END] END AS q FROM (SELECT id, trim(excerpt) AS t FROM evidence)")
@@ -119,7 +119,7 @@ def authority_rank(m):
     return m.sources.select("id", rules.authority_rank(F.col("quality_class")).alias("rank"))
 
 
-@query("media_type", "SELECT id, CASE id % 3 WHEN 0 THEN 'text/html' WHEN 1 THEN 'application/json' ELSE '' END AS media_type, id % 3 = 0 AS ok FROM artifacts")
+@query("media_type", "SELECT id, kind AS media_type, kind = 'text/html' AS ok FROM (SELECT id, lower(trim(split_part(CASE id % 3 WHEN 0 THEN ' Text/HTML ; charset=utf-8' WHEN 1 THEN 'application/json' ELSE '' END, ';', 1))) AS kind FROM artifacts)")
 def media_type(m):
     header = F.expr("CASE id % 3 WHEN 0 THEN ' Text/HTML ; charset=utf-8' WHEN 1 THEN 'application/json' ELSE '' END")
     kind = text.media_type(header)
@@ -243,10 +243,14 @@ def merge_participants(m):
     return m.sources.select("id", F.array_join(text.merge_participants(F.col("slug"), others), ",").alias("participants"))
 
 
-@query("assess_transition", "SELECT id, line_no, CASE WHEN regexp_replace(regexp_replace(a, '[0-9]+', '#', 'g'), '[^#a-z]', '', 'g') <> regexp_replace(regexp_replace(b, '[0-9]+', '#', 'g'), '[^#a-z]', '', 'g') THEN 'uncomparable' WHEN a = b THEN 'identical' WHEN CAST(regexp_extract(b, '[0-9]+') AS INT) < CAST(regexp_extract(a, '[0-9]+') AS INT) OR CAST(regexp_extract(b, '[0-9]+') AS INT) > CAST(regexp_extract(a, '[0-9]+') AS INT) + 5 THEN 'suspicious' ELSE 'plausible' END AS verdict FROM (SELECT id, line_no, (id % 9) || '.' || line_no AS a, (line_no * 2) || '.' || (id % 3) || CASE WHEN id % 11 = 0 THEN 'rc' ELSE '' END AS b FROM candidates)")
+SHAPE = "regexp_replace(regexp_replace({0}, '[0-9]+', '#', 'g'), '[^#a-z]', '', 'g')"
+
+
+@query("assess_transition", f"""SELECT id, line_no, r[1] AS verdict, r[2] AS reason FROM (SELECT id, line_no, CASE WHEN sa <> sb THEN ['uncomparable', 'version shape changed from ' || sa || ' to ' || sb] WHEN a = b THEN ['identical', 'identical to the previously observed version'] WHEN nb < na THEN ['suspicious', 'leading numeric component decreased from ' || na || ' to ' || nb] WHEN nb > na + 5 THEN ['suspicious', 'leading numeric component jumped from ' || na || ' to ' || nb] ELSE ['plausible', 'consistent with the previously observed version'] END AS r
+FROM (SELECT *, {SHAPE.format("a")} AS sa, {SHAPE.format("b")} AS sb, CAST(regexp_extract(a, '[0-9]+') AS INT) AS na, CAST(regexp_extract(b, '[0-9]+') AS INT) AS nb FROM (SELECT id, line_no, (id % 9) || '.' || line_no AS a, (line_no * 2) || '.' || (id % 3) || CASE WHEN id % 11 = 0 THEN 'rc' ELSE '' END AS b FROM candidates)))""")
 def assess_transition(m):
     rows = m.candidates.select("id", "line_no", F.concat_ws(".", F.col("id") % 9, "line_no").alias("a"), F.concat(F.col("line_no") * 2, F.lit("."), F.col("id") % 3, F.when(F.col("id") % 11 == 0, "rc").otherwise("")).alias("b"))
-    return rows.select("id", "line_no", versions.assess_transition(F.col("a"), F.col("b")).alias("verdict"))
+    return rows.select("id", "line_no", versions.assess_transition(F.col("a"), F.col("b")).alias("r")).select("id", "line_no", "r.verdict", "r.reason")
 
 
 @query("valid_slug", "SELECT id, regexp_matches(lower(model_identifier), '^[a-z0-9]+(-[a-z0-9]+)*$') AS model_ok, regexp_matches(slug, '^[a-z0-9]+(-[a-z0-9]+)*$') AS slug_ok FROM products")
@@ -265,7 +269,7 @@ def utc_day(m):
     return m.checks.select("id", F.date_format("started_at", "yyyy-MM-dd").alias("utc_day"))
 
 
-@query("content_type_ok", "SELECT id, id % 2 = 0 AS ok FROM artifacts")
+@query("content_type_ok", "SELECT id, lower(trim(split_part(CASE WHEN id % 2 = 0 THEN 'TEXT/html; charset=utf-8' ELSE 'text/plain' END, ';', 1))) = 'text/html' AS ok FROM artifacts")
 def content_type_ok(m):
     header = F.when(F.col("id") % 2 == 0, "TEXT/html; charset=utf-8").otherwise("text/plain")
     return m.artifacts.select("id", (text.media_type(header) == text.media_type(F.lit("text/html"))).alias("ok"))

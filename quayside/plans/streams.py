@@ -69,12 +69,12 @@ def throttle_audit(m):
     return jobs.throttle_audit(m.usage_records)
 
 
-@query("stream_extract_validate", r"SELECT doc_id AS id, i - 1 AS container, w[i] AS version FROM (SELECT doc_id, regexp_extract_all(text, '([A-Z][a-z]{9,})[ .,]', 1) AS w FROM documents), range(1, 10001) t(i) WHERE i <= len(w)")
+@query("stream_extract_validate", r"SELECT doc_id AS id, generate_subscripts(w, 1) - 1 AS container, unnest(w) AS version FROM (SELECT doc_id, regexp_extract_all(text, '([A-Z][a-z]{9,})[ .,]', 1) AS w FROM documents)")
 def stream_extract_validate(m):
     pages = jobs.source(m.spark, f"{m.sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
 
     def work(batch):
-        found = F.slice(F.regexp_extract_all("body", F.lit("([A-Z][a-z]{9,})[ .,]"), 1), 1, extract.MAX_CONTAINERS)
+        found = F.regexp_extract_all("body", F.lit("([A-Z][a-z]{9,})[ .,]"), 1)
         rows = batch.select("id", F.posexplode(found).alias("container", "markup"))
         return extract.build_candidates(rows, {"version": F.col("markup")}, [], "yyyy-MM-dd").where("not skipped").select("id", "container", "version")
 

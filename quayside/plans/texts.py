@@ -68,19 +68,25 @@ def alias_suggestions(m):
     return search.alias_suggestions(searches, added)
 
 
-@query("normalize_pages", rf"SELECT id, sha256(t) AS section_hash, length(t) AS chars FROM (SELECT id, trim(regexp_replace(replace(regexp_replace({ARTICLE}, '<[^>]*>', ' ', 'gs'), '&amp;', '&'), '[\s\p{{Z}}]+', ' ', 'g')) AS t FROM (SELECT id, replace(replace(body, '&lt;', '<'), '&gt;', '>') AS body FROM artifacts WHERE body NOT LIKE '%&lt;%' AND body NOT LIKE '%&quot;%' AND body NOT LIKE '%&#39;%' AND body NOT LIKE '%&gt;%'))")
+def _shown(markup: str) -> str:
+    out = rf"regexp_replace({markup}, '<[^>]*>', ' ', 'gs')"
+    for name, char in extract.REFERENCES.items():
+        out = "replace({0}, '{1}', '{2}')".format(out, name, char.replace("'", "''"))
+    return rf"trim(regexp_replace(regexp_replace({out}, '[\x{{200B}}\x{{200C}}\x{{200D}}\x{{FEFF}}]', '', 'g'), '[\s\p{{Z}}]+', ' ', 'g'))"
+
+
+@query("normalize_pages", rf"SELECT id, sha256(t) AS section_hash, length(t) AS chars FROM (SELECT id, {_shown(ARTICLE)} AS t FROM artifacts)")
 def normalize_pages(m):
-    plain = m.artifacts.where("body not like '%&lt;%' and body not like '%&quot;%' and body not like '%&#39;%' and body not like '%&gt;%'")
-    return extract.normalize_pages(plain, "article").select("id", "section_hash", F.length("normalized").cast("long").alias("chars"))
+    return extract.normalize_pages(m.artifacts, "article").select("id", "section_hash", F.length("normalized").cast("long").alias("chars"))
 
 
-@query("change_detection", "SELECT id, CASE WHEN prev IS NULL THEN 'first' WHEN prev = h THEN 'unchanged' ELSE 'changed' END AS change FROM (SELECT doc_id AS id, md5(lang) AS h, lag(md5(lang)) OVER (PARTITION BY source ORDER BY doc_id) AS prev FROM documents)")
+@query("change_detection", "SELECT id, CASE WHEN row_number() OVER w = 1 THEN 'first' WHEN prev = h THEN 'unchanged' ELSE 'changed' END AS change FROM (SELECT doc_id AS id, source, n_chars, md5(text) AS h, lag(md5(text)) OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS prev FROM documents) WINDOW w AS (PARTITION BY source ORDER BY n_chars, id)")
 def change_detection(m):
-    log = m.documents.select(F.col("doc_id").alias("id"), F.col("source").alias("source_id"), F.col("doc_id").alias("fetched_at"), F.sha2("lang", 256).alias("section_hash"), F.sha2("text", 256).alias("body_hash"))
+    log = m.documents.select(F.col("doc_id").alias("id"), F.col("source").alias("source_id"), F.col("n_chars").alias("fetched_at"), F.sha2("text", 256).alias("section_hash"), F.sha2(F.concat("text", F.col("doc_id")), 256).alias("body_hash"))
     return extract.change_detection(log).select("id", "change")
 
 
-PARAS = rf"SELECT id, i - 1 AS container, p[i] AS markup FROM (SELECT id, regexp_extract_all({ARTICLE}, '<p>([^<]*)</p>', 1) AS p FROM artifacts), range(1, 2000) t(i) WHERE i <= len(p)"
+PARAS = rf"SELECT id, generate_subscripts(p, 1) - 1 AS container, unnest(p) AS markup FROM (SELECT id, regexp_extract_all({ARTICLE}, '<p>([^<]*)</p>', 1) AS p FROM artifacts)"
 
 
 def _paragraphs(m):
@@ -102,11 +108,10 @@ def extract_html(m):
     return _paragraphs(m).select("id", "container", F.length("markup").cast("long").alias("chars"))
 
 
-@query("extract_text", r"SELECT doc_id AS id, i - 1 AS container, w[i] AS version FROM (SELECT doc_id, regexp_extract_all(text, '([A-Z][a-z]{9,})[ .,]', 1) AS w FROM documents), range(1, 10001) t(i) WHERE i <= len(w)")
+@query("extract_text", r"SELECT doc_id AS id, generate_subscripts(w, 1) - 1 AS container, unnest(w) AS version FROM (SELECT doc_id, regexp_extract_all(text, '([A-Z][a-z]{9,})[ .,]', 1) AS w FROM documents)")
 def extract_text(m):
-    docs = m.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
-    found = F.slice(F.regexp_extract_all("body", F.lit(r"([A-Z][a-z]{9,})[ .,]"), 1), 1, extract.MAX_CONTAINERS)
-    return docs.select("id", F.posexplode(found).alias("container", "version"))
+    found = F.regexp_extract_all("text", F.lit(r"([A-Z][a-z]{9,})[ .,]"), 1)
+    return m.documents.select(F.col("doc_id").alias("id"), F.posexplode(found).alias("container", "version"))
 
 
 @query("field_pipeline", rf"SELECT id, container, lower(nullif(regexp_extract(markup, '^(\p{{L}}+)', 1), '')) AS version, replace(upper(nullif(regexp_extract(markup, '^\p{{L}}+ ([a-zA-Z]+)', 1), '')), 'TH', 'T') AS channel FROM ({PARAS})")
@@ -129,27 +134,33 @@ def extraction_limits(m):
     return extract.limited(_paragraphs(m), "id", ["container"], 3).select("id", "container")
 
 
-@query("evidence_build", rf"SELECT id, container, trim(markup) AS excerpt FROM ({PARAS}) WHERE regexp_extract(markup, '^(\p{{L}}+)', 1) <> '' AND strlen(trim(markup)) <= 4000")
+@query("evidence_build", rf"SELECT id, container, CASE WHEN strlen(t) <= 4000 THEN t ELSE t[1:list_max(list_filter(range(999, 3998), lambda x: strlen(t[1:x]) <= 3997))] || '…' END AS excerpt FROM (SELECT id, container, markup, trim(markup) AS t FROM ({PARAS})) WHERE regexp_extract(markup, '^(\p{{L}}+)', 1) <> ''")
 def evidence_build(m):
-    return extract.evidence(_candidates(m).where("octet_length(trim(markup)) <= 4000"), F.col("markup")).select("id", "container", "excerpt")
+    return extract.evidence(_candidates(m), F.col("markup")).select("id", "container", "excerpt")
 
 
-@query("extract_feed", "SELECT id, entry, CASE entry WHEN 0 THEN name ELSE model_identifier END AS title, 'https://x/' || id || '/' || entry AS guid, DATE '2024-01-01' + CAST(id % 28 AS INT) AS published FROM products, (VALUES (0), (1)) e(entry)")
-def extract_feed(m):
-    return extract.feed_entries(_feeds(m)).select("id", "entry", "title", "guid", "published")
+# an even product has an RSS document, an odd one the same as Atom
+FEEDS = """SELECT id, name, model_identifier, strftime(day, '%d %b %Y') AS rss_day, strftime(day, '%Y-%m-%d') AS day FROM (SELECT *, DATE '2024-01-01' + CAST(id % 28 AS INT) AS day FROM products)"""
+DOCUMENTS = f"""SELECT id, CASE WHEN id % 2 = 0 THEN '<rss version="2.0"><channel><item><title>' || name || '</title><link>https://x/' || id || '/0</link><guid></guid><pubDate>' || rss_day || ' 10:00:00 +0000</pubDate></item><item><title>' || model_identifier || '</title><link>y</link><guid>https://x/' || id || '/1</guid><pubDate>' || rss_day || ' 10:00:00 +0000</pubDate></item></channel></rss>'
+ELSE '<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom"><entry><title>' || name || '</title><link href="https://x/' || id || '/0"/><id> </id><updated>' || day || 'T10:00:00Z</updated></entry><entry><title>' || model_identifier || '</title><link rel="self" href="y"/><id>https://x/' || id || '/1</id><published>' || day || 'T10:00:00Z</published><updated>2030-01-01T00:00:00Z</updated></entry></feed>' END AS xml FROM ({FEEDS})"""
+FIELDS = """SELECT id, generate_subscripts(es, 1) - 1 AS entry, unnest(es) AS e FROM (SELECT id, regexp_extract_all(xml, '<(?:item|entry)>.*?</(?:item|entry)>') AS es FROM (""" + DOCUMENTS + "))"
+GUID = """coalesce(nullif(trim(coalesce(nullif(regexp_extract(e, '<guid>([^<]*)</guid>', 1), ''), regexp_extract(e, '<id>([^<]*)</id>', 1))), ''), nullif(regexp_extract(e, '<link>([^<]*)</link>', 1), ''), regexp_extract(e, '<link href="([^"]*)"', 1))"""
+PUBLISHED = """coalesce(CAST(try_strptime(regexp_extract(e, '<pubDate>([^<]*) \\+0000</pubDate>', 1), '%d %b %Y %H:%M:%S') AS DATE), try_cast(nullif(regexp_extract(e, '<published>([^<T]*)', 1), '') AS DATE), try_cast(nullif(regexp_extract(e, '<updated>([^<T]*)', 1), '') AS DATE))"""
 
 
 def _feeds(m):
-    date = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 28).cast("int")), "dd MMM yyyy")
-    item = lambda title, k, guid: F.concat(F.lit("<item><title>"), title, F.lit("</title><link>https://x/"), "id", F.lit(f"/{k}</link>"), guid, F.lit("<pubDate>"), date, F.lit(" 10:00:00 +0000</pubDate></item>"))
-    first = item(F.col("name"), 0, F.lit("<guid></guid>"))
-    second = item(F.col("model_identifier"), 1, F.concat(F.lit("<guid>https://x/"), "id", F.lit("/1</guid>")))
-    return m.products.select("id", F.concat(F.lit('<rss version="2.0"><channel>'), first, second, F.lit("</channel></rss>")).alias("xml"))
+    spark_sql = DOCUMENTS.replace("strftime(day, '%d %b %Y')", "date_format(day, 'dd MMM yyyy')").replace("strftime(day, '%Y-%m-%d')", "date_format(day, 'yyyy-MM-dd')")
+    return m.spark.sql(spark_sql.replace("FROM products", "FROM {p}"), p=m.products)
+
+
+@query("extract_feed", f"SELECT id, entry, trim(regexp_extract(e, '<title>([^<]*)</title>', 1)) AS title, {GUID} AS guid, {PUBLISHED} AS published FROM ({FIELDS})")
+def extract_feed(m):
+    return extract.feed_entries(_feeds(m)).select("id", "entry", "title", "guid", "published")
 
 
-@query("scan_feed_xml", "SELECT count(*) * 2 AS entries, count(*) AS feeds FROM products")
+@query("scan_feed_xml", f"SELECT count(*) AS entries, count(DISTINCT id) AS feeds, count(DISTINCT {GUID}) AS guids FROM ({FIELDS})")
 def scan_feed_xml(m):
-    return extract.feed_entries(_feeds(m)).agg(F.count("*").alias("entries"), F.countDistinct("id").alias("feeds"))
+    return extract.feed_entries(_feeds(m)).agg(F.count("entry").alias("entries"), F.countDistinct("id").alias("feeds"), F.countDistinct("guid").alias("guids"))
 
 
 URLS = "SELECT id, regexp_extract(url, '://([^/?#]*)', 1) AS host, coalesce(nullif(regexp_extract(url, '://[^/?#]*(/.*)', 1), ''), '/') AS path FROM artifacts"
@@ -165,9 +176,9 @@ def robots_audit(m):
     return extract.robots_audit(urls, robots, "quaybot").select("id", "path", "allowed")
 
 
-@query("scan_artifacts", "SELECT id, sha256(body) AS content_hash, strlen(body) AS bytes FROM artifacts WHERE strlen(body) <= 8000")
+@query("scan_artifacts", "SELECT id, sha256(body) AS content_hash, strlen(body) AS bytes FROM artifacts WHERE strlen(body) <= 33554432")
 def scan_artifacts(m):
-    return artifacts.scan(m.artifacts, 8000).select("id", "content_hash", "bytes")
+    return artifacts.scan(m.artifacts).select("id", "content_hash", "bytes")
 
 
 @query("artifact_store", "SELECT sha256(body) AS content_hash, min(id) AS first_id, max(id) AS last_id, count(*) AS reference_count, max(strlen(body)) AS bytes FROM artifacts GROUP BY 1")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dates
-from ..operators import conflicts, latest, usage
+from ..operators import conflicts, latest, metrics, usage
 from .registry import query
 
 LIVE = "SELECT m.product_id, r.* FROM releases r JOIN mappings m ON m.release_id = r.id WHERE NOT r.withdrawn"
@@ -125,8 +125,7 @@ def month_over_month(m):
 @query("popularity_rank", "SELECT product_id, views, rank() OVER (ORDER BY views DESC) AS place, ntile(10) OVER (ORDER BY views DESC, product_id) AS decile FROM (SELECT k AS product_id, count(*) AS views FROM analytics WHERE event_name = 'ProductViewed' GROUP BY k)")
 def popularity_rank(m):
     by = m.analytics.where("event_name = 'ProductViewed'").groupBy(F.col("k").alias("product_id")).agg(F.count("*").alias("views"))
-    w = Window.orderBy(F.desc("views"))
-    return by.select("product_id", "views", F.rank().over(w).alias("place"), F.ntile(10).over(Window.orderBy(F.desc("views"), "product_id")).alias("decile"))
+    return metrics.ranked(by, "product_id", "views", 10).select("product_id", "views", "place", "decile")
 
 
 @query("newest_open_conflict", f"WITH {VERDICTS} SELECT product_id, max(channel) AS channel, count(DISTINCT channel) AS open_conflicts FROM verdicts WHERE status = 'unresolved' GROUP BY product_id")

@@ -23,7 +23,7 @@ def one(spark, expr, **values):
 ])
 def test_transitions(spark, before, after, verdict):
     row = spark.createDataFrame([(before, after)], "a string, b string")
-    assert row.select(versions.assess_transition(F.col("a"), F.col("b"))).first()[0] == verdict
+    assert row.select(versions.assess_transition(F.col("a"), F.col("b"))["verdict"]).first()[0] == verdict
 
 
 @pytest.mark.parametrize(("raw", "slug"), [("RouterOS v7 (stable)", "routeros-v7-stable"), ("  A_b.c/d+e ", "a-b-c-d-e"), ("ÄÖ", ""), ("a--b", "a-b")])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,19 +86,28 @@ def fold_health(checks: DataFrame, start: str = "active") -> DataFrame:
     """Every check with the failures in a row and the health after it.
 
     Each step depends on the one before, so a source's checks are folded in order of time by
-    one task; sources are spread over tasks. One source's log is what a task must hold.
+    one task, which holds one state and one batch of them; Spark sorts them, on disk if need be.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["started_at", "id"])
-        health, failures, out = start, 0, []
-        for outcome in rows["outcome"]:
-            failures = failures + 1 if outcome in ("unavailable", "parser_failed") else 0
-            health = step_health(health, outcome, failures)
-            out.append((failures, health))
-        return rows.assign(failures=[f for f, _ in out], health=[h for _, h in out])[["id", "source_id", "failures", "health"]]
-
-    return checks.select("id", "source_id", "started_at", "outcome").groupBy("source_id").applyInPandas(fold, "id long, source_id long, failures int, health string")
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, health, failures = None, start, 0
+        for rows in batches:
+            out = []
+            for key, outcome in zip(rows["key"], rows["outcome"], strict=True):
+                if key != last:
+                    last, health, failures = key, start, 0
+                failures = failures + 1 if outcome in ("unavailable", "parser_failed") else 0
+                health = step_health(health, outcome, failures)
+                out.append((failures, health))
+            yield rows.assign(failures=[f for f, _ in out], health=[h for _, h in out])[["id", "source_id", "failures", "health"]]
+
+    rows = checks.select("id", "source_id", "outcome", "started_at", F.coalesce(F.col("source_id").cast("string"), F.lit("")).alias("key"))
+    return in_order(rows, "key", "started_at", "id").mapInPandas(fold, "id long, source_id long, failures int, health string")
+
+
+def in_order(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """Rows of each ``key`` in one partition, one after the other and in ``order``."""
+    return rows.repartition(key).sortWithinPartitions(key, *order)
 
 
 def illegal_steps(log: DataFrame, states: dict[str, list[str]], key: str, order: list[str | Column]) -> DataFrame:

@@ -83,13 +83,22 @@ def candidate_upsert(m):
 STATE = "CASE event_type WHEN 'view' THEN 'extracted' WHEN 'click' THEN 'rejected' WHEN 'signup' THEN 'human_review_required' WHEN 'purchase' THEN 'validated' ELSE 'published' END"
 
 
+# every source's checks one by one; broken sources do not become rate limited
+HEALTH = (
+    "log AS MATERIALIZED (SELECT id, source_id, outcome, n, CASE WHEN outcome = 'unavailable' THEN row_number() OVER (PARTITION BY source_id, island, outcome = 'unavailable' ORDER BY n) ELSE 0 END AS failures "
+    "FROM (SELECT *, sum(CASE WHEN outcome <> 'unavailable' THEN 1 ELSE 0 END) OVER (PARTITION BY source_id ORDER BY n) AS island FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY started_at, id) AS n FROM checks))), "
+    "walk(source_id, n, health) AS (SELECT DISTINCT source_id, CAST(0 AS BIGINT), 'active' FROM log UNION ALL SELECT log.source_id, log.n, CASE WHEN outcome IN ('changed', 'unchanged') THEN 'active' "
+    "WHEN outcome = 'unavailable' THEN CASE WHEN failures >= 3 THEN 'broken' ELSE 'degraded' END WHEN health = 'broken' THEN 'broken' ELSE 'rate_limited' END FROM walk JOIN log ON log.source_id = walk.source_id AND log.n = walk.n + 1)"
+)
+
+
 @query("candidate_transitions", f"SELECT id, before, state FROM (SELECT event_id AS id, {STATE} AS state, lag({STATE}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before IS NOT NULL AND before <> state AND before || '>' || state NOT IN ('extracted>rejected', 'extracted>human_review_required', 'validated>published', 'validated>rejected', 'validated>human_review_required', 'human_review_required>validated', 'human_review_required>rejected', 'human_review_required>published', 'rejected>human_review_required')")
 def candidate_transitions(m):
     log = m.events.withColumn("state", F.expr(STATE))
     return checks.illegal_steps(log, rules.CANDIDATE_STATES, "user_id", ["ts", "event_id"]).select(F.col("event_id").alias("id"), "before", "state")
 
 
-@query("source_health_transition")
+@query("source_health_transition", f"WITH {HEALTH} SELECT log.id, log.source_id, log.failures, walk.health FROM log JOIN walk USING (source_id, n)")
 def source_health_transition(m):
     return checks.fold_health(m.checks)
 

@@ -9,8 +9,16 @@ from ..operators import extract
 from ..streaming import jobs
 from .bindings import VIEWS
 from .registry import query
+from .pipeline import HEALTH
 from .windows import CURRENT, ELIGIBLE
 
+BUCKET = (
+    "reqs AS MATERIALIZED (SELECT id, consumer_id, epoch_us(occurred_at) / 1000000 AS t, row_number() OVER (PARTITION BY consumer_id ORDER BY occurred_at, id) AS n FROM usage_records), "
+    "bucket(consumer_id, n, id, tokens, seen, allowed) AS (SELECT DISTINCT consumer_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(3 AS DOUBLE), CAST(NULL AS DOUBLE), false FROM reqs "
+    "UNION ALL SELECT consumer_id, n, id, CASE WHEN now >= 1 THEN now - 1 ELSE now END, t, now >= 1 FROM (SELECT reqs.consumer_id, reqs.n, reqs.id, reqs.t, CASE WHEN seen IS NOT NULL AND t > seen THEN least(CAST(3 AS DOUBLE), tokens + (t - seen) * CAST(0.01 AS DOUBLE) / 60) ELSE tokens END AS now "
+    "FROM bucket JOIN reqs ON reqs.consumer_id = bucket.consumer_id AND reqs.n = bucket.n + 1))"
+)
+
 
 def _stream(m, view: str, table: str):
     return m.spark.sql(VIEWS[view].replace(f"FROM {table}", "FROM {t}"), t=jobs.source(m.spark, f"{m.sf_dir}/{table}.parquet"))
@@ -39,7 +47,7 @@ def stream_conflicts(m):
     return jobs.drain(jobs.conflict_events(_stream(m, "observations", "lineitem").join(ok, "source_id")), "update", ["product_id", "channel"])
 
 
-@query("stream_source_health")
+@query("stream_source_health", f"WITH {HEALTH} SELECT source_id, max(n) AS checks, max_by(failures, n) AS failures, max_by(health, n) AS health FROM log JOIN walk USING (source_id, n) GROUP BY source_id")
 def stream_source_health(m):
     return jobs.drain(jobs.source_health(_stream(m, "checks", "events")), "update", ["source_id"])
 
@@ -49,22 +57,26 @@ def stream_alerts(m):
     return jobs.drain(jobs.alerts(_stream(m, "usage_records", "events")), "update", ["since"])
 
 
-@query("stream_sessions")
+# a session comes out when the watermark, half an hour behind the last event, has passed its end
+@query("stream_sessions", """WITH e AS (SELECT *, CASE WHEN occurred_at <= lag(occurred_at) OVER (PARTITION BY session_bucket ORDER BY occurred_at, id) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS starts FROM analytics), k AS (SELECT *, sum(starts) OVER (PARTITION BY session_bucket ORDER BY occurred_at, id) AS nth FROM e)
+SELECT session_bucket, min(occurred_at) AS started_at, count(*) AS events, bool_or(event_name = 'SearchExecuted' AND result_count > 0) AND NOT bool_or(event_name = 'ProductViewed') AS abandoned FROM k GROUP BY session_bucket, nth HAVING max(occurred_at) + INTERVAL 30 MINUTE <= (SELECT max(occurred_at) - INTERVAL 30 MINUTE FROM analytics)""")
 def stream_sessions(m):
     return jobs.drain(jobs.sessions(_stream(m, "analytics", "events")))
 
 
-@query("stream_search_view_join")
+# a search without a view comes out when no view in time can follow any more
+@query("stream_search_view_join", """WITH s AS (SELECT * FROM analytics WHERE event_name = 'SearchExecuted'), v AS (SELECT * FROM analytics WHERE event_name = 'ProductViewed'), mark AS (SELECT least((SELECT max(occurred_at) FROM s), (SELECT max(occurred_at) FROM v)) - INTERVAL 1 HOUR AS mark_at)
+SELECT s.id AS search_id, v.id AS view_id, s.occurred_at AS searched_at, v.occurred_at AS viewed_at FROM s LEFT JOIN v ON v.session_bucket = s.session_bucket AND v.occurred_at > s.occurred_at AND v.occurred_at <= s.occurred_at + INTERVAL 1 HOUR WHERE v.id IS NOT NULL OR s.occurred_at + INTERVAL 1 HOUR < (SELECT mark_at FROM mark)""")
 def stream_search_view_join(m):
     return jobs.drain(jobs.search_views(_stream(m, "analytics", "events")))
 
 
-@query("stream_token_bucket")
+@query("stream_token_bucket", f"WITH {BUCKET} SELECT consumer_id, count(CASE WHEN allowed THEN 1 END) AS allowed, count(CASE WHEN NOT allowed THEN 1 END) AS denied FROM bucket WHERE n > 0 GROUP BY consumer_id")
 def stream_token_bucket(m):
     return jobs.drain(jobs.token_buckets(_stream(m, "usage_records", "events")), "update", ["consumer_id"])
 
 
-@query("throttle_audit")
+@query("throttle_audit", f"WITH {BUCKET} SELECT id, consumer_id, allowed FROM bucket WHERE n > 0")
 def throttle_audit(m):
     return jobs.throttle_audit(m.usage_records)
 

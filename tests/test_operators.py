@@ -1,12 +1,17 @@
 """Cases of the domain rules on small rows: ties, nulls, unknown dates, illegal steps, empty tables."""
 
 import datetime as dt
+import os
+import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quayside.functions import dates, rules, text, versions
-from quayside.operators import audit, catalog, checks, conflicts, extract, gates, latest, pages, registry, review, search
+from quayside.operators import audit, catalog, checks, conflicts, extract, gates, latest, metrics, pages, registry, review, search
+from quayside.plans import catalogue
+from quayside.plans.bindings import BASE
 from quayside.streaming import jobs
 
 D = dt.date
@@ -251,3 +256,75 @@ def test_legal_states(spark):
     rows = spark.createDataFrame([("rejected", "rejected"), ("validated", "published"), ("published", "validated"), ("nowhere", "published")], "a string, b string")
     got = [r[0] for r in rows.select(rules.legal(rules.CANDIDATE_STATES, F.col("a"), F.col("b"))).collect()]
     assert got == [True, True, False, False]
+
+
+@pytest.mark.parametrize("name", ["stream_source_health", "stream_token_bucket", "stream_sessions", "stream_search_view_join", "stream_usage_rollup", "stream_usage_dedupe", "stream_alerts"])
+def test_streams_carry_state_over_batches(spark, sf_dir, tmp_path_factory, name):
+    """The events of a table in four files, one a micro-batch, give what all of them in one give."""
+    import duckdb
+    import pyarrow.parquet as pq
+
+    from test_queries import ordered
+
+    folder = tmp_path_factory.mktemp("split")
+    (folder / "events.parquet").mkdir()
+    events = pq.read_table(f"{sf_dir}/events.parquet").sort_by([("ts", "ascending"), ("event_id", "ascending")])
+    for k in range(4):
+        cut = [events.num_rows * i // 4 for i in (k, k + 1)]
+        path = folder / "events.parquet" / f"part-{k}.parquet"
+        pq.write_table(events.slice(cut[0], cut[1] - cut[0]), path)
+        os.utime(path, (1_700_000_000 + k, 1_700_000_000 + k))
+    con = duckdb.connect()
+    for t in BASE:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    frame = catalogue.queries()[name](spark, str(folder))
+    told = con.execute(catalogue.oracle_sql()[name])
+    names = [d[0] for d in told.description]
+    assert ordered(frame.select(names).collect()) == ordered(told.fetchall())
+
+
+def test_ranked_equals_windows(spark):
+    rng = random.Random(3)
+    rows = [(rng.randint(-50, 5000) * 7, rng.choice([1, 1, 1, 2, 3, 9])) for _ in range(600)]
+    rows = list(dict(rows).items())
+    for part in (rows, rows[:7], rows[:1], []):
+        frame = spark.createDataFrame(part, "k long, v long")
+        got = sorted((r.k, r.v, r.place, r.decile) for r in metrics.ranked(frame, "k", "v", 10, buckets=16).collect())
+        w = Window.orderBy(F.desc("v"))
+        want = sorted(tuple(r) for r in frame.select("k", "v", F.rank().over(w), F.ntile(10).over(Window.orderBy(F.desc("v"), "k"))).collect())
+        assert got == want
+
+
+def test_typo_clusters_equal_all_pairs(spark):
+    rng = random.Random(5)
+    words = list({" ".join("".join(rng.choice("abc") for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 2))) for _ in range(60)})
+    asked = []
+    for w in words:
+        q = list(w)
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(q)) if q else 0
+            q[k : k + 1] = rng.choice(["", "x", " ", "ab"])
+        asked.append(("".join(q), rng.randint(1, 80)))
+    asked = list(dict(asked).items())
+    tri = lambda s: {f"  {w} "[i : i + 3] for w in s.split() for i in range(len(w) + 1)}
+
+    def step(row, i, x, b):
+        out = [i]
+        for j, y in enumerate(b, 1):
+            out.append(min(row[j] + 1, out[-1] + 1, row[j - 1] + (x != y)))
+        return out
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = step(row, i, x, b)
+        return row[-1]
+
+    want = {}
+    for q, n in asked:
+        for w in words:
+            if n <= 50 and q != w and tri(q) & tri(w) and edits(q, w) <= 2:
+                k, v = want.get(w, (0, 0))
+                want[w] = (k + 1, v + n)
+    got = search.typo_clusters(spark.createDataFrame(asked, "q string, n long"), spark.createDataFrame([(w,) for w in words], "word string"))
+    assert {r.word: (r.spellings, r.volume) for r in got.collect()} == want and want

@@ -16,16 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the cluster's shared folder.
-
-    ``spark.checkpoint.dir`` is used where it is set; a temporary folder only where the
-    session names none (tests on one machine).
-    """
+    """Cut the lineage with a reliable checkpoint in the cluster's shared folder, which
+    ``spark.checkpoint.dir`` names. Only a local session may leave it unset; its one machine
+    then has a temporary folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(
-            df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quayside-")
-        )
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quayside-"))
     return df.checkpoint(eager=True)
 
 

@@ -10,7 +10,8 @@ from ..functions.text import collapse_whitespace, truncate_excerpt
 from ..functions.versions import normalize_version
 
 STRIPPED = ("script", "style", "noscript", "iframe", "svg", "template")
-MAX_CONTAINERS, MAX_ENTRIES, MAX_FEED_BYTES = 10_000, 5_000, 4 * 1024 * 1024
+#: Candidates of one page, entries and bytes of one feed; what is over is reported.
+MAX_CANDIDATES, MAX_ENTRIES, MAX_FEED_BYTES = 500, 5_000, 4 * 1024 * 1024
 # The character references that pages use, apart from numeric ones.
 REFERENCES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
 
@@ -52,14 +53,16 @@ def change_detection(log: DataFrame, key: str = "source_id") -> DataFrame:
     return rows.withColumn("change", F.when(F.col("seen") == 1, "first").when(F.col("same"), "unchanged").otherwise("changed"))
 
 
-def containers(artifacts: DataFrame, pattern: str, section: str | None = None, limit: int = MAX_CONTAINERS) -> DataFrame:
+def containers(artifacts: DataFrame, pattern: str, section: str | None = None, limit: int = MAX_CANDIDATES) -> DataFrame:
     """One row per match of ``pattern`` (its first group) in the visible markup, numbered in page
-    order; of all elements of the page that ``section`` names, if it does."""
+    order; of all elements of the page that ``section`` names, if it does. ``found`` is the number
+    of matches, of which the first ``limit`` are rows."""
     found = matches = lambda markup: F.regexp_extract_all(markup, F.lit(pattern), 1)
     if section:
         sections = lambda html: F.regexp_extract_all(html, F.lit(rf"(?is)<{section}\b[^>]*>(.*?)</{section}\s*>"), 1)
         found = lambda html: F.flatten(F.transform(sections(html), matches))
-    return artifacts.select("id", F.posexplode(F.slice(found(visible(F.col("body"))), 1, limit)).alias("container", "markup"))
+    all_of = artifacts.select("id", found(visible(F.col("body"))).alias("all"))
+    return all_of.select("id", F.size("all").alias("found"), F.posexplode(F.slice("all", 1, limit)).alias("container", "markup"))
 
 
 def field(column: Column, steps: list[tuple]) -> Column:
@@ -117,8 +120,10 @@ def evidence(candidates: DataFrame, excerpt: Column) -> DataFrame:
 
 
 def limited(candidates: DataFrame, key: str, order: list[str], most: int) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(*order)
-    return candidates.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= most)
+    """The first ``most`` of each ``key``, with ``produced``, how many there were."""
+    w = Window.partitionBy(key)
+    rows = candidates.withColumns({"nth": F.row_number().over(w.orderBy(*order)), "produced": F.count("*").over(w)})
+    return rows.where(F.col("nth") <= most)
 
 
 ENTRY = "struct<title:string,link:string,description:string,guid:string,pubDate:string>"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import extract, search
+from ..operators import extract, search, selectors
 from ..sources import artifacts, registry_docs, snapshot
 from .registry import query
 
@@ -68,8 +68,8 @@ def alias_suggestions(m):
     return search.alias_suggestions(searches, added)
 
 
-def _shown(markup: str) -> str:
-    out = rf"regexp_replace({markup}, '<[^>]*>', ' ', 'gs')"
+def _shown(markup: str, tag: str = " ") -> str:
+    out = rf"regexp_replace({markup}, '<[^>]*>', '{tag}', 'gs')"
     for name, char in extract.REFERENCES.items():
         out = "replace({0}, '{1}', '{2}')".format(out, name, char.replace("'", "''"))
     return rf"trim(regexp_replace(regexp_replace({out}, '[\x{{200B}}\x{{200C}}\x{{200D}}\x{{FEFF}}]', '', 'g'), '[\s\p{{Z}}]+', ' ', 'g'))"
@@ -86,7 +86,7 @@ def change_detection(m):
     return extract.change_detection(log).select("id", "change")
 
 
-PARAS = rf"SELECT id, generate_subscripts(p, 1) - 1 AS container, unnest(p) AS markup FROM (SELECT id, regexp_extract_all({ARTICLE}, '<p>([^<]*)</p>', 1) AS p FROM artifacts)"
+PARAS = rf"SELECT id, generate_subscripts(p, 1) - 1 AS container, unnest(p) AS markup FROM (SELECT id, regexp_extract_all({ARTICLE}, '<p>([^<]*)</p>', 1)[1:500] AS p FROM artifacts)"
 
 
 def _paragraphs(m):
@@ -103,9 +103,14 @@ def _candidates(m):
     return extract.build_candidates(_paragraphs(m), fields, ["channel"], "yyyy-MM-dd")
 
 
-@query("extract_html", f"SELECT id, container, length(markup) AS chars FROM ({PARAS})")
+# a paragraph ends at its end tag or where the next one starts
+BLOCKS = rf"SELECT id, len(p) - 1 AS found, generate_subscripts(p[2:501], 1) - 1 AS container, regexp_extract(unnest(p[2:501]), '(?s)^(.*?)(?:</p>|$)', 1) AS markup FROM (SELECT id, string_split({ARTICLE}, '<p>') AS p FROM artifacts)"
+
+
+@query("extract_html", rf"""SELECT id, found, container, {_shown('markup', '')} AS text, CASE WHEN contains(markup, '<b>') THEN {_shown("regexp_extract(markup, '(?s)<b>(.*?)(?:</b>|$)', 1)", '')} END AS bold FROM ({BLOCKS})""")
 def extract_html(m):
-    return _paragraphs(m).select("id", "container", F.length("markup").cast("long").alias("chars"))
+    rows = selectors.extract(m.artifacts, "p", {"bold": selectors.Field("b", first=True)}, section="article", strip=[".ad", "aside"])
+    return rows.where("container is not null").select("id", "found", "container", "text", F.col("value")["bold"].alias("bold"))
 
 
 @query("extract_text", r"SELECT doc_id AS id, generate_subscripts(w, 1) - 1 AS container, unnest(w) AS version FROM (SELECT doc_id, regexp_extract_all(text, '([A-Z][a-z]{9,})[ .,]', 1) AS w FROM documents)")
@@ -129,9 +134,9 @@ def extraction_warnings(m):
     return _candidates(m).select(F.explode("warnings").alias("warning")).groupBy("warning").agg(F.count("*").alias("n"))
 
 
-@query("extraction_limits", f"SELECT id, container FROM ({PARAS}) WHERE container < 3")
+@query("extraction_limits", f"SELECT id, container, count(*) OVER (PARTITION BY id) AS produced FROM ({PARAS}) QUALIFY container < 3")
 def extraction_limits(m):
-    return extract.limited(_paragraphs(m), "id", ["container"], 3).select("id", "container")
+    return extract.limited(_paragraphs(m), "id", ["container"], 3).select("id", "container", "produced")
 
 
 @query("evidence_build", rf"SELECT id, container, CASE WHEN strlen(t) <= 4000 THEN t ELSE t[1:list_max(list_filter(range(999, 3998), lambda x: strlen(t[1:x]) <= 3997))] || '…' END AS excerpt FROM (SELECT id, container, markup, trim(markup) AS t FROM ({PARAS})) WHERE regexp_extract(markup, '^(\p{{L}}+)', 1) <> ''")

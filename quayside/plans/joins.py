@@ -192,12 +192,6 @@ def score_review(m):
     return review.scored(m.candidates, m.sources, m.products).select("id", "priority", "sla")
 
 
-@query("review_queue", f"WITH {REVIEWS} SELECT id, priority, sla, DATE '2002-01-01' - discovered_on AS age_days, 'source=' || source_id AS payload FROM reviews WHERE id % 4 = 0")
-def review_queue(m):
-    rows = review.queue(review.scored(m.candidates, m.sources, m.products).where("id % 4 = 0"), F.lit("2002-01-01").cast("date"))
-    return rows.select("id", "priority", "sla", F.col("age_days").cast("long").alias("age_days"), F.concat(F.lit("source="), F.col("payload")["source_id"]).alias("payload"))
-
-
 @query("review_queue_join", f"WITH {REVIEWS} SELECT r.id, r.priority, v.slug AS vendor, p.name AS product FROM reviews r LEFT JOIN vendors v ON v.id = r.source_id LEFT JOIN products p ON p.id = r.product_id WHERE r.sla = 'standard'")
 def review_queue_join(m):
     rows = review.scored(m.candidates, m.sources, m.products).where("sla = 'standard'")

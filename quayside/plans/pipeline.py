@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..operators import checks, conflicts, gates
+from ..operators import checks, conflicts, gates, review
+from .joins import REVIEWS
 from .registry import query
 from .windows import CURRENT, ELIGIBLE, LIVE, NEWEST, RANKS, VERDICTS
 
@@ -70,6 +71,13 @@ def review_kind(m):
     return _verdicts(m).where("decision = 'review_required'").select("id", lookup(gates.REVIEW_KIND, F.col("first_review"), None).alias("kind"))
 
 
+@query("review_queue", f"WITH {CONTEXT}, {STEPS}, {REVIEWS} SELECT r.id, r.priority, r.sla, DATE '2002-01-01' - r.discovered_on AS age_days, 'source=' || r.source_id AS payload FROM reviews r JOIN done ON done.id = r.id WHERE done.decision = 'review_required'")
+def review_queue(m):
+    flagged = _verdicts(m).where("decision = 'review_required'").select("id")
+    rows = review.queue(review.scored(m.candidates, m.sources, m.products).join(flagged, "id", "left_semi"), F.lit("2002-01-01").cast("date"))
+    return rows.select("id", "priority", "sla", F.col("age_days").cast("long").alias("age_days"), F.concat(F.lit("source="), F.col("payload")["source_id"]).alias("payload"))
+
+
 @query("publishable_releases", f"WITH {CONTEXT}, {STEPS} SELECT id, left(sha256(subject_id || '|' || version || '|' || channel), 16) AS release_id, subject_id AS product_id, version FROM done WHERE decision = 'passed'")
 def publishable_releases(m):
     return gates.publishable(_verdicts(m)).select("id", "release_id", "product_id", "version")

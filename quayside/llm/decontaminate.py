@@ -6,13 +6,14 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import texts_of
+from .common import checkpoint, texts_of
 
 FIELDS = {"item_id": pa.int64()} | dict.fromkeys(("distance", "error_budget", "item_length", "match_end"), pa.int32())
+LEAK = "leaks of a block"
 LEAKS = "array<struct<item_id:bigint,distance:int,error_budget:int,item_length:int,match_end:int>>"
 
 
@@ -168,19 +169,36 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1) -> DataFra
     stated items run against all rows in blocks of bounded size. Null or empty texts and items
     match nothing; items that are alike each count; with no items the arrays are empty.
     """
-    found = [_finder(docs.sparkSession.sparkContext.broadcast(block), rate)("text") for block in blocks(benchmark)]
+    found = [_found(docs, block, rate) for block in blocks(benchmark)]
     empty = F.array().cast(LEAKS)
     return docs.withColumn("leaks", found[0] if len(found) == 1 else F.concat(*found) if found else empty)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1) -> DataFrame:
-    """One row per document row and benchmark item found in it."""
-    got = matches(docs.select(F.col("doc_id").cast("long"), "text"), benchmark, rate)
+def _found(docs: DataFrame, block: list[tuple[int, str]], rate: float) -> Column:
+    return _finder(docs.sparkSession.sparkContext.broadcast(block), rate)("text")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, block_chars: int = 4_000_000) -> DataFrame:
+    """One row per document row and benchmark item found in it.
+
+    Every block of items has tasks of its own, so that none holds more than one automaton.
+    """
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
     # an outer generator: an inner one would make the optimizer match every text twice
-    return got.select("doc_id", F.inline_outer("leaks")).where("item_id is not null")
+    leaks = lambda found: rows.select("doc_id", F.inline_outer(found)).where("item_id is not null")
+    out = leaks(F.array().cast(LEAKS))
+    for k, block in enumerate(blocks(benchmark, block_chars)):
+        here = leaks(_found(rows, block, rate))
+        out = out.union(here) if k else here
+    return out
+
 
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, block_chars: int = 4_000_000) -> DataFrame:
+    """``docs`` without the rows that hold a benchmark item; columns as they were.
 
-def clean(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark item; columns as they were."""
-    got = matches(docs.select("*"), benchmark, rate)
-    return got.where(F.size("leaks") == 0).select(docs.columns)
+    Blocks of items go over the documents in turn, each over what the ones before have left.
+    """
+    out = docs
+    for k, block in enumerate(blocks(benchmark, block_chars)):
+        out = (checkpoint(out) if k else out).withColumn(LEAK, _found(docs, block, rate)).where(F.size(LEAK) == 0).select(docs.columns)
+    return out

@@ -118,7 +118,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 20_000, mod: int = 5,
     """Fit on at most ``rows`` labelled documents, those first by a hash of the id.
 
     Rows with crc32(doc_id as text) mod ``mod`` = 0 are never used, nor is any column but the
-    text. Labels that are null, not 0 or 1, or that contradict each other for one id are left out.
+    text. Labels that are null, not 0 or 1, or that contradict each other for one id are left out;
+    a label whose id several documents have counts once, for one of them.
     """
     usable = (
         labels.where("quality in (0, 1) and doc_id is not null")
@@ -135,9 +136,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 20_000, mod: int = 5,
         for b in batches:
             if b.num_rows:
                 x = [features(t) for t in texts_of(b.column(1))]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x, pa.list_(pa.float64()))], ["label_id", "good", "x"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(x, pa.list_(pa.float64()))], ["label_id", "good", "h", "x"])
 
-    got = sorted(found.mapInArrow(measure, "label_id long, good int, x array<double>").collect(), key=lambda r: (r.label_id, r.x))
+    # of an id's documents only the one whose text has the smallest hash comes to the driver
+    measured = found.select("label_id", "text", "good", F.xxhash64("text").alias("h")).mapInArrow(measure, "label_id long, good int, h long, x array<double>")
+    got = sorted(measured.groupBy("label_id", "good").agg(F.min_by("x", "h").alias("x")).collect(), key=lambda r: r.label_id)
     return fit(np.array([r.x for r in got]) if got else np.empty((0, len(features("")))), np.array([r.good == 1 for r in got], bool), at, **options)
 
 

@@ -169,14 +169,18 @@ def length_histogram(lengths: DataFrame, block: int = 1024) -> DataFrame:
 
 
 def answer(histogram: DataFrame, limits: list[int]) -> DataFrame:
-    """``context_limit``, ``kept_tokens``, ``cut_docs`` for every stated limit, from the histogram alone."""
-    h = histogram.select("length", "n_docs")
+    """``context_limit``, ``kept_tokens``, ``cut_docs`` for every stated limit, from the sums of the
+    greatest length up to it alone. An empty histogram gives no rows."""
+    h = histogram.select("length", "docs_up_to", "tokens_up_to", (F.col("docs_up_to") + F.col("docs_at_least") - F.col("n_docs")).alias("docs"))
     each = F.explode(F.array(*[F.lit(int(x)) for x in limits])).alias("context_limit")
-    return (
-        h.select("length", "n_docs", each)
-        .groupBy("context_limit")
-        .agg(
-            F.sum(F.least("length", "context_limit") * F.col("n_docs")).alias("kept_tokens"),
-            F.sum(F.when(F.col("length") > F.col("context_limit"), F.col("n_docs")).otherwise(0)).alias("cut_docs"),
-        )
-    )
+    below = F.col("length") <= F.col("context_limit")
+    of = lambda c: F.coalesce(F.max_by(F.when(below, F.col(c)), F.when(below, F.col("length"))), F.lit(0))
+    sums = h.select("*", each).groupBy("context_limit").agg(of("docs_up_to").alias("whole"), of("tokens_up_to").alias("tokens"), F.max("docs").alias("docs"))
+    cut = F.col("docs") - F.col("whole")
+    return sums.select("context_limit", (F.col("tokens") + F.col("context_limit") * cut).alias("kept_tokens"), cut.alias("cut_docs"))
+
+
+def quantiles(histogram: DataFrame, shares: list[float]) -> DataFrame:
+    """``share`` and ``length``: the least length that this share of the documents does not exceed."""
+    each = F.explode(F.array(*[F.lit(float(x)) for x in shares])).alias("share")
+    return histogram.select("length", "quantile", each).where("quantile >= share").groupBy("share").agg(F.min("length").alias("length"))

@@ -93,6 +93,33 @@ def test_quality_separates_and_holds_out(spark):
     assert {r.doc_id: r.score for r in quality.judge(docs, flipped).collect()} == {r.doc_id: r.score for r in got}
 
 
+def test_ranking_fit_minimises_the_pair_loss():
+    """All pairs of a small set: the fit's loss is a minimum, by finite differences and against descent."""
+    rng = np.random.default_rng(1)
+    good = np.arange(40) % 3 > 0
+    x = rng.standard_normal((40, 3)) + good[:, None] * np.array([1.0, -0.5, 0.0])
+    d = (x[good][:, None] - x[~good][None]).reshape(-1, 3)
+    loss = lambda w: np.log1p(np.exp(-d @ w)).mean() + 0.5e-2 * (w @ w)
+    w = quality._logistic(d, 1e-2)
+    assert all(loss(w) <= loss(w + e) for e in np.concatenate([np.eye(3), -np.eye(3)]) * 1e-2)
+    at = np.zeros(3)
+    for _ in range(4000):
+        at -= 0.5 * (-(d / (1 + np.exp(d @ at))[:, None]).mean(0) + 1e-2 * at)
+    assert w == pytest.approx(at, abs=1e-3)
+    ranker = quality.fit(x, good, 0.3)
+    order = ranker.score(x)
+    assert (order[good][:, None] > order[~good][None]).mean() > 0.8
+    # the cut has the fewest errors of all cuts, each class counted alike
+    wrong = lambda c: (order[good] < c).mean() + (order[~good] >= c).mean()
+    assert wrong(0.3) <= min(wrong(c) for c in order) + 1e-9
+
+
+def test_repeated_labelled_ids_count_once(spark):
+    docs, labels = labelled(spark, 120)
+    again = docs.union(docs.where("doc_id = 1").crossJoin(spark.range(500)).select("doc_id", "text"))
+    assert {r.doc_id: r.score for r in quality.judge(again, labels).collect()} == {r.doc_id: r.score for r in quality.judge(docs, labels).collect()}
+
+
 def test_quality_odd_rows(spark):
     docs, labels = labelled(spark, 80)
     odd = spark.createDataFrame([(1000 + i if i else None, t, "c") for i, t in enumerate(ODD)], "doc_id long, text string, score string")
@@ -274,6 +301,9 @@ def test_leaks_equal_brute_force(spark):
     assert got == want and len(want) > 40
     kept = decontaminate.clean(frame, bench)
     assert kept.columns == frame.columns and kept.count() == len(docs) - len({d for d, _ in want})
+    # in several blocks of items
+    assert {(r.doc_id, r.item_id): r.distance for r in decontaminate.contaminated(frame, bench, block_chars=300).collect()} == want
+    assert sorted(map(str, decontaminate.clean(frame, bench, block_chars=300).collect())) == sorted(map(str, kept.collect()))
     assert decontaminate.contaminated(frame, bench.limit(0)).count() == 0
     assert decontaminate.contaminated(frame.limit(0), bench).count() == 0
 
@@ -300,7 +330,11 @@ def test_length_histogram(spark):
         assert r.quantile == sum(s <= r.length for s in real) / len(real)
     frame = token_lengths.length_histogram(spark.createDataFrame([(s,) for s in sizes], "length long"))
     assert {r.context_limit: (r.kept_tokens, r.cut_docs) for r in token_lengths.answer(frame, [3, 2048]).collect()} == {3: (sum(min(s, 3) for s in real), 6), 2048: (sum(min(s, 2048) for s in real), 1)}
-    assert token_lengths.length_histogram(spark.createDataFrame([], "length long")).count() == 0
+    for limit, kept, cut in [(r.context_limit, r.kept_tokens, r.cut_docs) for r in token_lengths.answer(frame, [0, 1, 4, 1023, 1500, 9999]).collect()]:
+        assert (kept, cut) == (sum(min(s, limit) for s in real), sum(s > limit for s in real))
+    assert {r.share: r.length for r in token_lengths.quantiles(frame, [0.0, 0.2, 0.5, 0.9, 1.0]).collect()} == {q: sorted(real)[max(0, math.ceil(q * len(real)) - 1)] for q in (0.0, 0.2, 0.5, 0.9, 1.0)}
+    none = token_lengths.length_histogram(spark.createDataFrame([], "length long"))
+    assert none.count() == token_lengths.answer(none, [5]).count() == 0
 
 
 @pytest.mark.parametrize(("max_docs", "max_cost", "norm"), [(None, None, False), (3, None, False), (None, 40**2 // 2 * 3, False), (4, 40**2 * 2, True)])

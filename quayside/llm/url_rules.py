@@ -50,15 +50,16 @@ def document() -> Column:
     return F.expr(r"try_cast(regexp_extract(path, '/([0-9]{1,18})(?:/|[.][a-z]+)?$', 1) AS BIGINT)")
 
 
-def mine(labelled: DataFrame, support: float = 0.005, confidence: float = 0.9, lift: float = 1.02) -> DataFrame:
+def mine(labelled: DataFrame, support: float = 0.005, confidence: float = 0.9, lift: float = 1.02, least: int = 10) -> DataFrame:
     """Rules antecedent (array) -> verdict by FP-growth over ``tokens`` and ``label`` of labelled pages.
 
     Rows without a label take no part. ``support``, ``confidence`` and ``lift`` are the least of a
-    rule. A rule whose antecedent has a proper part with at least its confidence for the same
+    rule, and ``least`` the fewest pages that it must fit. A rule whose antecedent has a proper part with at least its confidence for the same
     verdict adds nothing, and is pruned. No labelled rows give no rules.
     """
     goods = labelled.where("label is not null").select(F.concat("tokens", F.array("label")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(goods)
+    floor = min(1.0, max(support, least / max(1, goods.count())))
+    model = FPGrowth(itemsCol="items", minSupport=floor, minConfidence=confidence).fit(goods)
     found = model.associationRules.where(F.col("consequent")[0].isin(BLOCK, ALLOW)).select(
         F.array_sort("antecedent").alias("antecedent"), F.col("consequent")[0].alias("label"), "confidence", "support", "lift"
     )
@@ -74,7 +75,7 @@ def mine(labelled: DataFrame, support: float = 0.005, confidence: float = 0.9, l
     return found.where(F.col("lift") >= lift).join(better.select("antecedent", "label").distinct(), ["antecedent", "label"], "left_anti")
 
 
-def judge(pages: DataFrame, labels: DataFrame | None = None, rules: dict[str, str] | None = None, support: float = 0.005, confidence: float = 0.9, lift: float = 1.02) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame | None = None, rules: dict[str, str] | None = None, support: float = 0.005, confidence: float = 0.9, lift: float = 1.02, least: int = 10) -> DataFrame:
     """page_id, host, path, rule and verdict of every row, then the mined rule's tokens and confidence.
 
     Association rules are mined from the labelled pages. A page's label is the verdict of the
@@ -96,7 +97,7 @@ def judge(pages: DataFrame, labels: DataFrame | None = None, rules: dict[str, st
         said = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc")).agg(F.max("toxic").alias("toxic"))
         shown = base.where("rule is null").select("tokens", document().alias("doc")).join(said, "doc")
         labelled = labelled.union(shown.select("tokens", F.when(F.col("toxic") > 0, BLOCK).otherwise(ALLOW)))
-    mined = mine(labelled, support, confidence, lift)
+    mined = mine(labelled, support, confidence, lift, least)
     # the rules are few by support, but that is checked: their number decides how they travel
     ranked = mined.select(F.xxhash64("antecedent", "label").alias("rule_id"), "*")
     index = ranked.select(

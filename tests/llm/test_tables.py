@@ -219,7 +219,7 @@ def mined_by_hand(labelled, support, confidence, lift):
         held = [v for t, v in labelled if s <= t]
         for verdict in ("verdict=block", "verdict=allow"):
             both = held.count(verdict)
-            if both >= support * n and both >= confidence * len(held):
+            if both >= support * n - 1e-9 and both >= confidence * len(held):
                 rules[s, verdict] = (both / len(held), both / n, both / len(held) * n / sum(v == verdict for _, v in labelled))
     part_as_good = lambda s, v, c: any((s - {x}, v) in rules and rules[s - {x}, v][0] >= c for x in s)
     return {k: x for k, x in rules.items() if x[2] >= lift and not part_as_good(*k, x[0])}
@@ -238,13 +238,13 @@ def test_mined_rules_equal_brute_force(spark):
             toxic[d] = max(toxic.get(d, 0), x)
     labelled = [(tokens_of(u), f"verdict={url_rules.RULES[brute_rule(u)[2]]}") for u in urls if brute_rule(u)[2]]
     labelled += [(tokens_of(u), "verdict=block" if toxic[i] else "verdict=allow") for i, u in enumerate(urls) if i in toxic and not brute_rule(u)[2]]
-    for support, confidence, lift in ((0.02, 0.6, 1.05), (0.005, 0.9, 1.02)):
-        want = mined_by_hand(labelled, support, confidence, lift)
+    for support, confidence, lift, least in ((0.02, 0.6, 1.05, 1), (0.005, 0.9, 1.02, 4), (0.005, 0.8, 1.0, 12)):
+        want = mined_by_hand(labelled, max(support, least / len(labelled)), confidence, lift)
         mined = spark.createDataFrame([(sorted(t), v) for t, v in labelled] + [(["h:com"], None)], "tokens array<string>, label string")
-        got = {(frozenset(r.antecedent), r.label): (r.confidence, r.support, r.lift) for r in url_rules.mine(mined, support, confidence, lift).collect()}
+        got = {(frozenset(r.antecedent), r.label): (r.confidence, r.support, r.lift) for r in url_rules.mine(mined, support, confidence, lift, least).collect()}
         assert got.keys() == want.keys() and want and all(got[k] == pytest.approx(want[k]) for k in want)
         decided = 0
-        for r in url_rules.judge(pages, frame, support=support, confidence=confidence, lift=lift).collect():
+        for r in url_rules.judge(pages, frame, support=support, confidence=confidence, lift=lift, least=least).collect():
             if r.rule:
                 continue
             fits = [(*x[:2], k[1] == "verdict=block", k[1]) for k, x in want.items() if k[0] <= tokens_of(urls[r.page_id])]

@@ -218,3 +218,31 @@ def extract(pages: DataFrame, container: str, fields: dict[str, Field], section:
 
     schema = f"id {pages.schema['id'].dataType.simpleString()}, container int, text string, value map<string,string>, problems array<string>, found int"
     return pages.select("id", F.col("body").cast("string")).mapInArrow(run, schema)
+
+
+def normalize(pages: DataFrame, section: str | None = None, strip: list[str] | None = None) -> DataFrame:
+    """``pages`` (id, body) as id, normalized, section_hash and error.
+
+    The visible text without what ``strip`` names; with ``section`` of the elements it names, one
+    line for each that has any. Comments and attributes, generated ones too, leave no trace in
+    it, so they change no hash. ``error`` says that no element is the section.
+    """
+    parts = [compile_selector(s) for s in strip or []], None, compile_selector(section) if section else []
+
+    def text_of(html: str) -> str | None:
+        reader, page = _Reader(*parts, {}), []
+        reader.listening.append((0, page))
+        reader.feed(html)
+        reader.close()
+        if not section:
+            return shown(page)
+        return "\n".join(filter(None, (shown(box.text) for box in reader.done))) if reader.done else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = (text_of(batch.column(1)[k].as_py() or "") for k in range(batch.num_rows))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(told, pa.string())], ["id", "normalized"])
+
+    schema = f"id {pages.schema['id'].dataType.simpleString()}, normalized string"
+    out = pages.select("id", F.col("body").cast("string")).mapInArrow(run, schema)
+    return out.select("id", "normalized", F.sha2("normalized", 256).alias("section_hash"), F.when(F.col("normalized").isNull(), "section not found").alias("error"))

@@ -75,9 +75,9 @@ def _shown(markup: str, tag: str = " ") -> str:
     return rf"trim(regexp_replace(regexp_replace({out}, '[\x{{200B}}\x{{200C}}\x{{200D}}\x{{FEFF}}]', '', 'g'), '[\s\p{{Z}}]+', ' ', 'g'))"
 
 
-@query("normalize_pages", rf"SELECT id, sha256(t) AS section_hash, length(t) AS chars FROM (SELECT id, {_shown(ARTICLE)} AS t FROM artifacts)")
+@query("normalize_pages", rf"SELECT id, sha256(t) AS section_hash, length(t) AS chars FROM (SELECT id, {_shown(ARTICLE, '')} AS t FROM artifacts)")
 def normalize_pages(m):
-    return extract.normalize_pages(m.artifacts, "article").select("id", "section_hash", F.length("normalized").cast("long").alias("chars"))
+    return selectors.normalize(m.artifacts, "article", [".ad", "nav"]).select("id", "section_hash", F.length("normalized").cast("long").alias("chars"))
 
 
 @query("change_detection", "SELECT id, CASE WHEN row_number() OVER w = 1 THEN 'first' WHEN prev = h THEN 'unchanged' ELSE 'changed' END AS change FROM (SELECT doc_id AS id, source, n_chars, md5(text) AS h, lag(md5(text)) OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS prev FROM documents) WINDOW w AS (PARTITION BY source ORDER BY n_chars, id)")

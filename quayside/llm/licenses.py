@@ -89,8 +89,9 @@ def templates() -> list[tuple[str, str]]:
 WORD = r"[a-z0-9]+"
 #: Words of any English text.
 COMMON = frozenset("a all an and any are as at be by can do for from has have if in is it no not of on only or other that the this to was with you your".split())
-#: Between paragraphs: lines without a letter a-z or a digit.
-GAP = r"\n(?:[^a-z0-9\n]*\n)+"
+#: Between paragraphs: lines without a letter a-z or a digit. Possessive, as many blank lines would
+#: otherwise take the stack of the JVM.
+GAP = r"\n(?:[^a-z0-9\n]*+\n)++"
 #: Names of files that are there to state a licence.
 FILE_NAME = r"(?i)(?:^|/)(?:un)?(?:licen[cs]e|copying)[^/]*$"
 

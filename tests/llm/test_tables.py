@@ -262,7 +262,7 @@ def test_licences_and_folders(spark):
     files = [
         ("a/b/LICENSE", MIT_LINE), ("a/b/c/x.py", "code\nmore"), ("a/b/y.py", "# Licensed under the Apache License, Version 2.0.\ncode\ncode"),
         ("a/z.py", None), ("q.py", ""), ("a/b/c/d/COPYING", GPL_LINE.upper() + "\n\n"), ("a/b/c/d/e/f.py", "x " * 20000), (None, MIT_LINE), ("mit.txt", "mit mit the the under license of mine"),
-        ("t/long.txt", "licence " * 200_000), ("t/gaps", "\n\n \n--\n\n"),
+        ("t/long.txt", "licence " * 200_000), ("t/gaps", "\n\n \n--\n\n"), ("t/blank", MIT_LINE + "\n" * 60_000 + "-\n" * 60_000 + "x"),
     ]
     frame = spark.createDataFrame([(i, p, t, "c") for i, (p, t) in enumerate(files)], "file_id long, path string, text string, row string")
     got = {r.file_id: (r.own_license, r.licence_file, r.license, r.licensed_by) for r in licenses.scan(frame).collect()}
@@ -272,7 +272,7 @@ def test_licences_and_folders(spark):
     assert got[2] == ("Apache-2.0", False, "Apache-2.0", None)
     assert got[3] == got[4] == got[9] == got[10] == (None, False, None, None)
     assert got[5] == ("GPL-3.0", True, "GPL-3.0", None) and got[6] == (None, False, "GPL-3.0", "a/b/c/d")
-    assert got[7] == ("MIT", True, "MIT", None) and got[8][0] is None
+    assert got[7] == ("MIT", True, "MIT", None) and got[8][0] is None and got[11] == ("MIT", False, "MIT", None)
     assert licenses.scan(frame.limit(0)).count() == 0
 
 

@@ -19,19 +19,23 @@ def tokenizer(name: str = "word_bpe_49k.json") -> str:
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page; null and empty html give an empty text."""
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learnt from the labels that are not held out."""
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op3_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document, learnt from those that are not held out."""
     out = suffix_tree.train_and_score(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in every document, with its edit distance."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
@@ -41,20 +45,24 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every vector whose vec_id is divisible by 20."""
     return forest.neighbours(table(spark, sf_dir, "embeddings"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every length in tokens that a document has, with suffix sums for every limit."""
     lengths = token_lengths.encoded_lengths(table(spark, sf_dir, "documents"), tokenizer())
     return token_lengths.length_histogram(lengths)
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document in sequences of 2,048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer())
 
 

@@ -63,7 +63,7 @@ def slugify(text: Column) -> Column:
 
 
 def valid_slug(text: Column) -> Column:
-    return text.rlike("^[a-z0-9]+(-[a-z0-9]+)*$")
+    return text.rlike("^[a-z0-9]+(?:-[a-z0-9]+)*+$")
 
 
 def normalize_alias(text: Column) -> Column:

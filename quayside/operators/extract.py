@@ -130,7 +130,8 @@ ENTRY = "struct<title:string,link:string,description:string,guid:string,pubDate:
 
 
 ATOM = "struct<title:string,link:array<struct<_href:string,_rel:string,_VALUE:string>>,id:string,published:string,updated:string>"
-ROOT = r"(?s)^\x{FEFF}?(?:\s|<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>\[]*(?:\[.*?\])?[^>]*>)*<([A-Za-z_][\w.:-]*)"
+# possessive: much white space would otherwise take the stack of the JVM
+ROOT = r"(?s)^\x{FEFF}?(?:\s++|<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>\[]*+(?:\[.*?\])?[^>]*+>)*+<([A-Za-z_][\w.:-]*)"
 
 
 def feed_entries(feeds: DataFrame) -> DataFrame:

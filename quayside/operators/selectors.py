@@ -8,6 +8,7 @@ by descendant and child combinators.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -61,18 +62,35 @@ def _fits(step: tuple, element: tuple) -> bool:
     )
 
 
-def _matches(steps: list[tuple], path: list[tuple], last: int) -> bool:
-    """Whether the element ``path[last]`` fits the last step and those around it the steps before."""
-    if not _fits(steps[-1], path[last]):
-        return False
-    if len(steps) == 1:
-        return True
-    around = [last - 1] if steps[-1][0] else range(last - 1, -1, -1)
-    return any(k >= 0 and _matches(steps[:-1], path, k) for k in around)
+class Matcher:
+    """A selector along a path of open elements. Of every alternative it keeps which of its steps
+    the last element ends, and which any on the path does, so an element costs the same at any depth."""
+
+    def __init__(self, selector: list[list[tuple]]):
+        self.selector, self.path = selector, [[(0, 0)] * len(selector)]
+
+    def push(self, element: tuple) -> bool:
+        """Open an element; whether the selector selects it."""
+        now, selected = [], False
+        for steps, (last, some) in zip(self.selector, self.path[-1], strict=True):
+            ends = 0
+            for j, step in enumerate(steps):
+                before = j == 0 or (last if step[0] else some) >> (j - 1) & 1
+                if before and _fits(step, element):
+                    ends |= 1 << j
+            now.append((ends, some | ends))
+            selected |= bool(ends >> (len(steps) - 1) & 1)
+        self.path.append(now)
+        return selected
+
+    def pop(self) -> None:
+        self.path.pop()
 
 
 def matches(selector: list[list[tuple]], path: list[tuple]) -> bool:
-    return any(_matches(steps, path, len(path) - 1) for steps in selector)
+    """Whether the last element of ``path`` is selected."""
+    m = Matcher(selector)
+    return [m.push(element) for element in path][-1]
 
 
 @dataclass
@@ -93,9 +111,14 @@ class _Open:
 
 
 class _Reader(HTMLParser):
-    def __init__(self, strip: list, section: list | None, container: list, fields: dict[str, tuple[Field, list | None]]):
+    def __init__(self, strip: list, section: list | None, container: list, fields: dict[str, tuple[Field, list | None]], limit: int = 2**31 - 1):
         super().__init__(convert_charrefs=True)
-        self.strip, self.section, self.container, self.fields = strip, section, container, fields
+        self.limit, self.count, self.tags = limit, 0, Counter()
+        self.specs = {k: f for k, (f, _) in fields.items()}
+        self.strip, self.section, self.container = [Matcher(x) for x in strip], Matcher(section or []), Matcher(container)
+        self.of_field = {k: Matcher(x) for k, (_, x) in fields.items() if x}
+        self.matchers = [*self.strip, self.section, self.container, *self.of_field.values()]
+        self.anywhere = section is None
         self.path: list[tuple] = []
         self.sections = self.hidden = 0  # open sections; depth of the stripped element, if in one
         self.within: list[bool] = []
@@ -113,34 +136,39 @@ class _Reader(HTMLParser):
             while len(self.path) >= k:
                 self.end()
         self.path.append((tag, {k: v or "" for k, v in attrs}))
-        here = bool(self.section) and not self.hidden and matches(self.section, self.path)
+        self.tags[tag] += 1
+        selected = {id(m): m.push(self.path[-1]) for m in self.matchers}
+        here = selected[id(self.section)] and not self.hidden
         self.within.append(here)
         self.sections += here
-        if not self.hidden and (tag in STRIPPED or any(matches(s, self.path) for s in self.strip)):
+        if not self.hidden and (tag in STRIPPED or any(selected[id(m)] for m in self.strip)):
             self.hidden = len(self.path)
         if not self.hidden:
+            fields = [k for k, m in self.of_field.items() if selected[id(m)]]
             for box in self.open:
-                self.fields_of(box, own=False)
-            if (self.section is None or self.sections) and matches(self.container, self.path):
-                box = _Open(len(self.path))
-                self.open.append(box)
-                self.done.append(box)
-                self.listening.append((len(self.path), box.text))
-                self.fields_of(box, own=True)
+                self.listen(box, fields)
+            if (self.anywhere or self.sections) and selected[id(self.container)]:
+                self.count += 1
+                if self.count <= self.limit:
+                    box = _Open(len(self.path))
+                    self.open.append(box)
+                    self.done.append(box)
+                    self.listening.append((len(self.path), box.text))
+                    self.listen(box, [k for k in self.specs if k not in self.of_field])
         if tag in VOID:
             self.end()
 
-    def fields_of(self, box: _Open, own: bool) -> None:
-        for name, (spec, selector) in self.fields.items():
-            if own != (selector is None) or selector is not None and not matches(selector, self.path):
-                continue
-            text: list[str] = []
-            box.found.setdefault(name, []).append((self.path[-1][1].get(spec.attribute) if spec.attribute else None, text))
+    def listen(self, box: _Open, fields: list[str]) -> None:
+        for name in fields:
+            attribute, text = self.specs[name].attribute, []
+            box.found.setdefault(name, []).append((self.path[-1][1].get(attribute) if attribute else None, text))
             self.listening.append((len(self.path), text))
 
     def end(self) -> None:
         depth = len(self.path)
-        self.path.pop()
+        self.tags[self.path.pop()[0]] -= 1
+        for m in self.matchers:
+            m.pop()
         self.sections -= self.within.pop()
         self.hidden = 0 if self.hidden == depth else self.hidden
         self.open = [b for b in self.open if b.depth < depth]
@@ -150,7 +178,7 @@ class _Reader(HTMLParser):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        if any(t == tag for t, _ in self.path):
+        if self.tags[tag]:
             while self.path[-1][0] != tag:
                 self.end()
             self.end()
@@ -187,15 +215,15 @@ def extract(pages: DataFrame, container: str, fields: dict[str, Field], section:
     absent = f"container {container!r} matched no elements" + (f" within section {section!r}" if section else "")
 
     def rows(html: str) -> list[tuple]:
-        reader = _Reader(*parts, specs)
+        reader = _Reader(*parts, specs, limit)
         reader.feed(html)
         reader.close()
-        n = len(reader.done)
+        n = reader.count
         if not n:
             return [(None, None, [], [absent], 0)]
         over = [f"{n} containers, more than {limit}; later ones ignored"] if n > limit else []
         out = []
-        for k, box in enumerate(reader.done[:limit]):
+        for k, box in enumerate(reader.done):
             value, problems = [], list(over)
             for name, (spec, _) in specs.items():
                 found = box.found.get(name, [])

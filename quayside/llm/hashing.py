@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,38 +22,46 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Vocabulary(dict):
-    """Numbers words as they come, and knows what ``of`` says of each new run of them (columns).
-
-    It starts afresh when it holds over ``most`` words, so a task's share of it is bounded.
-    """
-
-    def __init__(self, of: Callable[[list[bytes]], list[np.ndarray]], most: int = 200_000):
-        super().__init__()
-        self.of, self.most, self.new, self.columns = of, most, [], None
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = out = len(self)
-        self.new.append(word)
-        return out
-
-    def __call__(self, told: list[list[bytes]]) -> list[np.ndarray]:
-        """The columns of every word of ``told``, in order."""
-        if len(self) > self.most:
-            self.clear()
-            self.columns = None
-        at = np.fromiter(map(self.__getitem__, chain.from_iterable(told)), "i4", sum(map(len, told)))
-        if self.new:
-            more = self.of(self.new)
-            self.columns = more if self.columns is None else [np.concatenate(x) for x in zip(self.columns, more, strict=True)]
-            self.new = []
-        return [x[at] for x in self.columns] if len(at) else self.of([])
-
-
-def hashes_of(words: list[bytes]) -> np.ndarray:
-    from xxhash import xxh64_intdigest
-
-    return np.fromiter((xxh64_intdigest(w, 42) for w in words), "u8", len(words))
+#: Powers that weigh the bytes of a word by their place, and a number for each byte.
+PLACE, BYTE = np.uint64(0x9FB21C651E98DF25), mix(np.arange(1, 257, dtype="u8") * BASE)
+SPACE, LOWER = np.zeros(256, bool), np.arange(256, dtype="u1")
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+LOWER[65:91] += 32
+
+
+def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a run of texts (``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z), each text closed by an
+    empty word: their 64-bit hashes, their last two bytes as a number, where each text's words
+    begin, and how many it has. No word becomes a Python object."""
+    texts = texts.cast(pa.string()).fill_null("")
+    at = np.frombuffer(texts.buffers()[1], "i4")[texts.offset : texts.offset + len(texts) + 1].astype("i8")
+    raw = texts.buffers()[2]
+    data = LOWER[np.frombuffer(raw, "u1")[at[0] : at[-1]]] if raw is not None and at[-1] > at[0] else np.empty(0, "u1")
+    at = at - at[0]
+    inside = ~SPACE[data]
+    edge = np.zeros(len(data) + 1, bool)  # before this byte a text begins
+    edge[at] = True
+    before = np.concatenate([[False], inside[:-1]]) & ~edge[:-1] if len(data) else inside
+    start = inside & ~before
+    starts = np.flatnonzero(start)
+    last = np.flatnonzero(inside & (edge[1:] | ~np.concatenate([inside[1:], [False]]))) if len(data) else starts
+    size = last - starts + 1
+    place = np.arange(len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data)))) if len(starts) and starts[0] == 0 else None
+    if place is None:
+        head = starts[0] if len(starts) else len(data)
+        place = np.concatenate([np.zeros(head, "i8"), np.arange(head, len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))])
+    power = np.cumprod(np.full(int(size.max(initial=0)) + 1, PLACE))
+    value = BYTE[data] * power[np.minimum(place, len(power) - 1)]
+    value[~inside] = 0
+    h = mix(np.add.reduceat(value, starts) + size.astype("u8") * STEP) if len(starts) else np.empty(0, "u8")
+    kind = data[last].astype("i4") + (np.where(size > 1, data[last - 1], 0).astype("i4") << 8)
+    each = np.diff(np.searchsorted(starts, at)) + 1
+    first = np.cumsum(each) - each
+    out, kinds = np.zeros(int(each.sum()), "u8"), np.zeros(int(each.sum()), "i4")
+    word = np.ones(len(out), bool)
+    word[first + each - 1] = False
+    out[word], kinds[word] = h, kind
+    return out, kinds, first, each
 
 
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -15,7 +15,6 @@ are broadcast, and documents are joined to the others.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -26,13 +25,13 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, slices, words
-from .hashing import BASE, Bits, Vocabulary, distinct, hashes_of, key_of, longs, mapped, mix, pairs_of, past
+from .common import checkpoint, slices
+from .hashing import BASE, Bits, distinct, hashed_words, key_of, longs, mapped, mix, pairs_of, past
 
-#: The closing token of every document; no word is empty.
-END = b""
-#: Different words, or n-grams, that a task counts before it hands them on; bytes of a run of texts.
-BUFFER_WORDS, BUFFER_GRAMS, RUN = 250_000, 1_000_000, 2_000_000
+#: Hash of the closing token of every document.
+END = np.zeros(1, "u8")
+#: Different words or n-grams that a task counts before it hands them on, and bytes of a run of texts.
+BUFFER, RUN = 1_000_000, 2_000_000
 CLASS = np.uint64(0xA0761D6478BD642F)  # sets the symbols of classes apart
 #: A context with one in so many of all tokens is dealt to ``SALTS`` groups by its next word.
 HOT, SALTS = 2_000, 64
@@ -62,63 +61,46 @@ def held_out(doc_id: Column, mod: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % mod == remainder, F.lit(False))
 
 
-def _class(word: bytes) -> int:
-    return int.from_bytes(word[-2:], "big")
-
-
-def _class_symbols(codes: np.ndarray) -> np.ndarray:
-    return mix(codes.astype("u8") + CLASS)
+def _symbols(h: np.ndarray, kind: np.ndarray, own: Bits) -> np.ndarray:
+    """Symbols of words with hashes ``h`` and last bytes ``kind``. A rare word that ``own`` holds
+    wrongly is its own symbol, in counting as in scoring."""
+    return np.where(own.holds(h), h, mix(kind.astype("u8") + CLASS))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """``key`` (a word's hash), ``kind`` (its class), ``n`` over whole texts; each document adds one ``END``."""
+    """``key`` (a word's hash), ``kind`` (its last two bytes), ``n`` over whole texts; each document
+    adds one ``END``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
+        held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            h = hashes_of(list(seen))
-            kinds = np.fromiter(map(_class, seen), "i4", len(seen))
-            out = pa.RecordBatch.from_arrays([pa.array(h.view("i8")), pa.array(kinds), pa.array(list(seen.values()), pa.int64())], ["key", "kind", "n"])
-            seen.clear()
-            return out
+            h, kind, n = (np.concatenate([x[k] for x in held]) for k in range(3))
+            held.clear()
+            order, new, _ = distinct(h)
+            at, n = order[new], np.add.reduceat(n[order], new)
+            return pa.RecordBatch.from_arrays([pa.array(h[at].view("i8")), pa.array(kind[at]), pa.array(n)], ["key", "kind", "n"])
 
         for batch in slices(batches, RUN):
-            for text in batch.column(0).to_pylist():
-                seen.update(words(text))
-                seen[END] += 1
-                if len(seen) >= BUFFER_WORDS:
-                    yield flush()
-        if seen:
+            h, kind, _, _ = hashed_words(batch.column(0))
+            order, new, n = distinct(h)
+            held.append((h[order[new]], kind[order[new]], n))
+            size += len(new)
+            if size >= BUFFER:
+                yield flush()
+                size = 0
+        if held:
             yield flush()
 
     return docs.select("text").mapInArrow(count, "key long, kind int, n long").groupBy("key").agg(F.max("kind").alias("kind"), F.sum("n").alias("n"))
 
 
-def _told(texts: pa.Array) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    """Words of a run of documents with their ENDs, where each document starts, and their sizes."""
-    told = [words(t) for t in texts.to_pylist()]
-    for w in told:
-        w.append(END)
-    size = np.fromiter(map(len, told), "i8", len(told))
-    return told, np.cumsum(size) - size, size
-
-
-def _symbols(words: list[bytes], own: Bits) -> list[np.ndarray]:
-    """Hashes and symbols of words. A rare word that ``own`` holds wrongly is its own symbol, in
-    counting as in scoring."""
-    h = hashes_of(words)
-    out, rare = h.copy(), np.flatnonzero(~own.holds(h))
-    out[rare] = _class_symbols(np.fromiter((_class(words[i]) for i in rare.tolist()), "i8", len(rare)))
-    return [h, out]
-
-
 def symbol_counts(counts: DataFrame, own: Broadcast) -> DataFrame:
     """``sym``, ``n`` tokens and ``w``, those with one more for every word, of ``counts``."""
 
     def run(b: pa.RecordBatch) -> list[pa.Array]:
         h = longs(b, 0)
-        sym = np.where(own.value.holds(h), h, _class_symbols(b.column(1).to_numpy()))
+        sym = _symbols(h, b.column(1).to_numpy(), own.value)
         return [pa.array(sym.view("i8")), b.column(2)]
 
     return mapped(counts.select("key", "kind", "n"), run, "sym long,n long").groupBy("sym").agg(F.sum("n").alias("n"), F.sum(F.col("n") + 1).alias("w"))
@@ -133,8 +115,7 @@ def _grams(train: DataFrame, d: int, own: Broadcast, wanted: Broadcast, hot: Bro
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, held, size = Vocabulary(lambda words: _symbols(words, own.value)[1:]), [], 0
-        end = _symbols([END], own.value)[1][0]
+        held, size, end = [], 0, _symbols(END, np.zeros(1, "i4"), own.value)[0]
 
         def flush() -> pa.RecordBatch:
             ctx, word, suf, n = (np.concatenate([x[k] for x in held]) for k in range(4))
@@ -151,15 +132,15 @@ def _grams(train: DataFrame, d: int, own: Broadcast, wanted: Broadcast, hot: Bro
             return pa.RecordBatch.from_arrays(cols, ["ctx", "suf", "salt", "word", "n"])
 
         for batch in slices(batches, RUN):
-            told, first, _ = _told(batch.column(0))
-            (s,) = symbols(told)
+            h, kind, first, _ = hashed_words(batch.column(0))
+            s = _symbols(h, kind, own.value)
             ctx, suf, ok = past(s, first, d, end)
             use = np.flatnonzero(ok & wanted.value.holds(key_of(ctx, d)))
             order, new, n = distinct(pairs_of(ctx[use], s[use]))
             at = use[order[new]]
             held.append((ctx[at], s[at], suf[at], n))
             size += len(at)
-            if size >= BUFFER_GRAMS:
+            if size >= BUFFER:
                 yield flush()
                 size = 0
         if held:
@@ -185,10 +166,12 @@ def fit(train: DataFrame, depth: int = 3, least: int = 100, listed: int = 3, wor
     tree = Tree(n, v, counts, Bits.of(counts.where(F.col("n") >= least).select("key")), spark.createDataFrame([], "key long, n long, gain double"))
     own = spark.sparkContext.broadcast(tree.own)
     symbols = checkpoint(symbol_counts(counts, own))
-    starts = symbols.where(F.col("n") >= least).select(F.col("sym").alias("ctx"), "n")
+    first = lambda b: [b.column(0), b.column(1), pa.array(key_of(longs(b, 0), 1).view("i8"))]
+    starts = mapped(symbols.where(F.col("n") >= least).select("sym", "n"), first, "ctx long,n long,key long")
     before = None
     for d in range(1, depth + 1):
-        wanted = Bits.of(mapped(starts.select("ctx"), lambda b, d=d: [pa.array(key_of(longs(b, 0), d).view("i8"))], "key long"))
+        starts = checkpoint(starts)
+        wanted = Bits.of(starts.select("key"))
         if not wanted.n:
             break
         hot = np.array([r.ctx for r in starts.where(F.col("n") >= max(least, n // HOT)).select("ctx").collect()], "i8").view("u8")
@@ -203,8 +186,8 @@ def fit(train: DataFrame, depth: int = 3, least: int = 100, listed: int = 3, wor
             found = found.join(seen, "word")
         else:
             found = found.join(before, ["suf", "word"])
-        first = (F.col("n") - 1) / ((F.col("total") - F.col("less") + mu) * F.pow(F.lit(10.0), "prior"))
-        found = checkpoint(found.withColumn("pick", F.col("n") * F.log1p(first) >= worth).select("ctx", "word", "n", "total", "prior", "pick"))
+        gained = (F.col("n") - 1) / ((F.col("total") - F.col("less") + mu) * F.pow(F.lit(10.0), "prior"))
+        found = checkpoint(found.withColumn("pick", F.col("n") * F.log1p(gained) >= worth).select("ctx", "word", "n", "total", "prior", "pick"))
         picked = found.where("pick").groupBy("ctx").agg(F.sum(F.col("n") - 1).alias("less"), F.sum("n").alias("own"))
         free = (F.col("total") - F.col("less") + mu) / (F.col("total") + mu)
         found = found.join(picked, "ctx", "left").withColumn("free", F.log10(F.when(F.col("less").isNotNull(), free).otherwise(1.0)))
@@ -218,7 +201,12 @@ def fit(train: DataFrame, depth: int = 3, least: int = 100, listed: int = 3, wor
         tree.levels.append((kept, entries))
         eff = F.when(F.col("free").isNull(), F.col("prior")).when(F.col("pick"), F.col("logp")).otherwise(F.col("free") + F.col("prior"))
         before = found.select(F.col("ctx").alias("suf"), "word", eff.alias("prior"))
-        starts = mapped(found.where(F.col("n") >= least).select("ctx", "word", "n"), lambda b: [pa.array((longs(b, 1) + BASE * longs(b, 0)).view("i8")), b.column(2)], "ctx long,n long")
+
+        def longer(b: pa.RecordBatch, d: int = d) -> list[pa.Array]:
+            ctx = longs(b, 1) + BASE * longs(b, 0)
+            return [pa.array(ctx.view("i8")), b.column(2), pa.array(key_of(ctx, d + 1).view("i8"))]
+
+        starts = mapped(found.where(F.col("n") >= least).select("ctx", "word", "n"), longer, "ctx long,n long,key long")
     for d, (kept, entries) in enumerate(tree.levels, 1):
         by_ctx = mapped(kept, lambda b, d=d: [pa.array(key_of(longs(b, 0), d).view("i8")), b.column(1), b.column(2)], "key long,n long,gain double")
         by_word = mapped(entries, lambda b, d=d: [pa.array(pairs_of(key_of(longs(b, 0), d), longs(b, 1)).view("i8")), b.column(2), b.column(3)], "key long,n long,gain double")
@@ -277,19 +265,15 @@ def score(docs: DataFrame, tree: Tree, kept: list[str] | None = None, top_words:
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, frequent, bits, own = shared.value
-        end, task, row = _symbols([END], own)[1][0], TaskContext.get().partitionId() << 40, 0
-
-        def known(words: list[bytes]) -> list[np.ndarray]:
-            h, s = _symbols(words, own)
-            return [h, s, *common.find(h)]
-
-        vocabulary = Vocabulary(known)
+        end, task, row = _symbols(END, np.zeros(1, "i4"), own)[0], TaskContext.get().partitionId() << 40, 0
         for batch in slices(batches, RUN):
-            told, first, size = _told(batch.column(0))
-            if not len(told):
+            if not batch.num_rows:
                 continue
-            h, s, here, c = vocabulary(told)
-            doc = np.repeat(np.arange(len(told)), size)
+            h, kind, first, size = hashed_words(batch.column(0))
+            s, doc = _symbols(h, kind, own), np.repeat(np.arange(len(size)), size)
+            order, new, times = distinct(h)
+            here, c = np.empty(len(h), bool), np.empty(len(h))
+            here[order], c[order] = (np.repeat(x, times) for x in common.find(h[order[new]]))
             base, gain = np.log10(c + 1) - unit, np.zeros(len(h))
             asked, of = [h[~here]], [doc[~here]]
             for d in range(1, depth + 1):
@@ -309,14 +293,14 @@ def score(docs: DataFrame, tree: Tree, kept: list[str] | None = None, top_words:
             key, of = np.concatenate(asked), np.concatenate(of)
             order, new, times = distinct(pairs_of(key, of.astype("u8")))
             at = order[new]
-            rows = task + row + np.arange(len(told))
-            row += len(told)
+            rows = task + row + np.arange(len(size))
+            row += len(size)
             n = len(at)
             own_key = mix(rows.astype("u8") + np.uint64(1))  # any key: what an own row meets counts no times
             cols = [
                 pa.array(np.concatenate([rows, rows[of[at]]])),
                 pa.array(np.concatenate([own_key, key[at]]).view("i8")),
-                pa.array(np.concatenate([np.zeros(len(told), "i4"), times.astype("i4")])),
+                pa.array(np.concatenate([np.zeros(len(size), "i4"), times.astype("i4")])),
             ]
             for x, kind in ((size, pa.int64()), (np.add.reduceat((here & (c > 0)).astype("i8"), first), pa.int64()), (np.add.reduceat(base, first), pa.float64()), (np.add.reduceat(gain, first), pa.float64())):
                 cols.append(pa.concat_arrays([pa.array(x, kind), pa.nulls(n, kind)]))

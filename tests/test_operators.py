@@ -187,8 +187,8 @@ def test_extraction_keeps_missing_dates_unknown(spark):
 def test_containers_of_every_section(spark):
     pages = spark.createDataFrame([(1, "<article><p>a</p></article><p>out</p><ARTICLE class='x'><p>b</p><p>c</p></ARTICLE>"), (2, "<p>none</p>"), (3, None)], "id long, body string")
     rows = extract.containers(pages, "<p>(.*?)</p>", "article")
-    assert sorted(map(tuple, rows.collect())) == [(1, 0, "a"), (1, 1, "b"), (1, 2, "c")]
-    assert extract.containers(pages, "<p>(.*?)</p>", "article", 2).count() == 2 and extract.containers(pages, "<p>(.*?)</p>").count() == 5
+    assert sorted(map(tuple, rows.select("id", "container", "markup", "found").collect())) == [(1, 0, "a", 3), (1, 1, "b", 3), (1, 2, "c", 3)]
+    assert [r.found for r in extract.containers(pages, "<p>(.*?)</p>", "article", 2).collect()] == [3, 3] and extract.containers(pages, "<p>(.*?)</p>").count() == 5
 
 
 def test_feeds_that_are_not_feeds(spark):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.versions import normalize_alias
+from .frames import checkpoint
 
 
 def category_array(bridge: DataFrame, categories: DataFrame) -> DataFrame:
@@ -14,15 +15,23 @@ def category_array(bridge: DataFrame, categories: DataFrame) -> DataFrame:
     return rows.groupBy("product_id").agg(F.sort_array(F.collect_list("slug")).alias("category_slugs"))
 
 
-def category_ancestors(categories: DataFrame, depth: int = 16) -> DataFrame:
-    """Every category with each one above it. A chain over ``depth`` steps is a cycle and fails."""
-    name = "quayside_categories"
-    categories.createOrReplaceTempView(name)
-    spark = categories.sparkSession
-    return spark.sql(
-        f"WITH RECURSIVE up(id, ancestor, steps) AS (SELECT id, parent_id, 1 FROM {name} WHERE parent_id IS NOT NULL "
-        f"UNION ALL SELECT u.id, c.parent_id, u.steps + 1 FROM up u JOIN {name} c ON c.id = u.ancestor WHERE c.parent_id IS NOT NULL AND u.steps < {depth}) SELECT * FROM up"
-    )
+def category_ancestors(categories: DataFrame) -> DataFrame:
+    """``id``, ``ancestor`` and ``steps`` (the fewest) for every category (id, parent_id) and each above it.
+
+    Paths are joined to paths, so a chain of any length takes rounds by its logarithm. A
+    category in a cycle is an ancestor of its own, and so a row with ``id = ancestor``: that is
+    how cycles are reported. Parents that are no category themselves are ancestors too.
+    """
+    paths = checkpoint(categories.where("parent_id is not null").select("id", F.col("parent_id").alias("ancestor"), F.lit(1).alias("steps")).distinct())
+    known = paths.count()
+    while known:
+        further = paths.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("above"), F.col("steps").alias("more"))
+        longer = paths.join(further, "ancestor").select("id", F.col("above").alias("ancestor"), (F.col("steps") + F.col("more")).alias("steps"))
+        paths = checkpoint(paths.union(longer).groupBy("id", "ancestor").agg(F.min("steps").alias("steps")))
+        before, known = known, paths.count()
+        if known == before:
+            break
+    return paths
 
 
 def alias_resolution(hints: DataFrame, products: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from .frames import checkpoint
 
 HOUR, DAY = 3600, 86400
 
@@ -82,32 +84,110 @@ def step_health(current: str, outcome: str, failures: int) -> str:
     return wanted if wanted in rules.HEALTH_STATES[current] else current
 
 
-def fold_health(checks: DataFrame, start: str = "active") -> DataFrame:
-    """Every check with the failures in a row and the health after it.
+FAILURES = ("unavailable", "parser_failed")
+#: Outcomes that step_health tells apart; all others leave health as it is.
+OUTCOMES = ("unchanged", "changed", *FAILURES, "unauthorized", "rate_limited", "redirected", "suspicious_content", "manual_review_required", "")
 
-    Each step depends on the one before, so a source's checks are folded in order of time by
-    one task, which holds one state and one batch of them; Spark sorts them, on disk if need be.
-    """
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, health, failures = None, start, 0
-        for rows in batches:
-            out = []
-            for key, outcome in zip(rows["key"], rows["outcome"], strict=True):
-                if key != last:
-                    last, health, failures = key, start, 0
-                failures = failures + 1 if outcome in ("unavailable", "parser_failed") else 0
-                health = step_health(health, outcome, failures)
-                out.append((failures, health))
-            yield rows.assign(failures=[f for f, _ in out], health=[h for _, h in out])[["id", "source_id", "failures", "health"]]
+def transitions() -> np.ndarray:
+    """What each outcome makes of each state: a state is a health and failures in a row, up to those
+    that break a source, as one number."""
+    healths, most = list(rules.HEALTH_STATES), rules.BROKEN_AFTER
+    out = np.empty((len(OUTCOMES), len(healths) * (most + 1)), "u1")
+    for o, outcome in enumerate(OUTCOMES):
+        for h, health in enumerate(healths):
+            for f in range(most + 1):
+                failures = min(most, f + 1) if outcome in FAILURES else 0
+                out[o, h * (most + 1) + f] = healths.index(step_health(health, outcome, failures)) * (most + 1) + failures
+    return out
+
+
+def composed(maps: np.ndarray) -> np.ndarray:
+    """Maps of states, one after the other, as one: neighbours are composed until one is left."""
+    while len(maps) > 1:
+        odd = maps[len(maps) // 2 * 2 :]
+        maps = np.concatenate([np.take_along_axis(maps[1 : len(maps) // 2 * 2 : 2], maps[: len(maps) // 2 * 2 : 2], axis=1), odd])
+    return maps[0]
+
 
-    rows = checks.select("id", "source_id", "outcome", "started_at", F.coalesce(F.col("source_id").cast("string"), F.lit("")).alias("key"))
-    return in_order(rows, "key", "started_at", "id").mapInPandas(fold, "id long, source_id long, failures int, health string")
+def _runs(keys: pd.Series) -> list[tuple[int, int]]:
+    cuts = [0, *(np.flatnonzero((keys != keys.shift()).to_numpy()[1:]) + 1).tolist(), len(keys)]
+    return [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
 
 
-def in_order(rows: DataFrame, key: str, *order: str) -> DataFrame:
+def fold_health(checks: DataFrame, start: str = "active") -> DataFrame:
+    """Every check (id, source_id, outcome, started_at) with the failures in a row and the health after it.
+
+    Each step depends on the one before, but what a run of checks does is a map of few states to
+    states, and such maps can be composed. The log is dealt by time into blocks, of which a hot
+    source has many; each block becomes one map for each source, the maps of a source are gone
+    through in order (one row a block), and then all blocks are replayed, each from its own start.
+    """
+    table, per, healths = transitions(), rules.BROKEN_AFTER + 1, list(rules.HEALTH_STATES)
+    code = F.create_map(*[F.lit(x) for k, o in enumerate(OUTCOMES) for x in (o, k)])
+    rows = checks.select(
+        "id", "source_id", F.coalesce(F.try_element_at(code, F.coalesce("outcome", F.lit(""))), F.lit(len(OUTCOMES) - 1)).alias("code"), "started_at",
+        F.coalesce(F.col("source_id").cast("string"), F.lit("")).alias("key"),
+    )
+    dealt = checkpoint(rows.repartitionByRange("key", "started_at", "id").withColumn("block", F.spark_partition_id()))
+    failing = np.array([o in FAILURES for o in OUTCOMES])
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A row for each block and key: its map, whether all of it failed, and the failures it ends with."""
+        last, whole, reset, ends = None, None, False, 0
+        said = lambda: pd.DataFrame({"block": [last[0]], "key": [last[1]], "map": [whole.astype("i4")], "reset": [reset], "ends": [ends]})
+        for held in batches:
+            of, block, key = held["code"].to_numpy(), held["block"], held["key"]
+            for a, b in _runs(block.astype(str) + " " + key):
+                if (block.iloc[a], key.iloc[a]) != last:
+                    if last:
+                        yield said()
+                    last, whole, reset, ends = (block.iloc[a], key.iloc[a]), np.arange(table.shape[1], dtype="u1"), False, 0
+                whole = composed(np.stack([whole, composed(table[of[a:b]])]))
+                good = np.flatnonzero(~failing[of[a:b]])
+                reset, ends = reset or len(good) > 0, (b - a - 1 - good[-1]) if len(good) else ends + b - a
+        if last:
+            yield said()
+
+    def started(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The state and the failures in a row with which each block of a key begins."""
+        last, state, failures = None, 0, 0
+        for held in batches:
+            out = []
+            for key, whole, reset, ends in zip(held["key"], held["map"], held["reset"], held["ends"], strict=True):
+                if key != last:
+                    last, state, failures = key, healths.index(start) * per, 0
+                out.append((state, failures))
+                state, failures = int(whole[state]), ends if reset else failures + ends
+            yield held[["block", "key"]].assign(state=[s for s, _ in out], failures=[f for _, f in out])
+
+    def replayed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state, failures, steps = None, 0, 0, table.tolist()
+        for held in batches:
+            of, block, key, after = held["code"].tolist(), held["block"], held["key"], []
+            count = np.empty(len(held), "i8")
+            for a, b in _runs(block.astype(str) + " " + key):
+                if (block.iloc[a], key.iloc[a]) != last:
+                    last, state, failures = (block.iloc[a], key.iloc[a]), int(held["state"].iloc[a]), int(held["failures"].iloc[a])
+                for o in of[a:b]:
+                    state = steps[o][state]
+                    after.append(state)
+                at = np.arange(b - a)
+                since = np.maximum.accumulate(np.where(failing[np.array(of[a:b])], -1, at))
+                count[a:b] = np.where(since >= 0, at - since, failures + at + 1)
+                failures = int(count[b - 1])
+            yield held[["id", "source_id"]].assign(failures=count, health=[healths[s // per] for s in after])
+
+    blocks = in_order(dealt, ["block", "key"], "started_at", "id").mapInPandas(summed, "block int, key string, map array<int>, reset boolean, ends long")
+    begin = in_order(blocks, ["key"], "block").mapInPandas(started, "block int, key string, state int, failures long")
+    again = in_order(dealt.join(begin, ["block", "key"]), ["block", "key"], "started_at", "id")
+    return again.select("id", "source_id", "code", "block", "key", "state", "failures").mapInPandas(replayed, "id long, source_id long, failures int, health string")
+
+
+def in_order(rows: DataFrame, key: str | list[str], *order: str) -> DataFrame:
     """Rows of each ``key`` in one partition, one after the other and in ``order``."""
-    return rows.repartition(key).sortWithinPartitions(key, *order)
+    keys = [key] if isinstance(key, str) else key
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order)
 
 
 def illegal_steps(log: DataFrame, states: dict[str, list[str]], key: str, order: list[str | Column]) -> DataFrame:

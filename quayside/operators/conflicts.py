@@ -41,35 +41,45 @@ def eligible_claims(observations: DataFrame, sources: DataFrame) -> DataFrame:
     return current_observation(able).where("trim(version) <> ''")
 
 
-def detect_conflicts(observations: DataFrame, sources: DataFrame) -> DataFrame:
-    """One row per current claim of an eligible source: none, outranked or unresolved.
+def classes(claims: DataFrame) -> DataFrame:
+    """The verdict on each version and rank that is claimed of a subject, whoever claims it.
 
-    A different version from a source of equal or higher rank conflicts; from a lower one it
-    is outranked. Claims of a subject are first folded to one row per version and rank, so the
-    pairs that are compared do not grow with the number of sources that agree.
+    A different version of equal or higher rank conflicts; one of lower rank is outranked. What
+    is compared is a subject's versions, of which each has a row for every rank, so the work does
+    not grow with the number of sources that say the same.
     """
-    claims = eligible_claims(observations, sources)
-    sides = claims.groupBy(*SUBJECT, F.col("version").alias("other_version"), F.col("rank").alias("other_rank")).agg(F.collect_set(F.col("source_id").cast("string")).alias("others"))
-    pairs = claims.join(sides, SUBJECT, "left").withColumn("differs", F.col("other_version") != F.col("version"))
+    sides = claims.groupBy(*SUBJECT, "version", "rank").agg(F.count("*").alias("sources"))
+    others = sides.select(*SUBJECT, F.col("version").alias("other_version"), F.col("rank").alias("other_rank"))
+    pairs = sides.join(others, SUBJECT).withColumn("differs", F.col("other_version") != F.col("version"))
     worse, equal = F.col("differs") & (F.col("other_rank") < F.col("rank")), F.col("differs") & (F.col("other_rank") >= F.col("rank"))
-    found = pairs.groupBy(*SUBJECT, "source_id", "version", "rank").agg(
-        sorted_set(F.collect_set(F.when(equal, F.col("other_version")))).alias("conflicting_versions"),
-        sorted_set(F.flatten(F.collect_list(F.when(equal, F.col("others"))))).alias("conflicting_sources"),
-        sorted_set(F.collect_set(F.when(worse, F.col("other_version")))).alias("outranked_versions"),
-        F.max(F.when(equal, F.col("other_rank"))).alias("authority_rank"),
+    found = pairs.groupBy(*SUBJECT, "version", "rank").agg(
+        F.max("sources").alias("sources"), F.array_sort(F.collect_set(F.when(equal, F.col("other_version")))).alias("conflicting_versions"),
+        F.array_sort(F.collect_set(F.when(worse, F.col("other_version")))).alias("outranked_versions"), F.max(F.when(equal, F.col("other_rank"))).alias("authority_rank"),
     )
     status = F.when(F.size("conflicting_versions") > 0, "unresolved").when(F.size("outranked_versions") > 0, "outranked").otherwise("none")
     return found.withColumn("status", status)
 
 
+def detect_conflicts(observations: DataFrame, sources: DataFrame) -> DataFrame:
+    """One row per current claim of an eligible source: none, outranked or unresolved, with the versions
+    that it differs from. The verdict is that of its class; who else is in which class is not
+    repeated for every claim."""
+    claims = eligible_claims(observations, sources)
+    verdicts = classes(claims).drop("sources")
+    return claims.select(*SUBJECT, "source_id", "version", "rank").join(verdicts, [*SUBJECT, "version", "rank"])
+
+
 def open_conflicts(verdicts: DataFrame) -> DataFrame:
-    """One open conflict per product and channel, from the claims that are unresolved."""
-    hot = verdicts.where("status = 'unresolved'")
-    return hot.groupBy(*SUBJECT).agg(
-        sorted_set(F.flatten(F.array_union(F.array(F.collect_set("version")), F.collect_list("conflicting_versions")))).alias("versions"),
-        sorted_set(F.flatten(F.array_union(F.array(F.collect_set(F.col("source_id").cast("string"))), F.collect_list("conflicting_sources")))).alias("source_ids"),
-        F.max("authority_rank").alias("authority_rank"),
+    """One open conflict per product and channel, from the claims that are unresolved.
+
+    Of two versions the one of lower or equal rank is unresolved and the other its opponent, so
+    all sources of a subject that has an unresolved claim take part.
+    """
+    out = verdicts.groupBy(*SUBJECT).agg(
+        F.bool_or(F.col("status") == "unresolved").alias("hot"), F.array_sort(F.collect_set("version")).alias("versions"),
+        sorted_set(F.collect_set(F.col("source_id").cast("string"))).alias("source_ids"), F.max("authority_rank").alias("authority_rank"),
     )
+    return out.where("hot").drop("hot")
 
 
 def reconcile(stored: DataFrame, verdicts: DataFrame) -> DataFrame:

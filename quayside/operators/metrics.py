@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .frames import checkpoint
+
 from ..functions.text import PRIVATE_CHARS, lookup
 from .usage import consecutive
 
@@ -60,6 +62,29 @@ def top(rows: DataFrame, key: Column, name: str, n: int) -> DataFrame:
     return counts.orderBy(F.desc(name), counts.columns[0]).limit(n)
 
 
+# The names of events, by what they are about.
+EVENTS = {
+    "source": ["SourceChecked", "SourceChanged", "SourceUnchanged", "SourceFailed", "SourceBroken", "SourceRecovered", "SourceRelocated", "CollectorFailed", "CollectorRecovered", "AIRepairRequested", "AIRepairCompleted"],
+    "candidate": ["CandidateReleaseCreated", "CandidateValidated", "CandidateRejected", "HumanReviewRequested"],
+    "release": ["ReleasePublished", "ReleaseWithdrawn", "CorrectionSubmitted"],
+    "product": ["SourceConflictDetected", "SourceConflictResolved", "ProductViewed"],
+    "review_item": ["ReviewItemResolved"],
+    "vendor": ["VendorViewed"],
+    "search": ["SearchExecuted", "SearchReturnedNoResults"],
+    "consumer": ["APIRequestCompleted", "APIQuotaExceeded", "APIKeyCreated"],
+}
+
+
+def event_counts(events: DataFrame, subject: str) -> DataFrame:
+    """Events of every day and name, what the name is about, and of how many of those (``subject``) they
+    were. Every name is counted; one that is not listed is about ``unknown``."""
+    about = F.create_map(*[F.lit(x) for kind, names in EVENTS.items() for n in names for x in (n, kind)])
+    # first by subject, so that counting subjects shuffles no event
+    each = events.groupBy(F.to_date("occurred_at").alias("day"), "event_name", F.col(subject).alias("subject")).agg(F.count("*").alias("n"))
+    out = each.groupBy("day", "event_name").agg(F.sum("n").alias("events"), F.count("subject").alias("subjects"))
+    return out.select("day", "event_name", F.coalesce(F.try_element_at(about, F.col("event_name")), F.lit("unknown")).alias("about"), "events", "subjects")
+
+
 def validated(events: DataFrame, required: dict[str, list[str]]) -> DataFrame:
     """``valid``: every property that the event's name requires is there."""
     need = F.coalesce(F.create_map(*[x for k, v in required.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])[F.col("event_name")], F.array().cast("array<string>"))
@@ -72,9 +97,39 @@ def private(properties: Column) -> Column:
     return F.transform_values(kept, lambda _, v: F.left(F.lower(v), F.lit(PRIVATE_CHARS)))
 
 
-def quantiles(rows: DataFrame, by: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
-    """Exact quantiles by linear interpolation."""
-    return rows.groupBy(*by).agg(*[F.round(F.percentile(value, q), 6).alias(name) for name, q in wanted.items()])
+def quantiles(rows: DataFrame, by: list[str], value: str, wanted: dict[str, float], bins: int = 4096, broadcast_spans: int = 100_000) -> DataFrame:
+    """Exact quantiles of each group by linear interpolation, to six places; nulls do not count.
+
+    No task holds a group's values. The values between the bounds of a rank are counted in
+    ``bins`` ranges, prefix sums say which range holds the rank, and its own least and greatest
+    values are the next bounds, until they are one value. Each round reads the values once more,
+    and leaves about one in ``bins`` of what was between the bounds.
+    """
+    v = F.col(value).cast("double")
+    rows = rows.select(*by, v.alias("v")).where("v is not null")
+    same = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in by]
+    whole = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    position = lambda q: F.lit(q) * (F.col("n") - 1)
+    each = [F.struct(F.lit(name).alias("name"), f(position(q)).cast("long").alias("rank")) for name, q in wanted.items() for f in (F.floor, F.ceil)]
+    ranks = whole.select(*by, "n", "low", "high", F.lit(0).cast("long").alias("before"), F.explode(F.array_distinct(F.array(*each))).alias("r")).select(*by, "n", "low", "high", "before", "r.*")
+    ranks = checkpoint(ranks)
+    while left := ranks.where("low < high").count():
+        spans = ranks.where("low < high").select(*by, "low", "high").distinct()
+        spans = F.broadcast(spans) if left <= broadcast_spans else spans
+        inside = rows.alias("a").join(spans.alias("b"), [*same("a", "b"), F.col("v").between(F.col("low"), F.col("high"))])
+        part = F.least(F.floor((F.col("v") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2) * bins), F.lit(bins - 1))
+        found = inside.select(*[F.col(f"a.{c}").alias(c) for c in by], "low", "high", "v", part.alias("bin"))
+        counts = found.groupBy(*by, "low", "high", "bin").agg(F.count("*").alias("here"), F.min("v").alias("least"), F.max("v").alias("most"))
+        upto = F.sum("here").over(Window.partitionBy(*by, "low", "high").orderBy("bin"))
+        counts = counts.withColumn("under", upto - F.col("here"))
+        at = [*same("r", "c"), F.col("r.low") == F.col("c.low"), F.col("r.high") == F.col("c.high"), F.expr("r.rank - r.before between c.under and c.under + c.here - 1")]
+        names = [F.col(f"r.{c}").alias(c) for c in (*by, "n")]
+        next_ones = ranks.where("low < high").alias("r").join(counts.alias("c"), at).select(*names, F.col("least").alias("low"), F.col("most").alias("high"), (F.col("r.before") + F.col("under")).alias("before"), "name", "rank")
+        ranks = checkpoint(ranks.where("low = high").unionByName(next_ones))
+    of = lambda name, f: F.max(F.when((F.col("name") == name) & (F.col("rank") == f(position(wanted[name])).cast("long")), F.col("low")))
+    share = lambda q: F.max(position(q) - F.floor(position(q)))
+    out = [F.round(of(n, F.floor) + (of(n, F.ceil) - of(n, F.floor)) * share(q), 6).alias(n) for n, q in wanted.items()]
+    return ranks.groupBy(*by).agg(*out)
 
 
 def cumulative(rows: DataFrame, by: str, value: str, bounds: list[float]) -> DataFrame:
@@ -96,16 +151,6 @@ def windowed(rows: DataFrame, span: str, *by: str):
     return rows.groupBy(F.window("occurred_at", span), *by)
 
 
-def sustained(series: DataFrame, threshold: float, step_s: int, windows: int) -> DataFrame:
-    """Stretches of at least ``windows`` windows in a row whose value is over the threshold.
-
-    ``series`` has a row per window, so the order without a key is over windows, not records.
-    """
-    hot = series.where(F.col("value") > threshold)
-    island = F.unix_seconds(F.col("at").cast("timestamp")) / step_s - F.row_number().over(Window.orderBy("at"))
-    return hot.withColumn("island", island).groupBy("island").agg(F.min("at").alias("since"), F.count("*").alias("windows")).where(F.col("windows") >= windows).drop("island")
-
-
 def counter_increase(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     """Growth of a counter that starts again at zero when its process does."""
     before = F.lag(value).over(Window.partitionBy(key).orderBy(*order))

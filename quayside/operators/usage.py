@@ -15,12 +15,25 @@ def consecutive(checks: DataFrame, counts: Column, key: str = "source_id") -> Da
     return rows.withColumn("run", F.when(F.col("hit") == 1, F.sum("hit").over(inside)).otherwise(0))
 
 
-def rolling_counts(records: DataFrame, by: str, spans: dict[str, int]) -> DataFrame:
-    """Per record, how many of the same ``by`` fell in the seconds before it."""
-    out = records.withColumn("second", F.unix_seconds(F.col("occurred_at").cast("timestamp")))
-    for name, span in spans.items():
-        out = out.withColumn(name, F.count("*").over(Window.partitionBy(by).orderBy("second").rangeBetween(-span, 0)))
-    return out
+def rolling_counts(records: DataFrame, by: str, spans: dict[str, int], block: int = 3600) -> DataFrame:
+    """Per record, how many of the same ``by`` fell in the seconds before it, itself included.
+
+    A span's count is the difference of two counts from the beginning. Such a count is that of
+    the whole blocks of ``block`` seconds before, summed over blocks, and that inside one block,
+    so no window takes more than one block of seconds of a key, however many records it has.
+    """
+    timed = records.withColumn("second", F.unix_seconds(F.col("occurred_at").cast("timestamp")))
+    seconds = timed.groupBy(by, "second").agg(F.count("*").alias("n"))
+    points = [F.struct(F.lit("").alias("span"), F.col("second").alias("t"), F.col("n").alias("n"))]
+    points += [F.struct(F.lit(name).alias("span"), (F.col("second") - span - 1).alias("t"), F.lit(0).cast("long").alias("n")) for name, span in spans.items()]
+    asked = seconds.select(by, "second", F.explode(F.array(*points)).alias("p")).select(by, "second", "p.*", F.floor(F.col("p.t") / block).alias("block"))
+    inside = Window.partitionBy(by, "block").orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
+    blocks = asked.groupBy(by, "block").agg(F.sum("n").alias("here"))
+    before = blocks.select(F.col(by).alias("_by"), F.col("block").alias("_block"), (F.sum("here").over(Window.partitionBy(by).orderBy("block")) - F.col("here")).alias("before"))
+    counted = asked.withColumn("within", F.sum("n").over(inside)).join(before, F.col(by).eqNullSafe(F.col("_by")) & (F.col("block") == F.col("_block")))
+    upto = lambda span: F.max(F.when(F.col("span") == span, F.col("within") + F.col("before")))
+    told = counted.groupBy(F.col(by).alias("_by"), F.col("second").alias("_second")).agg(*[(upto("") - upto(name)).alias(name) for name in spans])
+    return timed.join(told, F.col(by).eqNullSafe(F.col("_by")) & (F.col("second") == F.col("_second"))).drop("_by", "_second")
 
 
 def rollup(records: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import metrics, usage
+from ..operators import alerts, metrics, usage
 from .registry import query
 from .windows import LIVE
 
@@ -287,10 +287,41 @@ def quota_violations(m):
     return metrics.api_usage(m.usage_records, m.consumers).where("status_code = 429").groupBy("day", "plan").agg(F.count("*").alias("violations"))
 
 
-@query("alert_evaluation", "WITH w AS (SELECT time_bucket(INTERVAL '1 hour', occurred_at) AS hour_at, count(CASE WHEN status_code >= 500 THEN 1 END) / count(*) AS ratio FROM usage_records GROUP BY 1), h AS (SELECT hour_at, epoch(hour_at) / 3600 - row_number() OVER (ORDER BY hour_at) AS island FROM w WHERE ratio > 0.2) SELECT min(hour_at) AS since, count(*) AS windows FROM h GROUP BY island HAVING count(*) >= 3")
+# metrics by hour that the tables have; queue, budget and pool, which they do not, are stood in for by sums of events
+OF_API = {"api_error_ratio": "errors / requests", "queue_depth": "k * 4.0", "queue_oldest_message_s": "slowest * 4.0", "dead_letters_15m": "throttled * 1.0", "ai_budget_share": "k / 400.0", "db_pool_share": "slowest / 260.0"}
+OF_VENDOR = {"collector_failure_ratio": "failed / checks", "collector_failures_15m": "failed * 1.0"}
+RULE_ROWS = ", ".join(f"('{n}', '{m}', '{c}', {t}, {-(-s // 3600)}, '{v}')" for n, m, c, t, s, v, _ in alerts.RULES)
+
+
+def _unpivot(source: str, series: str, metrics_of: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{n}' AS metric, {series} AS series, h, CAST({e} AS DOUBLE) AS value FROM {source}" for n, e in metrics_of.items())
+
+
+@query("alert_evaluation", f"""WITH api AS (SELECT endpoint, date_trunc('hour', occurred_at) AS h, count(*) AS requests, count(CASE WHEN status_code >= 500 THEN 1 END) AS errors, count(CASE WHEN status_code = 429 THEN 1 END) AS throttled, sum(k) AS k, max(duration_ms) AS slowest FROM usage_records GROUP BY ALL),
+vend AS (SELECT v.slug, date_trunc('hour', started_at) AS h, count(*) AS checks, count(CASE WHEN outcome = 'unavailable' THEN 1 END) AS failed FROM checks c JOIN sources s ON s.id = c.source_id JOIN vendors v ON v.id = s.vendor_id GROUP BY ALL),
+smp AS ({_unpivot("api", "endpoint", OF_API)} UNION ALL {_unpivot("vend", "slug", OF_VENDOR)}
+ UNION ALL SELECT 'publications_while_checked', '', date_trunc('hour', occurred_at), CAST(count(CASE WHEN event_name = 'ReleasePublished' THEN 1 END) AS DOUBLE) FROM analytics GROUP BY ALL
+ UNION ALL SELECT 'api_latency_p95_s', '', date_trunc('hour', occurred_at), round(quantile_cont(duration_ms, 0.95), 6) / 200 FROM usage_records GROUP BY ALL),
+r(rule, metric, cmp, threshold, hold, severity) AS (VALUES {RULE_ROWS}), u AS (SELECT max(h) AS until FROM smp),
+hot AS (SELECT rule, severity, hold, series, h FROM smp JOIN r USING (metric) WHERE CASE cmp WHEN '>' THEN value > threshold WHEN '>=' THEN value >= threshold ELSE value = threshold END),
+isl AS (SELECT *, h - INTERVAL '1 hour' * row_number() OVER (PARTITION BY rule, series ORDER BY h) AS island FROM hot),
+st AS (SELECT rule, severity, hold, series, min(h) AS since, max(h) AS last FROM isl GROUP BY rule, severity, hold, series, island)
+SELECT rule, severity, series, since AS pending_at, CASE WHEN since + INTERVAL '1 hour' * hold <= last THEN since + INTERVAL '1 hour' * hold END AS firing_at, CASE WHEN last + INTERVAL '1 hour' <= until THEN last + INTERVAL '1 hour' END AS resolved_at FROM st, u""")
 def alert_evaluation(m):
-    rows = metrics.windowed(m.usage_records, "1 hour").agg((F.count_if(F.col("status_code") >= 500) / F.count("*")).alias("value")).select(F.col("window.start").alias("at"), "value")
-    return metrics.sustained(rows, 0.2, 3600, 3)
+    hour = lambda c: F.date_trunc("hour", c).alias("at")
+    count = lambda c: F.count_if(c)
+    told = lambda of, series: F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(series).alias("series"), F.expr(e).cast("double").alias("value")) for n, e in of.items()])).alias("x")
+    api = m.usage_records.groupBy("endpoint", hour("occurred_at")).agg(
+        F.count("*").alias("requests"), count(F.col("status_code") >= 500).alias("errors"), count(F.col("status_code") == 429).alias("throttled"), F.sum("k").alias("k"), F.max("duration_ms").alias("slowest")
+    )
+    vendor = m.sources.select(F.col("id").alias("source_id"), "vendor_id").join(m.vendors.select(F.col("id").alias("vendor_id"), "slug"), "vendor_id")
+    vend = m.checks.join(vendor, "source_id").groupBy("slug", hour("started_at")).agg(F.count("*").alias("checks"), count(F.col("outcome") == "unavailable").alias("failed"))
+    published = m.analytics.groupBy(hour("occurred_at")).agg(count(F.col("event_name") == "ReleasePublished").cast("double").alias("value"))
+    slow = metrics.quantiles(m.usage_records.withColumn("at", F.date_trunc("hour", "occurred_at")), ["at"], "duration_ms", {"p95": 0.95})
+    cols = ["metric", "series", "at", "value"]
+    samples = api.select("at", told(OF_API, "endpoint")).select("at", "x.*").select(*cols).union(vend.select("at", told(OF_VENDOR, "slug")).select("at", "x.*").select(*cols))
+    samples = samples.union(published.select(F.lit("publications_while_checked"), F.lit(""), "at", "value")).union(slow.select(F.lit("api_latency_p95_s"), F.lit(""), "at", F.col("p95") / 200))
+    return alerts.stretches(samples, alerts.rule_table(m.spark), 3600)
 
 
 @query("counter_increase", "SELECT user_id AS source_id, round(sum(CASE WHEN prev IS NULL THEN 0 WHEN value < prev THEN value ELSE value - prev END), 4) AS increase FROM (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events) GROUP BY 1")
@@ -323,8 +354,9 @@ def breakage_trend(m):
     return rows.groupBy(F.to_date(F.date_trunc("week", "occurred_at")).alias("week"), F.col("session_bucket").alias("vendor_id")).agg(F.count("*").alias("broken"))
 
 
-@query("event_counts", f"SELECT {DAY} AS day, count(CASE WHEN event_name = 'ProductViewed' THEN 1 END) AS viewed, count(CASE WHEN event_name = 'SearchExecuted' THEN 1 END) AS searched, count(CASE WHEN event_name = 'SourceBroken' THEN 1 END) AS broken FROM analytics GROUP BY 1")
+KINDS = " ".join(f"WHEN event_name IN ({', '.join(repr(n) for n in names)}) THEN '{kind}'" for kind, names in metrics.EVENTS.items())
+
+
+@query("event_counts", f"SELECT {DAY} AS day, event_name, CASE {KINDS} ELSE 'unknown' END AS about, count(*) AS events, count(DISTINCT k) AS subjects FROM analytics GROUP BY 1, 2")
 def event_counts(m):
-    names = ["ProductViewed", "SearchExecuted", "SourceBroken"]
-    rows = m.analytics.groupBy(F.to_date("occurred_at").alias("day")).pivot("event_name", names).agg(F.count("id"))
-    return rows.select("day", *[F.coalesce(n, F.lit(0)).alias(a) for n, a in zip(names, ["viewed", "searched", "broken"], strict=True)])
+    return metrics.event_counts(m.analytics, "k")

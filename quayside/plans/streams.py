@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..operators import extract
-from ..streaming import jobs
+from ..streaming import jobs, stateful
 from .bindings import VIEWS
 from .registry import query
 from .pipeline import HEALTH
@@ -41,10 +41,17 @@ def stream_observations(m):
     return jobs.drain(jobs.observations(_stream(m, "observations", "lineitem"), order), "update", ["source_id", "product_id", "channel"])
 
 
-@query("stream_conflicts", f"SELECT o.product_id, o.channel, count(DISTINCT version) > 1 AS disputed FROM observations o JOIN sources s ON s.id = o.source_id WHERE {ELIGIBLE} GROUP BY 1, 2")
+# claims come in three runs, each of which takes up the state of the one before
+@query("stream_conflicts", f"""WITH st AS (SELECT unnest([0, 1, 2]) AS step), o AS (SELECT st.step, ob.* FROM observations ob JOIN sources s ON s.id = ob.source_id JOIN st ON ob.order_id % 3 <= st.step WHERE {ELIGIBLE}),
+cur AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY step, source_id, product_id, channel ORDER BY release_date DESC NULLS LAST, observed_on DESC, version DESC, order_id DESC, line_no DESC) = 1),
+d AS (SELECT step, product_id, channel, count(DISTINCT version) > 1 AS disputed, string_agg(DISTINCT version, ',' ORDER BY version) AS versions FROM cur GROUP BY ALL),
+e AS (SELECT *, coalesce(lag(disputed) OVER (PARTITION BY product_id, channel ORDER BY step), false) AS was FROM d)
+SELECT step, product_id, channel, CASE WHEN disputed THEN 'opened' ELSE 'resolved' END AS event, versions FROM e WHERE disputed <> was""")
 def stream_conflicts(m):
     ok = m.sources.where(rules.source_eligible(F.col("enabled"), F.col("health"), F.col("robots"), F.col("terms"))).select(F.col("id").alias("source_id"))
-    return jobs.drain(jobs.conflict_events(_stream(m, "observations", "lineitem").join(ok, "source_id")), "update", ["product_id", "channel"])
+    claims = m.observations.join(ok, "source_id", "left_semi")
+    log = jobs.replay([claims.where(F.col("order_id") % 3 == k) for k in range(3)], stateful.conflict_events)
+    return log.select("step", "product_id", "channel", "event", F.array_join("versions", ",").alias("versions"))
 
 
 @query("stream_source_health", f"WITH {HEALTH} SELECT source_id, max(n) AS checks, max_by(failures, n) AS failures, max_by(health, n) AS health FROM log JOIN walk USING (source_id, n) GROUP BY source_id")
@@ -52,9 +59,22 @@ def stream_source_health(m):
     return jobs.drain(jobs.source_health(_stream(m, "checks", "events")), "update", ["source_id"])
 
 
-@query("stream_alerts", "SELECT since, count(*) AS requests, count(CASE WHEN status_code >= 500 THEN 1 END) AS errors FROM (SELECT status_code, unnest([time_bucket(INTERVAL '1 hour', occurred_at), time_bucket(INTERVAL '1 hour', occurred_at) - INTERVAL '1 hour']) AS since FROM usage_records) GROUP BY 1")
+ALERTS = [("errors", "error_ratio", ">", 0.25, 7200, "page", False), ("busy", "requests", ">=", 8.0, 3600, "ticket", False), ("silent", "requests", "<", 2.0, 3600, "page", True)]
+
+
+# the grid goes on from a series' first window to the watermark; a stretch is a run of breaches on it
+@query("stream_alerts", """WITH w AS (SELECT endpoint AS series, status_code, unnest([time_bucket(INTERVAL '1 hour', occurred_at) + INTERVAL '1 hour', time_bucket(INTERVAL '1 hour', occurred_at) + INTERVAL '2 hours']) AS happened_at FROM usage_records),
+mark AS (SELECT time_bucket(INTERVAL '1 hour', max(occurred_at) - INTERVAL '10 minutes') AS until FROM usage_records),
+v AS (SELECT series, happened_at, count(*) AS requests, count(CASE WHEN status_code >= 500 THEN 1 END) / count(*) AS ratio FROM w WHERE happened_at <= (SELECT until FROM mark) GROUP BY ALL),
+g AS (SELECT series, unnest(generate_series(first, (SELECT until FROM mark), INTERVAL '1 hour')) AS happened_at FROM (SELECT series, min(happened_at) AS first FROM v GROUP BY 1)),
+b AS (SELECT 'errors' AS rule, 2 AS hold, series, happened_at FROM v WHERE ratio > 0.25 UNION ALL SELECT 'busy', 1, series, happened_at FROM v WHERE requests >= 8 UNION ALL SELECT 'silent', 1, series, happened_at FROM g LEFT JOIN v USING (series, happened_at) WHERE coalesce(requests, 0) < 2),
+i AS (SELECT *, happened_at - INTERVAL '1 hour' * row_number() OVER (PARTITION BY rule, series ORDER BY happened_at) AS island FROM b),
+s AS (SELECT rule, hold, series, min(happened_at) AS since, max(happened_at) AS last FROM i GROUP BY rule, hold, series, island)
+SELECT rule, series, 'pending' AS event, since AS happened_at FROM s UNION ALL SELECT rule, series, 'firing', since + INTERVAL '1 hour' * hold FROM s WHERE since + INTERVAL '1 hour' * hold <= last
+UNION ALL SELECT rule, series, CASE WHEN since + INTERVAL '1 hour' * hold <= last THEN 'resolved' ELSE 'cleared' END, last + INTERVAL '1 hour' FROM s WHERE last + INTERVAL '1 hour' <= (SELECT until FROM mark)""")
 def stream_alerts(m):
-    return jobs.drain(jobs.alerts(_stream(m, "usage_records", "events")), "update", ["since"])
+    samples = jobs.traffic(_stream(m, "usage_records", "events"))
+    return jobs.drain(stateful.alert_events(samples, ALERTS, 3600)).withColumnRenamed("at", "happened_at")
 
 
 # a session comes out when the watermark, half an hour behind the last event, has passed its end

@@ -54,6 +54,23 @@ def drain(stream: DataFrame, mode: str = "append", latest_by: list[str] | None =
     return out.drop("batch")
 
 
+def replay(steps: list[DataFrame], job: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
+    """``step`` and what ``job`` said after it. The rows of each step arrive as files together and
+    are a run of their own, which takes up the checkpoint where the run before left it."""
+    spark, folder = steps[0].sparkSession, shared_folder(steps[0].sparkSession)
+    out = None
+    for k, rows in enumerate(steps):
+        rows.write.parquet(f"{folder}/in/s{k}")
+
+        def put(batch: DataFrame, number: int, k: int = k) -> None:
+            batch.withColumn("step", F.lit(k)).write.mode("overwrite").parquet(f"{folder}/out/number={number}")
+
+        out = job(spark.readStream.schema(rows.schema).parquet(f"{folder}/in/*"))
+        q = out.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(put).start()
+        q.awaitTermination()
+    return spark.read.schema(StructType([*out.schema, StructField("step", IntegerType())])).parquet(f"{folder}/out/number=*")
+
+
 def usage_dedupe(records: DataFrame, late: str = "1 day") -> DataFrame:
     """Each idempotency key once, however often a record is sent."""
     return records.withWatermark("occurred_at", late).dropDuplicatesWithinWatermark(["id"])
@@ -75,12 +92,6 @@ def observations(rows: DataFrame, order: list[Column]) -> DataFrame:
     return out.select("source_id", "product_id", "channel", F.col("best.v").alias("version"), F.col("best.d").alias("release_date"), F.col("best.o").alias("observed_on"), "first_observed_on")
 
 
-def conflict_events(rows: DataFrame) -> DataFrame:
-    """Whether eligible sources claim more than one version of a subject; two extremes are the state."""
-    out = rows.groupBy("product_id", "channel").agg(F.min("version").alias("low"), F.max("version").alias("high"))
-    return out.select("product_id", "channel", (F.col("low") != F.col("high")).alias("disputed"))
-
-
 def source_health(checks: DataFrame, start: str = "active", late: str = "1 hour") -> DataFrame:
     """Checks so far, failures in a row and health of each source, in order of time inside a batch."""
 
@@ -99,10 +110,11 @@ def source_health(checks: DataFrame, start: str = "active", late: str = "1 hour"
     )
 
 
-def alerts(records: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Error share of sliding windows."""
-    rows = records.withWatermark("occurred_at", late).groupBy(F.window("occurred_at", "2 hours", "1 hour"))
-    return rows.agg(F.count("*").alias("requests"), F.count_if(F.col("status_code") >= 500).alias("errors")).select(F.col("window.start").alias("since"), "requests", "errors")
+def traffic(records: DataFrame, late: str = "10 minutes", span: str = "2 hours", step: str = "1 hour") -> DataFrame:
+    """Requests and their share of errors in sliding windows of each endpoint, when these are over."""
+    rows = records.withWatermark("occurred_at", late).groupBy(F.window("occurred_at", span, step), F.col("endpoint").alias("series"))
+    out = rows.agg(F.count("*").cast("double").alias("requests"), (F.count_if(F.col("status_code") >= 500) / F.count("*")).alias("error_ratio"))
+    return out.select("series", F.window_time("window").alias("at"), "requests", "error_ratio")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "30 minutes") -> DataFrame:

@@ -110,7 +110,32 @@ class _Open:
     found: dict[str, list[tuple[str | None, list[str]]]] = field(default_factory=dict)
 
 
-class _Reader(HTMLParser):
+COMMENT_END = re.compile(r"--\s*>")
+
+
+class LinearParser(HTMLParser):
+    """The standard parser for a whole page at a time, in time that grows with the page only. What the
+    page opens and never closes would be looked for again from every such place, so it is text
+    before the parser sees it: a ``<`` with no ``>`` after it, and a ``<!--`` with no ``-->``."""
+
+    def feed(self, data: str) -> None:
+        cut = data.rfind(">") + 1
+        data = data[:cut] + data[cut:].replace("<", "&lt;")
+        cut = max((m.end() for m in COMMENT_END.finditer(data)), default=0)
+        super().feed(data[:cut] + data[cut:].replace("<!--", "&lt;!--"))
+
+    def parse_html_declaration(self, i: int) -> int:
+        """A marked section, or a declaration that the standard parser gives up on, is a bogus comment."""
+        try:
+            if not self.rawdata.startswith("<![", i):
+                return super().parse_html_declaration(i)
+        except AssertionError:
+            pass
+        end = self.parse_bogus_comment(i)
+        return end if end >= 0 else len(self.rawdata)
+
+
+class _Reader(LinearParser):
     def __init__(self, strip: list, section: list | None, container: list, fields: dict[str, tuple[Field, list | None]], limit: int = 2**31 - 1):
         super().__init__(convert_charrefs=True)
         self.limit, self.count, self.tags = limit, 0, Counter()
@@ -183,13 +208,6 @@ class _Reader(HTMLParser):
                 self.end()
             self.end()
 
-    def parse_html_declaration(self, i: int) -> int:
-        try:
-            return super().parse_html_declaration(i)
-        except AssertionError:  # one that the standard parser gives up on is a comment
-            end = self.parse_bogus_comment(i)
-            return end if end >= 0 else len(self.rawdata)
-
     def handle_data(self, data: str) -> None:
         if not self.hidden:
             for _, text in self.listening:

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from ..operators.selectors import LinearParser
 from .common import texts_of
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,7 +40,10 @@ NAMES = frozenset(
     "subscription signup login pagination pager toolbar widget skip print".split()
 )
 #: The words of readers' comments, which can be <article> elements too.
-COMMENT = frozenset("comment comments reply replies respond disqus".split())
+COMMENT = frozenset(
+    "comment comments commenter commentlist reply replies respond responses disqus reactions kommentar kommentare "
+    "commentaire commentaires comentario comentarios opiniones commenti reacties".split()
+)
 NAME = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 UNSHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: Elements that a following start tag closes.
@@ -50,6 +53,10 @@ PARAGRAPH = frozenset(["p"])
 LEAVES = HEADINGS | frozenset("p li dt dd td th pre blockquote".split())
 #: What an element is, by itself.
 PLAIN, NAMED, COMMENTS, HARD, HIDDEN = range(5)
+#: So many like elements, one after the other, are a thread of replies if each begins with a line this short.
+THREAD, BYLINE = 3, 60
+#: A heading at most so many lines before the text is its own.
+NEAR = 3
 #: A named element, or one of comments, that holds this share of the text around it is not furniture.
 MOST, NEARLY_ALL = 0.8, 0.95
 
@@ -70,26 +77,28 @@ def _kind(tag: str, attrs: dict[str, str | None]) -> int:
     return NAMED if tag == "form" or (attrs.get("role") or "").lower() in ROLES or not names.isdisjoint(NAMES) else PLAIN
 
 
-class _Page(HTMLParser):
+class _Page(LinearParser):
     """Elements (tag, kind, parent, which comes before them) and lines (text, tags, characters in
     links, innermost element). Every step takes constant time, but for what it closes."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.tags, self.kinds, self.parents = [""], [PLAIN], [-1]
+        self.tags, self.kinds, self.parents, self.classes = [""], [PLAIN], [-1], [""]
         self.open = [0]  # element ids
         self.at: dict[str, list[int]] = {}  # where in ``open`` each tag stands
         self.blocks: list[int] = []  # where in it blocks stand
         self.text: list[str] = []
-        self.count, self.linked = 0, 0
+        self.count, self.linked, self.links = 0, 0, 0
         self.lines: list[tuple[str, int, int, int]] = []
+        self.menus: list[int] = []  # links of each line
 
     def line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
             self.lines.append((text, self.count, self.linked, self.open[-1]))
+            self.menus.append(self.links)
             self.count = 0
-        self.text, self.linked = [], 0
+        self.text, self.linked, self.links = [], 0, 0
 
     def pop_to(self, k: int) -> None:
         while len(self.open) > k:
@@ -103,12 +112,14 @@ class _Page(HTMLParser):
         if block or kind:
             self.line()
         self.count += 1
+        self.links += tag == "a"
         if tag in VOID:
             return
         if block and self.blocks and self.tags[self.open[self.blocks[-1]]] in CLOSES.get(tag, PARAGRAPH):
             self.pop_to(self.blocks[-1])
         self.parents.append(self.open[-1])
         self.tags.append(tag)
+        self.classes.append(said.get("class") or "")
         self.kinds.append(HIDDEN if self.kinds[self.open[-1]] == HIDDEN else kind)
         self.at.setdefault(tag, []).append(len(self.open))
         if block:
@@ -135,14 +146,6 @@ class _Page(HTMLParser):
         if self.at.get("a"):
             self.linked += len(data.strip())
 
-    def parse_html_declaration(self, i: int) -> int:
-        """A declaration that the standard parser gives up on is a bogus comment, up to its ``>`` or the page's end."""
-        try:
-            return super().parse_html_declaration(i)
-        except AssertionError:
-            end = self.parse_bogus_comment(i)
-            return end if end >= 0 else len(self.rawdata)
-
 
 def read(html: str) -> _Page:
     page = _Page()
@@ -160,6 +163,46 @@ def _under(parents: list[int], own: list[float]) -> list[float]:
     return out
 
 
+def threads(page: _Page) -> list[bool]:
+    """Elements that are replies by their structure, whatever they are called: at least three of one tag
+    and class under one parent, without headings, each a short line and then a longer one, after
+    other text outside that parent."""
+    n, tags, parents = len(page.tags), page.tags, page.parents
+    like: dict[tuple, list[int]] = {}
+    for i in range(1, n):
+        if tags[i] in ("div", "li", "article", "section") and (page.classes[i] or tags[i] == "article"):
+            like.setdefault((parents[i], tags[i], page.classes[i]), []).append(i)
+    groups = {k: v for k, v in like.items() if len(v) >= THREAD}
+    out = [False] * n
+    if not groups:
+        return out
+    member = {i: k for k, v in groups.items() for i in v}
+    above = [0] * n  # the nearest element around each, or itself, that is one of many alike
+    for i in range(1, n):
+        above[i] = i if i in member else above[parents[i]]
+    headed, first, longer, before, written = [False] * n, {}, set(), {}, 0
+    for i in range(1, n):
+        if tags[i] in HEADINGS and above[i]:
+            headed[above[i]] = True
+    for text, _, linked, at in page.lines:
+        i = above[at]
+        if i:
+            before.setdefault(member[i], written)
+            if i not in first:
+                first[i] = len(text)
+            elif len(text) > first[i]:
+                longer.add(i)
+        elif linked < len(text) / 2 and tags[at] in ("p", "blockquote", "pre"):
+            written += len(text)
+    for k, v in groups.items():
+        said = [i for i in v if i in first]
+        reply = [i for i in said if first[i] <= BYLINE and i in longer and not headed[i]]
+        if len(reply) >= THREAD and len(reply) == len(said) and before.get(k, 0) > 0:
+            for i in v:
+                out[i] = True
+    return out
+
+
 def furniture(page: _Page) -> list[bool]:
     """Whether each element is furniture or in some.
 
@@ -167,7 +210,8 @@ def furniture(page: _Page) -> list[bool]:
     articles it is none if it holds all the page's articles, or most of the text of a page that
     has none. Of a header in an article the headings stay.
     """
-    n, tags, kinds, parents = len(page.tags), page.tags, page.kinds, page.parents
+    n, tags, parents, replies = len(page.tags), page.tags, page.parents, threads(page)
+    kinds = [COMMENTS if r and k in (PLAIN, NAMED) else k for k, r in zip(page.kinds, replies, strict=True)]
     hard, comments, scope = [False] * n, [False] * n, [0] * n
     core = [0.0] * n
     for i in range(1, n):
@@ -213,10 +257,12 @@ def smooth(values: np.ndarray, sigma: float) -> np.ndarray:
 def main_text(html: str | None, sigma: float = 1.0, share: float = 0.85) -> str:
     """The article's text: blocks in page order, one space between words.
 
-    Null, empty or without any text outside menus and the like: ''. Of several <article>
-    elements all that hold a seed are taken; if they, or else <main>, hold too little of what
-    the ratios point to, the region is the smallest element with ``share`` of it, and runs of
-    three or more lines that are only links are left out there.
+    Null, empty or without any text outside menus and the like: ''. Characters in links do not
+    count for a line's ratio. Of several <article> elements all that hold a seed are taken; if
+    they, or else <main>, hold too little of what the ratios point to, the region is the smallest
+    element with ``share`` of it, and lines of two or more links only, and runs of three or more
+    lines that are only links, are left out there. The nearest headings just before the text
+    belong to it, even outside its element. What a page opens and never closes is text.
     """
     if not html:
         return ""
@@ -224,7 +270,7 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.85) -> str:
     out, parents, tags = furniture(page), page.parents, page.tags
     if not page.lines:
         return ""
-    size = np.array([len(t) for t, *_ in page.lines], float)
+    size = np.array([max(0, len(t) - linked) for t, _, linked, _ in page.lines], float)
     kept = np.array([not out[at] for *_, at in page.lines])
     smoothed = smooth(size / np.maximum(1, [n for _, n, _, _ in page.lines]), sigma)
     low = min(smoothed.std(), smoothed.mean())
@@ -249,11 +295,30 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.85) -> str:
         inside[region] = True
         for i in range(region + 1, len(tags)):
             inside[i] = inside[parents[i]]
-        links = np.array([linked >= 0.9 * len(t.replace(" ", "")) and s < low for (t, _, linked, _), s in zip(page.lines, smoothed, strict=True)])
+        links = np.array([linked >= 0.9 * len(t.replace(" ", "")) for t, _, linked, _ in page.lines])
         for run in np.split(np.arange(len(links)), np.flatnonzero(np.diff(links)) + 1):
-            if links[run[0]] and len(run) > 2:
-                kept[run] = False
-    return " ".join(t for (t, _, _, at), k in zip(page.lines, kept, strict=True) if k and inside[at])
+            if links[run[0]]:
+                kept[run] = (len(run) <= 2) & (np.array(page.menus)[run] < 2)
+    told = kept & np.array([inside[at] for *_, at in page.lines])
+    return " ".join(page.lines[k][0] for k in np.flatnonzero(with_headings(page, kept, told)))
+
+
+def with_headings(page: _Page, kept: np.ndarray, told: np.ndarray) -> np.ndarray:
+    """``told`` with the headings just before its first line, and the few lines between."""
+    under = [False] * len(page.tags)
+    for i in range(1, len(under)):
+        under[i] = under[page.parents[i]] or page.tags[i] in HEADINGS
+    before = np.flatnonzero(kept[: np.argmax(told)])[::-1] if told.any() else []
+    top, between = None, 0
+    for k in before:
+        if under[page.lines[k][3]]:
+            top, between = k, 0
+        elif (between := between + 1) > NEAR or top is not None:
+            break
+    out = told.copy()
+    if top is not None:
+        out[before[before >= top]] = True
+    return out
 
 
 def text_of(html: Column | str, sigma: float = 1.0, share: float = 0.85) -> Column:

@@ -34,8 +34,6 @@ class ExtractReleases:
         import re
 
         for k, m in enumerate(re.finditer(pattern, body or "")):
-            if k >= 10_000:
-                return
             yield k, m.group(1)
 
 

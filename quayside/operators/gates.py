@@ -100,7 +100,7 @@ def publishable(verdicts: DataFrame) -> DataFrame:
     """Release rows of candidates that passed; ids are hashes of what makes a release the same."""
     ok = verdicts.where("decision = 'passed' and eligible and subject_id is not null")
     release_id = F.substring(F.sha2(F.concat_ws("|", "subject_id", "version", F.coalesce("channel", F.lit(""))), 256), 1, 16)
-    return ok.select("id", release_id.alias("release_id"), F.col("subject_id").alias("product_id"), "version", "channel", "release_date", "release_date_precision")
+    return ok.select("id", *[c for c in ("container",) if c in ok.columns], release_id.alias("release_id"), F.col("subject_id").alias("product_id"), "version", "channel", "release_date", "release_date_precision")
 
 
 def upsert(candidates: DataFrame) -> DataFrame:

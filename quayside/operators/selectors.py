@@ -257,10 +257,16 @@ def extract(pages: DataFrame, container: str, fields: dict[str, Field], section:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            at, out, size = [], [], 0
             for k in range(batch.num_rows):
                 told = rows(batch.column(1)[k].as_py() or "")
-                ids = pa.concat_arrays([batch.column(0).slice(k, 1)] * len(told))
-                yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, t) for c, t in zip(zip(*told, strict=True), kinds, strict=True)]], ["id", *names])
+                at += [k] * len(told)
+                out += told
+                size += sum(len(r[1] or "") for r in told)
+                if k + 1 == batch.num_rows or size > 4_000_000:
+                    ids = batch.column(0).take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]], ["id", *names])
+                    at, out, size = [], [], 0
 
     schema = f"id {pages.schema['id'].dataType.simpleString()}, container int, text string, value map<string,string>, problems array<string>, found int"
     return pages.select("id", F.col("body").cast("string")).mapInArrow(run, schema)

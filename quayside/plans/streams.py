@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..operators import extract
-from ..streaming import jobs, stateful
+from ..streaming import ingest, jobs, stateful
 from .bindings import VIEWS
 from .registry import query
-from .pipeline import HEALTH
-from .windows import CURRENT, ELIGIBLE
+from .pipeline import HEALTH, OK
+from .windows import CURRENT, ELIGIBLE, RANKS
 
 BUCKET = (
     "reqs AS MATERIALIZED (SELECT id, consumer_id, epoch_us(occurred_at) / 1000000 AS t, row_number() OVER (PARTITION BY consumer_id ORDER BY occurred_at, id) AS n FROM usage_records), "
@@ -101,16 +102,35 @@ def throttle_audit(m):
     return jobs.throttle_audit(m.usage_records)
 
 
-@query("stream_extract_validate", r"SELECT doc_id AS id, generate_subscripts(w, 1) - 1 AS container, unnest(w) AS version FROM (SELECT doc_id, regexp_extract_all(text, '([A-Z][a-z]{9,})[ .,]', 1) AS w FROM documents)")
-def stream_extract_validate(m):
-    pages = jobs.source(m.spark, f"{m.sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
+WORDS = {"engine": "text_regex", "container": "(?P<version>[A-Z][a-z]{9,})[ .,]", "channel": "text", "fields": {"version": {"transforms": ["lowercase", ["regex_extract", "^[a-z]"], ["map", {chr(97 + k): f"7.{k % 9}" for k in range(26)}]]}}}
+ARTIFACT = "doc_id * 7 % 100 * 1000000 + doc_id"
 
-    def work(batch):
-        found = F.regexp_extract_all("body", F.lit("([A-Z][a-z]{9,})[ .,]"), 1)
-        rows = batch.select("id", F.posexplode(found).alias("container", "markup"))
-        return extract.build_candidates(rows, {"version": F.col("markup")}, [], "yyyy-MM-dd").where("not skipped").select("id", "container", "version")
 
-    return jobs.each_batch(pages, work)
+# a candidate's gates see the candidates before it, of earlier batches and of its own
+@query("stream_extract_validate", rf"""WITH src AS (SELECT id AS source_id, {RANKS} AS rank, official AND quality_class = 'official_manufacturer' AS official, {OK} AS able FROM sources),
+art AS (SELECT {ARTIFACT} AS id, doc_id % (SELECT count(*) FROM supplier) AS source_id, text FROM documents),
+c AS (SELECT id, source_id, generate_subscripts(w, 1) - 1 AS container, '7.' || ((ascii(lower(unnest(w))) - 97) % 9) AS version FROM (SELECT id, source_id, regexp_extract_all(text, '([A-Z][a-z]{{9,}})[ .,]', 1)[1:500] AS w FROM art)),
+r AS (SELECT c.*, src.rank, src.official, src.able, source_id % 40 AS subject FROM c JOIN src USING (source_id)),
+n AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY id, container) AS n, first_value(id) OVER (PARTITION BY subject, version ORDER BY id, container) AS first_id, row_number() OVER (PARTITION BY subject, version ORDER BY id, container) AS again FROM r),
+p AS (SELECT *, max(CASE WHEN again = 1 THEN n END) OVER (PARTITION BY subject ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_n FROM n),
+o AS (SELECT a.id, a.container, b.source_id, max_by(b.version, b.n) AS version, any_value(b.rank) AS rank FROM n a JOIN n b ON b.subject = a.subject AND b.source_id <> a.source_id AND b.able AND b.n < a.n GROUP BY ALL),
+k AS (SELECT p.id, p.container, count(CASE WHEN o.rank >= p.rank AND o.version <> p.version THEN 1 END) > 0 AS disputed FROM p LEFT JOIN o ON o.id = p.id AND o.container = p.container GROUP BY ALL),
+g AS (SELECT p.*, disputed, q.version AS previous FROM p JOIN k ON k.id = p.id AND k.container = p.container LEFT JOIN n q ON q.subject = p.subject AND q.n = p.prev_n),
+v AS (SELECT *, CASE WHEN NOT able THEN 'rejected' WHEN again > 1 THEN 'rejected' WHEN NOT official OR disputed THEN 'review_required' ELSE 'passed' END AS decision FROM g)
+SELECT id, container, subject AS product_id, version, CASE WHEN again > 1 THEN first_id END AS duplicate_id, previous, disputed, decision, decision = 'passed' AS released FROM v""")
+def stream_extract_validate(m):
+    n = m.supplier.count()
+    pages = m.documents.select(F.expr(ARTIFACT).alias("id"), F.lit("words").alias("collector_id"), (F.col("doc_id") % n).alias("source_id"), F.col("text").alias("body"))
+    configs = m.spark.createDataFrame([("words", json.dumps(WORDS))], "collector_id string, spec string")
+    sources = m.sources.withColumn("product_id", F.col("id") % 40)
+    steps = [pages.where(F.col("id").between(*span)) for span in ((0, 29_999_999), (30_000_000, 69_999_999), (70_000_000, 99_999_999))]
+    folder = ingest.ingest(steps, configs, sources, m.products, F.lit("2024-01-01").cast("date"))
+    verdicts, releases = m.spark.read.parquet(f"{folder}/verdicts/number=*"), m.spark.read.parquet(f"{folder}/releases/number=*")
+    out = verdicts.join(releases.select("id", "container", F.lit(True).alias("released")), ["id", "container"], "left")
+    return out.select(
+        "id", "container", F.col("subject_id").alias("product_id"), "version", F.col("duplicate_id").cast("long").alias("duplicate_id"), "previous",
+        (F.size("conflicting") > 0).alias("disputed"), "decision", F.coalesce("released", F.lit(False)).alias("released"),
+    )
 
 
 @query("late_data_report", "WITH e AS (SELECT id, occurred_at, occurred_at + INTERVAL '1 hour' * CASE WHEN id % 10 = 0 THEN 30 ELSE 0 END AS arrived FROM usage_records), h AS (SELECT date_trunc('hour', arrived) AS h, max(occurred_at) AS top FROM e GROUP BY 1), b AS (SELECT h, max(top) OVER (ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL '1 day' AS mark FROM h) SELECT id FROM e JOIN b ON b.h = date_trunc('hour', arrived) WHERE occurred_at < mark")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import extract, search, selectors
+from ..operators import collect, extract, search, selectors
 from ..sources import artifacts, registry_docs, snapshot
 from .registry import query
 
@@ -113,10 +115,40 @@ def extract_html(m):
     return rows.where("container is not null").select("id", "found", "container", "text", F.col("value")["bold"].alias("bold"))
 
 
-@query("extract_text", r"SELECT doc_id AS id, generate_subscripts(w, 1) - 1 AS container, unnest(w) AS version FROM (SELECT doc_id, regexp_extract_all(text, '([A-Z][a-z]{9,})[ .,]', 1) AS w FROM documents)")
+COLLECTORS = [
+    ("words", {"engine": "text_regex", "container": "(?P<version>[A-Z][a-z]{9,})(?P<mark>[ .,])", "replace": [["Th", "Qu"]], "product": "texts", "fields": {"version": {"transforms": ["lowercase"]}, "channel": {"group": "mark", "transforms": [["map", {".": "end", ",": "pause"}]]}}}),
+    ("paras", {"engine": "html_selectors", "container": "p", "section": "article", "strip": [".ad", "aside"], "fields": {"version": {"transforms": [["regex_extract", r"^(\p{L}+)"], "lowercase"]}, "channel": {"selector": "b", "first": True}}}),
+    ("heads", {"engine": "html_selectors", "container": "h1", "section": "article", "base": 0.8, "fields": {"version": {"transforms": [["regex_extract", r"^\S+"]]}}}),
+]
+LIMITED = [("paras", COLLECTORS[1][1] | {"max_candidates": 3})]
+WORDS = "words_of AS (SELECT 'd' || doc_id AS id, 'words' AS collector_id, generate_subscripts(w, 1) - 1 AS container, len(w) AS found, lower(unnest(w)) AS version, CASE unnest(k) WHEN '.' THEN 'end' WHEN ',' THEN 'pause' END AS channel FROM (SELECT doc_id, regexp_extract_all(t, '([A-Z][a-z]{9,})[ .,]', 1) AS w, regexp_extract_all(t, '[A-Z][a-z]{9,}([ .,])', 1) AS k FROM (SELECT doc_id, replace(text, 'Th', 'Qu') AS t FROM documents)))"
+IS_PARAS, IS_HEADS = "id % 2 = 0", "id % 2 = 1 AND id % 10 <> 9"
+PARTS = rf"""paras_of AS (SELECT 'p' || id AS id, 'paras' AS collector_id, container, found, nullif(regexp_extract(lower({_shown('markup', '')}), '^(\p{{L}}+)', 1), '') AS version, CASE WHEN contains(markup, '<b>') THEN nullif({_shown("regexp_extract(markup, '(?s)<b>(.*?)(?:</b>|$)', 1)", '')}, '') END AS channel FROM ({BLOCKS}) WHERE {IS_PARAS}),
+heads_of AS (SELECT 'p' || id AS id, 'heads' AS collector_id, 0 AS container, 1 AS found, nullif(regexp_extract({_shown(f"regexp_extract({ARTICLE}, '(?s)<h1>(.*?)</h1>', 1)", '')}, '^\S+'), '') AS version FROM artifacts WHERE {IS_HEADS} AND contains({ARTICLE}, '<h1>'))"""
+
+
+def _collected(m):
+    """Documents and pages with the collector of each; some pages have one that nobody configured."""
+    docs = m.documents.select(F.concat(F.lit("d"), "doc_id").alias("id"), F.lit("words").alias("collector_id"), F.col("text").alias("body"))
+    which = F.when(F.expr(IS_PARAS), "paras").when(F.expr(IS_HEADS), "heads").otherwise("gone")
+    return docs.union(m.artifacts.select(F.concat(F.lit("p"), "id").alias("id"), which.alias("collector_id"), "body"))
+
+
+def _configs(m, rows):
+    return m.spark.createDataFrame([(n, json.dumps(c)) for n, c in rows], "collector_id string, spec string")
+
+
+@query("extract_collectors", f"""WITH {WORDS}, {PARTS} SELECT id, collector_id, container, found, version, channel, CASE WHEN channel IS NULL THEN 0.85 ELSE 0.95 END AS confidence FROM words_of WHERE container < 500
+UNION ALL SELECT id, collector_id, container, found, version, channel, CASE WHEN channel IS NULL THEN 0.85 ELSE 0.95 END FROM paras_of WHERE version IS NOT NULL UNION ALL SELECT id, collector_id, container, found, lower(version), NULL, 0.8 FROM heads_of WHERE version IS NOT NULL""")
+def extract_collectors(m):
+    out = collect.candidates(collect.extract(_collected(m), _configs(m, COLLECTORS)))
+    return out.select("id", "collector_id", "container", "found", "version", "channel", "confidence")
+
+
+@query("extract_text", f"WITH {WORDS} SELECT id, container, version, channel FROM words_of WHERE container < 500")
 def extract_text(m):
-    found = F.regexp_extract_all("text", F.lit(r"([A-Z][a-z]{9,})[ .,]"), 1)
-    return m.documents.select(F.col("doc_id").alias("id"), F.posexplode(found).alias("container", "version"))
+    out = collect.candidates(collect.extract(_collected(m).where("collector_id = 'words'"), _configs(m, COLLECTORS)))
+    return out.select("id", "container", "version", "channel")
 
 
 @query("field_pipeline", rf"SELECT id, container, lower(nullif(regexp_extract(markup, '^(\p{{L}}+)', 1), '')) AS version, replace(upper(nullif(regexp_extract(markup, '^\p{{L}}+ ([a-zA-Z]+)', 1), '')), 'TH', 'T') AS channel FROM ({PARAS})")
@@ -129,14 +161,18 @@ def build_candidate(m):
     return _candidates(m).select("id", "container", "skipped", "release_date", "confidence")
 
 
-@query("extraction_warnings", rf"SELECT warning, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN nullif(regexp_extract(markup, '^(\p{{L}}+)', 1), '') IS NULL THEN 'version: no value; candidate skipped' END, CASE WHEN nullif(regexp_extract(markup, '^\p{{L}}+ ([a-zA-Z]+)', 1), '') IS NULL THEN 'channel: no value; confidence lowered' END, CASE WHEN container NOT IN (1, 2) THEN 'date: no value; release date recorded as unknown' END], lambda x: x IS NOT NULL)) AS warning FROM ({PARAS})) GROUP BY 1")
+@query("extraction_warnings", f"""WITH {WORDS}, {PARTS}, w AS (SELECT collector_id, 'lowered' AS warning FROM words_of WHERE channel IS NULL AND container < 500 UNION ALL SELECT DISTINCT ON (id) collector_id, 'too_many' FROM words_of WHERE found > 500
+UNION ALL SELECT 'words', 'no_match' FROM documents WHERE 'd' || doc_id NOT IN (SELECT id FROM words_of) UNION ALL SELECT 'paras', CASE WHEN version IS NULL THEN 'skipped' ELSE 'lowered' END FROM paras_of WHERE version IS NULL OR channel IS NULL
+UNION ALL SELECT 'paras', 'no_match' FROM artifacts WHERE {IS_PARAS} AND 'p' || id NOT IN (SELECT id FROM paras_of) UNION ALL SELECT 'heads', 'no_match' FROM artifacts WHERE {IS_HEADS} AND 'p' || id NOT IN (SELECT id FROM heads_of)
+UNION ALL SELECT 'heads', 'skipped' FROM heads_of WHERE version IS NULL UNION ALL SELECT 'gone', 'no_config' FROM artifacts WHERE NOT ({IS_PARAS}) AND NOT ({IS_HEADS})) SELECT collector_id, warning, count(*) AS n FROM w GROUP BY ALL""")
 def extraction_warnings(m):
-    return _candidates(m).select(F.explode("warnings").alias("warning")).groupBy("warning").agg(F.count("*").alias("n"))
+    return collect.warnings(collect.extract(_collected(m), _configs(m, COLLECTORS))).groupBy("collector_id", "warning").agg(F.count("*").alias("n"))
 
 
-@query("extraction_limits", f"SELECT id, container, count(*) OVER (PARTITION BY id) AS produced FROM ({PARAS}) QUALIFY container < 3")
+@query("extraction_limits", f"WITH {PARTS.replace('[2:501]', '[2:4]')} SELECT id, container, found AS produced FROM paras_of WHERE version IS NOT NULL")
 def extraction_limits(m):
-    return extract.limited(_paragraphs(m), "id", ["container"], 3).select("id", "container", "produced")
+    out = collect.candidates(collect.extract(_collected(m).where("collector_id = 'paras'"), _configs(m, LIMITED)))
+    return out.select("id", "container", F.col("found").alias("produced"))
 
 
 @query("evidence_build", rf"SELECT id, container, CASE WHEN strlen(t) <= 4000 THEN t ELSE t[1:list_max(list_filter(range(999, 3998), lambda x: strlen(t[1:x]) <= 3997))] || '…' END AS excerpt FROM (SELECT id, container, markup, trim(markup) AS t FROM ({PARAS})) WHERE regexp_extract(markup, '^(\p{{L}}+)', 1) <> ''")

@@ -73,7 +73,7 @@ def conflict_events(claims: DataFrame) -> DataFrame:
     """
     with_rocks(claims.sparkSession)
     days = lambda c: F.coalesce(F.datediff(c, F.lit("1970-01-01")), F.lit(0)).cast("long")
-    rows = claims.select(
+    rows = claims.where("product_id is not null").select(
         "product_id", "channel", "source_id", F.coalesce("version", F.lit("")).alias("version"), F.col("release_date").isNotNull().alias("dated"),
         days("release_date").alias("released"), days("observed_on").alias("observed"), "order_id", "line_no",
     )

@@ -84,6 +84,25 @@ def step_health(current: str, outcome: str, failures: int) -> str:
     return wanted if wanted in rules.HEALTH_STATES[current] else current
 
 
+def after_checks(log: DataFrame) -> DataFrame:
+    """The state of each source after its checks (id, source_id, outcome, started_at, etag, content_hash).
+
+    checks, last_check, last_changed, outcome, failures and unchanged checks in a row, the etag of
+    the last answer and the hash of the last change. How many in a row the last ones are is a
+    count of those after the last other one, so no window goes over a source's log.
+    """
+    at, failed, same = F.struct("started_at", "id"), F.col("outcome").isin(*FAILURES), F.col("outcome") == "unchanged"
+    last = log.groupBy("source_id").agg(
+        F.count("*").alias("checks"), F.max("started_at").alias("last_check"), F.max(F.when(F.col("outcome") == "changed", F.col("started_at"))).alias("last_changed"), F.max_by("outcome", at).alias("outcome"),
+        F.max_by("etag", F.when(F.col("etag").isNotNull(), at)).alias("etag"), F.max_by("content_hash", F.when(F.col("content_hash").isNotNull(), at)).alias("content_hash"),
+        F.max(F.when(~failed, at)).alias("no_failure"), F.max(F.when(~same, at)).alias("no_same"),
+    )
+    ends = last.select("source_id", "no_failure", "no_same")
+    after = lambda c: F.col(c).isNull() | (at > F.col(c))
+    rows = log.select("source_id", "started_at", "id").join(ends, "source_id").groupBy("source_id").agg(F.count_if(after("no_failure")).alias("failures"), F.count_if(after("no_same")).alias("unchanged"))
+    return last.drop("no_failure", "no_same").join(rows, "source_id")
+
+
 FAILURES = ("unavailable", "parser_failed")
 #: Outcomes that step_health tells apart; all others leave health as it is.
 OUTCOMES = ("unchanged", "changed", *FAILURES, "unauthorized", "rate_limited", "redirected", "suspicious_content", "manual_review_required", "")

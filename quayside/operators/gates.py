@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, rules
-from ..functions.versions import assess_transition, dedupe_key, normalize_version
+from ..functions.versions import assess_transition, normalize_version
 from . import catalog, conflicts, latest
 
 # The gates, in the order in which they run.
@@ -103,23 +103,6 @@ def publishable(verdicts: DataFrame) -> DataFrame:
     return ok.select("id", *[c for c in ("container",) if c in ok.columns], release_id.alias("release_id"), F.col("subject_id").alias("product_id"), "version", "channel", "release_date", "release_date_precision")
 
 
-def upsert(candidates: DataFrame) -> DataFrame:
-    """First row of each source and dedupe key, and how many came later."""
-    none = F.lit("")
-    keyed = candidates.withColumn("dedupe_key", dedupe_key(F.col("hint"), normalize_version(F.col("raw_version")), F.col("channel"), none, none, none))
-    w = Window.partitionBy("source_id", "dedupe_key").orderBy("discovered_on", "id")
-    rows = keyed.withColumn("place", F.row_number().over(w)).withColumn("seen", F.count("*").over(Window.partitionBy("source_id", "dedupe_key")))
-    return rows.where("place = 1").drop("place")
-
-
-def apply_decisions(items: DataFrame, decisions: DataFrame, key: str = "id") -> DataFrame:
-    """State after reviewers' decisions, with what it was before. Undecided items stay."""
-    rows = items.join(decisions.select(key, "decision"), key, "left")
-    after = F.when(F.col("decision") == "accept", "published").when(F.col("decision") == "reject", "rejected").otherwise(F.col("state"))
-    legal = rules.legal(rules.CANDIDATE_STATES, F.col("state"), after)
-    return rows.withColumn("before", F.col("state")).withColumn("state", F.when(legal, after).otherwise(F.col("state"))).withColumn("audited", F.col("state") != F.col("before"))
-
-
 def retarget(items: DataFrame, claims: DataFrame) -> DataFrame:
     """Open items against the subjects that are still disputed: keep, or move to the subject's
     newest claim (the candidate it was about is superseded), or close."""

@@ -108,13 +108,31 @@ def lifecycle_timeline(m):
     return summary.timeline(latest.mapped(m.releases, m.mappings)).select("product_id", "event", "on_day", "step")
 
 
-@query("cve_correlation", "SELECT c.id, CASE WHEN s.id IS NOT NULL THEN CASE WHEN listed THEN 'affected' ELSE 'not_affected' END WHEN a.n IS NOT NULL THEN CASE WHEN a.n = 1 THEN 'possible' ELSE 'ambiguous' END ELSE 'no_match' END AS status FROM (SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN 'Brand#' || (doc_id % 25 + 1) || '-' || (doc_id % 2500) WHEN 1 THEN 'Brand#' || (doc_id % 25 + 1) || ' ECONOMY' ELSE 'nothing' END AS product, doc_id % 2 = 0 AS listed FROM documents) c LEFT JOIN products s ON lower(s.model_identifier) = lower(c.product) LEFT JOIN (SELECT lower(alias) AS k, count(DISTINCT product_id) AS n FROM aliases WHERE alias_kind <> 'model' GROUP BY 1) a ON a.k = lower(c.product)")
+ADVISORIES = "SELECT doc_id AS id, 'CVE-' || (doc_id % 150) AS cve, CASE doc_id % 4 WHEN 0 THEN 'Brand#' || (doc_id % 25 + 1) || ' ECONOMY' WHEN 1 THEN 'Brand#' || (doc_id % 5 + 1) || '-' || (doc_id % 600) WHEN 2 THEN lower((SELECT min(p_name) FROM part)) ELSE 'nothing' END AS product, CASE WHEN doc_id % 4 = 3 AND doc_id % 8 = 3 THEN NULL WHEN doc_id % 3 = 0 THEN (SELECT min(p_brand || '-' || p_partkey) FROM part WHERE p_partkey % 7 = 0) WHEN doc_id % 3 = 1 THEN (SELECT max(p_brand || '-' || p_partkey) FROM part WHERE p_partkey % 5 = 0) END AS cpe, doc_id % 2 = 0 AS vendor, doc_id % 5 <> 0 AS scoped, doc_id % 10 AS k FROM documents"
+STATUSES = """adv AS ({ADVISORIES}), vers AS (SELECT DISTINCT m.product_id, r.version FROM releases r JOIN mappings m ON m.release_id = r.id WHERE r.id % 4 = 0),
+ident AS (SELECT id, product_id, max(strength) AS identity FROM (SELECT a.id, p.id AS product_id, 3 AS strength FROM adv a JOIN products p ON lower(p.model_identifier) = lower(a.cpe) UNION ALL SELECT a.id, l.product_id, CASE WHEN alias_kind = 'name' THEN 1 ELSE 2 END FROM adv a JOIN aliases l ON lower(l.alias) = lower(a.product)) GROUP BY 1, 2),
+tops AS (SELECT *, count(*) OVER (PARTITION BY id) AS products FROM (SELECT *, max(identity) OVER (PARTITION BY id) AS top FROM ident) WHERE identity = top),
+stat AS (SELECT a.id, a.cve, t.product_id, v.version, CASE WHEN t.product_id IS NULL THEN 'no_match' WHEN identity = 1 OR products > 1 OR NOT (vendor OR identity = 3) THEN 'potentially_affected' WHEN NOT scoped THEN 'unknown'
+ WHEN list_contains([k || '.0', k || '.1', k || '.2rc1'], v.version) THEN CASE WHEN vendor THEN 'confirmed_affected' ELSE 'vendor_investigation_pending' END WHEN vendor AND list_contains([k || '.3', (k + 1) || '.0'], v.version) THEN 'fixed_in_version' ELSE 'confirmed_not_affected' END AS status
+FROM adv a LEFT JOIN tops t ON t.id = a.id LEFT JOIN vers v ON v.product_id = t.product_id)""".replace("{ADVISORIES}", ADVISORIES)
+
+
+def _correlated(m):
+    told = m.spark.sql(ADVISORIES.replace("FROM part", "FROM {p}").replace("FROM documents", "FROM {d}"), p=m.part, d=m.documents)
+    lists = told.withColumns({"affected": F.expr("array(k || '.0', k || '.1', k || '.2rc1')"), "fixed": F.expr("array(k || '.3', (k + 1) || '.0')")})
+    versions = latest.mapped(m.releases.where("id % 4 = 0"), m.mappings).select("product_id", "version").distinct()
+    return summary.correlate(lists, m.products, m.aliases, versions)
+
+
+@query("cve_correlation", f"WITH {STATUSES} SELECT id, product_id, version, status FROM stat")
 def cve_correlation(m):
-    advisories = m.documents.select(
-        F.col("doc_id").alias("id"), (F.col("doc_id") % 2 == 0).alias("listed"),
-        F.expr("CASE doc_id % 3 WHEN 0 THEN 'Brand#' || (doc_id % 25 + 1) || '-' || (doc_id % 2500) WHEN 1 THEN 'Brand#' || (doc_id % 25 + 1) || ' ECONOMY' ELSE 'nothing' END").alias("product"),
-    )
-    return summary.correlate(advisories, m.products, m.aliases.where("alias_kind <> 'model'")).select("id", "status")
+    return _correlated(m).select("id", "product_id", "version", "status")
+
+
+@query("security_status", f"""WITH {STATUSES}, ranked AS (SELECT *, list_position(['confirmed_affected', 'fixed_in_version', 'confirmed_not_affected', 'vendor_investigation_pending', 'potentially_affected', 'unknown'], status) AS n FROM stat WHERE product_id IS NOT NULL)
+SELECT cve, product_id, version, min_by(status, n) AS status, min(n) > 3 OR count(DISTINCT CASE WHEN n <= 3 THEN n END) > 1 AS review, count(*) AS advisories FROM ranked GROUP BY cve, product_id, version""")
+def security_status(m):
+    return summary.security_status(_correlated(m))
 
 
 @query("conflict_queue_join", f"WITH {VERDICTS} SELECT v.product_id, v.channel, p.name, vd.slug AS vendor, count(DISTINCT v.source_id) AS sources, 10 + p.popularity AS age_days FROM verdicts v JOIN products p ON p.id = v.product_id LEFT JOIN vendors vd ON vd.id = p.vendor_id WHERE status = 'unresolved' GROUP BY ALL")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..operators import checks, conflicts, gates, review
+from ..operators import checks, conflicts, gates, ledger, review
+from ..operators.frames import checkpoint
 from .joins import REVIEWS
 from .registry import query
 from .windows import CURRENT, ELIGIBLE, LIVE, NEWEST, RANKS, VERDICTS
@@ -83,9 +84,16 @@ def publishable_releases(m):
     return gates.publishable(_verdicts(m)).select("id", "release_id", "product_id", "version")
 
 
-@query("candidate_upsert", "SELECT id, source_id, seen FROM (SELECT id, source_id, row_number() OVER (PARTITION BY source_id, lower(trim(hint)), lower(trim(raw_version)), channel ORDER BY discovered_on, id) AS n, count(*) OVER (PARTITION BY source_id, lower(trim(hint)), lower(trim(raw_version)), channel) AS seen FROM candidates) WHERE n = 1")
+KEY = "source_id, lower(trim(hint)), lower(trim(raw_version)), channel"
+
+
+# the candidates of even orders are stored, those of odd ones are the batch
+@query("candidate_upsert", f"""WITH k AS (SELECT *, min_by(id, (discovered_on, id)) FILTER (WHERE (id // 8) % 2 = 0) OVER (PARTITION BY {KEY}) AS old_id, max(discovered_on) FILTER (WHERE (id // 8) % 2 = 0) OVER (PARTITION BY {KEY}) AS old_seen FROM candidates)
+SELECT coalesce(any_value(old_id), min_by(id, (discovered_on, id))) AS id, source_id, any_value(old_id) IS NULL AS created, count(*) AS seen, greatest(max(discovered_on), any_value(old_seen)) AS last_seen FROM k WHERE (id // 8) % 2 = 1 GROUP BY {KEY}""")
 def candidate_upsert(m):
-    return gates.upsert(m.candidates).select("id", "source_id", "seen")
+    order = F.floor(F.col("id") / 8) % 2
+    stored = ledger.upsert(m.candidates.where(order == 0))
+    return ledger.upsert(m.candidates.where(order == 1), stored).select("id", "source_id", "created", "seen", "last_seen")
 
 
 STATE = "CASE event_type WHEN 'view' THEN 'extracted' WHEN 'click' THEN 'rejected' WHEN 'signup' THEN 'human_review_required' WHEN 'purchase' THEN 'validated' ELSE 'published' END"
@@ -111,15 +119,19 @@ def source_health_transition(m):
     return checks.fold_health(m.checks)
 
 
-@query("effective_check_state", "SELECT source_id, count(*) AS checks, max(started_at) AS last_check, max(CASE WHEN outcome = 'changed' THEN started_at END) AS last_changed, min_by(f, (-epoch_us(started_at), -id)) AS failures FROM (SELECT *, CASE WHEN outcome = 'unavailable' THEN row_number() OVER (PARTITION BY source_id, island, outcome = 'unavailable' ORDER BY started_at, id) ELSE 0 END AS f FROM (SELECT *, sum(CASE WHEN outcome <> 'unavailable' THEN 1 ELSE 0 END) OVER (PARTITION BY source_id ORDER BY started_at, id ROWS UNBOUNDED PRECEDING) AS island FROM checks)) GROUP BY source_id")
+# a source's state after its checks: the validators of the last answer, the hash of the last change, when to check again
+@query("effective_check_state", """WITH f AS (SELECT *, CASE WHEN outcome = 'unavailable' THEN row_number() OVER (PARTITION BY source_id, island, outcome = 'unavailable' ORDER BY started_at, id) ELSE 0 END AS f FROM (SELECT *, sum(CASE WHEN outcome <> 'unavailable' THEN 1 ELSE 0 END) OVER (PARTITION BY source_id ORDER BY started_at, id ROWS UNBOUNDED PRECEDING) AS island FROM checks)),
+u AS (SELECT *, CASE WHEN outcome = 'unchanged' THEN row_number() OVER (PARTITION BY source_id, isle, outcome = 'unchanged' ORDER BY started_at, id) ELSE 0 END AS u FROM (SELECT *, sum(CASE WHEN outcome <> 'unchanged' THEN 1 ELSE 0 END) OVER (PARTITION BY source_id ORDER BY started_at, id ROWS UNBOUNDED PRECEDING) AS isle FROM f)),
+s AS (SELECT source_id, count(*) AS checks, max(started_at) AS last_check, max(CASE WHEN outcome = 'changed' THEN started_at END) AS last_changed, arg_max(f, (started_at, id)) AS failures, arg_max(u, (started_at, id)) AS unchanged, arg_max(outcome, (started_at, id)) AS outcome, arg_max(CASE WHEN outcome IN ('changed', 'unchanged') THEN 'e' || id % 977 END, (started_at, id)) FILTER (WHERE outcome IN ('changed', 'unchanged')) AS etag, arg_max('h' || id, (started_at, id)) FILTER (WHERE outcome = 'changed') AS content_hash FROM u GROUP BY source_id),
+i AS (SELECT *, CAST(3600 * (1 + source_id % 24) AS DOUBLE) AS base FROM s), j AS (SELECT *, CASE WHEN outcome IN ('unavailable', 'rate_limited') THEN base * pow(2.0, least(greatest(failures, 1), 24)) WHEN outcome = 'changed' OR epoch_us(last_check) // 1000000 - epoch_us(last_changed) // 1000000 < 259200 THEN 21600 WHEN unchanged > 0 THEN base * pow(1.35, least(unchanged, 24)) ELSE base END AS step FROM i)
+SELECT source_id, checks, last_check, last_changed, failures, unchanged, etag, content_hash, CAST(floor(epoch_us(last_check) // 1000000 + greatest(900, least(2592000, step)) * 1.05) AS BIGINT) AS next_s FROM j""")
 def effective_check_state(m):
-    from ..operators.usage import consecutive
-
-    rows = consecutive(m.checks, F.col("outcome") == "unavailable")
-    return rows.groupBy("source_id").agg(
-        F.count("*").alias("checks"), F.max("started_at").alias("last_check"), F.max(F.when(F.col("outcome") == "changed", F.col("started_at"))).alias("last_changed"),
-        F.max_by("run", F.struct("started_at", "id")).alias("failures"),
-    )
+    log = m.checks.withColumns({"etag": F.when(F.col("outcome").isin("changed", "unchanged"), F.concat(F.lit("e"), F.col("id") % 977)), "content_hash": F.when(F.col("outcome") == "changed", F.concat(F.lit("h"), F.col("id")))})
+    state = checks.after_checks(log).withColumns({
+        "base_s": 3600 * (1 + F.col("source_id") % 24), "retry_after_s": F.lit(0), "health": F.lit("active"), "now_s": F.unix_seconds(F.col("last_check").cast("timestamp")),
+        "last_changed_s": F.unix_seconds(F.col("last_changed").cast("timestamp")), "end_of_life": F.lit(False), "security_critical": F.lit(False), "popular": F.lit(False),
+    })
+    return checks.next_check(state).select("source_id", "checks", "last_check", "last_changed", "failures", "unchanged", "etag", "content_hash", "next_s")
 
 
 LADDER = """SELECT id, round(interval_s, 3) AS interval_s, CAST(floor(1706745600 + interval_s * 1.05) AS BIGINT) AS next_s FROM (SELECT id, greatest(900, least(2592000, CASE WHEN outcome = 'rate_limited' THEN first WHEN security_critical AND popular THEN least(aged, base, 21600) WHEN security_critical THEN least(aged, base) WHEN popular THEN least(aged, 21600) ELSE aged END)) AS interval_s FROM (SELECT *, CASE WHEN end_of_life THEN first * 7 ELSE first END AS aged FROM (SELECT *, CASE WHEN outcome IN ('rate_limited', 'unavailable') THEN base * pow(2.0, least(greatest(failures, 1), 24)) WHEN outcome = 'changed' THEN 21600 WHEN unchanged > 0 THEN base * pow(1.35, least(unchanged, 24)) ELSE base END AS first FROM
@@ -153,11 +165,30 @@ def coverage_uncollectable(m):
     return m.sources.select("id", why.alias("reason")).where("reason is not null")
 
 
-@query("apply_decisions", "SELECT id, CASE id % 3 WHEN 0 THEN CASE id % 2 WHEN 0 THEN 'published' ELSE 'rejected' END ELSE 'human_review_required' END AS state, id % 3 = 0 AS audited FROM candidates WHERE evidence_id IS NOT NULL")
+ITEMS = "SELECT id, CASE id % 13 WHEN 0 THEN 'resolved' ELSE 'open' END AS state, CASE WHEN id % 17 <> 0 THEN id END AS candidate_id, CASE id % 19 WHEN 0 THEN 'published' ELSE 'human_review_required' END AS candidate_state, id % 11 <> 0 AS permitted, CASE WHEN id % 4 = 0 THEN 'c' || product_id END AS conflict_id, product_id FROM candidates WHERE evidence_id IS NOT NULL"
+TOLD = "SELECT id AS item_id, CASE id % 2 WHEN 0 THEN 'accept' ELSE 'reject' END AS decision, CASE WHEN id % 23 <> 0 THEN 'ann' END AS actor, CASE WHEN id % 29 <> 0 THEN 'seen' ELSE ' ' END AS reason, discovered_on AS decided_at FROM candidates WHERE id % 3 = 0 UNION ALL SELECT id, 'reject', 'bob', 'no', discovered_on + 1 FROM candidates WHERE id % 9 = 0"
+
+
+# ann's decisions are in the log already when both of them come
+@query("apply_decisions", f"""WITH i AS ({ITEMS}), d AS ({TOLD}), r AS (SELECT d.*, i.*, CASE decision WHEN 'accept' THEN 'published' ELSE 'rejected' END AS after FROM d LEFT JOIN i ON i.id = d.item_id),
+p AS (SELECT *, CASE WHEN actor IS NULL THEN 'no actor' WHEN trim(reason) = '' THEN 'no reason' WHEN state IS NULL THEN 'no such item' WHEN state = 'resolved' THEN 'already resolved' WHEN decision = 'accept' AND NOT permitted THEN 'not permitted' WHEN candidate_id IS NOT NULL AND candidate_state = 'published' AND after <> 'published' THEN 'illegal step' END AS unsound FROM r),
+ann AS (SELECT item_id FROM p WHERE actor = 'ann' AND unsound IS NULL), t AS (SELECT p.*, CASE WHEN actor = 'bob' AND ann.item_id IS NOT NULL THEN 'already resolved' ELSE unsound END AS problem, ann.item_id IS NOT NULL AND actor = 'bob' AS late FROM p LEFT JOIN ann ON ann.item_id = p.item_id)
+SELECT item_id, actor, problem, CASE WHEN problem IS NULL OR late THEN 'resolved' ELSE state END AS item_after, CASE WHEN problem IS NULL AND candidate_id IS NOT NULL AND decision = 'accept' THEN left(sha256('release|' || candidate_id), 16) END AS release_id FROM t""")
 def apply_decisions(m):
-    items = m.candidates.where("evidence_id is not null").select("id", F.lit("human_review_required").alias("state"))
-    told = m.candidates.where("id % 3 = 0").select("id", F.when(F.col("id") % 2 == 0, "accept").otherwise("reject").alias("decision"))
-    return gates.apply_decisions(items, told).select("id", "state", "audited")
+    items, told = m.spark.sql(ITEMS.replace("FROM candidates", "FROM {c}"), c=m.candidates), m.spark.sql(TOLD.replace("FROM candidates", "FROM {c}"), c=m.candidates)
+    first = ledger.change_log(items, told.where("actor is null or actor <> 'bob'"))
+    return first.union(ledger.change_log(items, told, first)).select("item_id", "actor", "problem", "item_after", "release_id")
+
+
+@query("decision_effects", f"""WITH i AS ({ITEMS}), d AS ({TOLD}), e AS (SELECT d.*, i.candidate_id, conflict_id, product_id FROM d JOIN i ON i.id = d.item_id WHERE actor IS NOT NULL AND trim(reason) <> '' AND state = 'open' AND (decision = 'reject' OR permitted) AND (candidate_id IS NULL OR candidate_state <> 'published' OR decision = 'accept') QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY decided_at) = 1)
+SELECT 'audit' AS kind, CAST(item_id AS VARCHAR) AS subject, decision || 'ed' AS said FROM e UNION ALL SELECT 'conflict', conflict_id, min_by(decision || 'ed: ' || reason, (decided_at, item_id)) FROM e WHERE conflict_id IS NOT NULL GROUP BY conflict_id
+UNION ALL SELECT DISTINCT 'product', CAST(product_id AS VARCHAR), 'refresh' FROM e WHERE product_id IS NOT NULL AND (conflict_id IS NOT NULL OR (decision = 'accept' AND candidate_id IS NOT NULL))""")
+def decision_effects(m):
+    items, told = m.spark.sql(ITEMS.replace("FROM candidates", "FROM {c}"), c=m.candidates), m.spark.sql(TOLD.replace("FROM candidates", "FROM {c}"), c=m.candidates)
+    log = checkpoint(ledger.change_log(items, told))
+    audit = ledger.audit_rows(log).select(F.lit("audit").alias("kind"), F.col("subject_id").cast("string").alias("subject"), F.replace("action", F.lit("review_item."), F.lit("")).alias("said"))
+    closed = ledger.closed_conflicts(log).select(F.lit("conflict"), "conflict_id", "resolution")
+    return audit.union(closed).union(ledger.to_refresh(log).select(F.lit("product"), F.col("product_id").cast("string"), F.lit("refresh")))
 
 
 @query("retarget_review", f"WITH {VERDICTS}, nw AS (SELECT c.product_id, c.channel, max_by(c.source_id, (c.observed_on, c.source_id)) AS newest, bool_or(v.status = 'unresolved') AS disputed FROM claims c JOIN verdicts v ON v.product_id = c.product_id AND v.channel = c.channel AND v.source_id = c.source_id GROUP BY 1, 2) SELECT k.id, CASE WHEN NOT coalesce(disputed, false) THEN 'close' WHEN newest = k.source_id THEN 'keep' ELSE 'retarget' END AS action FROM candidates k LEFT JOIN nw ON nw.product_id = k.product_id AND nw.channel = k.channel WHERE k.product_id IS NOT NULL")

@@ -234,7 +234,8 @@ def retention_keep_latest_n(m):
 
 @query("sorted_set", "SELECT family, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM products WHERE trim(name) <> '' GROUP BY family")
 def sorted_set(m):
-    return m.products.groupBy("family").agg(F.array_join(text.sorted_set(F.collect_list("name")), ",").alias("names"))
+    names = m.products.select("family", "name").distinct()
+    return names.groupBy("family").agg(F.array_join(text.sorted_set(F.collect_list("name")), ",").alias("names"))
 
 
 @query("merge_participants", "SELECT id, array_to_string(list_sort(list_distinct([slug, 'source-1', 'source-50'])), ',') AS participants FROM sources")

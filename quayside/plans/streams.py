@@ -7,6 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..operators import checks
 from ..streaming import ingest, jobs, stateful
 from .bindings import VIEWS
 from .registry import query
@@ -31,9 +32,9 @@ def stream_usage_dedupe(m):
     return jobs.drain(jobs.usage_dedupe(twice)).select("id", "consumer_id", "status_code")
 
 
-@query("stream_usage_rollup", "SELECT consumer_id, CAST(occurred_at AS DATE) AS day, count(*) AS requests, count(CASE WHEN status_code >= 400 THEN 1 END) AS errors FROM usage_records GROUP BY 1, 2")
+@query("stream_usage_rollup", "SELECT consumer_id, grain, CASE grain WHEN 'day' THEN CAST(occurred_at AS DATE) ELSE CAST(date_trunc('month', occurred_at) AS DATE) END AS period, count(*) AS requests, count(CASE WHEN status_code >= 400 THEN 1 END) AS errors FROM usage_records, (VALUES ('day'), ('month')) g(grain) GROUP BY 1, 2, 3")
 def stream_usage_rollup(m):
-    return jobs.drain(jobs.usage_rollup(_stream(m, "usage_records", "events")), "update", ["consumer_id", "day"])
+    return jobs.periods(jobs.drain(jobs.usage_rollup(_stream(m, "usage_records", "events")), "update", ["consumer_id", "day"]))
 
 
 @query("stream_observations", f"WITH {CURRENT} SELECT source_id, product_id, channel, version, release_date, observed_on, first_observed_on FROM current")
@@ -55,9 +56,14 @@ def stream_conflicts(m):
     return log.select("step", "product_id", "channel", "event", F.array_join("versions", ",").alias("versions"))
 
 
-@query("stream_source_health", f"WITH {HEALTH} SELECT source_id, max(n) AS checks, max_by(failures, n) AS failures, max_by(health, n) AS health FROM log JOIN walk USING (source_id, n) GROUP BY source_id")
+@query("stream_source_health", f"""WITH {HEALTH}, z AS (SELECT source_id, max(n) AS checks, max_by(failures, n) AS failures, max_by(health, n) AS health, max_by(outcome, n) AS outcome, max(n) - coalesce(max(CASE WHEN outcome <> 'unchanged' THEN n END), 0) AS unchanged, max_by(id, n) AS id, CAST(3600 * (1 + source_id % 24) AS DOUBLE) AS base FROM log JOIN walk USING (source_id, n) GROUP BY source_id),
+j AS (SELECT z.*, epoch_us(started_at) // 1000000 AS now_s, CASE WHEN z.outcome IN ('unavailable', 'rate_limited') OR health = 'broken' THEN base * pow(2.0, least(greatest(failures, 1), 24)) WHEN z.outcome = 'changed' THEN 21600 WHEN unchanged > 0 THEN base * pow(1.35, least(unchanged, 24)) ELSE base END AS step FROM z JOIN checks c ON c.id = z.id)
+SELECT source_id, checks, failures, health, CAST(floor(now_s + greatest(900, least(2592000, step)) * 1.05) AS BIGINT) AS next_s FROM j""")
 def stream_source_health(m):
-    return jobs.drain(jobs.source_health(_stream(m, "checks", "events")), "update", ["source_id"])
+    state = jobs.drain(jobs.source_health(_stream(m, "checks", "events")), "update", ["source_id"]).withColumns({
+        "base_s": 3600 * (1 + F.col("source_id") % 24), "retry_after_s": F.lit(0), "last_changed_s": F.lit(None).cast("long"), "end_of_life": F.lit(False), "security_critical": F.lit(False), "popular": F.lit(False),
+    })
+    return checks.next_check(state).select("source_id", "checks", "failures", "health", "next_s")
 
 
 ALERTS = [("errors", "error_ratio", ">", 0.25, 7200, "page", False), ("busy", "requests", ">=", 8.0, 3600, "ticket", False), ("silent", "requests", "<", 2.0, 3600, "page", True)]

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..operators.checks import in_order, step_health
+from ..operators.checks import FAILURES, in_order, step_health
 
 
 def source(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
@@ -92,22 +92,32 @@ def observations(rows: DataFrame, order: list[Column]) -> DataFrame:
     return out.select("source_id", "product_id", "channel", F.col("best.v").alias("version"), F.col("best.d").alias("release_date"), F.col("best.o").alias("observed_on"), "first_observed_on")
 
 
+def periods(days: DataFrame) -> DataFrame:
+    """The counters of ``usage_rollup`` by day and by month. Months are sums over days, so the stream keeps
+    only days that can still change."""
+    month = days.groupBy("consumer_id", F.trunc("day", "month").alias("period")).agg(F.sum("requests").alias("requests"), F.sum("errors").alias("errors"))
+    both = days.select("consumer_id", F.lit("day").alias("grain"), F.col("day").alias("period"), "requests", "errors")
+    return both.union(month.select("consumer_id", F.lit("month"), "period", "requests", "errors"))
+
+
 def source_health(checks: DataFrame, start: str = "active", late: str = "1 hour") -> DataFrame:
-    """Checks so far, failures in a row and health of each source, in order of time inside a batch."""
+    """Checks so far, failures and unchanged checks in a row, health, the last outcome and its second of each
+    source, in order of time inside a batch. ``next_check`` of a source follows from these."""
+    schema = "checks long, failures long, unchanged long, health string, outcome string, now_s long"
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, failures, health = state.get if state.exists else (0, 0, start)
+        n, failures, unchanged, health, outcome, now = state.get if state.exists else (0, 0, 0, start, "", 0)
         rows = pd.concat(list(batches)).sort_values(["started_at", "id"])
         for outcome in rows["outcome"]:
-            failures = failures + 1 if outcome in ("unavailable", "parser_failed") else 0
+            failures = failures + 1 if outcome in FAILURES else 0
+            unchanged = unchanged + 1 if outcome == "unchanged" else 0
             health = step_health(health, outcome, failures)
             n += 1
-        state.update((n, failures, health))
-        yield pd.DataFrame({"source_id": [key[0]], "checks": [n], "failures": [failures], "health": [health]})
+        now = max(now, int(rows["started_at"].iloc[-1].timestamp()))
+        state.update((n, failures, unchanged, health, outcome, now))
+        yield pd.DataFrame({"source_id": [key[0]], "checks": [n], "failures": [failures], "unchanged": [unchanged], "health": [health], "outcome": [outcome], "now_s": [now]})
 
-    return checks.withWatermark("started_at", late).groupBy("source_id").applyInPandasWithState(
-        fold, "source_id long, checks long, failures long, health string", "checks long, failures long, health string", "update", GroupStateTimeout.NoTimeout
-    )
+    return checks.withWatermark("started_at", late).groupBy("source_id").applyInPandasWithState(fold, f"source_id long, {schema}", schema, "update", GroupStateTimeout.NoTimeout)
 
 
 def traffic(records: DataFrame, late: str = "10 minutes", span: str = "2 hours", step: str = "1 hour") -> DataFrame:

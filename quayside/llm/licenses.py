@@ -103,6 +103,7 @@ class Model:
         words = [re.findall(WORD, t.lower()) for _, t in texts]
         df = Counter(x for w in words for x in set(w))
         self.names = [k for k, _ in texts]
+        self.tags = [t.startswith("SPDX-License-Identifier:") for _, t in texts]
         self.unseen = math.log(1 + len(words)) + 1
         self.idf = {x: math.log((1 + len(words)) / (1 + n)) + 1 for x, n in sorted(df.items())}
         self.weights: dict[str, list[tuple[int, float]]] = {}
@@ -129,7 +130,8 @@ def headers(files: DataFrame, threshold: float = 0.8, texts: list[tuple[str, str
     The whole text, each of its paragraphs and each line names the licence of the template with
     the largest TF-IDF cosine, if that is at least ``threshold``; a file has the licence of the
     best of these (ties: the smaller name). It is a licence file if it has a licence and either
-    its name says so, or at least half of its lines that are not blank are in what named one.
+    its name says so, or at least half of its lines that are not blank are in what named
+    one; lines that SPDX tags named do not count, as a header speaks for its own file only.
     Null and empty texts name nothing; repeated rows each give one row.
     """
     m = Model(texts or templates(), threshold)
@@ -173,18 +175,19 @@ def headers(files: DataFrame, threshold: float = 0.8, texts: list[tuple[str, str
     met = met.select(*unit, (F.col("tf") * F.col("idf")).alias("x"), F.explode_outer("w").alias("w"))
     dots = met.groupBy(*unit, F.col("w.t").alias("t")).agg(F.sum(F.col("x") * F.col("w.w")).alias("dot")).repartition("row")
     order = {k: -i for i, k in enumerate(sorted(set(m.names)))}
-    names = files.sparkSession.createDataFrame([(t, order[k], k) for t, k in enumerate(m.names)], "t int, rank int, name string")
+    names = files.sparkSession.createDataFrame([(t, order[k], m.tags[t], k) for t, k in enumerate(m.names)], "t int, rank int, tag boolean, name string")
     named = dots.join(F.broadcast(names), "t", "left")
     score = F.round(F.col("dot") / F.col("norm"), 6)
-    best = F.max(F.when(score >= threshold, F.struct(score.alias("score"), "rank", "name")))
+    best = F.max(F.when(score >= threshold, F.struct(score.alias("score"), "rank", "tag", "name")))
     good = named.groupBy(*file, "p", "l", "held").agg(best.alias("own"))
-    said = F.col("own").isNotNull()
+    # a tag names the licence of its own file only
+    said = F.coalesce(~F.col("own.tag"), F.lit(False))
     # lines that a paragraph, or the whole text, accounts for
     whole, single = F.max(F.when(said & (F.col("l") < 0), F.col("held"))), F.count_if(said & (F.col("l") >= 0))
     by_part = good.groupBy(*file, "p").agg(F.max("own").alias("own"), F.greatest(F.coalesce(whole, F.lit(0)), single).alias("lines"))
     all_lines = F.greatest(F.sum(F.when(F.col("p") >= 0, F.col("lines")).otherwise(0)), F.max(F.when(F.col("p") < 0, F.col("lines")).otherwise(0)))
     of_file = by_part.groupBy(*file).agg(F.max("own").alias("own"), all_lines.alias("lines"))
-    states = (F.col("lines") * 2 >= F.col("n_lines")) | F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False))
+    states = ((F.col("lines") > 0) & (F.col("lines") * 2 >= F.col("n_lines"))) | F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False))
     return of_file.select(
         "row", "file_id", "path", F.col("own.name").alias("own_license"), F.col("own.score").alias("own_score"),
         (F.col("own").isNotNull() & states).alias("licence_file"),

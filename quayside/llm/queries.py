@@ -115,7 +115,7 @@ def _op10_sql() -> str:
     rows = ", ".join(f"({t}, '{k}', '{quoted(v)}')" for t, (k, v) in enumerate(licenses.templates()))
     filled = "len(list_filter(string_split({0}, chr(10)), lambda v: length(trim(v)) > 0))"
     return f"""
-WITH tpl(t, name, said) AS (VALUES {rows}), n AS (SELECT count(*) AS n FROM tpl),
+WITH tpl0(t, name, said) AS (VALUES {rows}), tpl AS (SELECT *, said LIKE 'spdx-license-identifier:%' AS tag FROM tpl0), n AS (SELECT count(*) AS n FROM tpl),
 tw AS (SELECT t, name, unnest(regexp_extract_all(said, '[a-z0-9]+')) AS word FROM tpl),
 ttf AS (SELECT t, name, word, count(*) AS tf FROM tw GROUP BY ALL),
 idf AS (SELECT word, ln((1 + n) / (1 + count(DISTINCT t))) + 1 AS idf FROM ttf, n GROUP BY word, n),
@@ -130,12 +130,12 @@ tf AS (SELECT doc_id, p, l, held, word, count(*) AS tf FROM tok GROUP BY ALL),
 x AS (SELECT doc_id, p, l, held, word, tf * coalesce(idf, (SELECT ln(1 + n) + 1 FROM n)) AS x FROM tf LEFT JOIN idf USING (word)),
 norm AS (SELECT doc_id, p, l, held, sqrt(sum(x * x)) AS norm FROM x GROUP BY ALL),
 dots AS (SELECT doc_id, p, l, t, name, sum(x * w) AS dot FROM x JOIN wt USING (word) GROUP BY ALL),
-cos AS (SELECT doc_id, p, l, held, name, round(dot / norm, 6) AS score FROM dots JOIN norm USING (doc_id, p, l)),
-best AS (SELECT doc_id, p, l, held, max(score) AS score, min_by(name, (-score, name)) AS name FROM cos WHERE score >= 0.8 GROUP BY ALL),
-part AS (SELECT doc_id, p, greatest(coalesce(max(CASE WHEN l < 0 THEN held END), 0), count(CASE WHEN l >= 0 THEN 1 END)) AS lines FROM best GROUP BY ALL),
+cos AS (SELECT doc_id, p, l, held, dots.name, CASE WHEN tag THEN 1 ELSE 0 END AS tag, round(dot / norm, 6) AS score FROM dots JOIN norm USING (doc_id, p, l) JOIN tpl USING (t)),
+best AS (SELECT doc_id, p, l, held, max(score) AS score, min_by(name, (-score, name)) AS name, min_by(tag, (-score, name, -tag)) AS tag FROM cos WHERE score >= 0.8 GROUP BY ALL),
+part AS (SELECT doc_id, p, greatest(coalesce(max(CASE WHEN l < 0 AND tag = 0 THEN held END), 0), count(CASE WHEN l >= 0 AND tag = 0 THEN 1 END)) AS lines FROM best GROUP BY ALL),
 told AS (SELECT doc_id, greatest(sum(CASE WHEN p >= 0 THEN lines ELSE 0 END), max(CASE WHEN p < 0 THEN lines ELSE 0 END)) AS lines FROM part GROUP BY 1),
 own AS (SELECT doc_id, max(score) AS own_score, min_by(name, (-score, name)) AS own_license FROM best GROUP BY 1),
-f AS (SELECT d.doc_id, source || '/' || lang AS folder, source || '/' || lang || '/' || d.doc_id AS path, own_license, own_score, coalesce(lines * 2 >= {filled.format("coalesce(text, '')")}, false) AS licence_file FROM documents d LEFT JOIN own ON own.doc_id = d.doc_id LEFT JOIN told ON told.doc_id = d.doc_id),
+f AS (SELECT d.doc_id, source || '/' || lang AS folder, source || '/' || lang || '/' || d.doc_id AS path, own_license, own_score, coalesce(lines > 0 AND lines * 2 >= {filled.format("coalesce(text, '')")}, false) AS licence_file FROM documents d LEFT JOIN own ON own.doc_id = d.doc_id LEFT JOIN told ON told.doc_id = d.doc_id),
 holds AS (SELECT folder, min_by(own_license, (-own_score, own_license)) AS folder_license FROM f WHERE licence_file GROUP BY 1)
 SELECT doc_id, path, own_license, own_score, licence_file, coalesce(own_license, folder_license) AS license, CASE WHEN own_license IS NULL AND folder_license IS NOT NULL THEN f.folder END AS licensed_by
 FROM f LEFT JOIN holds ON holds.folder = f.folder"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -77,19 +77,34 @@ def model_lookup(pasted: DataFrame, aliases: DataFrame) -> DataFrame:
     return per.select("model", status.alias("status"), F.when(F.col("n") == 1, F.col("product_id")).alias("product_id"))
 
 
+def without(c: Column, most: int) -> Column:
+    """A string, and what is left of it when up to ``most`` of its characters go."""
+    out = F.array(c)
+    for _ in range(most):
+        shorter = lambda s: F.when(F.length(s) > 0, F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substr(s, F.lit(1), i - 1), F.substr(s, i + 1))))
+        out = F.array_distinct(F.concat(out, F.flatten(F.transform(out, lambda s: F.coalesce(shorter(s), F.array().cast("array<string>"))))))
+    return out
+
+
 def typo_clusters(volumes: DataFrame, known: DataFrame, most: int = 2, low: int = 50) -> DataFrame:
-    """Rare queries (q, n) within ``most`` edits of a known word that share a trigram with it,
-    with their joint volume.
+    """Rare queries (q, n) within ``most`` edits of a known word, with their joint volume.
 
     An edit destroys three trigrams at most, so of a query's rarest trigrams, three for each edit
-    and one more, some stands in every word so near; only those are joined.
+    and one more, some stands in every word so near; only those are joined. A query with no more
+    trigrams than that may share none with its word. Such a short query meets words by what is
+    left of both when ``most`` characters go, which two strings so near have in common.
     """
-    post = known.select("word").distinct().select("word", F.explode(text.trigrams(F.col("word"))).alias("t"))
+    words, destroyed = known.select("word").distinct().withColumn("t", text.trigrams(F.col("word"))), 3 * most
+    asked = volumes.where(F.col("n") <= low).select("q", "n", text.trigrams(F.col("q")).alias("t"))
+    post = words.select("word", F.explode("t").alias("t"))
     counts = post.groupBy("t").agg(F.count("*").alias("df"))
     order = Window.partitionBy("q").orderBy(F.coalesce("df", F.lit(0)), "t")
-    rare = volumes.where(F.col("n") <= low).select("q", "n", F.explode(text.trigrams(F.col("q"))).alias("t")).join(counts, "t", "left")
-    rare = rare.withColumn("r", F.row_number().over(order)).where((F.col("r") <= 3 * most + 1) & F.col("df").isNotNull())
-    pairs = rare.join(post, "t").select("q", "n", "word").distinct().where((F.col("q") != F.col("word")) & (F.abs(F.length("q") - F.length("word")) <= most))
+    rare = asked.select("q", "n", F.explode("t").alias("t")).join(counts, "t", "left")
+    rare = rare.withColumn("r", F.row_number().over(order)).where((F.col("r") <= destroyed + 1) & F.col("df").isNotNull())
+    short = asked.where(F.size("t") <= destroyed).select("q", "n", F.explode(without(F.col("q"), most)).alias("left"))
+    near_short = words.where(F.size("t") <= 2 * destroyed).select("word", F.explode(without(F.col("word"), most)).alias("left"))
+    pairs = rare.join(post, "t").select("q", "n", "word").union(short.join(near_short, "left").select("q", "n", "word")).distinct()
+    pairs = pairs.where((F.col("q") != F.col("word")) & (F.abs(F.length("q") - F.length("word")) <= most))
     close = pairs.where(F.levenshtein("q", "word", most) >= 0)
     return close.groupBy("word").agg(F.count("*").alias("spellings"), F.sum("n").alias("volume"))
 

@@ -57,7 +57,7 @@ def batch_model_lookup(m):
     return search.model_lookup(pasted, m.aliases)
 
 
-@query("typo_clusters", f"WITH k AS (SELECT DISTINCT name AS word, {_tri('name')} AS t FROM products), r AS (SELECT q, count(*) AS n, {_tri('q')} AS t FROM (SELECT CASE id % 3 WHEN 0 THEN replace(name, 'i', 'y') WHEN 1 THEN name || 's' ELSE reverse(name) END AS q FROM products) GROUP BY q HAVING count(*) <= 50) SELECT word, count(*) AS spellings, sum(n) AS volume FROM r JOIN k ON q <> word AND abs(length(q) - length(word)) <= 2 AND levenshtein(q, word) <= 2 AND len(list_intersect(r.t, k.t)) > 0 GROUP BY word")
+@query("typo_clusters", f"WITH k AS (SELECT DISTINCT name AS word, {_tri('name')} AS t FROM products), r AS (SELECT q, count(*) AS n, {_tri('q')} AS t FROM (SELECT CASE id % 3 WHEN 0 THEN replace(name, 'i', 'y') WHEN 1 THEN name || 's' ELSE reverse(name) END AS q FROM products) GROUP BY q HAVING count(*) <= 50) SELECT word, count(*) AS spellings, sum(n) AS volume FROM r JOIN k ON q <> word AND abs(length(q) - length(word)) <= 2 AND levenshtein(q, word) <= 2 GROUP BY word")
 def typo_clusters(m):
     asked = m.products.select(F.expr("CASE id % 3 WHEN 0 THEN replace(name, 'i', 'y') WHEN 1 THEN name || 's' ELSE reverse(name) END").alias("q")).groupBy("q").agg(F.count("*").alias("n"))
     return search.typo_clusters(asked, m.products.select(F.col("name").alias("word")))
@@ -245,9 +245,10 @@ def snapshot_manifest(m):
     return snapshot.manifest(rows).select("release_count", F.array_join("vendors", ",").alias("vendors"), F.size("products").cast("long").alias("products"))
 
 
-@query("snapshot_import", "SELECT count(CASE WHEN id % 2 = 1 THEN 1 END) AS imported, count(CASE WHEN id % 2 = 0 THEN 1 END) AS skipped, 0 AS unknown FROM releases")
+# vendors with an id that ends in 7 are not registered
+@query("snapshot_import", "SELECT count(CASE WHEN vendor_id % 10 <> 7 AND id % 2 = 1 THEN 1 END) AS imported, count(CASE WHEN vendor_id % 10 <> 7 AND id % 2 = 0 THEN 1 END) AS skipped, count(CASE WHEN vendor_id % 10 = 7 THEN 1 END) AS unknown FROM releases")
 def snapshot_import(m):
     rows = snapshot.records(m.releases, m.vendors, m.products, m.mappings, m.evidence)
-    plan = snapshot.plan_import(rows, m.vendors, m.products, m.releases.where("id % 2 = 0"))
+    plan = snapshot.plan_import(rows, m.vendors.where("id % 10 <> 7"), m.products, m.releases.where("id % 2 = 0"))
     n = lambda s: F.count_if(F.col("action") == s).alias(s)
     return plan.agg(n("imported"), n("skipped"), n("unknown"))

@@ -12,7 +12,7 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint
@@ -94,6 +94,42 @@ COMMON = frozenset("a all an and any are as at be by can do for from has have if
 GAP = r"\n(?:[^a-z0-9\n]*+\n)++"
 #: Names of files that are there to state a licence.
 FILE_NAME = r"(?i)(?:^|/)(?:un)?(?:licen[cs]e|copying)[^/]*$"
+#: Words that deny what follows them ("isn't" is the words "isn" and "t").
+DENIALS = ["not", "never", "neither", "nor", "cannot", "longer", "isn", "aren", "wasn", "weren"]
+#: A tag's expression of several identifiers. Possessive, as a long one would otherwise take the stack of the JVM.
+EXPRESSION = r"(?i)spdx-license-identifier:[ \t]*+([(]*+[ \t]*+{0}(?:[ \t)]++(?:and|or|with)[ \t(]++{0})++[ \t)]*+)".format("[a-z0-9][a-z0-9.+:-]*+")
+
+
+def identifiers() -> dict[str, str]:
+    """Licence by lower-case SPDX identifier, with the spellings of "only" and "or later"."""
+    ends = lambda k: ("", "-only", "-or-later", "+") if "GPL" in k else ("",)
+    return {f"{k}{end}".lower(): k for k in NAMED for end in ends(k)}
+
+
+def denies(words: list[str]) -> bool:
+    """Whether a word that denies stands before a word of licensing."""
+    first = min((words.index(x) for x in DENIALS if x in words), default=len(words))
+    return any(x.startswith("licen") for x in words[first:])
+
+
+def denied(words: Column) -> Column:
+    """``denies`` of an array of words in their order."""
+    first = F.array_min(F.filter(F.array(*[F.array_position(words, x) for x in DENIALS]), lambda k: k > 0))
+    return F.coalesce(F.exists(F.slice(words, first.cast("int"), F.size(words)), lambda x: x.startswith("licen")), F.lit(False))
+
+
+def expression(text: Column) -> Column:
+    """The first SPDX expression of a text that joins several identifiers, one at least of a known
+    licence: licences by their names, other identifiers as written, without outer brackets. Null
+    if there is none."""
+    known = F.create_map(*[F.lit(x) for pair in identifiers().items() for x in pair])
+    operator = lambda x: F.lower(x).isin("and", "or", "with")
+    name = lambda x: F.coalesce(F.try_element_at(known, F.lower(x)), F.when(operator(x), F.upper(x)).otherwise(x))
+    parts = lambda x: F.regexp_extract_all(x, F.lit("([()]|[A-Za-z0-9.+:-]+)"), 1)
+    said = F.transform(F.regexp_extract_all(text, F.lit(EXPRESSION), 1), lambda x: parts(x))
+    some = F.filter(said, lambda x: F.exists(x, lambda y: F.lower(y).isin(list(identifiers()))))
+    whole = F.array_join(F.transform(F.get(some, 0), name), " ")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(whole, "[(] ", "("), " [)]", ")"), "^[(]([^()]*)[)]$", "$1")
 
 
 class Model:
@@ -104,6 +140,7 @@ class Model:
         df = Counter(x for w in words for x in set(w))
         self.names = [k for k, _ in texts]
         self.tags = [t.startswith("SPDX-License-Identifier:") for _, t in texts]
+        self.denies = [denies(w) for w in words]
         self.unseen = math.log(1 + len(words)) + 1
         self.idf = {x: math.log((1 + len(words)) / (1 + n)) + 1 for x, n in sorted(df.items())}
         self.weights: dict[str, list[tuple[int, float]]] = {}
@@ -129,31 +166,36 @@ def headers(files: DataFrame, threshold: float = 0.8, texts: list[tuple[str, str
 
     The whole text, each of its paragraphs and each line names the licence of the template with
     the largest TF-IDF cosine, if that is at least ``threshold``; a file has the licence of the
-    best of these (ties: the smaller name). It is a licence file if it has a licence and either
-    its name says so, or at least half of its lines that are not blank are in what named
-    one; lines that SPDX tags named do not count, as a header speaks for its own file only.
+    best of these (ties: the smaller name). What denies a licence ("not released under ...")
+    does not name it, unless the template denies as well. A tag with an SPDX expression of
+    several identifiers comes first, with that expression as the licence and a score of 1.
+    It is a licence file if it has a licence and either its name says so, or at least nine in ten of
+    its lines that are not blank are in what named one; lines that SPDX tags named do not
+    count, as a header speaks for its own file only.
     Null and empty texts name nothing; repeated rows each give one row.
     """
     m = Model(texts or templates(), threshold)
-    file = ["row", "file_id", "path", "n_lines"]
-    low = files.select(F.monotonically_increasing_id().alias("row"), "file_id", "path", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    file = ["row", "file_id", "path", "n_lines", "said"]
+    tagged = F.when(F.lower("text").contains("spdx-license-identifier:"), expression(F.col("text"))).alias("said")
+    low = files.select(F.monotonically_increasing_id().alias("row"), "file_id", "path", F.lower(F.coalesce("text", F.lit(""))).alias("low"), tagged)
     split = lambda c: F.split(c, "[^a-z0-9]+")
     some = lambda words: F.exists(words, lambda x: x.isin(m.needed))
     filled = lambda c: F.filter(F.split(c, "\n"), lambda x: F.length(F.trim(x)) > 0)
-    unit = lambda p, l, said, n: F.struct(p.alias("p"), l.alias("l"), said.alias("said"), n.alias("held"))  # noqa: E731, E741
+    unit = lambda p, l, low, n: F.struct(p.alias("p"), l.alias("l"), low.alias("low"), n.alias("held"))  # noqa: E731, E741
     none = F.lit(-1)
     # a text's units: itself, its paragraphs of several lines, its lines
     line_of = lambda p: lambda x, k: unit(p, k, x, F.lit(1))
     paragraph = lambda x, p: F.concat(F.array(unit(p, none, x, F.size(filled(x)))), F.transform(F.split(x, "\n"), line_of(p)))
     units = F.concat(F.array(unit(none, none, F.col("low"), F.size(filled("low")))), F.flatten(F.transform(F.split("low", GAP), paragraph)))
     lines = F.size(filled("low"))
-    rows = low.select("row", "file_id", "path", lines.alias("n_lines"), F.when(some(split("low")), units).alias("units"))
-    rows = rows.select(*file, F.explode_outer("units").alias("u")).select(*file, "u.p", "u.l", "u.held", split("u.said").alias("words"))
-    rows = rows.withColumn("sorted", F.when(some(F.col("words")), F.sort_array(F.filter("words", lambda x: x != ""))))
+    rows = low.select("row", "file_id", "path", lines.alias("n_lines"), "said", F.when(some(split("low")), units).alias("units"))
+    rows = rows.select(*file, F.explode_outer("units").alias("u")).select(*file, "u.p", "u.l", "u.held", split("u.low").alias("words"))
+    named = some(F.col("words"))
+    rows = rows.select("*", F.when(named, F.sort_array(F.filter("words", lambda x: x != ""))).alias("sorted"), F.when(named, denied(F.col("words"))).alias("denies"))
     first = F.filter(F.sequence(F.lit(0), F.size("sorted") - 1), lambda i: (i == 0) | (F.get("sorted", i) != F.get("sorted", i - 1)))
-    rows = rows.select(*file, "p", "l", "held", "sorted", F.when(F.col("sorted").isNotNull(), first).alias("first"))
+    rows = rows.select(*file, "p", "l", "held", "denies", "sorted", F.when(F.col("sorted").isNotNull(), first).alias("first"))
     tf = F.transform("first", lambda i, k: F.struct(F.get("sorted", i).alias("word"), (F.coalesce(F.get("first", k + 1), F.size("sorted")) - i).alias("tf")))
-    rows = rows.select(*file, "p", "l", "held", tf.alias("tf"))
+    rows = rows.select(*file, "p", "l", "held", "denies", tf.alias("tf"))
     known = list(m.idf)
     squares = lambda c, idf: F.aggregate(c, F.lit(0.0), lambda a, x: a + F.pow(x["tf"] * idf(x["word"]), F.lit(2)))
 
@@ -164,33 +206,34 @@ def headers(files: DataFrame, threshold: float = 0.8, texts: list[tuple[str, str
         return out
 
     other = squares(F.filter("tf", lambda x: ~x["word"].isin(known)), lambda _: F.lit(m.unseen))
-    rows = rows.select(*file, "p", "l", "held", F.filter("tf", lambda x: x["word"].isin(known)).alias("tf"), other.alias("other"))
-    rows = rows.select(*file, "p", "l", "held", "tf", "other", squares("tf", idf).alias("own"))
+    rows = rows.select(*file, "p", "l", "held", "denies", F.filter("tf", lambda x: x["word"].isin(known)).alias("tf"), other.alias("other"))
+    rows = rows.select(*file, "p", "l", "held", "denies", "tf", "other", squares("tf", idf).alias("own"))
     # the cosine is at most the share of known words in the norm
     may = F.col("own") * (1 + 1e-9) >= threshold**2 * (F.col("own") + F.col("other"))
-    unit = [*file, "p", "l", "held", "norm"]
-    rows = rows.select(*file, "p", "l", "held", F.sqrt(F.col("own") + F.col("other")).alias("norm"), F.explode_outer(F.when(may, F.col("tf"))).alias("tf")).select(*unit, "tf.*")
+    unit = [*file, "p", "l", "held", "denies", "norm"]
+    rows = rows.select(*file, "p", "l", "held", "denies", F.sqrt(F.col("own") + F.col("other")).alias("norm"), F.explode_outer(F.when(may, F.col("tf"))).alias("tf")).select(*unit, "tf.*")
     weights = files.sparkSession.createDataFrame([(x, m.idf[x], m.weights[x]) for x in known], "word string, idf double, w array<struct<t:int,w:double>>")
     met = rows.join(F.broadcast(weights), "word", "left")
     met = met.select(*unit, (F.col("tf") * F.col("idf")).alias("x"), F.explode_outer("w").alias("w"))
     dots = met.groupBy(*unit, F.col("w.t").alias("t")).agg(F.sum(F.col("x") * F.col("w.w")).alias("dot")).repartition("row")
     order = {k: -i for i, k in enumerate(sorted(set(m.names)))}
-    names = files.sparkSession.createDataFrame([(t, order[k], m.tags[t], k) for t, k in enumerate(m.names)], "t int, rank int, tag boolean, name string")
+    names = files.sparkSession.createDataFrame([(t, order[k], m.tags[t], m.denies[t], k) for t, k in enumerate(m.names)], "t int, rank int, tag boolean, may_deny boolean, name string")
     named = dots.join(F.broadcast(names), "t", "left")
     score = F.round(F.col("dot") / F.col("norm"), 6)
-    best = F.max(F.when(score >= threshold, F.struct(score.alias("score"), "rank", "tag", "name")))
+    best = F.max(F.when((score >= threshold) & (~F.col("denies") | F.col("may_deny")), F.struct(score.alias("score"), "rank", "tag", "name")))
     good = named.groupBy(*file, "p", "l", "held").agg(best.alias("own"))
     # a tag names the licence of its own file only
-    said = F.coalesce(~F.col("own.tag"), F.lit(False))
+    holds = F.coalesce(~F.col("own.tag"), F.lit(False))
     # lines that a paragraph, or the whole text, accounts for
-    whole, single = F.max(F.when(said & (F.col("l") < 0), F.col("held"))), F.count_if(said & (F.col("l") >= 0))
+    whole, single = F.max(F.when(holds & (F.col("l") < 0), F.col("held"))), F.count_if(holds & (F.col("l") >= 0))
     by_part = good.groupBy(*file, "p").agg(F.max("own").alias("own"), F.greatest(F.coalesce(whole, F.lit(0)), single).alias("lines"))
     all_lines = F.greatest(F.sum(F.when(F.col("p") >= 0, F.col("lines")).otherwise(0)), F.max(F.when(F.col("p") < 0, F.col("lines")).otherwise(0)))
     of_file = by_part.groupBy(*file).agg(F.max("own").alias("own"), all_lines.alias("lines"))
-    states = ((F.col("lines") > 0) & (F.col("lines") * 2 >= F.col("n_lines"))) | F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False))
+    states = ((F.col("lines") > 0) & (F.col("lines") * 10 >= F.col("n_lines") * 9)) | F.coalesce(F.col("path").rlike(FILE_NAME), F.lit(False))
     return of_file.select(
-        "row", "file_id", "path", F.col("own.name").alias("own_license"), F.col("own.score").alias("own_score"),
-        (F.col("own").isNotNull() & states).alias("licence_file"),
+        "row", "file_id", "path", F.coalesce("said", "own.name").alias("own_license"),
+        F.when(F.col("said").isNotNull(), 1.0).otherwise(F.col("own.score")).alias("own_score"),
+        ((F.col("said").isNotNull() | F.col("own").isNotNull()) & states).alias("licence_file"),
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -112,10 +113,16 @@ def _op1_sql() -> str:
 
 def _op10_sql() -> str:
     quoted = lambda x: x.lower().replace("'", "''")
-    rows = ", ".join(f"({t}, '{k}', '{quoted(v)}')" for t, (k, v) in enumerate(licenses.templates()))
+    may = lambda v: licenses.denies(re.findall(licenses.WORD, v.lower()))
+    rows = ", ".join(f"({t}, '{k}', '{quoted(v)}', {may(v)})" for t, (k, v) in enumerate(licenses.templates()))
+    known = ", ".join(f"'{x}': '{k}'" for x, k in licenses.identifiers().items())
+    joined = licenses.EXPRESSION.replace("*+", "*").replace("++", "+")
+    first = "list_min(list_filter([{0}], lambda k: k > 0))".format(", ".join(f"list_position(ws, '{x}')" for x in licenses.DENIALS))
+    spelt = f"coalesce(map_extract(MAP {{{known}}}, lower(y))[1], CASE WHEN lower(y) IN ('and', 'or', 'with') THEN upper(y) ELSE y END)"
+    tidy = "regexp_replace(replace(replace({0}, '( ', '('), ' )', ')'), '^[(]([^()]*)[)]$', '\\1')".format(f"array_to_string(list_transform(ts, lambda y: {spelt}), ' ')")
     filled = "len(list_filter(string_split({0}, chr(10)), lambda v: length(trim(v)) > 0))"
     return f"""
-WITH tpl0(t, name, said) AS (VALUES {rows}), tpl AS (SELECT *, said LIKE 'spdx-license-identifier:%' AS tag FROM tpl0), n AS (SELECT count(*) AS n FROM tpl),
+WITH tpl0(t, name, said, may_deny) AS (VALUES {rows}), tpl AS (SELECT *, said LIKE 'spdx-license-identifier:%' AS tag FROM tpl0), n AS (SELECT count(*) AS n FROM tpl),
 tw AS (SELECT t, name, unnest(regexp_extract_all(said, '[a-z0-9]+')) AS word FROM tpl),
 ttf AS (SELECT t, name, word, count(*) AS tf FROM tw GROUP BY ALL),
 idf AS (SELECT word, ln((1 + n) / (1 + count(DISTINCT t))) + 1 AS idf FROM ttf, n GROUP BY word, n),
@@ -125,17 +132,19 @@ split AS (SELECT doc_id, low, string_split_regex(low, '\n(?:[^a-z0-9\n]*\n)+') A
 para AS (SELECT doc_id, unnest(ps) AS said, generate_subscripts(ps, 1) AS p FROM split),
 ln AS (SELECT doc_id, p, unnest(string_split(said, chr(10))) AS said, generate_subscripts(string_split(said, chr(10)), 1) AS l FROM para),
 unit AS (SELECT doc_id, -1 AS p, -1 AS l, low AS said, {filled.format("low")} AS held FROM doc UNION ALL SELECT doc_id, p, -1, said, {filled.format("said")} FROM para UNION ALL SELECT doc_id, p, l, said, 1 FROM ln),
+deny AS (SELECT doc_id, p, l FROM (SELECT doc_id, p, l, regexp_extract_all(said, '[a-z0-9]+') AS ws FROM unit) WHERE len(list_filter(ws[{first}:], lambda w: starts_with(w, 'licen'))) > 0),
+ex AS (SELECT doc_id, {tidy} AS expr FROM (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '{joined}', 1), lambda x: regexp_extract_all(x, '[()]|[A-Za-z0-9.+:-]+')), lambda x: len(list_filter(x, lambda y: len(map_extract(MAP {{{known}}}, lower(y))) > 0)) > 0)[1] AS ts FROM documents)),
 tok AS (SELECT doc_id, p, l, held, unnest(regexp_extract_all(said, '[a-z0-9]+')) AS word FROM unit),
 tf AS (SELECT doc_id, p, l, held, word, count(*) AS tf FROM tok GROUP BY ALL),
 x AS (SELECT doc_id, p, l, held, word, tf * coalesce(idf, (SELECT ln(1 + n) + 1 FROM n)) AS x FROM tf LEFT JOIN idf USING (word)),
 norm AS (SELECT doc_id, p, l, held, sqrt(sum(x * x)) AS norm FROM x GROUP BY ALL),
 dots AS (SELECT doc_id, p, l, t, name, sum(x * w) AS dot FROM x JOIN wt USING (word) GROUP BY ALL),
-cos AS (SELECT doc_id, p, l, held, dots.name, CASE WHEN tag THEN 1 ELSE 0 END AS tag, round(dot / norm, 6) AS score FROM dots JOIN norm USING (doc_id, p, l) JOIN tpl USING (t)),
+cos AS (SELECT doc_id, p, l, held, dots.name, CASE WHEN tag THEN 1 ELSE 0 END AS tag, round(dot / norm, 6) AS score FROM dots JOIN norm USING (doc_id, p, l) JOIN tpl USING (t) LEFT JOIN (SELECT *, true AS denies FROM deny) USING (doc_id, p, l) WHERE may_deny OR denies IS NULL),
 best AS (SELECT doc_id, p, l, held, max(score) AS score, min_by(name, (-score, name)) AS name, min_by(tag, (-score, name, -tag)) AS tag FROM cos WHERE score >= 0.8 GROUP BY ALL),
 part AS (SELECT doc_id, p, greatest(coalesce(max(CASE WHEN l < 0 AND tag = 0 THEN held END), 0), count(CASE WHEN l >= 0 AND tag = 0 THEN 1 END)) AS lines FROM best GROUP BY ALL),
 told AS (SELECT doc_id, greatest(sum(CASE WHEN p >= 0 THEN lines ELSE 0 END), max(CASE WHEN p < 0 THEN lines ELSE 0 END)) AS lines FROM part GROUP BY 1),
 own AS (SELECT doc_id, max(score) AS own_score, min_by(name, (-score, name)) AS own_license FROM best GROUP BY 1),
-f AS (SELECT d.doc_id, source || '/' || lang AS folder, source || '/' || lang || '/' || d.doc_id AS path, own_license, own_score, coalesce(lines > 0 AND lines * 2 >= {filled.format("coalesce(text, '')")}, false) AS licence_file FROM documents d LEFT JOIN own ON own.doc_id = d.doc_id LEFT JOIN told ON told.doc_id = d.doc_id),
+f AS (SELECT d.doc_id, source || '/' || lang AS folder, source || '/' || lang || '/' || d.doc_id AS path, coalesce(expr, own_license) AS own_license, CASE WHEN expr IS NOT NULL THEN 1.0 ELSE own_score END AS own_score, coalesce(lines > 0 AND lines * 10 >= 9 * {filled.format("coalesce(text, '')")}, false) AS licence_file FROM documents d LEFT JOIN own ON own.doc_id = d.doc_id LEFT JOIN told ON told.doc_id = d.doc_id LEFT JOIN ex ON ex.doc_id = d.doc_id),
 holds AS (SELECT folder, min_by(own_license, (-own_score, own_license)) AS folder_license FROM f WHERE licence_file GROUP BY 1)
 SELECT doc_id, path, own_license, own_score, licence_file, coalesce(own_license, folder_license) AS license, CASE WHEN own_license IS NULL AND folder_license IS NOT NULL THEN f.folder END AS licensed_by
 FROM f LEFT JOIN holds ON holds.folder = f.folder"""

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .common import checkpoint
 
 BITS = 32
+#: Queries that ascend side by side in a task.
+TOGETHER = 512
 
 
 def planes(trees: int, dim: int, seed: int) -> np.ndarray:
@@ -54,7 +56,13 @@ def _ranges(keys: np.ndarray, code: np.ndarray, level: np.ndarray) -> tuple[np.n
     return np.searchsorted(keys, low), np.searchsorted(keys, low + (1 << (BITS - level)))
 
 
-def _search(k: int, trees: int, ascent: float, longest: float, seed: int):
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of runs of ``size`` places each, from ``start`` on."""
+    before = np.cumsum(size) - size
+    return np.repeat(start - before, size) + np.arange(size.sum())
+
+
+def _search(k: int, trees: int, ascent: float, quiet: int, longest: float, seed: int):
     """One shard's forest: the ``k`` best of the points that each query of the group comes to."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -70,35 +78,42 @@ def _search(k: int, trees: int, ascent: float, longest: float, seed: int):
         keys = np.take_along_axis(of_points.T, order, axis=1)
         # with so many in all trees together some tree alone holds k points, or all hold all there are
         wanted = min(trees * m, max(int(np.ceil(ascent * m)), trees * k))
-        deepest = np.stack([descend(keys[t], code[:, t]) for t in range(trees)], axis=1)
-        level = deepest.max(axis=1)
-        lo, hi = np.zeros((n, trees), "i8"), np.zeros((n, trees), "i8")
-        rising = np.arange(n)
-        while len(rising):
-            for t in range(trees):
-                lo[rising, t], hi[rising, t] = _ranges(keys[t], code[rising, t], level[rising])
-            rising = rising[(hi[rising] - lo[rising]).sum(axis=1) < wanted]
-            level[rising] -= 1
-        out = []
-        for i in range(n):
-            mark = np.zeros(m, bool)
-            for t in np.flatnonzero(hi[i] > lo[i]).tolist():
-                mark[order[t, lo[i, t] : hi[i, t]]] = True
-            met = np.flatnonzero(mark)
-            score = points[met] @ asked[i]
-            if len(met) > k:  # all that tie with the last stay until ids decide
-                some = np.flatnonzero(score >= np.partition(score, len(met) - k)[len(met) - k])
-                score, at = score[some], met[some]
-            else:
-                at = met
-            best = np.lexsort((ids[at], -score))[:k]
-            out.append((np.full(len(best), node[asks][i]), ids[at[best]], score[best], np.full(len(best), len(met))))
+        level = np.stack([descend(keys[t], code[:, t]) for t in range(trees)], axis=1).max(axis=1)
+        flat, out = order.ravel(), []
+        for start in range(0, n, TOGETHER):
+            block = np.arange(start, min(n, start + TOGETHER))
+            seen, last = np.zeros((len(block), m), bool), np.full(len(block), -np.inf)
+            best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, "i8"), np.empty(0))] * len(block)
+            calm, met, rising = np.zeros(len(block), "i8"), np.zeros(len(block), "i8"), np.arange(len(block))
+            while len(rising):
+                lo, hi = np.zeros((len(rising), trees), "i8"), np.zeros((len(rising), trees), "i8")
+                for t in range(trees):
+                    lo[:, t], hi[:, t] = _ranges(keys[t], code[block[rising], t], level[block[rising]])
+                held = (hi - lo).sum(axis=1)
+                for r, i in enumerate(rising.tolist()):
+                    new = flat[_spans(lo[r] + m * np.arange(trees), hi[r] - lo[r])]
+                    new = np.unique(new[~seen[i, new]])
+                    seen[i, new] = True
+                    score, at = points[new] @ asked[block[i]], new
+                    near = score >= last[i]  # a tie with the last stays until ids decide
+                    had = len(best[i][0])
+                    at, score = np.concatenate([best[i][0], at[near]]), np.concatenate([best[i][1], score[near]])
+                    first = np.lexsort((ids[at], -score))[:k]
+                    best[i] = (at[first], score[first])
+                    if len(first) == k:
+                        last[i] = score[first[-1]]
+                    met[i] += len(new)
+                    calm[i] = calm[i] + 1 if len(first) == k and (first < had).all() else 0
+                rising = rising[(held < wanted) & (calm[rising] < quiet)]
+                level[block[rising]] -= 1
+            for i, (at, score) in enumerate(best):
+                out.append((np.full(len(at), node[asks][block[i]]), ids[at], score, np.full(len(at), met[i])))
         return pd.DataFrame({name: np.concatenate([o[c] for o in out]) for c, name in enumerate(("query", "node", "score", "met"))})
 
     return run
 
 
-def candidates(nodes: DataFrame, k: int, trees: int, ascent: float, shard: int, asks: int, seed: int) -> DataFrame:
+def candidates(nodes: DataFrame, k: int, trees: int, ascent: float, quiet: int, shard: int, asks: int, seed: int) -> DataFrame:
     """``query``, ``node``, ``score`` of the ``k`` best of every shard for the rows of ``nodes`` (node, asks,
     embedding) that ask, and ``met``, the points of the shard that were scored."""
     n, n_asks, longest = nodes.agg(
@@ -109,19 +124,20 @@ def candidates(nodes: DataFrame, k: int, trees: int, ascent: float, shard: int,
     each = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
     points = nodes.select("node", F.lit(False).alias("asks"), "embedding", part(shards, 2).alias("shard"), each(parts).alias("part"))
     asking = nodes.where("asks = 1").select("node", F.lit(True).alias("asks"), "embedding", each(shards).alias("shard"), part(parts, 1).alias("part"))
-    search = _search(k, trees, ascent, float(longest or 0), seed)
+    search = _search(k, trees, ascent, quiet, float(longest or 0), seed)
     return points.union(asking.select(*points.columns)).groupBy("shard", "part").applyInPandas(search, "query long, node long, score double, met long")
 
 
-def neighbours(vectors: DataFrame, k: int = 20, every: int = 20, trees: int = 128, ascent: float = 0.5, shard: int = 16_384, asks: int = 16_384, seed: int = 11) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = 20, every: int = 20, trees: int = 128, ascent: float = 0.5, quiet: int = 4, shard: int = 16_384, asks: int = 16_384, seed: int = 11) -> DataFrame:
     """query_id, rank, vec_id and score: the ``k`` nearest found of each query.
 
     Queries are the rows whose vec_id is divisible by ``every``. Vectors are dealt to shards of
     about ``shard`` points, and every shard has a forest of its own: a sorted array of hash
     strings for each tree. A query descends all trees of every shard to its longest matches;
-    then the shard's trees ascend together, one bit at a time, until their prefixes hold
-    ``ascent`` times as many points as the shard has (a point counts once for each tree), and
-    exact inner products rank the points met. The stated queries meet the shards in blocks of
+    then the shard's trees ascend together, one bit at a time. Exact inner products rank the
+    points that each level adds. A query's ascent ends by its own results, when ``quiet`` levels in
+    a row add nothing to its nearest, or else when the prefixes hold ``ascent`` times as many points
+    as the shard has (a point counts once for each tree). The stated queries meet the shards in blocks of
     ``asks``, so a vector travels once for each block of queries, whatever the number of trees.
 
     Equal vectors form one node, and only its ``k + 1`` smallest ids travel on. Rows that are
@@ -133,7 +149,7 @@ def neighbours(vectors: DataFrame, k: int = 20, every: int = 20, trees: int = 12
         F.min("vec_id").alias("node"), F.max((F.col("vec_id") % every == 0).cast("int")).alias("asks")
     )
     nodes = checkpoint(by_value.select("node", "asks", "embedding"))
-    near = candidates(nodes, k + 1, trees, ascent, shard, asks, seed)
+    near = candidates(nodes, k + 1, trees, ascent, quiet, shard, asks, seed)
     order = Window.partitionBy("query").orderBy(F.desc("score"), "node")
     top = near.groupBy("query", "node").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
     # ids of equal vectors: the few smallest of each node, which the window sheds before it shuffles

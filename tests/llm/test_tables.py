@@ -163,6 +163,23 @@ def test_neighbours_recall_and_ties(spark):
         assert found >= 0.9 * 20 * len(got)
 
 
+def test_an_ascent_ends_by_its_own_results(spark):
+    """On clustered vectors a query scores few points and still finds its nearest."""
+    rng = np.random.default_rng(3)
+    flat = rng.standard_normal((4000, 32))
+    near = rng.standard_normal((40, 32))[rng.integers(0, 40, 4000)] + 0.2 * rng.standard_normal((4000, 32))
+    share = {}
+    for name, x in (("flat", flat), ("near", near)):
+        asks = np.arange(0, 4000, 50)
+        nodes = spark.createDataFrame([(k, int(k % 50 == 0), x[k].tolist()) for k in range(4000)], "node long, asks int, embedding array<double>")
+        got = forest.candidates(nodes, 21, 64, 0.5, 4, 5000, 5000, 11).toPandas()
+        share[name] = got.groupby("query").met.first().mean() / 4000
+        score = x[asks] @ x.T
+        hits = sum(len(set(np.argsort(-score[i], kind="stable")[:21].tolist()) & set(got[got["query"] == q].node)) for i, q in enumerate(asks))
+        assert hits >= 0.9 * 21 * len(asks)
+    assert share["near"] < 0.75 * share["flat"]
+
+
 def test_longest_matches_and_ranges():
     rng = np.random.default_rng(5)
     keys, code = np.sort(rng.integers(0, 1 << 32, 300)), rng.integers(0, 1 << 32, 50)

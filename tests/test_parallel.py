@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quayside.functions import rules
-from quayside.operators import alerts, catalog, checks, conflicts, latest, metrics, usage
+from quayside.operators import alerts, catalog, checks, conflicts, latest, metrics, pages, usage
 
 D, T = dt.date, dt.datetime
 
@@ -135,3 +135,22 @@ def test_rules_hold_fire_and_end(spark):
 
 def test_broken_after_is_in_the_states():
     assert checks.transitions().shape == (len(checks.OUTCOMES), len(rules.HEALTH_STATES) * (rules.BROKEN_AFTER + 1))
+
+
+def test_products_that_share_releases_meet_as_classes(spark):
+    rng = random.Random(11)
+    rows = [(r, p) for p in range(60) for r in rng.sample(range(40), rng.randint(1, 4))] + [(7, 3), (7, 3), (None, 3), (7, None)]
+    rows += [(r, p) for p in range(100, 140) for r in (7, 11, 900)]  # copies of one product
+    frame = spark.createDataFrame(rows, "release_id long, product_id long")
+    want = {}
+    for (r1, p1), (r2, p2) in itertools.product(rows, rows):
+        if r1 is not None and r1 == r2 and p1 is not None and p2 is not None and p1 < p2:
+            want[p1, p2] = want.get((p1, p2), 0) + 1
+    assert sorted(tuple(r) for r in pages.shared(frame).collect()) == sorted((*k, v) for k, v in want.items())
+    hot = spark.range(1000, 31_000).select(F.lit(1).cast("long").alias("release_id"), F.col("id").alias("product_id"))
+    members, pairs = pages.sharing_classes(hot.union(frame))
+    assert members.count() == 30_000 + 60 + 40
+    assert members.where("product_id >= 1000").agg(F.collect_set("class")).first()[0] == [1000]
+    beside = sum(1 in {r for r, q in rows if q == p} for p in range(60))
+    assert pairs.where("c2 = 1000").count() == beside > 0
+    assert pages.shared(frame.limit(0)).count() == 0

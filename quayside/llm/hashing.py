@@ -9,11 +9,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import checkpoint
+from .common import written
 
 #: A context's hash is the sum of word hashes times powers of BASE, the last word first.
 BASE, STEP, OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(0x2545F4914F6CDD1D)
 CHUNK = 1 << 16
+#: Keys whose places in a bit set a task groups before it hands them on.
+KEYS = 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -104,25 +106,41 @@ class Bits:
 
     @staticmethod
     def of(keys: DataFrame) -> Bits:
-        keys = checkpoint(keys.distinct())
+        """Of different ``keys``; repeated ones only take room."""
+        keys = written(keys, "keys")
         n = keys.count()
         size = CHUNK << min(12, max(0, int(np.ceil(np.log2(max(1, 16 * n) / CHUNK)))))
         if not n:
             return Bits()
 
         def at(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, many = [], 0
+
+            def flush() -> pa.RecordBatch:
+                where = np.unique(np.concatenate(Bits.places(np.concatenate(held), size)))
+                held.clear()
+                chunk, new = np.unique(where // CHUNK, return_index=True)
+                ends = pa.array(np.append(new, len(where)) * 2, pa.int32())
+                inside = pa.py_buffer((where % CHUNK).astype("<u2").tobytes())
+                return pa.RecordBatch.from_arrays([pa.array(chunk), pa.Array.from_buffers(pa.binary(), len(chunk), [None, ends.buffers()[1], inside])], ["chunk", "at"])
+
             for b in batches:
-                k = b.column(0).to_numpy(zero_copy_only=False).view("u8")
-                where = np.concatenate(Bits.places(k, size))
-                yield pa.RecordBatch.from_arrays([pa.array(where // CHUNK), pa.array(where % CHUNK)], ["chunk", "at"])
+                held.append(longs(b, 0))
+                many += b.num_rows
+                if many >= KEYS:
+                    yield flush()
+                    many = 0
+            if many:
+                yield flush()
 
         def fill(table: pa.Table) -> pa.Table:
             one = np.zeros(CHUNK, bool)
-            one[table["at"].to_numpy()] = True
+            for places in table["at"]:
+                one[np.frombuffer(places.as_buffer(), "<u2")] = True
             return pa.table({"chunk": table["chunk"][:1], "bits": pa.array([np.packbits(one).tobytes()], pa.binary())})
 
         bits = np.zeros(size // 8, "u1")
-        for r in keys.mapInArrow(at, "chunk long, at long").groupBy("chunk").applyInArrow(fill, "chunk long, bits binary").toLocalIterator():
+        for r in keys.mapInArrow(at, "chunk long, at binary").groupBy("chunk").applyInArrow(fill, "chunk long, bits binary").toLocalIterator():
             bits[r.chunk * CHUNK // 8 : (r.chunk + 1) * CHUNK // 8] = np.frombuffer(r.bits, "u1")
         return Bits(n, bits)
 

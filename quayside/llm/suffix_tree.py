@@ -25,8 +25,8 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, slices
-from .hashing import BASE, Bits, distinct, hashed_words, key_of, longs, mapped, mix, pairs_of, past
+from .common import slices, written
+from .hashing import BASE, STEP, Bits, distinct, hashed_words, key_of, longs, mapped, mix, pairs_of, past
 
 #: Hash of the closing token of every document.
 END = np.zeros(1, "u8")
@@ -161,23 +161,23 @@ def fit(train: DataFrame, depth: int = 3, least: int = 100, listed: int = 3, wor
     ``divergence`` nats a token, with each occurrence's own count left out by the n - 1.
     """
     spark = train.sparkSession
-    counts = checkpoint(word_counts(train))
+    counts = written(word_counts(train), "words")
     n, v = (int(x or 0) for x in counts.agg(F.sum("n"), F.count("*")).first())
     tree = Tree(n, v, counts, Bits.of(counts.where(F.col("n") >= least).select("key")), spark.createDataFrame([], "key long, n long, gain double"))
     own = spark.sparkContext.broadcast(tree.own)
-    symbols = checkpoint(symbol_counts(counts, own))
+    symbols = written(symbol_counts(counts, own), "symbols")
     first = lambda b: [b.column(0), b.column(1), pa.array(key_of(longs(b, 0), 1).view("i8"))]
     starts = mapped(symbols.where(F.col("n") >= least).select("sym", "n"), first, "ctx long,n long,key long")
     before = None
     for d in range(1, depth + 1):
-        starts = checkpoint(starts)
+        starts = written(starts, "starts")
         wanted = Bits.of(starts.select("key"))
         if not wanted.n:
             break
         hot = np.array([r.ctx for r in starts.where(F.col("n") >= max(least, n // HOT)).select("ctx").collect()], "i8").view("u8")
         few = F.when(F.col("n") >= listed, F.col("word"))
         grams = _grams(train, d, own, spark.sparkContext.broadcast(wanted), spark.sparkContext.broadcast(hot))
-        grams = checkpoint(grams.groupBy("ctx", "suf", few.alias("word")).agg(F.sum("n").alias("n")))
+        grams = written(grams.groupBy("ctx", "suf", few.alias("word")).agg(F.sum("n").alias("n")), "grams")
         discounted = F.sum(F.when(F.col("word").isNotNull(), F.col("n") - 1).otherwise(0))
         total = grams.groupBy("ctx").agg(F.sum("n").alias("total"), discounted.alias("less")).where(F.col("total") >= least)
         found = grams.where("word is not null").join(total, "ctx")
@@ -187,32 +187,37 @@ def fit(train: DataFrame, depth: int = 3, least: int = 100, listed: int = 3, wor
         else:
             found = found.join(before, ["suf", "word"])
         gained = (F.col("n") - 1) / ((F.col("total") - F.col("less") + mu) * F.pow(F.lit(10.0), "prior"))
-        found = checkpoint(found.withColumn("pick", F.col("n") * F.log1p(gained) >= worth).select("ctx", "word", "n", "total", "prior", "pick"))
-        picked = found.where("pick").groupBy("ctx").agg(F.sum(F.col("n") - 1).alias("less"), F.sum("n").alias("own"))
-        free = (F.col("total") - F.col("less") + mu) / (F.col("total") + mu)
-        found = found.join(picked, "ctx", "left").withColumn("free", F.log10(F.when(F.col("less").isNotNull(), free).otherwise(1.0)))
+        # the one table of a level: what follows joins it to a row for each context
+        found = written(found.select("ctx", "word", "n", "total", "prior", (F.col("n") * F.log1p(gained) >= worth).alias("pick")), "found")
+        less = found.where("pick").groupBy("ctx").agg(F.sum(F.col("n") - 1).alias("less"), F.sum("n").alias("own"), F.first("total").alias("all"))
+        free = less.select("ctx", "own", F.log10((F.col("all") - F.col("less") + mu) / (F.col("all") + mu)).alias("free"))
         told = F.log10((F.col("n") - 1) / (F.col("total") + mu) + F.pow(F.lit(10.0), F.col("free") + F.col("prior")))
-        found = checkpoint(found.withColumn("logp", F.when(F.col("pick"), told)))
-        gain = F.sum(F.col("n") * (F.col("logp") - F.col("prior"))) + F.first((F.col("total") - F.col("own")) * F.col("free"))
-        kept = found.where("pick").groupBy("ctx").agg(F.round(gain * float(np.log(10)) / F.first("total"), 9).alias("gain"), F.first("free").alias("free"), F.first("total").alias("n"))
-        kept = checkpoint(kept.where(F.col("gain") >= divergence).select("ctx", "n", F.col("free").alias("gain")))
-        found = checkpoint(found.drop("free").join(kept.select("ctx", F.col("gain").alias("free")), "ctx", "left"))
-        entries = found.where("pick and free is not null").select("ctx", "word", "n", (F.col("logp") - F.col("prior") - F.col("free")).alias("gain"))
+        gain = F.sum(F.col("n") * (told - F.col("prior"))) + F.first((F.col("total") - F.col("own")) * F.col("free"))
+        kept = found.where("pick").join(free, "ctx").groupBy("ctx").agg(F.round(gain * float(np.log(10)) / F.first("total"), 9).alias("gain"), F.first("free").alias("free"), F.first("total").alias("n"))
+        kept = written(kept.where(F.col("gain") >= divergence).select("ctx", "n", F.col("free").alias("gain")), "kept")
+        of = kept.select("ctx", F.col("gain").alias("free"))
+        entries = found.where("pick").join(of, "ctx").select("ctx", "word", "n", (told - F.col("prior") - F.col("free")).alias("gain"))
         tree.levels.append((kept, entries))
-        eff = F.when(F.col("free").isNull(), F.col("prior")).when(F.col("pick"), F.col("logp")).otherwise(F.col("free") + F.col("prior"))
-        before = found.select(F.col("ctx").alias("suf"), "word", eff.alias("prior"))
+        eff = F.when(F.col("free").isNull(), F.col("prior")).when(F.col("pick"), told).otherwise(F.col("free") + F.col("prior"))
+        before = found.join(of, "ctx", "left").select(F.col("ctx").alias("suf"), "word", eff.alias("prior"))
 
         def longer(b: pa.RecordBatch, d: int = d) -> list[pa.Array]:
             ctx = longs(b, 1) + BASE * longs(b, 0)
             return [pa.array(ctx.view("i8")), b.column(2), pa.array(key_of(ctx, d + 1).view("i8"))]
 
         starts = mapped(found.where(F.col("n") >= least).select("ctx", "word", "n"), longer, "ctx long,n long,key long")
+    rows = None
     for d, (kept, entries) in enumerate(tree.levels, 1):
-        by_ctx = mapped(kept, lambda b, d=d: [pa.array(key_of(longs(b, 0), d).view("i8")), b.column(1), b.column(2)], "key long,n long,gain double")
-        by_word = mapped(entries, lambda b, d=d: [pa.array(pairs_of(key_of(longs(b, 0), d), longs(b, 1)).view("i8")), b.column(2), b.column(3)], "key long,n long,gain double")
-        tree.nodes = tree.nodes.union(by_ctx).union(by_word)
-        tree.depth = d
-    tree.nodes = checkpoint(tree.nodes)
+        level = kept.select(F.lit(d).alias("d"), "ctx", F.lit(None).cast("long").alias("word"), "n", "gain").union(entries.select(F.lit(d), "ctx", "word", "n", "gain"))
+        rows, tree.depth = level if rows is None else rows.union(level), d
+
+    def keyed(b: pa.RecordBatch) -> list[pa.Array]:
+        key, entry = mix(longs(b, 1) + STEP * b.column(0).to_numpy().astype("u8")), b.column(2).is_valid().to_numpy(zero_copy_only=False)
+        key[entry] = pairs_of(key[entry], b.column(2).drop_null().to_numpy().view("u8"))
+        return [pa.array(key.view("i8")), b.column(3), b.column(4)]
+
+    if rows is not None:
+        tree.nodes = written(mapped(rows, keyed, "key long,n long,gain double"), "nodes")
     tree.bits = Bits.of(tree.nodes.select("key"))
     return tree
 

@@ -128,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 20_000, mod: int = 5,
         .where(F.col("low").eqNullSafe(F.col("high")) & ~held_out(F.col("label_id"), mod, 0))
         .orderBy(F.xxhash64("label_id"), "label_id")
         .limit(rows)
-        .select("label_id", F.col("low").alias("good"))
+        .select("label_id", F.col("low").cast("int").alias("good"))
     )
     found = docs.select(F.col("doc_id").cast("long").alias("label_id"), "text").join(F.broadcast(usable), "label_id")
 

@@ -96,3 +96,15 @@ def test_artifacts_to_releases_in_one_file_or_many(spark):
     assert len(before) == len({(r[2], r[3], r[4], r[5]) for r in before}) or before
     again = ingest.ingest([frame([])], configs, sources, products, today, parts)  # nothing new: nothing changes
     assert read(again, "releases") == before
+
+
+def test_one_collector_with_most_artifacts_is_dealt_to_many_tasks(spark):
+    configs = spark.createDataFrame([("t", json.dumps(TEXT))], "collector_id string, spec string")
+    rows = spark.range(4000).select("id", F.lit("t").alias("collector_id"), F.lit("v1").alias("body")).repartition(4)
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        out = collect.extract(rows, configs).where("warning is null")
+        per = [n for (n,) in out.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(per) == 4000 and max(per) < 2000

@@ -77,3 +77,17 @@ def test_every_security_status(spark):
     folded = {(r.cve, r.product_id, r.version): (r.status, r.review, r.advisories) for r in summary.security_status(out).collect()}
     assert folded["A", 1, "1.0"] == ("confirmed_affected", True, 2) and folded["B", 1, "2.0"] == ("confirmed_not_affected", False, 1) and folded["B", 1, "1.0"] == ("vendor_investigation_pending", True, 1)
     assert out.where(F.col("status").isin(*summary.SECURITY, "no_match")).count() == out.count()
+
+
+def test_advisories_that_say_the_same_are_correlated_once(spark):
+    said = [(k, f"C{k % 3}", "n" if k % 2 else "none", None, k % 4 < 2, True, ["1"], ["2"]) for k in range(600)]
+    adv = spark.createDataFrame(said, "id long, cve string, product string, cpe string, vendor boolean, scoped boolean, affected array<string>, fixed array<string>")
+    products = spark.createDataFrame([(1, "x-1"), (2, "x-2")], "id long, model_identifier string")
+    aliases = spark.createDataFrame([(1, "N", "model")], "product_id long, alias string, alias_kind string")
+    versions = spark.createDataFrame([(1, "1"), (1, "2"), (1, "3")], "product_id long, version string")
+    of = (adv, products, aliases, versions)
+    rows = summary.correlated_statements(*of)
+    assert rows.count() == 3 * 2 * 3
+    told = lambda rows: sorted(tuple(r) for r in summary.security_status(rows).collect())
+    assert told(rows) == told(summary.correlate(*of)) and {r[-1] for r in told(rows)} == {100}
+    assert summary.correlate(*of).where("status = 'no_match'").count() == 300

@@ -18,45 +18,41 @@ def with_rocks(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
 
 
+#: Subjects are dealt to so many machines: calls of Python are few, and one call's rows are a small part of a batch.
+BUCKETS = 4096
+CLAIM = ["dated", "released", "observed", "version", "order_id", "line_no"]
+
+
 class _Claims(StatefulProcessor):
-    """Of one subject: the claim that stands for each source, how many sources stand by each version,
-    and whether they differ. A batch costs what it brings, not what is known already."""
+    """Of one bucket of subjects: by subject the claim that stands for each source, and whether versions
+    differ. A subject that a batch brings claims of is read once and written once; others cost nothing."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.claims = handle.getMapState("claims", "source_id long", "dated boolean, released long, observed long, version string, order_id long, line_no long")
-        self.sources = handle.getMapState("sources", "version string", "sources long")
-        self.standing = handle.getValueState("standing", "versions long, disputed boolean")
+        claims = "source_id array<long>, dated array<boolean>, released array<long>, observed array<long>, version array<string>, order_id array<long>, line_no array<long>"
+        self.subjects = handle.getMapState("subjects", "product_id long, channel string", f"disputed boolean, {claims}")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows))
-        order = ["dated", "released", "observed", "version", "order_id", "line_no"]
-        best = frame.sort_values(order).drop_duplicates("source_id", keep="last")
-        versions, disputed = self.standing.get() if self.standing.exists() else (0, False)
-        for source, *claim in best[["source_id", *order]].itertuples(index=False, name=None):
-            at = (int(source),)
-            known = tuple(self.claims.getValue(at)) if self.claims.containsKey(at) else None
-            now = (bool(claim[0]), int(claim[1]), int(claim[2]), claim[3], int(claim[4]), int(claim[5]))
-            if known is not None and known >= now:
+        of = ["product_id", "channel", "source_id"]
+        best = frame.sort_values(CLAIM).drop_duplicates(of, keep="last")
+        came: dict[tuple, dict] = {}
+        for product, channel, source, *claim in zip(*(best[c].tolist() for c in [*of, *CLAIM]), strict=True):
+            came.setdefault((product, None if pd.isna(channel) else channel), {})[source] = tuple(claim)
+        out = []
+        for subject, new in came.items():
+            known = self.subjects.getValue(subject)
+            disputed, claims = (known[0], {s: tuple(c) for s, *c in zip(*known[1:], strict=True)}) if known else (False, {})
+            later = {s: c for s, c in new.items() if s not in claims or claims[s] < c}
+            if not later:
                 continue
-            self.claims.updateValue(at, now)
-            if known is None or known[3] != now[3]:
-                versions += self._count(now[3], 1) + (self._count(known[3], -1) if known else 0)
-        if (versions > 1) != disputed:
-            disputed = not disputed
-            said = sorted(v[0] for v in self.sources.keys())
-            yield pd.DataFrame({"product_id": [key[0]], "channel": [key[1]], "event": ["opened" if disputed else "resolved"], "versions": [said]})
-        self.standing.update((versions, disputed))
-
-    def _count(self, version: str, step: int) -> int:
-        """One source more or fewer stands by a version; how many versions more there are."""
-        if not version.strip(" "):
-            return 0  # a source that names no version makes no claim
-        before = self.sources.getValue((version,))[0] if self.sources.containsKey((version,)) else 0
-        if before + step:
-            self.sources.updateValue((version,), (before + step,))
-        else:
-            self.sources.removeKey((version,))
-        return (before + step > 0) - (before > 0)
+            claims |= later
+            said = sorted({c[3] for c in claims.values() if c[3].strip(" ")})  # a source that names no version makes no claim
+            if (len(said) > 1) != disputed:
+                disputed = not disputed
+                out.append((*subject, "opened" if disputed else "resolved", said))
+            self.subjects.updateValue(subject, (disputed, *map(list, zip(*((s, *c) for s, c in claims.items()), strict=True))))
+        if out:
+            yield pd.DataFrame(out, columns=["product_id", "channel", "event", "versions"])
 
     def close(self) -> None:
         pass
@@ -77,7 +73,8 @@ def conflict_events(claims: DataFrame) -> DataFrame:
         "product_id", "channel", "source_id", F.coalesce("version", F.lit("")).alias("version"), F.col("release_date").isNotNull().alias("dated"),
         days("release_date").alias("released"), days("observed_on").alias("observed"), "order_id", "line_no",
     )
-    return rows.groupBy("product_id", "channel").transformWithStateInPandas(_Claims(), "product_id long, channel string, event string, versions array<string>", "append", "none")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("product_id", "channel"), F.lit(BUCKETS)).cast("int"))
+    return rows.groupBy("bucket").transformWithStateInPandas(_Claims(), "product_id long, channel string, event string, versions array<string>", "append", "none")
 
 
 class _Alert(StatefulProcessor):

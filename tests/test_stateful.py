@@ -39,6 +39,16 @@ def test_conflicts_open_and_close_as_claims_change(spark):
     assert {e for *_, e, _ in got} == {"opened", "resolved"}
 
 
+def test_many_subjects_take_few_calls(spark):
+    import time
+
+    rows = spark.range(40_000).selectExpr("id % 7 as source_id", "id div 2 as product_id", "'a' as channel", "concat('v', id % 2) as version", "date'2024-01-01' as release_date", "date'2024-01-01' as observed_on", "id as order_id", "1L as line_no")
+    began = time.perf_counter()
+    out = jobs.replay([rows], stateful.conflict_events)
+    assert out.where("event = 'opened'").select("product_id").distinct().count() == out.count() == 20_000
+    assert time.perf_counter() - began < 40
+
+
 def test_alerts_hold_through_gaps_and_late_rows(spark):
     at = lambda m: T(2024, 1, 1) + dt.timedelta(minutes=m)
     rng = random.Random(6)

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quayside.operators import catalog, frames, gates
+from quayside.sources import registry_docs
 
 
 def test_rows_without_a_key_are_dealt_to_many_tasks(spark):
@@ -33,3 +34,10 @@ def test_outcomes_as_columns_equal_the_pivot(spark):
     verdicts = spark.createDataFrame([(k, g) for k, g in enumerate(every)], "id long, gates array<struct<gate:string,outcome:string>>")
     told = lambda rows: sorted(map(tuple, rows.select("id", *gates.GATES).collect()))
     assert told(gates.gate_columns(verdicts, ["id"])) == told(gates.pivot(gates.gate_results(verdicts, ["id"]), ["id"]))
+
+
+def test_registry_documents_of_one_task_are_dealt_to_many(spark):
+    files = spark.range(2000).selectExpr("concat('kind: Product\nslug: p', id, '\n---\nkind: Vendor\nslug: v\n') as value").coalesce(1)
+    out = registry_docs.parse(files, "Product", "slug string")
+    per = [n for (n,) in out.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert sum(per) == out.select("slug").distinct().count() == 2000 and max(per) < 1000

@@ -91,3 +91,18 @@ def test_advisories_that_say_the_same_are_correlated_once(spark):
     told = lambda rows: sorted(tuple(r) for r in summary.security_status(rows).collect())
     assert told(rows) == told(summary.correlate(*of)) and {r[-1] for r in told(rows)} == {100}
     assert summary.correlate(*of).where("status = 'no_match'").count() == 300
+
+
+def test_ids_of_advisories_that_say_the_same_travel_together(spark, monkeypatch):
+    met, told = [], summary._told
+    monkeypatch.setattr(summary, "_told", lambda rows, known: met.append(rows) or told(rows, known))
+    said = [(k, f"C{k % 3}", "n", None, True, True, ["1"], ["2"]) for k in range(900)] + [(0, "C0", "n", None, True, True, ["1"], ["2"])]
+    adv = spark.createDataFrame(said, "id long, cve string, product string, cpe string, vendor boolean, scoped boolean, affected array<string>, fixed array<string>")
+    aliases = spark.createDataFrame([(1, "N", "model")], "product_id long, alias string, alias_kind string")
+    rest = spark.createDataFrame([(1, "x-1")], "id long, model_identifier string"), aliases, spark.createDataFrame([(1, "1"), (1, "2"), (1, None)], "product_id long, version string")
+    for most in (1 << 16, 100):
+        monkeypatch.setattr(summary, "TOGETHER", most)
+        got = [(r.id, r.cve, r.product_id, r.version, r.status) for r in summary.correlate(adv, *rest).collect()]
+        status = {"1": "confirmed_affected", "2": "fixed_in_version", None: "confirmed_not_affected"}
+        assert sorted(got, key=str) == sorted(((k, c, 1, v, status[v]) for k, c, *_ in said for v in status), key=str)
+    assert met[0].count() == 3 and 3 < met[1].count() <= 30

@@ -48,3 +48,18 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
     assert sorted(names) == columns
     at = [names.index(c) for c in columns]
     assert ordered(frame.select(columns).collect()) == ordered([[r[i] for i in at] for r in told.fetchall()])
+
+
+@pytest.mark.parametrize("name", ["extraction_warnings", "extract_collectors", "extraction_limits", "extract_html"])
+def test_a_page_of_very_many_paragraphs(spark, tmp_path, name):
+    body = "<html><body><article><h1>Many</h1>{}</article></body></html>"
+    pages = [(k, f"u{k}", body.format("".join(f"<p>word{j} <b>bold</b></p>" if j % 3 else f"<p>{j}</p>" for j in range(n)))) for k, n in ((2, 700), (4, 500), (5, 700), (8, 0))]
+    texts = [(1, "Abcdefghijkl, " * 700, "en", "s", 9800), (2, "none", "en", "s", 4)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    for t in ("pages", "documents"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    told = con.execute(ORACLES[name])
+    columns = [d[0] for d in told.description]
+    assert ordered(QUERIES[name](spark, str(tmp_path)).select(columns).collect()) == ordered(told.fetchall())

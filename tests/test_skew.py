@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quayside.operators import catalog, frames, gates
+from quayside.operators import catalog, frames, gates, summary
 from quayside.sources import registry_docs
 
 
@@ -41,3 +41,35 @@ def test_registry_documents_of_one_task_are_dealt_to_many(spark):
     out = registry_docs.parse(files, "Product", "slug string")
     per = [n for (n,) in out.groupBy(F.spark_partition_id()).count().select("count").collect()]
     assert sum(per) == out.select("slug").distinct().count() == 2000 and max(per) < 1000
+
+
+def test_mappings_are_dealt_by_release_once(spark, sf_dir):
+    from quayside.plans.bindings import Model
+
+    m = Model(spark, sf_dir)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        at = m.mappings.withColumn("at", F.spark_partition_id()).cache()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert at.select("at").distinct().count() == 7
+    assert at.groupBy("release_id").agg(F.count_distinct("at").alias("n")).where("n > 1").count() == 0
+    assert at.count() == at.select("release_id", "product_id").distinct().count() == m.lineitem.select("l_orderkey", "l_partkey").distinct().count()
+
+
+def test_stats_need_no_distinct_count_after_the_join(spark):
+    releases = spark.createDataFrame([(1, False, "a"), (1, False, "b"), (2, False, None), (3, True, "z"), (None, False, "y")], "id long, withdrawn boolean, last_verified_on string")
+    maps = spark.createDataFrame([(1, 7), (1, 7), (2, 7), (3, 7), (2, 8), (3, 9), (1, None), (None, 7)], "release_id long, product_id long")
+    out = summary.stats(releases, maps)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(7, 2, "b"), (8, 1, None), (None, 1, "b")], key=str)
+    assert "distinct" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sources_of_a_product_are_told_apart_by_id(spark):
+    releases = spark.createDataFrame([(1, False, 1), (2, False, 2), (3, True, 3), (4, False, 9)], "id long, withdrawn boolean, evidence_id long")
+    evidence = spark.createDataFrame([(1, 5), (2, 6), (3, 7), (9, None)], "id long, source_id long")
+    sources = spark.createDataFrame([(5, "b", "u", "t", True), (6, "a", "u", "t", True), (6, "a", "u", "t", True), (7, "c", "u", "t", True)], "id long, slug string, url string, source_type string, official boolean")
+    out = summary.official_sources(releases, spark.createDataFrame([(1, 1), (1, 1), (2, 1), (3, 1), (4, 2), (1, 3)], "release_id long, product_id long"), evidence, sources)
+    assert {r.product_id: [x.slug for x in r.official_sources] for r in out.collect()} == {1: ["a", "b"], 3: ["b"]}
+    keys = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [product_id" in keys and not any("Aggregate [" in line and "url" in line.split("]")[0] for line in keys.splitlines())

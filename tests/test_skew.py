@@ -73,3 +73,14 @@ def test_sources_of_a_product_are_told_apart_by_id(spark):
     assert {r.product_id: [x.slug for x in r.official_sources] for r in out.collect()} == {1: ["a", "b"], 3: ["b"]}
     keys = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [product_id" in keys and not any("Aggregate [" in line and "url" in line.split("]")[0] for line in keys.splitlines())
+
+
+def test_facts_of_a_subject_meet_the_releases_once(spark):
+    releases = spark.createDataFrame([(1, "1", "a", None, "2024-01-01", False), (2, "2", "a", "2024-01-02", "2024-01-03", False), (3, "2", "a", "2024-01-01", "2024-01-02", False), (4, None, "a", "2024-01-09", "2024-01-09", False), (5, "9", "a", "2025-01-01", "2025-01-01", True)], "id long, version string, channel string, release_date string, first_observed_on string, withdrawn boolean")
+    maps = spark.createDataFrame([(r, 1) for r in (1, 2, 3, 5)] + [(r, 2) for r in (2, 4)] + [(4, 3)], "release_id long, product_id long")
+    sources = spark.createDataFrame([], "id long, quality_class string, enabled boolean, health string, robots string, terms string")
+    claims = spark.createDataFrame([], "source_id long, product_id long, channel string, version string, release_date date, observed_on date, order_id long, line_no int")
+    out = gates.subject_facts(sources, releases, maps, claims)
+    got = {r.product_id: (sorted(tuple(v) for v in r.versions), r.previous) for r in out.collect()}
+    assert got == {1: ([("1", 1), ("2", 3)], "2"), 2: ([("2", 2)], None), 3: ([], None)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD [release_id") == 1

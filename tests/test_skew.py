@@ -49,7 +49,7 @@ def test_mappings_are_dealt_by_release_once(spark, sf_dir):
     m = Model(spark, sf_dir)
     try:
         spark.conf.set("spark.sql.shuffle.partitions", "7")
-        at = m.mappings.withColumn("at", F.spark_partition_id()).cache()
+        at = m.dealt_mappings.withColumn("at", F.spark_partition_id()).cache()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert at.select("at").distinct().count() == 7

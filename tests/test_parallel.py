@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quayside.functions import rules
 from quayside.operators import alerts, catalog, checks, conflicts, latest, metrics, pages, usage
+from quayside.plans import catalogue
 
 D, T = dt.date, dt.datetime
 
@@ -89,6 +90,12 @@ def test_latest_as_of_equals_every_day(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_latest_as_of_reads_mappings_once_in_small_tasks(spark, sf_dir):
+    plan = catalogue.queries()["latest_as_of"](spark, sf_dir)._jdf.queryExecution()
+    assert sum("Relation [" in line and "l_partkey#" in line for line in plan.optimizedPlan().toString().splitlines()) == 1
+    assert "REPARTITION_BY_NUM" in plan.executedPlan().toString()
+
+
 def test_ancestors_of_long_chains_and_cycles(spark):
     chain = [(f"c{k}", f"c{k + 1}" if k < 29 else None) for k in range(30)]
     got = catalog.category_ancestors(spark.createDataFrame(chain, "id string, parent_id string")).collect()

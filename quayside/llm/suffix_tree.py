@@ -32,9 +32,13 @@ from .hashing import BASE, STEP, Bits, distinct, hashed_words, key_of, longs, ma
 END = np.zeros(1, "u8")
 #: Different words or n-grams that a task counts before it hands them on, and bytes of a run of texts.
 BUFFER, RUN = 1_000_000, 2_000_000
+#: Rows of what documents ask that a task hands on at a time.
+BATCH = 50_000
 CLASS = np.uint64(0xA0761D6478BD642F)  # sets the symbols of classes apart
 #: A context with one in so many of all tokens is dealt to ``SALTS`` groups by its next word.
 HOT, SALTS = 2_000, 64
+#: Contexts are dealt in so many groups, of which a task hands on a row each.
+GROUPS = 4_096
 
 
 @dataclass
@@ -107,29 +111,36 @@ def symbol_counts(counts: DataFrame, own: Broadcast) -> DataFrame:
 
 
 def _grams(train: DataFrame, d: int, own: Broadcast, wanted: Broadcast, hot: Broadcast) -> DataFrame:
-    """``ctx`` (hash of the d symbols before), ``suf`` (of the last d - 1), ``word`` (symbol), ``n``,
-    where ``wanted`` may hold the context.
+    """``group``, ``ctx`` (hash of the d symbols before), ``suf`` (of the last d - 1), ``word`` (symbol), ``n``,
+    where ``wanted`` may hold the context. All of a context and word lie in one group, and a group in one task.
 
-    A task hands on one row for each context, with its next symbols in an array. A hot context's
-    are dealt to several rows, so that no context's symbols meet in one place.
+    A task adds up what it counts as long as that fits its buffer, and hands on one row for each group
+    of contexts. A hot context's symbols are dealt to several groups, so that they do not meet in one place.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, end = [], 0, _symbols(END, np.zeros(1, "i4"), own.value)[0]
 
-        def flush() -> pa.RecordBatch:
+        def merge() -> None:
             ctx, word, suf, n = (np.concatenate([x[k] for x in held]) for k in range(4))
-            held.clear()
             order, new, _ = distinct(pairs_of(ctx, word))
-            n, at = np.add.reduceat(n[order], new) if len(new) else n, order[new]
-            ctx, word, suf = ctx[at], word[at], suf[at]
+            at = order[new]
+            held[:] = [(ctx[at], word[at], suf[at], np.add.reduceat(n[order], new) if len(new) else n)]
+
+        def rows() -> pa.RecordBatch:
+            ctx, word, suf, n = held.pop()
             salt = np.where(np.isin(ctx, hot.value), word >> np.uint64(58), np.uint64(0))
-            order, new, _ = distinct(ctx + salt)
-            at, ends = order[new], pa.array(np.append(new, len(ctx)), pa.int32())
+            group = mix(ctx + salt) % np.uint64(GROUPS)
+            order = np.lexsort((ctx, group))
+            group, ctx = group[order], ctx[order]
+            new = np.flatnonzero(np.concatenate([[True], (ctx[1:] != ctx[:-1]) | (group[1:] != group[:-1])])) if len(ctx) else np.empty(0, "i8")
+            ends, at = pa.array(np.append(new, len(ctx)), pa.int32()), order[new]
             words = pa.ListArray.from_arrays(ends, pa.array(word[order].view("i8")))
             times = pa.ListArray.from_arrays(ends, pa.array(n[order].astype("i4")))
-            cols = [pa.array(ctx[at].view("i8")), pa.array(suf[at].view("i8")), pa.array(salt[at].astype("i4")), words, times]
-            return pa.RecordBatch.from_arrays(cols, ["ctx", "suf", "salt", "word", "n"])
+            each = pa.StructArray.from_arrays([pa.array(ctx[new].view("i8")), pa.array(suf[at].view("i8")), words, times], ["ctx", "suf", "word", "n"])
+            group, first = np.unique(group[new], return_index=True)
+            of = pa.ListArray.from_arrays(pa.array(np.append(first, len(new)), pa.int32()), each)
+            return pa.RecordBatch.from_arrays([pa.array(group.astype("i4")), of], ["group", "of"])
 
         for batch in slices(batches, RUN):
             h, kind, first, _ = hashed_words(batch.column(0))
@@ -141,14 +152,18 @@ def _grams(train: DataFrame, d: int, own: Broadcast, wanted: Broadcast, hot: Bro
             held.append((ctx[at], s[at], suf[at], n))
             size += len(at)
             if size >= BUFFER:
-                yield flush()
-                size = 0
+                merge()
+                size = len(held[0][0])
+                if size >= BUFFER // 2:
+                    yield rows()
+                    size = 0
         if held:
-            yield flush()
+            merge()
+            yield rows()
 
-    rows = train.select("text").mapInArrow(count, "ctx long, suf long, salt int, word array<long>, n array<int>")
-    each = rows.repartition("ctx", "salt").select("ctx", "suf", "salt", F.inline(F.arrays_zip("word", "n")))
-    return each.groupBy("ctx", "suf", "salt", "word").agg(F.sum("n").alias("n")).select("ctx", "suf", "word", "n")
+    rows = train.select("text").mapInArrow(count, "group int, of array<struct<ctx:long,suf:long,word:array<long>,n:array<int>>>")
+    each = rows.repartition("group").select("group", F.inline("of")).select("group", "ctx", "suf", F.inline(F.arrays_zip("word", "n")))
+    return each.groupBy("group", "ctx", "suf", "word").agg(F.sum("n").alias("n"))
 
 
 def fit(train: DataFrame, depth: int = 3, least: int = 100, listed: int = 3, worth: float = 3.0, divergence: float = 0.02, mu: float = 10.0) -> Tree:
@@ -177,7 +192,8 @@ def fit(train: DataFrame, depth: int = 3, least: int = 100, listed: int = 3, wor
         hot = np.array([r.ctx for r in starts.where(F.col("n") >= max(least, n // HOT)).select("ctx").collect()], "i8").view("u8")
         few = F.when(F.col("n") >= listed, F.col("word"))
         grams = _grams(train, d, own, spark.sparkContext.broadcast(wanted), spark.sparkContext.broadcast(hot))
-        grams = written(grams.groupBy("ctx", "suf", few.alias("word")).agg(F.sum("n").alias("n")), "grams")
+        # where the group is: what is rarer than a listed word leaves one row for its context and group
+        grams = written(grams.groupBy("group", "ctx", "suf", few.alias("word")).agg(F.sum("n").alias("n")), "grams")
         discounted = F.sum(F.when(F.col("word").isNotNull(), F.col("n") - 1).otherwise(0))
         total = grams.groupBy("ctx").agg(F.sum("n").alias("total"), discounted.alias("less")).where(F.col("total") >= least)
         found = grams.where("word is not null").join(total, "ctx")
@@ -249,7 +265,8 @@ class Top:
         """Whether each key is here, and its value (0 if not)."""
         if not len(self.keys):
             return np.zeros(len(wanted), bool), np.zeros(len(wanted))
-        at = np.searchsorted(self.keys, wanted)
+        order, at = np.argsort(wanted), np.empty(len(wanted), "i8")
+        at[order] = np.searchsorted(self.keys, wanted[order])  # in order: near keys are found in near places
         at[at == len(self.keys)] = 0
         here = self.keys[at] == wanted
         return here, np.where(here, self.values[at], 0.0)
@@ -258,9 +275,9 @@ class Top:
 def score(docs: DataFrame, tree: Tree, kept: list[str] | None = None, top_words: int = 400_000, top_nodes: int = 1_500_000) -> DataFrame:
     """One row per document: ``kept`` columns, n_tokens, n_known, train_tokens, base_score, score.
 
-    At most ``top_words`` words and ``top_nodes`` nodes, the most frequent, are broadcast. What a
-    document asks of the others leaves one row for each document and key, joined to the
-    tables; a document's own row travels with them, so the texts are read once.
+    At most ``top_words`` words and ``top_nodes`` nodes, the most frequent, are broadcast. What
+    documents ask of the others leaves one row for each key and run of documents, with all that ask it,
+    joined to the tables; a document's own row travels with them, so the texts are read once.
     """
     kept, spark = kept or ["doc_id"], docs.sparkSession
     common, frequent = Top.of(tree.counts, "n", top_words), Top.of(tree.nodes, "gain", top_nodes)
@@ -270,12 +287,26 @@ def score(docs: DataFrame, tree: Tree, kept: list[str] | None = None, top_words:
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, frequent, bits, own = shared.value
-        end, task, row = _symbols(END, np.zeros(1, "i4"), own)[0], TaskContext.get().partitionId() << 40, 0
+        end, task, row, held, size = _symbols(END, np.zeros(1, "i4"), own)[0], TaskContext.get().partitionId() << 40, 0, [], 0
+        names = ["task", "key", "asks", "n_tokens", "known", "base", "gain", *kept]
+
+        def asked_rows(schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+            """One row for each key, with the places (upper half) and times (lower half) of the rows that ask it."""
+            key, asks = (np.concatenate([x[k] for x in held]) for k in range(2))
+            held.clear()
+            order, new, _ = distinct(key)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(key)), pa.int32()), pa.array(asks[order]))
+            key = key[order[new]].view("i8")
+            for at in range(0, len(new), BATCH):
+                part = pa.array(key[at : at + BATCH])
+                blank = [pa.nulls(len(part), schema.field(k).type) for k in range(3, len(names))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), task)), part, lists.slice(at, BATCH), *blank], names)
+
         for batch in slices(batches, RUN):
             if not batch.num_rows:
                 continue
-            h, kind, first, size = hashed_words(batch.column(0))
-            s, doc = _symbols(h, kind, own), np.repeat(np.arange(len(size)), size)
+            h, kind, first, tokens = hashed_words(batch.column(0))
+            s, doc = _symbols(h, kind, own), np.repeat(np.arange(len(tokens)), tokens)
             order, new, times = distinct(h)
             here, c = np.empty(len(h), bool), np.empty(len(h))
             here[order], c[order] = (np.repeat(x, times) for x in common.find(h[order[new]]))
@@ -298,25 +329,28 @@ def score(docs: DataFrame, tree: Tree, kept: list[str] | None = None, top_words:
             key, of = np.concatenate(asked), np.concatenate(of)
             order, new, times = distinct(pairs_of(key, of.astype("u8")))
             at = order[new]
-            rows = task + row + np.arange(len(size))
-            row += len(size)
-            n = len(at)
-            own_key = mix(rows.astype("u8") + np.uint64(1))  # any key: what an own row meets counts no times
-            cols = [
-                pa.array(np.concatenate([rows, rows[of[at]]])),
-                pa.array(np.concatenate([own_key, key[at]]).view("i8")),
-                pa.array(np.concatenate([np.zeros(len(size), "i4"), times.astype("i4")])),
-            ]
-            for x, kind in ((size, pa.int64()), (np.add.reduceat((here & (c > 0)).astype("i8"), first), pa.int64()), (np.add.reduceat(base, first), pa.float64()), (np.add.reduceat(gain, first), pa.float64())):
-                cols.append(pa.concat_arrays([pa.array(x, kind), pa.nulls(n, kind)]))
-            held = [pa.concat_arrays([batch.column(k + 1), pa.nulls(n, batch.schema.field(k + 1).type)]) for k in range(len(kept))]
-            yield pa.RecordBatch.from_arrays([*cols, *held], ["row", "key", "times", "n_tokens", "known", "base", "gain", *kept])
-
-    rows = docs.select("text", *kept).mapInArrow(parts, f"row long, key long, times int, n_tokens long, known long, base double, gain double, {schema}")
+            places = row + np.arange(len(tokens))
+            row += len(tokens)
+            held.append((key[at], places[of[at]] << 32 | times))
+            size += len(at)
+            own_key = mix((task + places).astype("u8") + np.uint64(1))  # any key: what an own row meets counts no times
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(tokens) + 1), pa.int32()), pa.array(places << 32))
+            cols = [pa.array(np.full(len(tokens), task)), pa.array(own_key.view("i8")), lists, pa.array(tokens)]
+            cols += [pa.array(np.add.reduceat(x, first)) for x in ((here & (c > 0)).astype("i8"), base, gain)]
+            own_rows = pa.RecordBatch.from_arrays([*cols, *[batch.column(k + 1) for k in range(len(kept))]], names)
+            yield own_rows
+            if size >= BUFFER:
+                yield from asked_rows(own_rows.schema)
+                size = 0
+        if held:
+            yield from asked_rows(own_rows.schema)
+
+    rows = docs.select("text", *kept).mapInArrow(parts, f"task long, key long, asks array<long>, n_tokens long, known long, base double, gain double, {schema}")
     rare = tree.counts.where(F.col("n") < common.floor).select("key", F.col("n").alias("c"), F.lit(0.0).alias("more"))
     if tree.depth:
         rare = rare.union(tree.nodes.where(F.col("n") < frequent.floor).select("key", F.lit(None).cast("long"), "gain"))
-    met = rows.join(rare, "key", "left")
+    met = rows.join(rare, "key", "left").withColumn("ask", F.explode("asks"))
+    met = met.withColumns({"row": F.col("task") + F.shiftright("ask", 32), "times": F.col("ask").bitwiseAND(0xFFFFFFFF)})
     per_doc = met.groupBy("row").agg(
         *[F.max(k).alias(k) for k in (*kept, "n_tokens")],
         F.sum(F.coalesce("known", F.lit(0)) + F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("n_known"),

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quayside.llm import decontaminate, html_text, packing, quality, suffix_tree, token_lengths
+from quayside.llm.hashing import Bits
 from quayside.llm.queries import tokenizer
 
 ODD = [None, "", "  \n\t ", "one", "ça été — naïve ½²", "a\x1cb\x85c\xa0d", "x" * 5000, "word " * 3000]
@@ -229,6 +230,24 @@ def test_suffix_tree_equals_brute_force(spark, depth, least, listed, worth, dive
         assert all(got[i] == pytest.approx(score(t), abs=1e-6) for i, t in docs)
 
 
+def test_grams_of_a_context_and_word_lie_in_one_group(spark):
+    rng = random.Random(6)
+    texts = [" ".join(f"w{min(rng.randint(0, 60), rng.randint(0, 60))}" for _ in range(rng.randint(1, 40))) for _ in range(200)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    every, share = Bits(1, np.full(1 << 13, 255, "u1")), spark.sparkContext.broadcast
+    want = collections.Counter(pair for t in texts for w in [["", *t.split(), ""]] for pair in zip(w, w[1:]))
+    hot = np.empty(0, "u8")
+    for _ in range(2):
+        rows = suffix_tree._grams(docs, 1, share(every), share(every), share(hot)).collect()
+        assert len({(r.ctx, r.word) for r in rows}) == len(rows) and sorted(r.n for r in rows) == sorted(want.values())
+        assert all(0 <= r.group < suffix_tree.GROUPS for r in rows)
+        groups = collections.defaultdict(set)
+        for r in rows:
+            groups[r.ctx].add(r.group)
+        assert all((len(g) > 1) == (c in hot.view("i8").tolist()) for c, g in groups.items())
+        hot = np.array([collections.Counter(r.ctx for r in rows).most_common(1)[0][0]], "i8").view("u8")
+
+
 def test_suffix_tree_learns_more_from_more(spark):
     """What is learnt of rare phrases grows with the evidence, not with its share of the corpus."""
     rng = random.Random(8)

@@ -9,8 +9,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import written
-
 #: A context's hash is the sum of word hashes times powers of BASE, the last word first.
 BASE, STEP, OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(0x2545F4914F6CDD1D)
 CHUNK = 1 << 16
@@ -74,6 +72,13 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, new, np.diff(np.append(new, len(keys)))
 
 
+def begins(*columns: np.ndarray) -> np.ndarray:
+    """Where a new value of any of the columns begins."""
+    if not len(columns[0]):
+        return np.empty(0, "i8")
+    return np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)]))
+
+
 def key_of(ctx: np.ndarray, d: int) -> np.ndarray:
     """A key of the context as one of ``d`` words."""
     return mix(ctx + np.uint64(int(STEP) * d % 2**64))
@@ -96,6 +101,22 @@ def past(h: np.ndarray, first: np.ndarray, d: int, end: np.uint64) -> tuple[np.n
     return out, shorter, p >= d - 1
 
 
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of numbers below 2^64 as bytes, compressed: the first bytes of all numbers, then the second, and so on."""
+    head = np.array([len(c) for c in columns], "<u4").tobytes()
+    body = head + b"".join(c.astype("<u8").view("u1").reshape(-1, 8).T.tobytes() for c in columns)
+    return np.array([len(body)], "<u4").tobytes() + pa.compress(body, "zstd", asbytes=True)
+
+
+def unpacked(value: bytes, columns: int) -> list[np.ndarray]:
+    body = pa.decompress(value[4:], int(np.frombuffer(value, "<u4", 1)[0]), "zstd", asbytes=True)
+    out, at = [], 4 * columns
+    for n in np.frombuffer(body, "<u4", columns).astype("i8"):
+        out.append(np.ascontiguousarray(np.frombuffer(body, "u1", 8 * n, at).reshape(8, n).T).view("<u8").reshape(-1))
+        at += 8 * n
+    return out
+
+
 @dataclass
 class Bits:
     """A set of keys that may say yes wrongly: two bits a key, 32 MB at most whatever the input.
@@ -106,8 +127,7 @@ class Bits:
 
     @staticmethod
     def of(keys: DataFrame) -> Bits:
-        """Of different ``keys``; repeated ones only take room."""
-        keys = written(keys, "keys")
+        """Of different ``keys`` of a table that is written; repeated ones only take room."""
         n = keys.count()
         size = CHUNK << min(12, max(0, int(np.ceil(np.log2(max(1, 16 * n) / CHUNK)))))
         if not n:

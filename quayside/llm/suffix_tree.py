@@ -10,7 +10,9 @@ towards the shorter ones by absolute discounting.
 
 All floors are absolute counts, so contexts, entries and vocabulary grow with the corpus.
 They are distributed tables of 64-bit hashes; only their most frequent rows, a stated number,
-are broadcast, and documents are joined to the others.
+are broadcast, and documents are joined to the others. What tasks hand on, n-grams and what
+documents ask, is packed: a row for each group of contexts or keys, in which frequent symbols are
+small numbers, keys are distances to the one before, and documents are places.
 """
 
 from __future__ import annotations
@@ -20,25 +22,27 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.broadcast import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices, written
-from .hashing import BASE, STEP, Bits, distinct, hashed_words, key_of, longs, mapped, mix, pairs_of, past
+from .hashing import BASE, STEP, Bits, begins, distinct, hashed_words, key_of, longs, mapped, mix, packed, pairs_of, past, unpacked
 
 #: Hash of the closing token of every document.
 END = np.zeros(1, "u8")
 #: Different words or n-grams that a task counts before it hands them on, and bytes of a run of texts.
 BUFFER, RUN = 1_000_000, 2_000_000
-#: Rows of what documents ask that a task hands on at a time.
-BATCH = 50_000
 CLASS = np.uint64(0xA0761D6478BD642F)  # sets the symbols of classes apart
 #: A context with one in so many of all tokens is dealt to ``SALTS`` groups by its next word.
 HOT, SALTS = 2_000, 64
-#: Contexts are dealt in so many groups, of which a task hands on a row each.
-GROUPS = 4_096
+#: Contexts, and keys that documents ask, are dealt in so many groups at least, of which a task hands on a
+#: row each, and in more for more than so many tokens a group.
+GROUPS, SHARE = 1_024, 500_000
+#: Symbols that have a number, the most frequent; others travel as hashes.
+NUMBERED = 400_000
 
 
 @dataclass
@@ -110,16 +114,59 @@ def symbol_counts(counts: DataFrame, own: Broadcast) -> DataFrame:
     return mapped(counts.select("key", "kind", "n"), run, "sym long,n long").groupBy("sym").agg(F.sum("n").alias("n"), F.sum(F.col("n") + 1).alias("w"))
 
 
-def _grams(train: DataFrame, d: int, own: Broadcast, wanted: Broadcast, hot: Broadcast) -> DataFrame:
+def _groups(n: int) -> int:
+    """A power of two."""
+    return max(GROUPS, 1 << min(14, (n // SHARE).bit_length()))
+
+
+@dataclass
+class Numbers:
+    """The most frequent symbols, numbered from the most frequent on."""
+
+    keys: np.ndarray  # by number
+    order: np.ndarray  # that sorts them
+
+    @staticmethod
+    def of(symbols: DataFrame, most: int = NUMBERED) -> Numbers:
+        top = Top.of(symbols.select(F.col("sym").alias("key"), "n"), "n", most)
+        keys = top.keys[np.lexsort((top.keys, -top.values))]
+        return Numbers(keys, np.argsort(keys))
+
+    def find(self, s: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Numbers of symbols; one of ``others`` (sorted) that has none follows with its place there."""
+        at = np.searchsorted(others, s).astype("u8") + np.uint64(len(self.keys))
+        if len(self.keys):
+            near = self.order[np.minimum(np.searchsorted(self.keys, s, sorter=self.order), len(self.keys) - 1)]
+            at = np.where(self.keys[near] == s, near.astype("u8"), at)
+        return at
+
+    def told(self, x: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Symbols of numbers ``x``."""
+        out, other, apart = np.empty(len(x), "u8"), x >= np.uint64(len(self.keys)), np.uint64(len(self.keys))
+        out[other], out[~other] = others[(x[other] - apart).astype("i8")], self.keys[x[~other].astype("i8")]
+        return out
+
+    def without(self, s: np.ndarray) -> np.ndarray:
+        """Those of ``s`` that have no number, sorted."""
+        s = np.unique(s)
+        return s[self.find(s, s) >= np.uint64(len(self.keys))]
+
+
+def _grams(train: DataFrame, d: int, own: Broadcast, wanted: Broadcast, hot: Broadcast, numbers: Broadcast | None = None, listed: int = 1, groups: int = GROUPS) -> DataFrame:
     """``group``, ``ctx`` (hash of the d symbols before), ``suf`` (of the last d - 1), ``word`` (symbol), ``n``,
     where ``wanted`` may hold the context. All of a context and word lie in one group, and a group in one task.
+    What occurs less than ``listed`` times leaves one row with no word for its context and group.
 
     A task adds up what it counts as long as that fits its buffer, and hands on one row for each group
     of contexts. A hot context's symbols are dealt to several groups, so that they do not meet in one place.
     """
+    power = int(BASE) ** (d - 1) % 2**64
+    back, power = np.uint64(pow(power, -1, 2**64)), np.uint64(power)  # the context is its suffix and power times its first symbol
+    high, none = 65 - groups.bit_length(), Numbers(np.empty(0, "u8"), np.empty(0, "i8"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, end = [], 0, _symbols(END, np.zeros(1, "i4"), own.value)[0]
+        known = numbers.value if numbers else none
 
         def merge() -> None:
             ctx, word, suf, n = (np.concatenate([x[k] for x in held]) for k in range(4))
@@ -130,17 +177,24 @@ def _grams(train: DataFrame, d: int, own: Broadcast, wanted: Broadcast, hot: Bro
         def rows() -> pa.RecordBatch:
             ctx, word, suf, n = held.pop()
             salt = np.where(np.isin(ctx, hot.value), word >> np.uint64(58), np.uint64(0))
-            group = mix(ctx + salt) % np.uint64(GROUPS)
-            order = np.lexsort((ctx, group))
-            group, ctx = group[order], ctx[order]
-            new = np.flatnonzero(np.concatenate([[True], (ctx[1:] != ctx[:-1]) | (group[1:] != group[:-1])])) if len(ctx) else np.empty(0, "i8")
-            ends, at = pa.array(np.append(new, len(ctx)), pa.int32()), order[new]
-            words = pa.ListArray.from_arrays(ends, pa.array(word[order].view("i8")))
-            times = pa.ListArray.from_arrays(ends, pa.array(n[order].astype("i4")))
-            each = pa.StructArray.from_arrays([pa.array(ctx[new].view("i8")), pa.array(suf[at].view("i8")), words, times], ["ctx", "suf", "word", "n"])
-            group, first = np.unique(group[new], return_index=True)
-            of = pa.ListArray.from_arrays(pa.array(np.append(first, len(new)), pa.int32()), each)
-            return pa.RecordBatch.from_arrays([pa.array(group.astype("i4")), of], ["group", "of"])
+            deal = mix(ctx + salt)
+            others = known.without(word)
+            order = np.lexsort((known.find(word, others), deal))
+            ctx, word, suf, n, group = ctx[order], word[order], suf[order], n[order], deal[order] >> np.uint64(high)
+            new = begins(ctx, group)
+            suf, times = suf[new], np.diff(np.append(new, len(ctx)))
+            far = (ctx[new] - suf) * back
+            others = np.union1d(others, known.without(np.concatenate([far, suf])))
+            far, suf, word = (known.find(x, others) for x in (far, suf, word))
+            first, of, apart = begins(group), [], np.uint64(len(known.keys))
+            each, last = group[first].astype("i4"), np.append(first[1:], len(ctx))
+            for lo, hi, a, b in zip(first, last, np.searchsorted(new, first), np.searchsorted(new, last), strict=True):
+                x = np.concatenate([far[a:b], suf[a:b], word[lo:hi]])
+                other = x >= apart
+                mine = np.unique(x[other])  # the symbols without a number of this group alone
+                x[other] = np.searchsorted(mine, x[other]).astype("u8") + apart
+                of.append(packed(others[(mine - apart).astype("i8")], times[a:b], x[: b - a], x[b - a : 2 * (b - a)], x[2 * (b - a) :], n[lo:hi]))
+            return pa.RecordBatch.from_arrays([pa.array(each), pa.array(of, pa.binary())], ["group", "of"])
 
         for batch in slices(batches, RUN):
             h, kind, first, _ = hashed_words(batch.column(0))
@@ -157,13 +211,33 @@ def _grams(train: DataFrame, d: int, own: Broadcast, wanted: Broadcast, hot: Bro
                 if size >= BUFFER // 2:
                     yield rows()
                     size = 0
-        if held:
+        if size:
             merge()
             yield rows()
 
-    rows = train.select("text").mapInArrow(count, "group int, of array<struct<ctx:long,suf:long,word:array<long>,n:array<int>>>")
-    each = rows.repartition("group").select("group", F.inline("of")).select("group", "ctx", "suf", F.inline(F.arrays_zip("word", "n")))
-    return each.groupBy("group", "ctx", "suf", "word").agg(F.sum("n").alias("n"))
+    def add(table: pa.Table) -> pa.Table:
+        known, held = numbers.value if numbers else none, []
+        for value in table["of"].to_pylist():
+            extra, times, far, suf, word, n = unpacked(value, 6)
+            far, suf, word = (known.told(x, extra) for x in (far, suf, word))
+            times = times.astype("i8")
+            held.append((np.repeat(suf + far * power, times), np.repeat(suf, times), word, n.astype("i8")))
+        ctx, suf, word, n = (np.concatenate([x[k] for x in held]) for k in range(4))
+        order, new, _ = distinct(pairs_of(ctx, word))
+        at, n = order[new], np.add.reduceat(n[order], new) if len(new) else n
+        ctx, suf, word = ctx[at], suf[at], word[at]
+        rare = np.flatnonzero(n < listed)
+        rare = rare[np.argsort(ctx[rare])]
+        first = begins(ctx[rare])
+        rest, often = rare[first], np.flatnonzero(n >= listed)
+        n = np.concatenate([n[often], np.add.reduceat(n[rare], first) if len(first) else n[:0]])
+        at, no_word = np.concatenate([often, rest]), np.arange(len(n)) >= len(often)
+        cols = [pa.array(x[at].view("i8")) for x in (ctx, suf)]
+        group = pa.array(np.full(len(n), table["group"][0].as_py(), "i4"))
+        return pa.table([group, *cols, pa.array(word[at].view("i8"), mask=no_word), pa.array(n)], ["group", "ctx", "suf", "word", "n"])
+
+    rows = train.select("text").mapInArrow(count, "group int, of binary")
+    return rows.groupBy("group").applyInArrow(add, "group int, ctx long, suf long, word long, n long")
 
 
 def fit(train: DataFrame, depth: int = 3, least: int = 100, listed: int = 3, worth: float = 3.0, divergence: float = 0.02, mu: float = 10.0) -> Tree:
@@ -183,39 +257,39 @@ def fit(train: DataFrame, depth: int = 3, least: int = 100, listed: int = 3, wor
     symbols = written(symbol_counts(counts, own), "symbols")
     first = lambda b: [b.column(0), b.column(1), pa.array(key_of(longs(b, 0), 1).view("i8"))]
     starts = mapped(symbols.where(F.col("n") >= least).select("sym", "n"), first, "ctx long,n long,key long")
-    before = None
+    numbers, before = spark.sparkContext.broadcast(Numbers.of(symbols)), None
     for d in range(1, depth + 1):
         starts = written(starts, "starts")
         wanted = Bits.of(starts.select("key"))
         if not wanted.n:
             break
         hot = np.array([r.ctx for r in starts.where(F.col("n") >= max(least, n // HOT)).select("ctx").collect()], "i8").view("u8")
-        few = F.when(F.col("n") >= listed, F.col("word"))
-        grams = _grams(train, d, own, spark.sparkContext.broadcast(wanted), spark.sparkContext.broadcast(hot))
-        # where the group is: what is rarer than a listed word leaves one row for its context and group
-        grams = written(grams.groupBy("group", "ctx", "suf", few.alias("word")).agg(F.sum("n").alias("n")), "grams")
-        discounted = F.sum(F.when(F.col("word").isNotNull(), F.col("n") - 1).otherwise(0))
-        total = grams.groupBy("ctx").agg(F.sum("n").alias("total"), discounted.alias("less")).where(F.col("total") >= least)
-        found = grams.where("word is not null").join(total, "ctx")
+        shared = [spark.sparkContext.broadcast(x) for x in (wanted, hot)]
+        grams = written(_grams(train, d, own, *shared, numbers, listed, _groups(n)), "grams")
+        often = grams.where("word is not null").select("ctx", "suf", "word", "n")
         if before is None:
             seen = symbols.select(F.col("sym").alias("word"), F.log10(F.col("w") / (n + v + 1)).alias("prior"))
-            found = found.join(seen, "word")
+            often = often.join(seen, "word")
         else:
-            found = found.join(before, ["suf", "word"])
+            often = often.join(before, ["suf", "word"])
+        rest = grams.where("word is null").select("ctx", "word", "n", F.lit(None).cast("double").alias("prior"))
+        # a context's rows meet once, and the one table of a level says of each row all that follows from them
+        of, one = Window.partitionBy("ctx"), often.select("ctx", "word", "n", "prior").union(rest)
+        one = one.select("*", F.sum("n").over(of).alias("total"), F.sum(F.when(F.col("word").isNotNull(), F.col("n") - 1)).over(of).alias("less")).where(F.col("total") >= least)
         gained = (F.col("n") - 1) / ((F.col("total") - F.col("less") + mu) * F.pow(F.lit(10.0), "prior"))
-        # the one table of a level: what follows joins it to a row for each context
-        found = written(found.select("ctx", "word", "n", "total", "prior", (F.col("n") * F.log1p(gained) >= worth).alias("pick")), "found")
-        less = found.where("pick").groupBy("ctx").agg(F.sum(F.col("n") - 1).alias("less"), F.sum("n").alias("own"), F.first("total").alias("all"))
-        free = less.select("ctx", "own", F.log10((F.col("all") - F.col("less") + mu) / (F.col("all") + mu)).alias("free"))
-        told = F.log10((F.col("n") - 1) / (F.col("total") + mu) + F.pow(F.lit(10.0), F.col("free") + F.col("prior")))
-        gain = F.sum(F.col("n") * (told - F.col("prior"))) + F.first((F.col("total") - F.col("own")) * F.col("free"))
-        kept = found.where("pick").join(free, "ctx").groupBy("ctx").agg(F.round(gain * float(np.log(10)) / F.first("total"), 9).alias("gain"), F.first("free").alias("free"), F.first("total").alias("n"))
-        kept = written(kept.where(F.col("gain") >= divergence).select("ctx", "n", F.col("free").alias("gain")), "kept")
-        of = kept.select("ctx", F.col("gain").alias("free"))
-        entries = found.where("pick").join(of, "ctx").select("ctx", "word", "n", (told - F.col("prior") - F.col("free")).alias("gain"))
+        one = one.withColumn("pick", F.coalesce(F.col("n") * F.log1p(gained) >= worth, F.lit(False)))
+        sums = [F.coalesce(F.sum(F.when(F.col("pick"), x)).over(of), F.lit(0)).alias(k) for k, x in (("own", F.col("n")), ("taken", F.col("n") - 1))]
+        one = one.select("ctx", "word", "n", "prior", "total", "pick", *sums, (F.min("word").over(of) == F.col("word")).alias("head"))
+        one = one.withColumn("free", F.log10((F.col("total") - F.col("taken") + mu) / (F.col("total") + mu)))
+        one = one.withColumn("told", F.when(F.col("pick"), F.log10((F.col("n") - 1) / (F.col("total") + mu) + F.pow(F.lit(10.0), F.col("free") + F.col("prior")))))
+        gain = F.coalesce(F.sum(F.col("n") * (F.col("told") - F.col("prior"))).over(of), F.lit(0.0)) + (F.col("total") - F.col("own")) * F.col("free")
+        one = one.withColumn("keep", (F.col("own") > 0) & (F.round(gain * float(np.log(10)) / F.col("total"), 9) >= divergence))
+        found = written(one.where("word is not null").select("ctx", "word", "n", "prior", "total", "pick", "head", "free", "told", "keep"), "found")
+        kept = found.where("keep and head").select("ctx", F.col("total").alias("n"), F.col("free").alias("gain"))
+        entries = found.where("keep and pick").select("ctx", "word", "n", (F.col("told") - F.col("prior") - F.col("free")).alias("gain"))
         tree.levels.append((kept, entries))
-        eff = F.when(F.col("free").isNull(), F.col("prior")).when(F.col("pick"), told).otherwise(F.col("free") + F.col("prior"))
-        before = found.join(of, "ctx", "left").select(F.col("ctx").alias("suf"), "word", eff.alias("prior"))
+        eff = F.when(~F.col("keep"), F.col("prior")).when(F.col("pick"), F.col("told")).otherwise(F.col("free") + F.col("prior"))
+        before = found.select(F.col("ctx").alias("suf"), "word", eff.alias("prior"))
 
         def longer(b: pa.RecordBatch, d: int = d) -> list[pa.Array]:
             ctx = longs(b, 1) + BASE * longs(b, 0)
@@ -276,31 +350,37 @@ def score(docs: DataFrame, tree: Tree, kept: list[str] | None = None, top_words:
     """One row per document: ``kept`` columns, n_tokens, n_known, train_tokens, base_score, score.
 
     At most ``top_words`` words and ``top_nodes`` nodes, the most frequent, are broadcast. What
-    documents ask of the others leaves one row for each key and run of documents, with all that ask it,
-    joined to the tables; a document's own row travels with them, so the texts are read once.
+    documents ask of the others leaves one packed row for each group of keys and run of documents, which
+    meets that group of the tables; a document's own row travels with them, so the texts are read once.
     """
     kept, spark = kept or ["doc_id"], docs.sparkSession
     common, frequent = Top.of(tree.counts, "n", top_words), Top.of(tree.nodes, "gain", top_nodes)
     shared = spark.sparkContext.broadcast((common, frequent, tree.bits, tree.own))
     unit, depth = float(np.log10(tree.n + tree.v + 1)), tree.depth
-    schema = docs.select(*kept).schema.simpleString()[len("struct<") : -1]
+    groups = _groups(tree.n)
+    high = 65 - groups.bit_length()  # a key's group is its bits from here on
+    fields = docs.select(*kept).schema
+    schema = f"row long, n_tokens long, known long, base double, gain double, {fields.simpleString()[len('struct<') : -1]}"
+    names = ["group", "of", "row", "n_tokens", "known", "base", "gain", *kept]
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, frequent, bits, own = shared.value
         end, task, row, held, size = _symbols(END, np.zeros(1, "i4"), own)[0], TaskContext.get().partitionId() << 40, 0, [], 0
-        names = ["task", "key", "asks", "n_tokens", "known", "base", "gain", *kept]
+        since = 0  # the row from which on places count
 
-        def asked_rows(schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-            """One row for each key, with the places (upper half) and times (lower half) of the rows that ask it."""
-            key, asks = (np.concatenate([x[k] for x in held]) for k in range(2))
+        def asked_rows(schema: pa.Schema) -> pa.RecordBatch:
+            """One row for each group of keys: the keys, each as what it has more than the one before, which places ask, and how often."""
+            key, place, times = (np.concatenate([x[k] for x in held]) for k in range(3))
             held.clear()
-            order, new, _ = distinct(key)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(key)), pa.int32()), pa.array(asks[order]))
-            key = key[order[new]].view("i8")
-            for at in range(0, len(new), BATCH):
-                part = pa.array(key[at : at + BATCH])
-                blank = [pa.nulls(len(part), schema.field(k).type) for k in range(3, len(names))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), task)), part, lists.slice(at, BATCH), *blank], names)
+            order = np.argsort(key)
+            key, place, times = key[order], place[order], times[order]
+            group = key >> np.uint64(high)
+            first = begins(group)
+            more = np.diff(key, prepend=np.zeros(1, "u8"))
+            more[first] = key[first]
+            of = [packed(more[a:b], place[a:b], times[a:b]) for a, b in zip(first, np.append(first[1:], len(key)), strict=True)]
+            blank = [pa.nulls(len(of), schema.field(k).type) for k in range(3, len(names))]
+            return pa.RecordBatch.from_arrays([pa.array(group[first].astype("i4")), pa.array(of, pa.binary()), pa.array(np.full(len(of), task + since)), *blank], names)
 
         for batch in slices(batches, RUN):
             if not batch.num_rows:
@@ -329,37 +409,49 @@ def score(docs: DataFrame, tree: Tree, kept: list[str] | None = None, top_words:
             key, of = np.concatenate(asked), np.concatenate(of)
             order, new, times = distinct(pairs_of(key, of.astype("u8")))
             at = order[new]
-            places = row + np.arange(len(tokens))
+            rows = row + np.arange(len(tokens))
             row += len(tokens)
-            held.append((key[at], places[of[at]] << 32 | times))
+            held.append((key[at], rows[of[at]] - since, times))
             size += len(at)
-            own_key = mix((task + places).astype("u8") + np.uint64(1))  # any key: what an own row meets counts no times
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(tokens) + 1), pa.int32()), pa.array(places << 32))
-            cols = [pa.array(np.full(len(tokens), task)), pa.array(own_key.view("i8")), lists, pa.array(tokens)]
+            cols = [pa.array((rows % groups).astype("i4")), pa.nulls(len(tokens), pa.binary()), pa.array(task + rows), pa.array(tokens)]
             cols += [pa.array(np.add.reduceat(x, first)) for x in ((here & (c > 0)).astype("i8"), base, gain)]
             own_rows = pa.RecordBatch.from_arrays([*cols, *[batch.column(k + 1) for k in range(len(kept))]], names)
             yield own_rows
             if size >= BUFFER:
-                yield from asked_rows(own_rows.schema)
-                size = 0
-        if held:
-            yield from asked_rows(own_rows.schema)
-
-    rows = docs.select("text", *kept).mapInArrow(parts, f"task long, key long, asks array<long>, n_tokens long, known long, base double, gain double, {schema}")
+                yield asked_rows(own_rows.schema)
+                size, since = 0, row
+        if size:
+            yield asked_rows(own_rows.schema)
+
+    def meet(asked: pa.Table, table: pa.Table) -> pa.Table:
+        """The documents' own rows, and what the table has for each row that asks."""
+        held, own = [], asked.filter(pc.is_null(asked["of"])).drop_columns(["group", "of"])
+        keys = table["key"].to_numpy().view("u8")
+        order = np.argsort(keys)
+        keys, c, more = keys[order], table["c"].to_numpy()[order], table["more"].to_numpy()[order]
+        asked = asked.filter(pc.is_valid(asked["of"]))
+        for value, row in zip(asked["of"].to_pylist(), asked["row"].to_pylist(), strict=True) if len(keys) else ():
+            step, place, times = unpacked(value, 3)
+            key = np.cumsum(step)
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            here = keys[at] == key
+            held.append((row + place[here].astype("i8"), at[here], times[here].astype("i8")))
+        if not held:
+            return own
+        row, at, times = (np.concatenate([x[k] for x in held]) for k in range(3))
+        order, new, _ = distinct(row)
+        told = [np.where(c[at] > 0, times, 0), times * np.log10(c[at] + 1.0), times * more[at]]
+        cols = [pa.array(row[order[new]]), pa.nulls(len(new), pa.int64()), *[pa.array(np.add.reduceat(x[order], new) if len(new) else x) for x in told]]
+        return pa.concat_tables([own, pa.Table.from_arrays([*cols, *[pa.nulls(len(new), own.schema.field(k).type) for k in kept]], schema=own.schema)])
+
+    rows = docs.select("text", *kept).mapInArrow(parts, f"group int, of binary, {schema}")
     rare = tree.counts.where(F.col("n") < common.floor).select("key", F.col("n").alias("c"), F.lit(0.0).alias("more"))
     if tree.depth:
-        rare = rare.union(tree.nodes.where(F.col("n") < frequent.floor).select("key", F.lit(None).cast("long"), "gain"))
-    met = rows.join(rare, "key", "left").withColumn("ask", F.explode("asks"))
-    met = met.withColumns({"row": F.col("task") + F.shiftright("ask", 32), "times": F.col("ask").bitwiseAND(0xFFFFFFFF)})
-    per_doc = met.groupBy("row").agg(
-        *[F.max(k).alias(k) for k in (*kept, "n_tokens")],
-        F.sum(F.coalesce("known", F.lit(0)) + F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("n_known"),
-        F.max("base").alias("base"), F.max("gain").alias("gain"),
-        F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("words"),
-        F.sum(F.col("times") * F.coalesce("more", F.lit(0.0))).alias("more"),
-    )
-    base = F.col("base") + F.col("words")
-    return per_doc.select(*kept, "n_tokens", "n_known", F.lit(tree.n).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain") + F.col("more")).alias("score"))
+        rare = rare.union(tree.nodes.where(F.col("n") < frequent.floor).select("key", F.lit(0).cast("long"), "gain"))
+    rare = rare.select(F.shiftrightunsigned("key", high).cast("int").alias("group"), "key", "c", "more")
+    met = rows.groupBy("group").cogroup(rare.groupBy("group")).applyInArrow(meet, schema)
+    per_doc = met.groupBy("row").agg(*[F.max(k).alias(k) for k in (*kept, "n_tokens")], *[F.sum(k).alias(k) for k in ("known", "base", "gain")])
+    return per_doc.select(*kept, "n_tokens", F.col("known").alias("n_known"), F.lit(tree.n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("base") + F.col("gain")).alias("score"))
 
 
 def train_and_score(docs: DataFrame, mod: int = 7, remainder: int = 2, **options) -> DataFrame:

@@ -8,11 +8,12 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quayside.llm import decontaminate, html_text, packing, quality, suffix_tree, token_lengths
-from quayside.llm.hashing import Bits
+from quayside.llm.hashing import Bits, packed, unpacked
 from quayside.llm.queries import tokenizer
 
 ODD = [None, "", "  \n\t ", "one", "ça été — naïve ½²", "a\x1cb\x85c\xa0d", "x" * 5000, "word " * 3000]
@@ -248,6 +249,35 @@ def test_grams_of_a_context_and_word_lie_in_one_group(spark):
         hot = np.array([collections.Counter(r.ctx for r in rows).most_common(1)[0][0]], "i8").view("u8")
 
 
+def test_grams_and_asks_travel_packed(spark):
+    """No row for each n-gram or ask leaves a task or is made of what arrives; rare words are folded where their group is."""
+    rng = random.Random(11)
+    texts = [" ".join(f"w{min(rng.randint(0, 90), rng.randint(0, 90))}" for _ in range(rng.randint(0, 60))) for _ in range(150)]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3)
+    every, share = Bits(1, np.full(1 << 13, 255, "u1")), spark.sparkContext.broadcast
+    keys = suffix_tree.hashed_words(pa.array([" ".join(f"w{i}" for i in range(20))]))[0]
+    numbers = suffix_tree.Numbers.of(spark.createDataFrame([(int(k), 100 - i) for i, k in enumerate(keys.view("i8"))], "sym long, n long"))
+    assert list(numbers.keys) == list(keys)
+    for d in (1, 2, 3):
+        want = collections.Counter(tuple(w[p : p + d + 1]) for t in texts for w in [["", *t.split(), ""]] for p in range(len(w) - d))
+        often = sorted(n for n in want.values() if n >= 3)
+        for known in (None, share(numbers)):
+            grams = suffix_tree._grams(docs, d, share(every), share(every), share(np.empty(0, "u8")), known, 3)
+            assert "Generate" not in grams._jdf.queryExecution().toString()
+            rows = grams.collect()
+            assert sorted(r.n for r in rows if r.word is not None) == often and sum(r.n for r in rows) == sum(want.values())
+    tree = suffix_tree.fit(docs, least=20)
+    assert "Generate" not in suffix_tree.score(docs, tree, top_words=0, top_nodes=0)._jdf.queryExecution().toString()
+
+
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(3)
+    columns = [rng.integers(0, 2**64, 50, "u8"), np.empty(0, "u8"), rng.integers(0, 30_000, 4_000, "u8"), np.ones(4_000, "i8")]
+    value = packed(*columns)
+    assert len(value) < 50 * 8 + 4_000 * 2 + 200
+    assert all(np.array_equal(a, b) for a, b in zip(unpacked(value, 4), columns, strict=True))
+
+
 def test_suffix_tree_learns_more_from_more(spark):
     """What is learnt of rare phrases grows with the evidence, not with its share of the corpus."""
     rng = random.Random(8)

@@ -125,19 +125,21 @@ class Numbers:
 
     keys: np.ndarray  # by number
     order: np.ndarray  # that sorts them
+    ordered: np.ndarray  # in order
 
     @staticmethod
     def of(symbols: DataFrame, most: int = NUMBERED) -> Numbers:
         top = Top.of(symbols.select(F.col("sym").alias("key"), "n"), "n", most)
         keys = top.keys[np.lexsort((top.keys, -top.values))]
-        return Numbers(keys, np.argsort(keys))
+        order = np.argsort(keys)
+        return Numbers(keys, order, keys[order])
 
     def find(self, s: np.ndarray, others: np.ndarray) -> np.ndarray:
         """Numbers of symbols; one of ``others`` (sorted) that has none follows with its place there."""
         at = np.searchsorted(others, s).astype("u8") + np.uint64(len(self.keys))
         if len(self.keys):
-            near = self.order[np.minimum(np.searchsorted(self.keys, s, sorter=self.order), len(self.keys) - 1)]
-            at = np.where(self.keys[near] == s, near.astype("u8"), at)
+            near = np.minimum(np.searchsorted(self.ordered, s), len(self.keys) - 1)
+            at = np.where(self.ordered[near] == s, self.order[near].astype("u8"), at)
         return at
 
     def told(self, x: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -162,7 +164,7 @@ def _grams(train: DataFrame, d: int, own: Broadcast, wanted: Broadcast, hot: Bro
     """
     power = int(BASE) ** (d - 1) % 2**64
     back, power = np.uint64(pow(power, -1, 2**64)), np.uint64(power)  # the context is its suffix and power times its first symbol
-    high, none = 65 - groups.bit_length(), Numbers(np.empty(0, "u8"), np.empty(0, "i8"))
+    high, none = 65 - groups.bit_length(), Numbers(np.empty(0, "u8"), np.empty(0, "i8"), np.empty(0, "u8"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, end = [], 0, _symbols(END, np.zeros(1, "i4"), own.value)[0]
@@ -178,15 +180,21 @@ def _grams(train: DataFrame, d: int, own: Broadcast, wanted: Broadcast, hot: Bro
             ctx, word, suf, n = held.pop()
             salt = np.where(np.isin(ctx, hot.value), word >> np.uint64(58), np.uint64(0))
             deal = mix(ctx + salt)
-            others = known.without(word)
-            order = np.lexsort((known.find(word, others), deal))
+            words, which = np.unique(word, return_inverse=True)
+            others = known.without(words)
+            word = known.find(words, others)[which]
+            # groups, in these contexts, in these words by their numbers as far as 20 bits tell: one sort
+            low = np.uint64((1 << 20) - 1)
+            order = np.argsort((deal & ~low) | np.minimum(word, low))
             ctx, word, suf, n, group = ctx[order], word[order], suf[order], n[order], deal[order] >> np.uint64(high)
             new = begins(ctx, group)
             suf, times = suf[new], np.diff(np.append(new, len(ctx)))
             far = (ctx[new] - suf) * back
-            others = np.union1d(others, known.without(np.concatenate([far, suf])))
-            far, suf, word = (known.find(x, others) for x in (far, suf, word))
             first, of, apart = begins(group), [], np.uint64(len(known.keys))
+            more, place = others, word >= apart
+            others = np.union1d(others, known.without(np.concatenate([far, suf])))
+            far, suf = (known.find(x, others) for x in (far, suf))
+            word[place] = np.searchsorted(others, more)[(word[place] - apart).astype("i8")].astype("u8") + apart
             each, last = group[first].astype("i4"), np.append(first[1:], len(ctx))
             for lo, hi, a, b in zip(first, last, np.searchsorted(new, first), np.searchsorted(new, last), strict=True):
                 x = np.concatenate([far[a:b], suf[a:b], word[lo:hi]])

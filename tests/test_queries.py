@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from quayside.plans import catalogue
-from quayside.plans.bindings import BASE
+from quayside.plans.bindings import BASE, VIEWS
 
 QUERIES, ORACLES = catalogue.queries(), catalogue.oracle_sql()
 
@@ -63,3 +63,11 @@ def test_a_page_of_very_many_paragraphs(spark, tmp_path, name):
     told = con.execute(ORACLES[name])
     columns = [d[0] for d in told.description]
     assert ordered(QUERIES[name](spark, str(tmp_path)).select(columns).collect()) == ordered(told.fetchall())
+
+
+@pytest.mark.parametrize("name", ["cve_correlation", "security_status"])
+def test_advisories_meet_the_versions_of_all_releases(spark, sf_dir, duck, name):
+    got = {(r.product_id, r.version) for r in QUERIES[name](spark, sf_dir).where("version is not null").select("product_id", "version").distinct().collect()}
+    known = duck.execute(f"SELECT DISTINCT m.product_id, r.version FROM ({VIEWS['releases']}) r JOIN ({VIEWS['mappings']}) m ON m.release_id = r.id").fetchall()
+    about = {product for product, _ in got}
+    assert got and got == {(p, v) for p, v in known if p in about}

@@ -71,3 +71,17 @@ def test_advisories_meet_the_versions_of_all_releases(spark, sf_dir, duck, name)
     known = duck.execute(f"SELECT DISTINCT m.product_id, r.version FROM ({VIEWS['releases']}) r JOIN ({VIEWS['mappings']}) m ON m.release_id = r.id").fetchall()
     about = {product for product, _ in got}
     assert got and got == {(p, v) for p, v in known if p in about}
+
+
+def test_a_text_gives_all_its_candidates(spark, tmp_path):
+    # over 500 candidates; and one more beyond 4 MiB, which Thursdayish is only once its Th is replaced
+    texts = [(1, "Abcdefghijkl, " * 700, "en", "s", 9800), (2, "x " * (1 << 21) + "Abcdefghijkl. " * 600 + "Thursdayish ", "en", "s", 0), (3, "none", "en", "s", 4), (4, None, "en", "s", 0)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    for t in ("pages", "documents"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    told = con.execute(ORACLES["extract_text"])
+    columns = [d[0] for d in told.description]
+    got = ordered(QUERIES["extract_text"](spark, str(tmp_path)).select(columns).collect())
+    assert got == ordered(told.fetchall()) and len(got) == 700 + 601

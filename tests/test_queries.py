@@ -6,6 +6,7 @@ import math
 import duckdb
 import pytest
 
+from quayside.operators import gates
 from quayside.plans import catalogue
 from quayside.plans.bindings import BASE, VIEWS
 
@@ -85,3 +86,9 @@ def test_a_text_gives_all_its_candidates(spark, tmp_path):
     columns = [d[0] for d in told.description]
     got = ordered(QUERIES["extract_text"](spark, str(tmp_path)).select(columns).collect())
     assert got == ordered(told.fetchall()) and len(got) == 700 + 601
+
+
+def test_the_pivot_of_gates_has_every_gate(spark, sf_dir):
+    of = {r.id: r for r in QUERIES["gate_results_pivot"](spark, sf_dir).collect()}
+    ran = {r.id: r.gates_run for r in QUERIES["validate_candidates"](spark, sf_dir).collect()}
+    assert {k: sum(r[g] is not None for g in gates.GATES) for k, r in of.items()} == ran and {10, 1} <= set(ran.values())

@@ -1,5 +1,8 @@
 """Joins in which most rows have no key."""
 
+import datetime as dt
+import random
+
 from pyspark.sql import functions as F
 
 from quayside.operators import catalog, frames, gates, summary
@@ -84,3 +87,45 @@ def test_facts_of_a_subject_meet_the_releases_once(spark):
     got = {r.product_id: (sorted(tuple(v) for v in r.versions), r.previous) for r in out.collect()}
     assert got == {1: ([("1", 1), ("2", 3)], "2"), 2: ([("2", 2)], None), 3: ([], None)}
     assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD [release_id") == 1
+
+
+def gate_tables(spark, rng):
+    """Small tables in which every gate has every outcome, with nulls in what may be null."""
+    some, n = lambda *of: rng.choice(of), 1500
+    day = lambda: some(None, dt.date(1989, 1, 1), dt.date(1998, 5, 1), dt.date(1999, 6, 1))
+    product = lambda: some(None, None, 1, 2, 3, 4)
+    sources = [(k, k % 3, some("official_manufacturer", "trusted_community", None), some(True, False, None), some("active", "active", "broken", None), some("allowed", "allowed", "disallowed", None), "approved", some(True, True, False)) for k in range(40)]
+    products = [(k, k % 3, some(f"Slug-{k}", f"slug-{k}", "two", None)) for k in range(1, 7)]
+    aliases = [(some(0, 1, 2, None), some("Slug 1", "slug-2!", "two", "Three", "", None), k % 6 + 1) for k in range(30)]
+    releases = [(k, some("v1", "v1.2", "2", "x", None), some("a", "b", "c", None), some(True, False, None), day(), dt.date(1997, 1, 1 + k % 9)) for k in range(200)]
+    maps = [(k, some(1, 2, 3, 4, None)) for k in range(200)]
+    claims = [(rng.randrange(40), some(1, 2, 3, 4), some("a", "b", None), some("v1", "v2", " "), day(), dt.date(1997, 1, 1), k, 1) for k in range(150)]
+    rows = [(k, some(*range(41)), some("SLUG-1", "slug-2", " two ", "three", "no", "", None), product(), some(" V1 ", "v1.2", "V9", "2", "", None), some("a", "a", "b", None), day(), some("exact_day", "unknown", None), some(None, "0.80", "0.95"), some(None, 1, 1, 1)) for k in range(n)]
+    make = spark.createDataFrame
+    return (
+        make(rows, "id long, source_id long, hint string, product_id long, raw_version string, channel string, release_date date, release_date_precision string, confidence string, evidence_id long").withColumn("confidence", F.col("confidence").cast("decimal(3,2)")),
+        make(sources, "id long, vendor_id long, quality_class string, official boolean, health string, robots string, terms string, enabled boolean"), make(products, "id long, vendor_id long, slug string"),
+        make(aliases, "vendor_id long, alias string, product_id long"), make(releases, "id long, version string, channel string, withdrawn boolean, release_date date, first_observed_on date"), make(maps, "release_id long, product_id long"),
+        make(claims, "source_id long, product_id long, channel string, version string, release_date date, observed_on date, order_id long, line_no long"),
+    )
+
+
+def test_verdicts_look_up_only_what_a_gate_needs_that_runs(spark, monkeypatch):
+    met, by = [], gates.left_by
+    today, tables = F.lit("1999-01-01").cast("date"), gate_tables(spark, random.Random(5))
+    names = ["id", "raw_version", "decision", "reason", "gates", "first_review"]
+    told = lambda rows: sorted((tuple(r) for r in rows.select(names).collect()), key=lambda r: r[0])
+    want = told(gates.validate_candidates(gates.gate_context(*tables), today))
+    assert {(r[2], r[3]) for r in want} >= {("rejected", g) for g in ("product_identity", "version_present", "source_eligible", "duplicate", "date_valid", "evidence_retained")} | {("passed", None), ("review_required", "multi_source_agreement")}
+    monkeypatch.setattr(gates, "left_by", lambda rows, *rest: met.append(rows) or by(rows, *rest))
+    for channels in (None, spark.createDataFrame([("a",), ("b",), ("b",), ("z",)], "channel string")):
+        assert told(gates.verdicts(*tables, today, ("raw_version",), channels=channels)) == want
+        assert told(gates.verdicts(*tables, today, ("raw_version",), True, channels)) == [r for r in want if r[2] != "rejected"]
+    # all candidates, and of those that may be open fewer; with a subject only those of eligible sources and of a version
+    every, some = (rows.select("id", "subject_id", "version").collect() for rows in met[:2])
+    stopped = {r[0] for r in want if r[3] in ("product_identity", "version_present", "source_eligible")}
+    assert len(every) == len(want) > 2 * len(some) and not any(r.subject_id is not None and r.id in stopped for r in every)
+    # releases of channels that nobody asks for are of no subject
+    facts = gates.subject_facts(tables[1], *tables[4:], channels=spark.createDataFrame([("b",)], "channel string")).where("versions is not null")
+    assert {r.channel for r in facts.collect()} == {"b"}
+    assert gates.subject_facts(tables[1], *tables[4:], channels=spark.createDataFrame([("z",)], "channel string")).where("versions is not null").count() == 0

@@ -122,10 +122,17 @@ def test_verdicts_look_up_only_what_a_gate_needs_that_runs(spark, monkeypatch):
         assert told(gates.verdicts(*tables, today, ("raw_version",), channels=channels)) == want
         assert told(gates.verdicts(*tables, today, ("raw_version",), True, channels)) == [r for r in want if r[2] != "rejected"]
     # all candidates, and of those that may be open fewer; with a subject only those of eligible sources and of a version
-    every, some = (rows.select("id", "subject_id", "version").collect() for rows in met[:2])
+    every, some = (rows.select("id", "subject_id").collect() for rows in met[:2])
     stopped = {r[0] for r in want if r[3] in ("product_identity", "version_present", "source_eligible")}
     assert len(every) == len(want) > 2 * len(some) and not any(r.subject_id is not None and r.id in stopped for r in every)
     # releases of channels that nobody asks for are of no subject
     facts = gates.subject_facts(tables[1], *tables[4:], channels=spark.createDataFrame([("b",)], "channel string")).where("versions is not null")
     assert {r.channel for r in facts.collect()} == {"b"}
     assert gates.subject_facts(tables[1], *tables[4:], channels=spark.createDataFrame([("z",)], "channel string")).where("versions is not null").count() == 0
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    conf, before = spark.conf, spark.conf.get(frames.CLEAN, None)
+    out = frames.written(spark.range(5000).repartition(7, "id").groupBy((F.col("id") % 10).alias("k")).agg(F.count("*").alias("n"), F.max(F.struct("id")).alias("last")), "tens")
+    assert sorted((r.k, r.n, r.last.id) for r in out.collect()) == [(k, 500, 4990 + k) for k in range(10)]
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString() and conf.get(frames.CLEAN, None) == before

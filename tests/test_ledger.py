@@ -106,3 +106,16 @@ def test_ids_of_advisories_that_say_the_same_travel_together(spark, monkeypatch)
         status = {"1": "confirmed_affected", "2": "fixed_in_version", None: "confirmed_not_affected"}
         assert sorted(got, key=str) == sorted(((k, c, 1, v, status[v]) for k, c, *_ in said for v in status), key=str)
     assert met[0].count() == 3 and 3 < met[1].count() <= 30
+
+
+def test_versions_that_no_advisory_asks_for_are_left_out_first(spark):
+    said = [(k, "C", "n", None, True, True, ["1"], ["2"]) for k in range(20)]
+    adv = spark.createDataFrame(said, "id long, cve string, product string, cpe string, vendor boolean, scoped boolean, affected array<string>, fixed array<string>")
+    products, aliases = spark.createDataFrame([(1, "x-1")], "id long, model_identifier string"), spark.createDataFrame([(1, "N", "model"), (2, "n", "model"), (9, "m", "model")], "product_id long, alias string, alias_kind string")
+    lines = spark.createDataFrame([(p, v) for p in (1, 2, *range(9, 400)) for v in ("1", "2", "2")], "product_id long, version string")
+    of = adv, products, aliases, lines.distinct()
+    for rows, most in ((summary.correlate(*of).where("product_id is not null"), 80), (summary.correlated_statements(*of), 4)):
+        assert rows.count() == most and {r.product_id for r in rows.select("product_id").collect()} == {1, 2}
+        tree = rows._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        depth = lambda what: [len(line) - len(line.lstrip(" :+-")) for line in tree if what in line]
+        assert depth("Join LeftSemi") and min(depth("Join LeftSemi")) > min(depth("Aggregate [product_id#"))

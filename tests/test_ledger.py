@@ -119,3 +119,10 @@ def test_versions_that_no_advisory_asks_for_are_left_out_first(spark):
         tree = rows._jdf.queryExecution().optimizedPlan().toString().splitlines()
         depth = lambda what: [len(line) - len(line.lstrip(" :+-")) for line in tree if what in line]
         assert depth("Join LeftSemi") and min(depth("Join LeftSemi")) > min(depth("Aggregate [product_id#"))
+
+
+def test_versions_are_dealt_to_a_given_number_of_tasks(spark):
+    of = spark.createDataFrame([(None, "n", p, 2, 3) for p in (1, 2, 3)], "cpe string, product string, product_id long, identity int, products long")
+    known = summary._known(of, spark.createDataFrame([(p, str(v)) for p in (1, 2) for v in range(300)], "product_id long, version string"))
+    per = [n for (n,) in known.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(per) == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1 and sum(per) == 601 and max(per) < 300
